@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, edit_counts, packed_ids
+from . import chunk_bpe, decontaminate, edit_counts, packed_ids, url_filter
 from .common import read_table
 from .tokenizers_io import word_encoder
 
@@ -48,10 +48,65 @@ def op6_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_counts.count_with_edits(edits, public_tokenizers.path(BYTE_FILE))
 
 
+#: (verdict, host, path)
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+BLOCK_TERMS = ["ads", "adult", "banner", "bet", "bets", "casino", "porn", "track", "tracker", "xxx"]
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts for all pages, learned from the pages whose document is labelled.
+
+    The labelled URL table: pages whose path names a document with labels.  Junk
+    and toxic documents count as pages to block, and so do hosts with a name
+    part that is one of the listed terms.
+    """
+    pages = read_table(spark, sf_dir, "pages")
+    named = pages.select("url", F.regexp_extract("url", "/([0-9]{1,18})(?:[./?#]|$)", 1).try_cast("long").alias("doc_id"))
+    labelled = named.join(read_table(spark, sf_dir, "labels"), "doc_id").withColumn(
+        "block", ((F.col("quality") == 0) | (F.col("toxic") == 1) | F.arrays_overlap(F.split(url_filter.host_of(F.col("url")), "[.-]"), F.array(*map(F.lit, BLOCK_TERMS)))).cast("int"))
+    return url_filter.judge(pages, URL_RULES, url_filter.train(labelled))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in all documents, with the contamination verdict."""
+    found = decontaminate.find_windows(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
+        decontaminate.contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"),
+    )
+
+
+OP10_SQL = r"""
+WITH dw AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+bw AS (
+  SELECT cast(item_id AS VARCHAR) AS item, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item, least(13, len(w)) AS n, list_aggregate(w[i : i + least(13, len(w)) - 1], 'string_agg', ' ') AS s
+  FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM bw WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+dwin AS (
+  SELECT doc_id, n, i, list_aggregate(w[i : i + n - 1], 'string_agg', ' ') AS s
+  FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
+hit AS (SELECT doc_id, dwin.n, i, item FROM dwin JOIN win ON dwin.s = win.s AND dwin.n = win.n),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+SELECT doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packed_ids": op1_packed_ids,
+    "op2_url_filter": op2_url_filter,
     "op3_chunk_bpe": op3_chunk_bpe,
     "op6_edit_counts": op6_edit_counts,
+    "op10_decontaminate": op10_decontaminate,
 }
 
 
@@ -60,4 +115,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_decontaminate": OP10_SQL}
