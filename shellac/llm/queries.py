@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, decontaminate, edit_counts, packed_ids, url_filter
+from . import chunk_bpe, decontaminate, edit_counts, langid, packed_ids, quality, url_filter
 from .common import read_table
 from .tokenizers_io import word_encoder
 
@@ -68,6 +68,31 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, url_filter.train(labelled))
 
 
+def held_out(remainder: int, modulus: int) -> Column:
+    """Whether crc32 of the id as text leaves this remainder; false for null ids."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
+
+
+def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents, learned from those not held out."""
+    docs = read_table(spark, sf_dir, "documents")
+    out = held_out(2, 4)
+    net = langid.train(docs.filter(~out))
+    return langid.identify(docs, net).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+def good_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled documents; good ones are of quality and not toxic."""
+    return read_table(spark, sf_dir, "labels").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents and whether they are kept."""
+    docs = read_table(spark, sf_dir, "documents")
+    model = quality.train(docs, good_labels(spark, sf_dir))
+    return quality.score(docs, model).withColumn("keep", F.col("quality") >= QUALITY_LEAST)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in all documents, with the contamination verdict."""
     found = decontaminate.find_windows(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
@@ -101,11 +126,15 @@ FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+QUALITY_LEAST = 0.3
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packed_ids": op1_packed_ids,
     "op2_url_filter": op2_url_filter,
     "op3_chunk_bpe": op3_chunk_bpe,
     "op6_edit_counts": op6_edit_counts,
+    "op8_langid": op8_langid,
+    "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
 }
 
