@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, decontaminate, edit_counts, langid, packed_ids, quality, url_filter
+from . import chunk_bpe, decontaminate, edit_counts, jaccard_join, langid, language_model, packed_ids, quality, url_filter
 from .common import read_table
 from .tokenizers_io import word_encoder
 
@@ -33,6 +33,11 @@ def op3_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of 3-word shingles have a similarity of 0.9 or more."""
+    return jaccard_join.join(read_table(spark, sf_dir, "documents"), size=3, percent=90).select("doc_id", "n_shingles", "component_id")
+
+
 #: What the edit query takes out of each text: addresses, long numbers, links.
 REDACTIONS = [
     (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "<email>"),
@@ -73,6 +78,12 @@ def held_out(remainder: int, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of all documents under the model of those not held out."""
+    scored = language_model.score(read_table(spark, sf_dir, "documents"), ~held_out(1, 5))
+    return scored.select("doc_id", (~F.col("in_train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of all documents, learned from those not held out."""
     docs = read_table(spark, sf_dir, "documents")
@@ -132,7 +143,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packed_ids": op1_packed_ids,
     "op2_url_filter": op2_url_filter,
     "op3_chunk_bpe": op3_chunk_bpe,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_edit_counts": op6_edit_counts,
+    "op7_lm_scores": op7_lm_scores,
     "op8_langid": op8_langid,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
