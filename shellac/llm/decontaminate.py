@@ -51,11 +51,16 @@ def shingled(windows: DataFrame) -> DataFrame:
     return windows.select("win_id", "window", F.size("window").alias("len"), each).select("win_id", "window", "len", "s.at", "s.sh")
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Tells rows apart, also those without an id."""
+    return F.xxhash64(doc_id, text)
+
+
 def find_windows(
     docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     item_col: str = "item_id", item_text_col: str = "text", size: int = 13,
 ) -> DataFrame:
-    """For each row of ``docs``: ``doc_id``, ``n_words``, ``n_hit``, ``item_ids``.
+    """For each row of ``docs``: ``doc_id``, ``row_key``, ``n_words``, ``n_hit``, ``item_ids``.
 
     A window is ``size`` consecutive words of an item, or the whole of an item
     with fewer words but not none.  ``n_hit`` counts the document's words inside
@@ -70,7 +75,7 @@ def find_windows(
     small = lengths["n"] <= BROADCAST_WINDOWS
     sized = F.broadcast if small else (lambda df: df)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("row_key"), words(F.col(text_col)).alias("w"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), row_key(F.col(id_col), F.col(text_col)).alias("row_key"), words(F.col(text_col)).alias("w"))
     n = F.size("w")
     pairs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1)), lambda i: shingle(F.col("w"), i))).otherwise(F.array().cast("array<bigint>"))
     # single words follow the pairs, for the windows of one word
@@ -112,7 +117,7 @@ def find_windows(
     held = per_item.groupBy("row_key").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
     both = hit.join(held, "row_key")
     return rows.select("doc_id", "row_key", n.cast("long").alias("n_words")).join(both, "row_key", "left").select(
-        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
+        "doc_id", "row_key", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
 
 
 def contaminated(n_words: Column, n_hit: Column) -> Column:

@@ -10,12 +10,11 @@ probabilities are the mean over its windows, weighted by their letters.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_size
@@ -143,33 +142,38 @@ def windows(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8).reshape(-1, width), counts
 
 
-def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_col: str = "text", run: int = 512) -> DataFrame:
+def label_texts(net: ByteNet | None, texts: list[str | None], run: int = 512) -> tuple[list[str], list[float]]:
+    """Language and score of each text; memory is bounded by the texts and ``run`` windows."""
+    langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    known = [i for i, t in enumerate(texts) if net and t and LETTER.search(t)]
+    for part in by_size(known, (len(texts[i]) for i in known), 1 << 20):
+        data, counts = windows([texts[i].encode() for i in part], net.width)
+        # bytes of letters: ASCII letters and all of the other scripts' bytes
+        weight = (((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 128)).sum(1) + 1e-3
+        probs = np.concatenate([net.predict(data[i : i + run]) for i in range(0, len(data), run)])
+        starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
+        total = np.add.reduceat(probs * weight[:, None], starts) / np.add.reduceat(weight, starts)[:, None]
+        for i, row in zip(part, total, strict=True):
+            best = int(row.argmax())
+            langs[i], scores[i] = net.labels[best], float(min(1.0, max(0.0, row[best])))
+    return langs, scores
+
+
+def language(net: ByteNet | None, text: Column) -> Column:
+    """(lang_pred, score) of a text column."""
+
+    @F.pandas_udf("lang_pred string, score double")
+    def apply(texts: pd.Series) -> pd.DataFrame:
+        langs, scores = label_texts(net, texts.tolist())
+        return pd.DataFrame({"lang_pred": langs, "score": scores})
+
+    return apply(text)
+
+
+def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Language of every whole text: ``doc_id``, ``lang_pred``, ``score`` (its probability).
 
     One row for each row.  ``und`` with score 0 if the text is null or has no
-    letter, or if there is no network.  Memory is bounded by ``run`` windows and
-    one Arrow batch.
+    letter, or if there is no network.
     """
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = 0
-            texts = batch.column(1).to_pylist()
-            for part in by_size(texts, (len(t or "") for t in texts), 1 << 20):
-                known = [i for i, t in enumerate(part) if net and t and LETTER.search(t)]
-                langs, scores = [UNKNOWN] * len(part), [0.0] * len(part)
-                if known:
-                    data, counts = windows([part[i].encode() for i in known], net.width)
-                    # bytes of letters: ASCII letters and all of the other scripts' bytes
-                    weight = (((data | 32) >= 97) & ((data | 32) <= 122) | (data >= 128)).sum(1) + 1e-3
-                    probs = np.concatenate([net.predict(data[i : i + run]) for i in range(0, len(data), run)])
-                    starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-                    total = np.add.reduceat(probs * weight[:, None], starts) / np.add.reduceat(weight, starts)[:, None]
-                    for i, row in zip(known, total, strict=True):
-                        best = int(row.argmax())
-                        langs[i], scores[i] = net.labels[best], float(min(1.0, max(0.0, row[best])))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
-                at += len(part)
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(apply, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return docs.select(F.col(id_col).alias("doc_id"), language(net, F.col(text_col)).alias("found")).select("doc_id", "found.lang_pred", "found.score")

@@ -13,11 +13,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size, written
+from .common import written
 
 #: ASCII letters in lower case, digits and the bytes of other scripts stay, all else parts words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
@@ -193,6 +194,27 @@ def train(
     return model
 
 
+def judged(model: CoModel | None, text: Column, texts: list[Column], numbers: list[Column]) -> Column:
+    """(quality, p_text, p_meta) of a text and its metadata."""
+
+    @F.pandas_udf("quality double, p_text double, p_meta double")
+    def apply(text: pd.Series, *values: pd.Series) -> pd.DataFrame:
+        rows = [v.astype(object).where(v.notna(), None).tolist() for v in values]
+        words, out = text.tolist(), []
+        for at in range(0, len(words), 500):  # bounds the feature rows held
+            part = words[at : at + 500]
+            if model is None:
+                p = np.ones((3, len(part)))
+            else:
+                p = np.stack(model.score(np.array([model.text_row(t or "") for t in part]), np.array([model.meta_row(list(v)) for v in zip(*(r[at : at + 500] for r in rows), strict=True)])))
+            p[0, [i for i, t in enumerate(part) if not t]] = 0.0
+            out.append(p)
+        p = np.concatenate(out, 1) if out else np.zeros((3, 0))
+        return pd.DataFrame({"quality": p[0], "p_text": p[1], "p_meta": p[2]})
+
+    return apply(text, *(c.cast("string") for c in texts), *(c.cast("double") for c in numbers))
+
+
 def score(
     docs: DataFrame, model: CoModel | None, id_col: str = "doc_id", text_col: str = "text",
     meta_cols: tuple[str, ...] = ("lang", "source"), number_cols: tuple[str, ...] = ("n_chars",),
@@ -203,25 +225,5 @@ def score(
     Without a model every other text has quality 1 (nothing is known against
     it).
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [c.to_pylist() for c in batch.columns]
-            at = 0
-            for part in by_size(cols[1], (len(t or "") for t in cols[1]), 1 << 20):
-                to = at + len(part)
-                out = [np.ones(len(part))] * 3
-                if model:
-                    parts = []
-                    for i in range(0, len(part), 500):  # bounds the feature rows held
-                        text = np.array([model.text_row(t or "") for t in part[i : i + 500]])
-                        meta = np.array([model.meta_row(list(v)) for v in zip(*(c[at + i : min(to, at + i + 500)] for c in cols[2:]), strict=True)])
-                        parts.append(model.score(text, meta))
-                    out = [np.concatenate(x) for x in zip(*parts, strict=True)]
-                empty = np.array([not t for t in part])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(np.where(empty, 0.0, out[0])), pa.array(out[1]), pa.array(out[2])], names=["doc_id", "quality", "p_text", "p_meta"])
-                at = to
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
-                       *[F.col(c).cast("string").alias(f"m{i}") for i, c in enumerate(meta_cols)], *[F.col(c).cast("double").alias(f"n{i}") for i, c in enumerate(number_cols)])
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, quality double, p_text double, p_meta double")
+    found = judged(model, F.col(text_col), [F.col(c) for c in meta_cols], [F.col(c) for c in number_cols])
+    return docs.select(F.col(id_col).alias("doc_id"), found.alias("found")).select("doc_id", "found.quality", "found.p_text", "found.p_meta")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, decontaminate, edit_counts, jaccard_join, langid, language_model, packed_ids, quality, url_filter
+from . import ann, chunk_bpe, decontaminate, edit_counts, jaccard_join, langid, language_model, packed_ids, quality, url_filter
 from .common import read_table
 from .tokenizers_io import word_encoder
 
@@ -33,6 +33,11 @@ def op3_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product of every embedding whose id is divisible by 20."""
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of 3-word shingles have a similarity of 0.9 or more."""
     return jaccard_join.join(read_table(spark, sf_dir, "documents"), size=3, percent=90).select("doc_id", "n_shingles", "component_id")
@@ -143,6 +148,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packed_ids": op1_packed_ids,
     "op2_url_filter": op2_url_filter,
     "op3_chunk_bpe": op3_chunk_bpe,
+    "op4_neighbours": op4_neighbours,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_edit_counts": op6_edit_counts,
     "op7_lm_scores": op7_lm_scores,
