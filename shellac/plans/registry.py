@@ -1,10 +1,572 @@
-"""The catalogue queries by name, with the SQL they are held against."""
+"""The catalogue queries by name, with the DuckDB SQL they are held against."""
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import functions as fn
+from .. import sources, streaming
+from ..operators import audit, diff, edit_log, facets, overlay, search
+from ..schema import B_SIDE_FIELDS, EDITABLE_FIELDS, FACETS, LOG, NORM_COLUMNS, PHRASE_FIELDS, RESULT_COLUMNS, SORT_COLUMNS, SOURCE_FIELDS, SUBSTRING_FIELDS
+from . import fixtures as fx
+from .fixtures import CAT, key_sql, nk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+NOW = datetime.datetime(2024, 6, 1)
+RESULTS = ", ".join(RESULT_COLUMNS)
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function (spark, sf_dir) -> DataFrame under a name, with its SQL."""
+
+    def put(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def over_cat(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    """A query over the catalogue alone; the SQL goes on from the catalogue's expressions."""
+    query(name, f"WITH {CAT} {sql}" if not sql.startswith(",") else f"WITH {CAT}{sql}")(lambda spark, sf_dir: f(fx.catalogue(spark, sf_dir)))
+
+
+def scalar(name: str, columns: Callable[[], dict[str, Column]], sql: dict[str, str]) -> None:
+    over_cat(name, lambda cat: cat.select("id", *(c.alias(k) for k, c in columns().items())), "SELECT id, " + ", ".join(f"{v} AS {k}" for k, v in sql.items()) + " FROM cat")
+
+
+# --- scalar expressions -------------------------------------------------------------------------------------------
+
+scalar("null_if_blank", lambda: {"v": fn.null_if_blank(F.concat(F.lit(" \t"), F.coalesce("genre", F.lit(" ")), F.lit("\n ")))}, {"v": "genre"})
+scalar("norm_columns", lambda: fn.norm_columns(), {to: f"lower({c})" for c, to in NORM_COLUMNS.items()})
+scalar("year_sort", lambda: {"v": fn.year_sort("year")}, {"v": "CASE WHEN regexp_matches(coalesce(year, ''), '[0-9]{4}') THEN cast(regexp_extract(year, '[0-9]{4}') AS integer) END"})
+scalar("norm_key", lambda: {"v": fn.norm_key(F.concat(F.lit("  "), "artist_credit", F.lit("   X ")))}, {"v": nk("'  ' || artist_credit || '   X '")})
+scalar("record_key", lambda: {"v": fn.record_key()}, {"v": key_sql()})
+scalar("content_hash", lambda: {"v": fn.content_hash()}, {"v": "to_base64(unhex(sha1(concat_ws(chr(1), " + ", ".join(f"coalesce({f}, '')" for f in SOURCE_FIELDS) + "))))"})
+scalar("search_columns", lambda: fn.search_columns(), {f"{c}_lc": f"lower({c})" for c in SUBSTRING_FIELDS})
+
+_RB = r"'(?i)^(.+?)([\s._\-/]+)?([A-D]{1,2}\d{0,2})$'"
+
+
+def base_sql(c: str) -> str:
+    head, sep = f"regexp_extract(trim({c}), {_RB}, 1)", f"regexp_extract(trim({c}), {_RB}, 2)"
+    base = rf"regexp_replace(trim({head}), '[\s._\-/]+$', '')"
+    return f"CASE WHEN {head} <> '' AND ({sep} <> '' OR regexp_matches({head}, '[0-9]$')) AND length({base}) >= 2 THEN {base} END"
+
+
+def marker_sql(c: str) -> str:
+    return rf"CASE WHEN ({base_sql(c)}) IS NOT NULL THEN coalesce(try_cast(nullif(regexp_extract(trim({c}), '(?i)[A-D](\d{{0,2}})$', 1), '') AS integer), 0) END"
+
+
+scalar("release_base", lambda: {"a": fn.release_base("label_number"), "b": fn.release_base("b_side_label_number"), "m": fn.release_base("matrix_number")},
+       {"a": base_sql("label_number"), "b": base_sql("b_side_label_number"), "m": base_sql("matrix_number")})
+scalar("side_marker_number", lambda: {"v": fn.side_marker_number("label_number")}, {"v": marker_sql("label_number")})
+scalar("side_rank", lambda: {"letter": fn.side_rank("label_number")["letter"], "number": fn.side_rank("label_number")["number"]}, {
+    "letter": "CASE WHEN regexp_matches(coalesce(trim(label_number), ''), '(?i)[A-D][0-9]{0,2}$') THEN upper(regexp_extract(trim(label_number), '(?i)([A-D])[0-9]{0,2}$', 1)) ELSE 'Z' END",
+    "number": "CASE WHEN regexp_matches(coalesce(trim(label_number), ''), '(?i)[A-D][0-9]{0,2}$') THEN coalesce(try_cast(nullif(regexp_extract(trim(label_number), '(?i)[A-D]([0-9]{0,2})$', 1), '') AS integer), 0) ELSE 999 END"})
+
+
+def prefix_sql(a: str, b: str) -> str:
+    n = f"list_max(list_filter(list_prepend(0, range(1, 1 + least(length(coalesce({a}, '')), length(coalesce({b}, ''))))), lambda i: lower(left({a}, i)) = lower(left({b}, i)) OR i = 0))"
+    return f"coalesce(left({a}, cast({n} AS integer)), '')"
+
+
+scalar("shared_prefix", lambda: {"v": fn.shared_prefix("matrix_number", "b_side_matrix_number"), "w": fn.shared_prefix("label", "producer")}, {"v": prefix_sql("matrix_number", "b_side_matrix_number"), "w": prefix_sql("label", "producer")})
+scalar("dismiss_key", lambda: {"v": fn.dismiss_key("record_key", "title", "matrix_number", "b_side_matrix_number")}, {"v": " || chr(1) || ".join(nk(c) for c in ("record_key", "title", "matrix_number", "b_side_matrix_number"))})
+scalar("spelling_key", lambda: {"v": fn.spelling_key("artist_credit")}, {"v": "regexp_replace(lower(artist_credit), '[^a-z0-9]', '', 'g')"})
+scalar("is_uncertain", lambda: {"v": fn.is_uncertain("genre")}, {"v": "coalesce(lower(trim(genre)) = 'dubious entry', false)"})
+scalar("credit_if_different", lambda: {"v": fn.credit_if_different("artist_credit", "artist")}, {"v": f"CASE WHEN artist IS NULL OR {nk('artist_credit')} <> {nk('artist')} THEN artist_credit END"})
+scalar("b_side_flags", lambda: {"b": fn.has_b_side(), "f": fn.has_flip_side()}, {"b": "(" + " OR ".join(f"coalesce({c}, '') <> ''" for c in B_SIDE_FIELDS) + ")", "f": "(coalesce(trim(b_side_title), '') <> '' OR coalesce(trim(b_side_artist), '') <> '')"})
+over_cat("flip_side", lambda cat: cat.filter(fn.has_flip_side()).select("id", *(c.alias(f) for f, c in fn.flip_side().items())),
+         "SELECT id, " + ", ".join(f"{c} AS {f}" for f, c in {f: {**fn.TWINS, **{b: a for a, b in fn.TWINS.items()}, **{c: c for c in fn.CARRIED}}.get(f, "cast(NULL AS VARCHAR)") for f in EDITABLE_FIELDS}.items()) + " FROM cat WHERE coalesce(b_side_title, b_side_artist) IS NOT NULL")
+scalar("search_terms", lambda: {"s": fn.substring_term("title"), "t": fn.substring_term("artist_credit"), "p": fn.phrase_term(F.concat(F.lit(' "'), "title", F.lit('*" x  y ')))}, {
+    "s": "lower(title)", "t": "CASE WHEN regexp_matches(artist_credit, '[0-9]') THEN lower(artist_credit) ELSE lower(trim(regexp_replace(artist_credit, '[^A-Za-z0-9]+', ' ', 'g'))) END", "p": "title || ' x y'"})
+scalar("facet_value", lambda: {"v": fn.facet_value("artists", "artist_credit"), "y": fn.facet_value("years", "year"), "p": fn.facet_value("labels", F.lit(" A&B (x) 'y'! "))}, {
+    "v": "replace(replace(lower(artist_credit), ' ', '%20'), '#', '%23')", "y": "replace(year, '?', '%3F')", "p": "'a%26b%20(x)%20''y''!'"})
+scalar("record_label", lambda: {"v": fn.record_label()}, {"v": "coalesce(artist || ' – ' || title, artist, title)"})
+_REL = "nullif(concat_ws(', ', label, year), '')"
+_FACTS = "nullif(concat_ws(', ', 'label no. ' || label_number, 'matrix ' || matrix_number, 'produced by ' || producer, format || '\"', country), '')"
+scalar("page_metadata", lambda: fn.page_metadata(), {
+    "heading": "coalesce(artist || ' – ' || title, artist, title, 'Record')", "page_title": f"coalesce(artist || ' – ' || title, artist, title, 'Record') || coalesce(' (' || {_REL} || ')', '')",
+    "description": f"coalesce(artist || ' – ' || title, artist, title, 'Record') || coalesce(' — ' || {_REL}, '') || '. ' || coalesce('B-side: ' || b_side_title || '. ', '') || coalesce({_FACTS} || '. ', '') || 'Catalogue entry.'"})
+scalar("version_label", lambda: {"v": fn.version_label("version"), "g": fn.version_label("genre")}, {"v": "upper(left(version, 1)) || substring(version, 2)", "g": "upper(left(genre, 1)) || substring(genre, 2)"})
+
+
+@query("request_origin", "SELECT event_id, ip = 'unknown' OR agent LIKE '%googlebot%' AS free, ip FROM (SELECT event_id, lower(user_agent) AS agent, CASE WHEN event_id % 3 = 0 THEN ip WHEN event_id % 3 = 1 THEN 'r' || ip ELSE 'unknown' END AS ip FROM (" + fx.REQUESTS_SELECT.format(events="events") + ") AS r)")
+def request_origin(spark, sf_dir):
+    r = fx.requests(spark, sf_dir)
+    n = F.col("event_id") % 3
+    forwarded, real = F.when(n == 0, F.concat(F.lit(" "), "ip", F.lit(" , 10.0.0.1"))), F.when(n == 1, F.concat(F.lit("r"), "ip"))
+    ip = fn.client_ip(forwarded, real)
+    return r.select("event_id", (fn.is_search_engine("user_agent") | (ip == "unknown")).alias("free"), ip.alias("ip"))
+
+
+# --- search -------------------------------------------------------------------------------------------------------
+
+def tok_sql(c: str) -> str:
+    return rf"(' ' || trim(regexp_replace(lower(coalesce({c}, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g')))"
+
+
+def phrase_sql(q: str) -> str:
+    return "(" + " OR ".join(f"contains({tok_sql(c)}, ' {q}')" for c in PHRASE_FIELDS) + ")"
+
+
+def sub_sql(q: str) -> str:
+    return "(" + " OR ".join(f"coalesce(contains(lower({c}), '{q}'), false)" for c in SUBSTRING_FIELDS) + ")"
+
+
+def order_sql(sort: str | None, direction: str | None) -> str:
+    c = SORT_COLUMNS.get(sort or "")
+    return f"{c} {'DESC' if direction == 'desc' else 'ASC'} NULLS LAST, id" if c else "CASE WHEN total <= 5000 THEN artist_norm END ASC NULLS LAST, id"
+
+
+def page_sql(test: str, sort: str | None, direction: str | None, page: int, more: str = "") -> str:
+    return (f"SELECT {RESULTS}, page_pos, total{more} FROM (SELECT *, row_number() OVER (ORDER BY {order_sql(sort, direction)}) AS page_pos FROM "
+            f"(SELECT *, count(*) OVER () AS total FROM cat WHERE {test})) WHERE page_pos > {(page - 1) * 100} AND page_pos <= {page * 100}")
+
+
+over_cat("phrase_match", lambda cat: cat.filter(search.phrase_match("red-widget 10")).select("id"), f"SELECT id FROM cat WHERE {phrase_sql('red widget 10')}")
+over_cat("substring_match", lambda cat: cat.filter(search.substring_match("X 0010")).select("id"), f"SELECT id FROM cat WHERE {sub_sql('x 0010')}")
+over_cat("keyword_search", lambda cat: search.keyword_search(cat, "ring 7", "title", "desc", 2), page_sql(f"{phrase_sql('ring 7')} OR {sub_sql('ring 7')}", "title", "desc", 2))
+over_cat("keyword_search_default", lambda cat: search.keyword_search(cat, "red widget"), page_sql(f"{phrase_sql('red widget')} OR {sub_sql('red widget')}", None, None, 1))
+over_cat("keyword_search_ranked", lambda cat: search.keyword_search(cat, "customer", page=3), f""",
+  hit AS (SELECT *, (SELECT count(*) FROM cat WHERE {phrase_sql('customer')} OR {sub_sql('customer')}) AS total FROM cat WHERE {phrase_sql('customer')} OR {sub_sql('customer')}),
+  tok AS (SELECT id, {" || ".join(f"{tok_sql(c)}" for c in PHRASE_FIELDS)} AS t FROM cat),
+  tf AS (SELECT id, ({" + ".join(f"(length({tok_sql(c)}) - length(replace({tok_sql(c)}, ' customer', ''))) / 9" for c in PHRASE_FIELDS)}) AS tf,
+         ({" + ".join(f"CASE WHEN {tok_sql(c)} = ' ' THEN 0 ELSE length({tok_sql(c)}) - length(replace({tok_sql(c)}, ' ', '')) END" for c in PHRASE_FIELDS)}) AS len FROM cat),
+  st AS (SELECT count(*) AS n_all, avg(len) AS al, count(*) FILTER (WHERE tf > 0) AS nh FROM tf),
+  sc AS (SELECT id, CASE WHEN tf > 0 THEN -greatest(ln((n_all - nh + 0.5) / (nh + 0.5)), 1e-6) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) END AS s FROM tf, st)
+  SELECT {RESULTS}, page_pos, total FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN total > 5000 THEN s END NULLS LAST, CASE WHEN total <= 5000 THEN artist_norm END NULLS LAST, id) AS page_pos FROM hit JOIN sc USING (id)) WHERE page_pos > 200 AND page_pos <= 300""")
+over_cat("bm25_rank", lambda cat: search.bm25(cat, "red widget").select("id", F.round("score", 6).alias("score")), f""",
+  tf AS (SELECT id, ({" + ".join(f"(length({tok_sql(c)}) - length(replace({tok_sql(c)}, ' red widget', ''))) / 11" for c in PHRASE_FIELDS)}) AS tf,
+         ({" + ".join(f"CASE WHEN {tok_sql(c)} = ' ' THEN 0 ELSE length({tok_sql(c)}) - length(replace({tok_sql(c)}, ' ', '')) END" for c in PHRASE_FIELDS)}) AS len FROM cat),
+  st AS (SELECT count(*) AS n_all, avg(len) AS al, count(*) FILTER (WHERE tf > 0) AS nh FROM tf)
+  SELECT id, round(-greatest(ln((n_all - nh + 0.5) / (nh + 0.5)), 1e-6) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))), 6) AS score FROM tf, st WHERE tf > 0""")
+over_cat("field_search", lambda cat: search.field_search(cat, {"artist": "customer#00000001", "country": "ja", "label_number": "gr 1"}, "matrix_number", None, 1),
+         page_sql("(contains(lower(artist), 'customer#00000001') OR contains(lower(b_side_artist), 'customer#00000001')) AND country_norm = 'ja' AND (contains(lower(label_number), 'gr 1') OR contains(lower(b_side_label_number), 'gr 1'))", "matrix_number", None, 1))
+over_cat("field_search_short", lambda cat: search.field_search(cat, {"format": "EP", "title": "ring"}, "year", "desc", 1), page_sql("format_norm = 'ep' AND (contains(lower(title), 'ring') OR contains(lower(b_side_title), 'ring'))", "year", "desc", 1))
+
+
+@query("bulk_search", f"WITH {CAT}, q AS (SELECT p_partkey AS query_id, lower(p_name) AS t FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT 1000000 + o_orderkey, 'mx ' || lpad(cast(o_orderkey AS string), 6, '0') FROM orders WHERE o_orderkey % 50 = 1), "
+       f"txt AS (SELECT id, concat_ws(chr(1), {', '.join(f'lower({c})' for c in SUBSTRING_FIELDS)}) AS x FROM cat) SELECT query_id, id FROM txt, q WHERE contains(x, t)")
+def bulk_search(spark, sf_dir):
+    part, orders = spark.read.parquet(f"{sf_dir}/part.parquet"), spark.read.parquet(f"{sf_dir}/orders.parquet")
+    names = part.filter("p_partkey % 7 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("q"))
+    codes = orders.filter("o_orderkey % 50 = 1").select((F.col("o_orderkey") + 1_000_000).alias("query_id"), F.concat(F.lit("MX "), F.lpad(F.col("o_orderkey").cast("string"), 6, "0")).alias("q"))
+    return search.bulk_search(fx.catalogue(spark, sf_dir), names.unionByName(codes))
+
+
+over_cat("record_by_id", lambda cat: search.record_by_id(cat, cat.filter("id % 97 = 3").select("id")).select("id", *SOURCE_FIELDS), f"SELECT id, {fx.FIELDS} FROM cat WHERE id % 97 = 3")
+over_cat("order_rows", lambda cat: search.paged(cat, search.ordering("year", "desc", 10**6), 7).select("id", "year_sort", "page_pos"),
+         "SELECT id, year_sort, page_pos FROM (SELECT *, row_number() OVER (ORDER BY year_sort DESC NULLS LAST, id) AS page_pos FROM cat) WHERE page_pos > 600 AND page_pos <= 700")
+over_cat("page_slice", lambda cat: search.page_slice(cat.orderBy("id"), "9").select("id", "title"), "SELECT id, title FROM cat ORDER BY id LIMIT 100 OFFSET 800")
+
+# --- facets -------------------------------------------------------------------------------------------------------
+
+
+def index_sql(facet: str, test: str = "true") -> str:
+    v, s, _ = FACETS[facet]
+    return f"SELECT {v} AS value, arg_min({s}, id) AS label, count(*) AS n FROM cat WHERE {v} IS NOT NULL AND lower(trim({v})) <> 'dubious entry' AND {test} GROUP BY {v}"
+
+
+for _f in FACETS:
+    over_cat(f"facet_index_{_f}", lambda cat, f=_f: facets.facet_index(cat, f), index_sql(_f))
+over_cat("facet_indexes", facets.facet_indexes, " UNION ALL ".join(f"SELECT '{f}' AS facet, * FROM ({index_sql(f)})" for f in FACETS))
+over_cat("facet_letter", lambda cat: facets.facet_index(cat, "artists", "c"), index_sql("artists", "artist_norm >= 'c' AND artist_norm < 'd'"))
+over_cat("facet_letter_other", lambda cat: facets.facet_index(cat, "labels", "#"), index_sql("labels", "(label_norm < 'a' OR label_norm >= '{')"))
+over_cat("facet_unknown", lambda cat: facets.facet_unknown(cat, "labels"), f"SELECT *, 0 AS last FROM ({index_sql('labels')}) UNION ALL SELECT '__unknown__', 'Unknown', count(*), 1 FROM cat WHERE label_norm IS NULL HAVING count(*) > 0")
+over_cat("facet_rows", lambda cat: facets.facet_rows(cat, "countries", "ja", "artist", "desc", 2),
+         f"SELECT *, arg_min(country, page_pos) OVER () AS heading FROM ({page_sql(chr(99) + 'ountry_norm = ' + chr(39) + 'ja' + chr(39), 'artist', 'desc', 2)})".replace("arg_min(country, page_pos) OVER ()", "first_value(country) OVER (ORDER BY page_pos)"))
+over_cat("facet_rows_unknown", lambda cat: facets.facet_rows(cat, "producers", "__unknown__"), page_sql("producer_norm IS NULL", None, None, 1, ", 'Unknown' AS heading"))
+over_cat("facet_groups", lambda cat: facets.facet_groups(facets.facet_index(cat, "countries")).select("letter", F.size("items").alias("n"), F.concat_ws("|", F.transform("items", lambda x: x["value"])).alias("items")),
+         f"SELECT CASE WHEN regexp_matches(upper(left(label, 1)), '^[A-Z]$') THEN upper(left(label, 1)) ELSE '#' END AS letter, count(*) AS n, string_agg(value, '|' ORDER BY value) AS items FROM ({index_sql('countries')}) GROUP BY 1")
+
+# --- overlay ------------------------------------------------------------------------------------------------------
+
+_UP = f"WITH {CAT}, {fx.OVERLAY}, {fx.UPLOAD}, up AS (SELECT upload.*, {key_sql()} AS record_key FROM upload), kept AS (SELECT * FROM up WHERE record_key NOT IN (SELECT record_key FROM tombstones))"
+_WINS = "e.value IS NOT NULL AND (NOT e.has_base OR r.{f} IS NOT DISTINCT FROM e.base_value)"
+_MERGED = ", ".join(f"CASE WHEN {_WINS.format(f='producer')} THEN e.value ELSE r.producer END AS producer" if f == "producer" else f"r.{f}" for f in SOURCE_FIELDS)
+_MERGE = f"SELECT r.n, r.record_key, {_MERGED} FROM {{t}} AS r LEFT JOIN (SELECT * FROM overrides WHERE field = 'producer') AS e USING (record_key)"
+
+
+@query("merge_overrides", f"{_UP} {_MERGE.format(t='up')}")
+def merge_overrides(spark, sf_dir):
+    return overlay.merge_overrides(fx.upload(spark, sf_dir), fx.overlay(spark, sf_dir)["overrides"])
+
+
+@query("drop_tombstones", f"{_UP} SELECT * FROM kept")
+def drop_tombstones(spark, sf_dir):
+    return overlay.drop_tombstones(fx.upload(spark, sf_dir), fx.overlay(spark, sf_dir)["tombstones"])
+
+
+_ADDED_ROWS = ", ".join(f"'Added ' || cast(id AS VARCHAR) AS {f}" if f == "artist" else f"'New ' || cast(id AS VARCHAR) AS {f}" if f == "title" else f"'1970' AS {f}" if f == "year" else f"cast(NULL AS VARCHAR) AS {f}" for f in SOURCE_FIELDS)
+_APPENDED = f"SELECT NULL AS n, record_key, {_ADDED_ROWS} FROM added WHERE record_key NOT IN (SELECT record_key FROM kept)"
+
+
+@query("append_added", f"{_UP} SELECT n, record_key, {fx.FIELDS} FROM kept UNION ALL {_APPENDED}")
+def append_added(spark, sf_dir):
+    side = fx.overlay(spark, sf_dir)
+    return overlay.append_added(overlay.drop_tombstones(fx.upload(spark, sf_dir), side["tombstones"]), side["added"])
+
+
+_TARGET = f"{_UP}, m AS ({_MERGE.format(t='kept')} UNION ALL {_APPENDED}), target AS (SELECT m.*, {fx.derived_sql().rsplit(', CASE', 1)[0]} FROM m)"
+
+
+def target(spark, sf_dir):
+    return overlay.target_catalogue(fx.upload(spark, sf_dir), **fx.overlay(spark, sf_dir))
+
+
+query("target_catalogue", f"{_TARGET} SELECT * FROM target")(target)
+
+
+def batch(spark, sf_dir):
+    """Edits: a new producer for every 25th row, in two steps for every 50th; a no-op and a blank value now and then."""
+    cat = fx.catalogue(spark, sf_dir)
+    rows = cat.filter("id % 25 = 0").select(F.col("id").alias("record_id"), F.explode(F.expr(
+        "array(named_struct('field', 'producer', 'value', 'P' || cast(id AS string), 'seq', 1L), named_struct('field', 'producer', 'value', if(id % 50 = 0, 'Q', 'P' || cast(id AS string)), 'seq', 2L), "
+        "named_struct('field', 'notes', 'value', ' ', 'seq', 3L), named_struct('field', 'title', 'value', title, 'seq', 4L))")).alias("e"))
+    return rows.select("record_id", "e.*", F.lit("cleo").alias("editor_name"))
+
+
+_B = f"WITH {CAT}, {fx.OVERLAY}, b AS (SELECT id, CASE WHEN id % 50 = 0 THEN 'Q' ELSE 'P' || cast(id AS string) END AS p, record_key NOT IN (SELECT record_key FROM added) AS ov FROM cat WHERE id % 25 = 0)"
+
+
+def _edited(spark, sf_dir, part):
+    side = fx.overlay(spark, sf_dir)
+    log = spark.createDataFrame([], LOG)
+    return overlay.apply_edits(fx.catalogue(spark, sf_dir), side["overrides"], side["added"], log, batch(spark, sf_dir), NOW)[part]
+
+
+@query("apply_edits_rows", f"{_B} SELECT id, record_key, coalesce(b.p, producer) AS producer, lower(coalesce(b.p, producer)) AS producer_norm, CASE WHEN b.id IS NULL THEN notes END AS notes, title FROM cat LEFT JOIN b USING (id)")
+def apply_edits_rows(spark, sf_dir):
+    return _edited(spark, sf_dir, "cat").select("id", "record_key", "producer", "producer_norm", "notes", "title")
+
+
+@query("apply_edits_log", f"{_B}, ch AS (SELECT id AS record_id, record_key, 'producer' AS field, producer AS old_value, 'P' || cast(id AS string) AS new_value FROM cat WHERE id % 25 = 0 UNION ALL SELECT id, record_key, 'producer', 'P' || cast(id AS string), 'Q' FROM cat WHERE id % 50 = 0 UNION ALL SELECT id, record_key, 'notes', notes, NULL FROM cat WHERE id % 25 = 0) SELECT *, 'modified' AS action FROM ch")
+def apply_edits_log(spark, sf_dir):
+    return _edited(spark, sf_dir, "log").select("record_id", "record_key", "field", "old_value", "new_value", "action")
+
+
+@query("apply_edits_overrides", f"""{_B}, nw AS (SELECT record_key, field, arg_max(v, id) AS value, arg_max(struct_pack(x := o), id).x AS base_value FROM (
+  SELECT cat.id, cat.record_key, 'producer' AS field, b.p AS v, cat.producer AS o FROM cat JOIN b ON b.id = cat.id WHERE ov UNION ALL SELECT cat.id, cat.record_key, 'notes', NULL, cat.notes FROM cat JOIN b ON b.id = cat.id WHERE ov) GROUP BY 1, 2)
+  SELECT record_key, field, CASE WHEN n.field IS NOT NULL THEN n.value ELSE o.value END AS value, CASE WHEN o.has_base IS NOT NULL THEN o.base_value ELSE n.base_value END AS base_value, coalesce(o.has_base, true) AS has_base
+  FROM (SELECT *, true AS it FROM overrides) AS o FULL JOIN (SELECT * FROM nw) AS n USING (record_key, field)""".replace("arg_max(v, id)", "arg_max(struct_pack(x := v), id).x"))
+def apply_edits_overrides(spark, sf_dir):
+    return _edited(spark, sf_dir, "overrides").select("record_key", "field", "value", "base_value", "has_base")
+
+
+@query("create_records", f"WITH {CAT}, nw AS (SELECT o_orderkey AS seq, 'New ' || o_orderpriority AS title, 'MX N' || cast(o_orderkey AS string) AS matrix_number FROM orders WHERE o_orderkey % 300 = 7) SELECT id, title, matrix_number, record_key FROM cat UNION ALL SELECT (SELECT max(id) FROM cat) + row_number() OVER (ORDER BY seq), title, matrix_number, 'mx:' || lower(matrix_number) FROM nw")
+def create_records(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 300 = 7").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit(" New "), "o_orderpriority").alias("title"), F.concat(F.lit("MX N"), F.col("o_orderkey").cast("string")).alias("matrix_number"))
+    log = spark.createDataFrame([], LOG)
+    made = overlay.create_records(fx.catalogue(spark, sf_dir), fx.overlay(spark, sf_dir)["added"], log, rows, "dora", NOW)
+    return made["cat"].select("id", "title", "matrix_number", "record_key")
+
+
+@query("create_pairs", f"WITH {CAT} SELECT id AS seq, 'a' AS side, title, artist, b_side_title, label, country FROM cat WHERE id % 40 < 2 UNION ALL SELECT id, 'b', b_side_title, b_side_artist, title, label, country FROM cat WHERE id % 40 < 2 AND coalesce(b_side_title, b_side_artist) IS NOT NULL")
+def create_pairs(spark, sf_dir):
+    cat = fx.catalogue(spark, sf_dir).filter("id % 40 < 2")
+    none = F.lit(None).cast("string")
+    a = F.struct(*(F.col(f).alias(f) for f in EDITABLE_FIELDS))
+    b = F.struct(*((F.col(f"b_side_{f}") if f in overlay.PAIR else none).alias(f) for f in EDITABLE_FIELDS))
+    return overlay.create_pairs(cat.select(F.col("id").alias("seq"), a.alias("a"), b.alias("b"))).select("seq", "side", "title", "artist", "b_side_title", "label", "country")
+
+
+def _deleted(spark, sf_dir, part):
+    side = fx.overlay(spark, sf_dir)
+    cat = fx.catalogue(spark, sf_dir)
+    log = spark.createDataFrame([], LOG)
+    return overlay.delete_records(cat, side["overrides"], side["added"], side["tombstones"], log, cat.filter("id % 31 = 6").select("id"), "ann", NOW)[part]
+
+
+query("delete_records", f"WITH {CAT} SELECT id, record_key FROM cat WHERE id % 31 <> 6")(lambda s, d: _deleted(s, d, "cat").select("id", "record_key"))
+query("delete_records_overrides", f"WITH {CAT}, {fx.OVERLAY} SELECT record_key, field, value FROM overrides WHERE record_key NOT IN (SELECT record_key FROM cat WHERE id % 31 = 6)")(lambda s, d: _deleted(s, d, "overrides").select("record_key", "field", "value"))
+query("delete_records_tombstones", f"WITH {CAT}, {fx.OVERLAY} SELECT record_key FROM tombstones UNION SELECT record_key FROM cat WHERE id % 31 = 6 AND record_key NOT IN (SELECT record_key FROM added)")(lambda s, d: _deleted(s, d, "tombstones").select("record_key"))
+query("delete_records_log", f"WITH {CAT} SELECT id AS record_id, record_key, 'deleted' AS action, coalesce(artist || ' – ' || title, title) AS old_value FROM cat WHERE id % 31 = 6")(lambda s, d: _deleted(s, d, "log").select("record_id", "record_key", "action", "old_value"))
+
+
+@query("restore_deleted", f"WITH {CAT}, {fx.OVERLAY} SELECT record_key FROM tombstones WHERE record_key NOT IN (SELECT record_key FROM cat WHERE id % 3 = 0)")
+def restore_deleted(spark, sf_dir):
+    log = spark.createDataFrame([], LOG)
+    keys = fx.catalogue(spark, sf_dir).filter("id % 3 = 0").select("record_key")
+    return overlay.restore_deleted(fx.overlay(spark, sf_dir)["tombstones"], log, keys, "ann", NOW)["tombstones"].select("record_key")
+
+
+@query("remove_overrides", f"WITH {CAT}, {fx.OVERLAY} SELECT cat.id, CASE WHEN o.record_id IS NOT NULL THEN o.base_value ELSE cat.producer END AS producer FROM cat LEFT JOIN (SELECT * FROM overrides WHERE field = 'producer' AND has_base) AS o ON o.record_id = cat.id AND o.record_key = cat.record_key")
+def remove_overrides(spark, sf_dir):
+    o = fx.overlay(spark, sf_dir)["overrides"]
+    log = spark.createDataFrame([], LOG)
+    return overlay.remove_overrides(fx.catalogue(spark, sf_dir), o, log, o.filter("field = 'producer'").select("record_key", "field"), "ann", NOW)["cat"].select("id", "producer")
+
+
+@query("backfill_base", f"WITH {CAT}, {fx.OVERLAY}, {fx.LOG_CTE}, f AS (SELECT record_key, field, arg_min(old_value, id) AS v FROM log WHERE field IS NOT NULL GROUP BY 1, 2) SELECT record_key, field, CASE WHEN NOT has_base AND f.v IS NOT NULL THEN f.v ELSE base_value END AS base_value, has_base OR f.v IS NOT NULL AS has_base FROM overrides LEFT JOIN f USING (record_key, field)")
+def backfill_base(spark, sf_dir):
+    return overlay.backfill_base(fx.overlay(spark, sf_dir)["overrides"], fx.log(spark, sf_dir)).select("record_key", "field", "base_value", "has_base")
+
+
+over_cat("backfill_record_key", lambda cat: overlay.backfill_record_key(cat.withColumn("record_key", F.expr("if(id % 2 = 0, null, 'kept ' || id)"))).select("id", "record_key"), "SELECT id, CASE WHEN id % 2 = 0 THEN record_key ELSE 'kept ' || cast(id AS string) END AS record_key FROM cat")
+
+
+def _fixes(cat):
+    return cat.sparkSession.createDataFrame([("country", "Scandanavia", "Scandinavia"), ("genre", "dancehall", "Dancehall")], "field string, current string, suggested string")
+
+
+over_cat("apply_category_fix", lambda cat: overlay.category_edits(cat, _fixes(cat), "ann").select("record_id", "field", "value"), "SELECT id AS record_id, 'country' AS field, 'Scandinavia' AS value FROM cat WHERE country = 'Scandanavia' UNION ALL SELECT id, 'genre', 'Dancehall' FROM cat WHERE genre = 'dancehall'")
+
+
+@query("rename_editor", f"WITH {CAT}, {fx.LOG_CTE} SELECT id, CASE WHEN editor_name = 'editor 1' THEN 'Eve' ELSE editor_name END AS editor_name, reviewed_by, CASE WHEN note_by = 'editor 1' THEN 'Eve' ELSE note_by END AS note_by FROM log")
+def rename_editor(spark, sf_dir):
+    side = fx.overlay(spark, sf_dir)
+    return overlay.rename_editor(fx.log(spark, sf_dir), side["overrides"], side["tombstones"], "editor 1", " Eve ")["log"].select("id", "editor_name", "reviewed_by", "note_by")
+
+
+# --- diff and history ---------------------------------------------------------------------------------------------
+
+_HASH = "to_base64(unhex(sha1(concat_ws(chr(1), " + ", ".join(f"coalesce({f}, '')" for f in SOURCE_FIELDS) + "))))"
+_DIFF = (f"WITH {CAT}, {fx.UPLOAD}, a AS (SELECT {_HASH} AS hash, id, row_number() OVER (PARTITION BY {_HASH} ORDER BY id DESC) AS rn FROM cat), "
+         f"b AS (SELECT {_HASH} AS hash, n, row_number() OVER (PARTITION BY {_HASH} ORDER BY n) AS rn FROM upload), "
+         "d AS (SELECT hash, CASE WHEN n IS NULL THEN 'delete' WHEN id IS NULL THEN 'insert' ELSE 'unchanged' END AS status, id, n FROM a FULL JOIN b USING (hash, rn)), "
+         "ins AS (SELECT upload.*, (SELECT max(id) FROM cat) + row_number() OVER (ORDER BY n) AS id FROM upload SEMI JOIN (SELECT n FROM d WHERE status = 'insert') AS i USING (n))")
+
+
+@query("multiset_diff", f"{_DIFF} SELECT * FROM d")
+def multiset_diff(spark, sf_dir):
+    return diff.multiset_diff(fx.catalogue(spark, sf_dir), fx.upload(spark, sf_dir))
+
+
+@query("apply_diff", f"{_DIFF} SELECT id, {fx.FIELDS} FROM cat WHERE id NOT IN (SELECT id FROM d WHERE status = 'delete') UNION ALL SELECT id, {fx.FIELDS} FROM ins")
+def apply_diff(spark, sf_dir):
+    live, new = fx.catalogue(spark, sf_dir), fx.upload(spark, sf_dir)
+    return diff.apply_diff(live.select("id", *SOURCE_FIELDS), new, diff.multiset_diff(live, new))
+
+
+def _history(spark, sf_dir):
+    """Two imports: the upload over the catalogue, and the catalogue without some rows over that."""
+    first, second = fx.catalogue(spark, sf_dir).select("id", *SOURCE_FIELDS), fx.upload(spark, sf_dir)
+    history = spark.createDataFrame([], "id long, created_at timestamp, inserted_count long, deleted_count long, result_count long, previous_count long, truncated boolean")
+    changes = spark.createDataFrame([], "import_id long, op string, " + ", ".join(f"{f} string" for f in SOURCE_FIELDS))
+    d1 = diff.multiset_diff(first, second)
+    history, changes = diff.record_import(history, changes, d1, first, second, NOW)
+    live = diff.apply_diff(first, second, d1)
+    third = first.filter("id % 13 <> 0").withColumn("n", F.col("id"))
+    d2 = diff.multiset_diff(live, third)
+    history, changes = diff.record_import(history, changes, d2, live, third, NOW)
+    return history, changes, diff.apply_diff(live, third, d2)
+
+
+_H2 = f"{_DIFF}, c3 AS (SELECT * FROM cat WHERE id % 13 <> 0)"
+
+
+def _surplus(a: str, b: str) -> str:
+    return f"(SELECT count(*) FROM (SELECT {fx.FIELDS} FROM {a} EXCEPT ALL SELECT {fx.FIELDS} FROM {b}) AS x)"
+
+
+@query("record_import", f"{_H2} SELECT 1 AS id, {_surplus('upload', 'cat')} AS inserted_count, {_surplus('cat', 'upload')} AS deleted_count, (SELECT count(*) FROM upload) AS result_count, (SELECT count(*) FROM cat) AS previous_count, inserted_count + deleted_count > 25000 AS truncated "
+       f"UNION ALL SELECT 2, {_surplus('c3', 'upload')} AS i, {_surplus('upload', 'c3')} AS d, (SELECT count(*) FROM c3), (SELECT count(*) FROM upload), i + d > 25000")
+def record_import(spark, sf_dir):
+    return _history(spark, sf_dir)[0].drop("created_at")
+
+
+@query("can_reconstruct", "SELECT true AS can")
+def can_reconstruct(spark, sf_dir):
+    return diff.can_reconstruct(_history(spark, sf_dir)[0], 1)
+
+
+@query("net_reversal", f"{_H2}, s AS (SELECT {fx.FIELDS}, 1 AS w FROM c3 UNION ALL SELECT {fx.FIELDS}, -1 FROM cat) SELECT {fx.FIELDS}, sum(w) AS net, {_HASH} AS hash FROM s GROUP BY ALL HAVING sum(w) <> 0")
+def net_reversal(spark, sf_dir):
+    return diff.net_reversal(_history(spark, sf_dir)[1], 1)
+
+
+@query("reconstruct_before", f"WITH {CAT} SELECT {fx.FIELDS} FROM cat")
+def reconstruct_before(spark, sf_dir):
+    _, changes, live = _history(spark, sf_dir)
+    return diff.reconstruct_before(live, changes, 1)
+
+
+@query("list_imports", "SELECT unnest([2, 1]) AS id, unnest([1, 2]) AS rn")
+def list_imports(spark, sf_dir):
+    return diff.list_imports(_history(spark, sf_dir)[0]).select("id", (3 - F.col("id")).alias("rn"))
+
+
+# --- audits -------------------------------------------------------------------------------------------------------
+
+def _e(a: str, b: str) -> str:
+    return f"lower(trim(coalesce({a}, ''))) = lower(trim(coalesce({b}, '')))"
+
+
+_MM = (f"mm AS (SELECT a.id AS own_id, b.id AS stub_id, a.title AS own_title, a.artist AS own_artist, a.label AS own_label, a.matrix_number AS own_matrix, b.b_side_matrix_number AS stub_matrix, "
+       f"a.record_key AS ka, b.record_key AS kb FROM cat AS a JOIN cat AS b ON lower(trim(a.title)) = lower(trim(b.b_side_title)) AND {_e('a.artist', 'b.b_side_artist')} AND {_e('a.label', 'b.label')} AND {_e('a.country', 'b.country')} AND {_e('a.format', 'b.format')} AND {_e('a.year', 'b.year')} "
+       "WHERE a.id <> b.id AND trim(a.title) <> '' AND trim(a.matrix_number) <> '' AND trim(b.b_side_matrix_number) <> '' AND lower(trim(a.matrix_number)) <> lower(trim(b.b_side_matrix_number)))")
+_DK = " || chr(1) || ".join(nk(c) for c in ("ka", "kb", "own_matrix", "stub_matrix"))
+over_cat("matrix_mismatches", audit.matrix_mismatches, f", {_MM} SELECT * EXCLUDE (ka, kb), {prefix_sql('own_matrix', 'stub_matrix')} AS shared, {_DK} AS dismiss_key FROM mm")
+
+
+def _dismissed(pairs):
+    return pairs.filter("own_id % 5 = 0").select("dismiss_key")
+
+
+over_cat("open_mismatches", lambda cat: audit.open_mismatches(audit.matrix_mismatches(cat), _dismissed(audit.matrix_mismatches(cat))).select("own_id", "stub_id", "pos", "capped", "dismissed_total"), f""", {_MM}, k AS (SELECT *, {_DK} AS dk FROM mm),
+  o AS (SELECT *, row_number() OVER (ORDER BY own_label NULLS FIRST, own_matrix NULLS FIRST, own_id, stub_id) AS pos, count(*) OVER () AS c FROM k WHERE dk NOT IN (SELECT dk FROM k WHERE own_id % 5 = 0))
+  SELECT own_id, stub_id, pos, c > 500 AS capped, (SELECT count(DISTINCT dk) FROM k WHERE own_id % 5 = 0) AS dismissed_total FROM o WHERE pos <= 500""")
+_SIB = f""", r AS (SELECT id, {nk(f'({base_sql("label_number")})')} AS base, lower(trim(label)) AS lab, {nk('format')} AS fmt, {nk('year')} AS yr, label_number,
+    greatest(coalesce({marker_sql("label_number")}, 0), coalesce({marker_sql("b_side_label_number")}, 0)) AS mark FROM cat WHERE ({base_sql("label_number")}) IS NOT NULL),
+  p AS (SELECT a.id, b.id AS sid, greatest(a.mark, b.mark) AS mk FROM r AS a JOIN r AS b ON a.base = b.base AND a.lab IS NOT DISTINCT FROM b.lab AND a.fmt = b.fmt AND a.yr = b.yr AND a.id <> b.id AND starts_with(lower(b.label_number), a.base)),
+  g AS (SELECT id FROM p GROUP BY id HAVING count(*) + 1 <= 6 AND max(mk) >= 2), sib AS (SELECT p.id, p.sid AS sibling_id FROM p JOIN g USING (id))"""
+over_cat("release_siblings", audit.release_siblings, f"{_SIB} SELECT * FROM sib")
+over_cat("release_tracks", lambda cat: audit.release_tracks(cat, audit.release_siblings(cat)), f"""{_SIB},
+  mem AS (SELECT DISTINCT id AS anchor_id, id FROM sib UNION SELECT id, sibling_id FROM sib),
+  t AS (SELECT anchor_id, id, 0 AS side, label_number, artist, title FROM mem JOIN cat USING (id) UNION ALL SELECT anchor_id, id, 1, b_side_label_number, b_side_artist, b_side_title FROM mem JOIN cat USING (id)),
+  k AS (SELECT *, {nk('artist')} || '|' || {nk('title')} AS k, anchor_id = id AS own FROM t WHERE coalesce(trim(title), '') <> ''),
+  w AS (SELECT *, bool_or(own) OVER (PARTITION BY anchor_id, k) AS here, row_number() OVER (PARTITION BY anchor_id, k ORDER BY coalesce(label_number, '') = '', NOT own, id, side) AS rn,
+        first_value(struct_pack(a := NOT own, b := id, c := side)) OVER (PARTITION BY anchor_id, k ORDER BY NOT own, id, side) AS f FROM k),
+  s AS (SELECT *, CASE WHEN regexp_matches(coalesce(trim(label_number), ''), '(?i)[A-D][0-9]{{0,2}}$') THEN upper(regexp_extract(trim(label_number), '(?i)([A-D])[0-9]{{0,2}}$', 1)) ELSE 'Z' END AS sl,
+        CASE WHEN regexp_matches(coalesce(trim(label_number), ''), '(?i)[A-D][0-9]{{0,2}}$') THEN coalesce(try_cast(nullif(regexp_extract(trim(label_number), '(?i)[A-D]([0-9]{{0,2}})$', 1), '') AS integer), 0) ELSE 999 END AS sn FROM w WHERE rn = 1)
+  SELECT anchor_id, row_number() OVER (PARTITION BY anchor_id ORDER BY sl, sn, f.a, f.b, f.c) AS position, label_number, artist, title, id AS record_id, here FROM s""")
+over_cat("stub_mismatches", lambda cat: audit.stub_mismatches(cat, audit.release_siblings(cat)), f"""{_SIB}, j AS (SELECT sib.id, sibling_id, b.label_number AS sibling_label_number, a.matrix_number AS m1, b.b_side_matrix_number AS m2, a.label_number AS l1, b.b_side_label_number AS l2
+  FROM sib JOIN cat AS a ON a.id = sib.id JOIN cat AS b ON b.id = sib.sibling_id WHERE coalesce(trim(a.title), '') <> '' AND {nk('a.title')} = {nk('b.b_side_title')}),
+  x AS (SELECT id, sibling_id, sibling_label_number, 'matrix number' AS field, m1 AS here, m2 AS there FROM j UNION ALL SELECT id, sibling_id, sibling_label_number, 'label number', l1, l2 FROM j)
+  SELECT * FROM x WHERE coalesce(trim(here), '') <> '' AND {nk('here')} <> {nk('there')}""")
+_VALS = ", v AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, {f} AS value, count(*) AS n FROM cat WHERE trim({f}) <> '' GROUP BY {f}" for f in audit.CATEGORY_FIELDS) + """),
+  fv AS (SELECT field, value AS current, n AS current_n, first_value(value) OVER w AS suggested, first_value(n) OVER w AS suggested_n, row_number() OVER w AS rn FROM (SELECT *, regexp_replace(lower(value), '[^a-z0-9]', '', 'g') AS k FROM v WHERE trim(value) NOT LIKE '%?') WHERE k <> '' WINDOW w AS (PARTITION BY field, k ORDER BY n DESC, value)),
+  fmt AS (SELECT field, current, current_n, suggested, suggested_n, 'formatting' AS kind FROM fv WHERE rn > 1),
+  ms(field, value, suggested) AS (VALUES """ + ", ".join(str(x) for x in audit.MISSPELLINGS) + """),
+  spl AS (SELECT ms.field, ms.value AS current, v.n AS current_n, ms.suggested, coalesce(r.n, 0) AS suggested_n, 'spelling' AS kind FROM ms JOIN v USING (field, value) LEFT JOIN v AS r ON r.field = ms.field AND r.value = ms.suggested WHERE NOT EXISTS (SELECT 1 FROM fmt WHERE fmt.field = ms.field AND fmt.current = ms.value))"""
+over_cat("format_variants", audit.format_variants, f"{_VALS} SELECT * FROM fmt")
+over_cat("known_misspellings", audit.known_misspellings, f"{_VALS} SELECT * FROM spl")
+over_cat("category_suggestions", lambda cat: audit.category_suggestions(cat, cat.sparkSession.createDataFrame([("country", "ja")], "field string, value string")), f"{_VALS} SELECT * FROM (SELECT * FROM fmt UNION ALL SELECT * FROM spl) WHERE NOT (field = 'country' AND current = 'ja')")
+
+# --- edit log -----------------------------------------------------------------------------------------------------
+
+
+def over_log(name, f, sql):
+    query(name, f"WITH {CAT}, {fx.LOG_CTE}{sql if sql.startswith(',') else ' ' + sql}")(lambda spark, sf_dir: f(fx.log(spark, sf_dir)))
+
+
+over_log("record_log", lambda log: edit_log.record_log(log, 20).select("id", "record_key", "rn"), "SELECT id, record_key, rn FROM (SELECT *, row_number() OVER (PARTITION BY record_key ORDER BY created_at DESC, id DESC) AS rn FROM log) WHERE rn <= 20")
+over_log("global_log", lambda log: edit_log.global_log(log, "noted", 2).select("id", "page_pos", "total", "unreviewed"),
+         "SELECT id, page_pos, total, (SELECT count(*) FROM log WHERE reviewed_at IS NULL) AS unreviewed FROM (SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS page_pos, count(*) OVER () AS total FROM log WHERE note IS NOT NULL) WHERE page_pos BETWEEN 101 AND 200")
+
+
+@query("resolve_live_ids", f"WITH {CAT}, {fx.LOG_CTE}, c2 AS (SELECT * FROM cat WHERE id % 4 <> 2), bk AS (SELECT record_key, min(id) AS i FROM c2 GROUP BY 1) SELECT log.id, coalesce(bk.i, CASE WHEN c2.record_key = log.record_key THEN c2.id END) AS live_id FROM log LEFT JOIN bk ON bk.record_key = log.record_key LEFT JOIN c2 ON c2.id = log.record_id")
+def resolve_live_ids(spark, sf_dir):
+    return edit_log.resolve_live_ids(fx.log(spark, sf_dir), fx.catalogue(spark, sf_dir).filter("id % 4 <> 2"))
+
+
+over_log("review_log", lambda log: edit_log.review_log(log, log.filter("id % 6 < 3").select("id", F.expr("id % 6 = 1").alias("reviewed"), F.expr("case id % 6 when 0 then '' when 1 then ' hm ' end").alias("note")), "zoe", NOW).select("id", "reviewed_by", F.col("reviewed_at").isNull().alias("open"), "note", "note_by"),
+         "SELECT id, CASE WHEN id % 6 IN (0, 2) THEN NULL WHEN id % 6 = 1 THEN 'zoe' ELSE reviewed_by END AS reviewed_by, CASE WHEN id % 6 IN (0, 2) THEN true WHEN id % 6 = 1 THEN false ELSE reviewed_at IS NULL END AS open, CASE id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'hm' ELSE note END AS note, CASE id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'zoe' ELSE note_by END AS note_by FROM log")
+over_log("editor_names", edit_log.editor_names, "SELECT name, cast(sum(n) AS bigint) AS n FROM (SELECT editor_name AS name, 1 AS n FROM log UNION ALL SELECT note_by, 0 FROM log UNION ALL SELECT reviewed_by, 0 FROM log) WHERE trim(name) <> '' GROUP BY 1")
+over_log("review_counts", edit_log.review_counts, "SELECT editor_name, count(note) AS noted, count(*) - count(reviewed_at) AS unreviewed FROM log GROUP BY 1")
+query("list_overrides", f"WITH {CAT}, {fx.OVERLAY} SELECT record_key, field, value FROM overrides")(lambda s, d: edit_log.list_overrides(fx.overlay(s, d)["overrides"]).select("record_key", "field", "value"))
+query("list_deleted", f"WITH {CAT}, {fx.OVERLAY} SELECT record_key FROM tombstones")(lambda s, d: edit_log.list_deleted(fx.overlay(s, d)["tombstones"]).select("record_key"))
+
+# --- sources and sinks --------------------------------------------------------------------------------------------
+
+
+@query("csv_round_trip", f"WITH {CAT} SELECT {fx.FIELDS}, row_number() OVER (ORDER BY id) AS n FROM cat")
+def csv_round_trip(spark, sf_dir):
+    path = sources.workspace(spark, "export")
+    sources.export_catalogue(fx.catalogue(spark, sf_dir), path)
+    return sources.read_catalogue_csv(spark, path)
+
+
+@query("detect_encoding", "SELECT 'UTF-8' AS encoding")
+def detect_encoding(spark, sf_dir):
+    path = sources.workspace(spark, "export")
+    sources.export_catalogue(fx.catalogue(spark, sf_dir), path)
+    return sources.detect_encoding(spark, f"{path}/*.csv").select("encoding").distinct()
+
+
+@query("publish_generation", f"WITH {CAT} SELECT id, {fx.FIELDS} FROM cat")
+def publish_generation(spark, sf_dir):
+    gens = sources.Generations(spark, sources.workspace(spark, "generations"))
+    cat = fx.catalogue(spark, sf_dir).select("id", *SOURCE_FIELDS)
+    gens.publish(cat, "2024-06-01")
+    gens.publish(cat.filter("id % 2 = 0"), "2024-06-02")
+    gens.restore_previous("2024-06-03")
+    return gens.read()
+
+
+@query("catalogue_status", "SELECT true AS has_live, count(*) AS n_rows, '2024-06-01' AS updated_at, false AS has_previous FROM orders")
+def catalogue_status(spark, sf_dir):
+    gens = sources.Generations(spark, sources.workspace(spark, "generations"))
+    gens.publish(fx.catalogue(spark, sf_dir).select("id"), "2024-06-01")
+    return gens.status()
+
+
+query("row_count_gate", "SELECT count(*) FILTER (WHERE o_orderkey % 3 = 0) AS new_count, count(*) AS previous_count, 2 * count(*) FILTER (WHERE o_orderkey % 3 = 0) < count(*) AS warn FROM orders")(
+    lambda s, d: sources.row_count_gate(fx.catalogue(s, d).filter("(id - 1) % 3 = 0"), fx.catalogue(s, d)))
+_PAGES = " UNION ALL ".join(f"SELECT 0 AS chunk, {i - len(sources.STATIC_PAGES)} AS pos, '{p}' AS path" for i, p in enumerate(sources.STATIC_PAGES))
+over_cat("sitemap_chunks", lambda cat: sources.sitemap_chunks(cat, 1000), f"{_PAGES} UNION ALL SELECT cast(floor((row_number() OVER (ORDER BY id) - 1) / 1000) AS bigint), row_number() OVER (ORDER BY id), '/records/' || cast(id AS string) FROM cat")
+over_cat("sitemap_index", lambda cat: sources.sitemap_index(sources.sitemap_chunks(cat, 1000)), f"SELECT chunk, count(*) AS n FROM ({_PAGES} UNION ALL SELECT cast(floor((row_number() OVER (ORDER BY id) - 1) / 1000) AS bigint), 0, '' FROM cat) GROUP BY 1")
+
+
+@query("read_overlay", f"WITH {CAT}, {fx.OVERLAY} SELECT id, record_key, 'Added ' || cast(id AS string) AS artist, 'New ' || cast(id AS string) AS title, '1970' AS year, ' ' AS label FROM added")
+def read_overlay(spark, sf_dir):
+    path, side = sources.workspace(spark, "overlay"), fx.overlay(spark, sf_dir)
+    for name, df in side.items():
+        df.write.parquet(f"{path}/{name}")
+    return sources.read_overlay(spark, *(f"{path}/{n}" for n in ("overrides", "added", "tombstones")))["added"].select("id", "record_key", "artist", "title", "year", "label")
+
+
+# --- traffic guards -----------------------------------------------------------------------------------------------
+
+DAY = 86_400_000
+CRAWL = streaming.crawl_guard(3 * DAY, 25, 40, (1440, 2880, 4320))
+LIMITER = streaming.request_limiter(3, DAY)
+LOCKOUT = streaming.login_lockout(2, 3 * DAY, 2 * DAY)
+_CRAWL_SQL = f"""WITH RECURSIVE e AS (SELECT event_id, ip, user_agent LIKE 'Googlebot%' AS free, epoch_ms(ts) AS ms, weight, row_number() OVER (PARTITION BY ip ORDER BY ts, event_id) AS rn FROM ({fx.REQUESTS_SELECT.format(events="events")}) AS q),
+  r AS (SELECT ip, cast(0 AS bigint) AS rn, cast(NULL AS bigint) AS event_id, cast(-1 AS bigint) AS st, cast(0 AS bigint) AS cnt, cast(0 AS bigint) AS strikes, cast(0 AS bigint) AS until, cast(0 AS bigint) AS hits, '' AS action, cast(NULL AS bigint) AS retry FROM e GROUP BY ip
+    UNION ALL
+    SELECT ip, rn, event_id, CASE WHEN skip THEN st WHEN nc >= 40 THEN -1 ELSE ns END, CASE WHEN skip THEN cnt WHEN nc >= 40 THEN 0 ELSE nc END, CASE WHEN NOT skip AND nc >= 40 THEN least(strikes + 1, 3) ELSE strikes END,
+      CASE WHEN NOT skip AND nc >= 40 THEN ms + 86400000 * least(strikes + 1, 3) ELSE until END, CASE WHEN NOT skip AND nc >= 40 THEN hits + nc ELSE hits END,
+      CASE WHEN free THEN 'allow' WHEN until > ms OR nc >= 40 THEN 'block' WHEN nc >= 25 THEN 'warn' ELSE 'allow' END,
+      CASE WHEN free THEN NULL WHEN until > ms THEN cast(ceil((until - ms) / 60000.0) AS bigint) WHEN nc >= 40 THEN 1440 * least(strikes + 1, 3) END
+    FROM (SELECT r.ip, e.rn, e.event_id, e.ms, e.free, r.st, r.cnt, r.strikes, r.until, r.hits, e.free OR r.until > e.ms AS skip,
+            CASE WHEN r.st < 0 OR e.ms - r.st > {3 * DAY} THEN e.ms ELSE r.st END AS ns, CASE WHEN r.st < 0 OR e.ms - r.st > {3 * DAY} THEN e.weight ELSE r.cnt + e.weight END AS nc
+          FROM r JOIN e ON e.ip = r.ip AND e.rn = r.rn + 1) AS x)"""
+
+
+@query("crawl_guard", f"{_CRAWL_SQL} SELECT event_id, action, retry AS retry_minutes, strikes, hits, until AS blocked_until_ms FROM r WHERE rn > 0")
+def crawl_guard(spark, sf_dir):
+    return streaming.replay(streaming.crawl_events(fx.requests(spark, sf_dir)), CRAWL, "ip", "event_id").select("event_id", *CRAWL.names)
+
+
+def _blocks(spark, sf_dir):
+    return streaming.blocks(streaming.replay(streaming.crawl_events(fx.requests(spark, sf_dir)), CRAWL, "ip", "event_id"))
+
+
+query("active_blocks", f"{_CRAWL_SQL} SELECT ip, max(strikes) AS strikes, max(hits) AS hits FROM r GROUP BY ip HAVING max(until) > 1706486400000")(lambda s, d: streaming.active_blocks(_blocks(s, d), 1706486400000).select("ip", "strikes", "hits"))
+query("list_blocks", f"{_CRAWL_SQL} SELECT ip, max(strikes) AS strikes, max(hits) AS hits, max(until) AS blocked_until_ms FROM r GROUP BY ip HAVING max(until) > 0 ORDER BY max(CASE WHEN action = 'block' AND retry % 1440 = 0 THEN until END) DESC LIMIT 1000")(lambda s, d: streaming.list_blocks(_blocks(s, d), 1000).select("ip", "strikes", "hits", "blocked_until_ms"))
+query("clear_block", f"{_CRAWL_SQL} SELECT ip, max(strikes) AS strikes FROM r GROUP BY ip HAVING max(until) > 0 AND cast(ip AS bigint) % 2 = 1")(lambda s, d: streaming.clear_block(_blocks(s, d), fx.requests(s, d).filter("cast(ip as long) % 2 = 0")).select("ip", "strikes"))
+
+
+@query("request_limiter", f"""WITH RECURSIVE e AS (SELECT event_id, user_id AS k, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+  r AS (SELECT k, rn, event_id, ms AS st, cast(1 AS bigint) AS cnt FROM e WHERE rn = 1 UNION ALL
+    SELECT e.k, e.rn, e.event_id, CASE WHEN r.st < e.ms - {DAY} THEN e.ms ELSE r.st END, CASE WHEN r.st < e.ms - {DAY} THEN 1 ELSE r.cnt + 1 END FROM r JOIN e ON e.k = r.k AND e.rn = r.rn + 1)
+  SELECT event_id, cnt AS count, cnt <= 3 AS allowed FROM r""")
+def request_limiter(spark, sf_dir):
+    return streaming.replay(streaming.with_time(fx.requests(spark, sf_dir)), LIMITER, "ip", "event_id").select("event_id", *LIMITER.names)
+
+
+_LOGIN = f"""WITH RECURSIVE a AS ({fx.ATTEMPTS_SELECT.format(events="events")}), k AS (SELECT attempt_id, 'ip:' || ip AS k, success, epoch_ms(ts) AS ms FROM a UNION ALL SELECT attempt_id, 'email:' || email, success, epoch_ms(ts) FROM a),
+  e AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ms, attempt_id) AS rn FROM k),
+  r AS (SELECT k, cast(0 AS bigint) AS rn, cast(NULL AS bigint) AS attempt_id, cast(-1 AS bigint) AS st, cast(0 AS bigint) AS f, cast(0 AS bigint) AS until, false AS was FROM e GROUP BY k UNION ALL
+    SELECT k, rn, attempt_id, CASE WHEN success THEN -1 ELSE ns END, CASE WHEN success THEN 0 ELSE nf END, CASE WHEN success THEN 0 WHEN nf >= 2 AND until <= ms THEN ms + {2 * DAY} ELSE until END, until > ms
+    FROM (SELECT e.*, r.until, CASE WHEN r.st < 0 OR r.st < e.ms - {3 * DAY} THEN e.ms ELSE r.st END AS ns, CASE WHEN r.st < 0 OR r.st < e.ms - {3 * DAY} THEN 1 ELSE r.f + 1 END AS nf FROM r JOIN e ON e.k = r.k AND e.rn = r.rn + 1) AS x)"""
+
+
+@query("login_lockout", f"{_LOGIN} SELECT attempt_id, k AS key, f AS failures, was AS was_locked, until AS locked_until_ms FROM r WHERE rn > 0")
+def login_lockout(spark, sf_dir):
+    return streaming.replay(streaming.login_events(fx.attempts(spark, sf_dir)), LOCKOUT, "key", "attempt_id").select("attempt_id", "key", *LOCKOUT.names)
+
+
+@query("locked_attempts", f"{_LOGIN} SELECT attempt_id, bool_or(was) AS locked FROM r WHERE rn > 0 GROUP BY 1")
+def locked_attempts(spark, sf_dir):
+    return streaming.locked_attempts(streaming.replay(streaming.login_events(fx.attempts(spark, sf_dir)), LOCKOUT, "key", "attempt_id"))

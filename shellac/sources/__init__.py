@@ -1 +1,150 @@
-"""Sources of the catalogue library."""
+"""Reading, writing and publishing the catalogue."""
+
+from __future__ import annotations
+
+import json
+import tempfile
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import null_if_blank
+from ..operators.diff import dense_numbers
+from ..schema import EDITABLE_FIELDS, FACETS, HEADERS, SOURCE_FIELDS
+
+SPARE = 8
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share: under ``spark.checkpoint.dir`` where it is set."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shellac-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
+    """(file, encoding) of each file: UTF-8 if all of it decodes, else Windows-1252; one row per file leaves the executors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for data in pdf["content"]:
+                try:
+                    bytes(data).decode("utf-8")
+                    out.append("UTF-8")
+                except UnicodeDecodeError:
+                    out.append("windows-1252")
+            yield pd.DataFrame({"file": pdf["path"], "encoding": out})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, encoding string")
+
+
+def read_catalogue_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """The 24 source columns by position, with the file order ``n``.
+
+    The header is skipped; short and long rows are tolerated, quoted values may
+    span lines, blank values are null, blank rows go.  A byte order mark stands
+    in the header and goes with it.
+    """
+    names = [*SOURCE_FIELDS, *(f"_spare{i}" for i in range(SPARE))]
+    rows = spark.read.csv(path, schema=", ".join(f"{c} string" for c in names), header=True, enforceSchema=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", encoding=encoding)
+    clean = rows.select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_i"), *(null_if_blank(c).alias(c) for c in SOURCE_FIELDS))
+    kept = clean.dropna(how="all", subset=SOURCE_FIELDS)
+    return dense_numbers(kept.withColumn("_at", F.struct("file_path", "file_block_start", "_i")), "_at", "n").drop("_at", "file_path", "file_block_start", "_i")
+
+
+def export_catalogue(cat: DataFrame, path: str) -> None:
+    """CSV of the source columns under their headers, in order of the id; it can be imported again."""
+    cat.orderBy("id").select(*(F.col(f).alias(h) for f, h in zip(SOURCE_FIELDS, HEADERS, strict=True))).write.csv(path, header=True, quote='"', escape='"', emptyValue="")
+
+
+class Generations:
+    """Published generations under one folder: Parquet per generation and a pointer to the live and the previous one."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        jvm = spark._jvm
+        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def pointer(self) -> dict:
+        at = self._path(f"{self.root}/pointer.json")
+        if not self._fs.exists(at):
+            return {"live": None, "previous": None, "updated_at": None}
+        stream = self._fs.open(at)
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def _point(self, live, previous, updated_at: str) -> None:
+        part, at = self._path(f"{self.root}/.pointer-{uuid.uuid4().hex}"), self._path(f"{self.root}/pointer.json")
+        out = self._fs.create(part, True)
+        out.write(json.dumps({"live": live, "previous": previous, "updated_at": updated_at}).encode())
+        out.close()
+        if self._fs.exists(at):
+            self._fs.delete(at, False)
+        self._fs.rename(part, at)
+
+    def publish(self, df: DataFrame, updated_at: str) -> int:
+        """Write a new generation aside, then make it the live one."""
+        old = self.pointer()
+        number = max(old["live"] or 0, old["previous"] or 0) + 1
+        df.write.mode("overwrite").parquet(f"{self.root}/gen={number}")
+        self._point(number, old["live"], updated_at)
+        return number
+
+    def restore_previous(self, updated_at: str) -> None:
+        """Exchange the live and the previous generation; doing it twice undoes it."""
+        old = self.pointer()
+        if old["previous"] is None:
+            raise ValueError("there is no previous generation")
+        self._point(old["previous"], old["live"], updated_at)
+
+    def read(self, which: str = "live") -> DataFrame:
+        number = self.pointer()[which]
+        if number is None:
+            raise ValueError(f"there is no {which} generation")
+        return self.spark.read.parquet(f"{self.root}/gen={number}")
+
+    def status(self) -> DataFrame:
+        """One row: ``has_live``, ``n_rows``, ``updated_at``, ``has_previous``."""
+        now = self.pointer()
+        counted = self.read().agg(F.count("*").alias("n_rows")) if now["live"] is not None else self.spark.range(1).select(F.lit(0).cast("long").alias("n_rows"))
+        return counted.select(F.lit(now["live"] is not None).alias("has_live"), "n_rows", F.lit(now["updated_at"]).cast("string").alias("updated_at"), F.lit(now["previous"] is not None).alias("has_previous"))
+
+
+def row_count_gate(new: DataFrame, previous: DataFrame) -> DataFrame:
+    """One row: both counts, and ``warn`` if the new one is under half of a known previous one."""
+    a, b = new.agg(F.count("*").alias("new_count")), previous.agg(F.count("*").alias("previous_count"))
+    return a.crossJoin(b).withColumn("warn", (F.col("previous_count") > 0) & (2 * F.col("new_count") < F.col("previous_count")))
+
+
+#: Pages besides the records, in the first chunk (fixed values).
+STATIC_PAGES = ["/", "/advanced-search", "/guide", "/interviews", "/history", "/contact", *(f"/browse/{f}" for f in FACETS)]
+
+
+def sitemap_chunks(cat: DataFrame, per: int = 45_000) -> DataFrame:
+    """Addresses in chunks of ``per`` records by id: ``chunk``, ``pos``, ``path``; chunk 0 leads with the other pages."""
+    numbered = dense_numbers(cat.select("id"), "id", "pos")
+    records = numbered.select(F.floor((F.col("pos") - 1) / per).cast("long").alias("chunk"), "pos", F.concat(F.lit("/records/"), F.col("id").cast("string")).alias("path"))
+    pages = cat.sparkSession.createDataFrame([(0, i - len(STATIC_PAGES), p) for i, p in enumerate(STATIC_PAGES)], "chunk long, pos long, path string")
+    return pages.unionByName(records)
+
+
+def sitemap_index(chunks: DataFrame) -> DataFrame:
+    return chunks.groupBy("chunk").agg(F.count("*").alias("n"))
+
+
+def added_data(data: Column) -> dict[str, Column]:
+    """The editable columns in an added row's JSON; what can't be read counts as empty."""
+    got = F.coalesce(F.from_json(data, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return {f: got[f] for f in EDITABLE_FIELDS}
+
+
+def read_overlay(spark: SparkSession, overrides: str, added: str, tombstones: str) -> dict[str, DataFrame]:
+    """The overlay's three tables from Parquet; added rows with their data as columns, tombstones as keys."""
+    rows = spark.read.parquet(added)
+    return {"overrides": spark.read.parquet(overrides), "added": rows.withColumns(added_data(F.col("data"))), "tombstones": spark.read.parquet(tombstones).select("record_key").distinct()}

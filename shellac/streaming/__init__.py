@@ -1 +1,170 @@
-"""Streaming of the catalogue library."""
+"""Traffic guards, replayed over a table or run on a stream.
+
+A window starts at a key's first event after the last one lapsed, so no built-in
+window fits.  Each guard is one pure step from (state, event) to (state,
+verdict).  A replay sorts each key's events and walks them with the state of one
+key at a time in memory; a stream keeps the same state per key.  Late events
+count as arriving at the key's last time.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..functions import is_search_engine
+
+MINUTE = 60_000
+
+
+class Guard:
+    """A step with its state and its verdict columns."""
+
+    def __init__(self, step: Callable, state: str, start: tuple, verdict: str):
+        self.step, self.state, self.start, self.verdict = step, state, start, verdict
+        self.names = [x.split()[0] for x in verdict.split(", ")]
+
+
+def crawl_guard(window_ms: int = 5 * MINUTE, warn: int = 400, block: int = 900, minutes: tuple[int, ...] = (15, 60, 360)) -> Guard:
+    """Views per address: warned, then blocked for longer each time; strikes never decay.
+
+    Search engines and unknown addresses are let through and not counted, nor is
+    a view while blocked.
+    """
+
+    def step(state: tuple, e: dict) -> tuple[tuple, tuple]:
+        start, count, strikes, until, hits = state
+        now = e["ms"]
+        if e["free"]:
+            return state, ("allow", None, strikes, hits, until)
+        if until > now:
+            return state, ("block", math.ceil((until - now) / MINUTE), strikes, hits, until)
+        weight = max(1, math.floor(e["weight"] or 1))
+        start, count = (now, weight) if start < 0 or now - start > window_ms else (start, count + weight)
+        if count >= block:
+            strikes = min(strikes + 1, len(minutes))
+            state = (-1, 0, strikes, now + minutes[strikes - 1] * MINUTE, hits + count)
+            return state, ("block", minutes[strikes - 1], strikes, state[4], state[3])
+        return (start, count, strikes, until, hits), ("warn" if count >= warn else "allow", None, strikes, hits, until)
+
+    return Guard(step, "start long, count long, strikes long, until long, hits long", (-1, 0, 0, 0, 0), "action string, retry_minutes long, strikes long, hits long, blocked_until_ms long")
+
+
+def request_limiter(limit: int = 150, window_ms: int = MINUTE) -> Guard:
+    """Requests per key: allowed up to a limit in a window; refused ones count too."""
+
+    def step(state: tuple, e: dict) -> tuple[tuple, tuple]:
+        start, count = state
+        start, count = (e["ms"], 1) if start < 0 or start < e["ms"] - window_ms else (start, count + 1)
+        return (start, count), (count, count <= limit)
+
+    return Guard(step, "start long, count long", (-1, 0), "count long, allowed boolean")
+
+
+def login_lockout(most: int = 5, window_ms: int = 15 * MINUTE, lock_ms: int = 15 * MINUTE) -> Guard:
+    """Failures per key: locked when too many fall in a window; success clears.
+
+    Events are tested attempts.  The verdict says whether the key was locked when
+    the attempt came, and until when it is locked after it.
+    """
+
+    def step(state: tuple, e: dict) -> tuple[tuple, tuple]:
+        start, failures, until = state
+        now, was = e["ms"], state[2] > e["ms"]
+        if e["success"]:
+            return (-1, 0, 0), (0, was, 0)
+        if start < 0 or start < now - window_ms:
+            start, failures = now, 0
+        failures += 1
+        if failures >= most and until <= now:
+            until = now + lock_ms
+        return (start, failures, until), (failures, was, until)
+
+    return Guard(step, "start long, failures long, until long", (-1, 0, 0), "failures long, was_locked boolean, locked_until_ms long")
+
+
+def with_time(events: DataFrame, ts_col: str = "ts") -> DataFrame:
+    return events.withColumn("ms", F.unix_millis(ts_col))
+
+
+def replay(events: DataFrame, guard: Guard, key: str, order: str) -> DataFrame:
+    """Verdicts for all events of a table: its columns and the guard's.
+
+    One shuffle by key; the events of a key are walked in order, batch by batch,
+    so that a key of any size needs the memory of one batch.
+    """
+    rows = events.repartition(key).sortWithinPartitions(key, "ms", order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = object(), guard.start
+        for pdf in batches:
+            out = []
+            for e in pdf.to_dict("records"):
+                if e[key] != last:
+                    last, state = e[key], guard.start
+                state, verdict = guard.step(state, e)
+                out.append(verdict)
+            yield pdf.assign(**{n: pd.Series([v[i] for v in out], index=pdf.index, dtype=object) for i, n in enumerate(guard.names)})
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(run, f"{kinds}, {guard.verdict}")
+
+
+def stream(events: DataFrame, guard: Guard, key: str, order: str) -> DataFrame:
+    """The same verdicts on a stream; events of a micro-batch are sorted by time, later ones never go back."""
+    columns = [f.name for f in events.schema]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+
+    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches)).sort_values(["ms", order])
+        now, last = (tuple(state.get[:-1]), state.get[-1]) if state.exists else (guard.start, 0)
+        out = []
+        for e in pdf.to_dict("records"):
+            last = e["ms"] = max(e["ms"], last)
+            now, verdict = guard.step(now, e)
+            out.append(verdict)
+        state.update((*now, last))
+        yield pdf[columns].assign(**{n: pd.Series([v[i] for v in out], index=pdf.index, dtype=object) for i, n in enumerate(guard.names)})
+
+    return events.groupBy(key).applyInPandasWithState(run, f"{kinds}, {guard.verdict}", f"{guard.state}, last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def crawl_events(requests: DataFrame) -> DataFrame:
+    """Requests (event_id, ip, user_agent, ts, weight) as the crawl guard takes them."""
+    return with_time(requests).withColumn("free", is_search_engine("user_agent") | (F.col("ip") == "unknown"))
+
+
+def login_events(attempts: DataFrame) -> DataFrame:
+    """Tested attempts (attempt_id, ip, email, success, ts), a row for each of their keys."""
+    email = F.lower(F.trim("email"))
+    keys = F.filter(F.array(F.concat(F.lit("ip:"), "ip"), F.when(F.coalesce(email, F.lit("")) != "", F.concat(F.lit("email:"), email))), lambda k: k.isNotNull())
+    return with_time(attempts).select("attempt_id", F.explode(keys).alias("key"), "success", "ts", "ms")
+
+
+def locked_attempts(verdicts: DataFrame) -> DataFrame:
+    """Whether any key of an attempt was locked: ``attempt_id``, ``locked``."""
+    return verdicts.groupBy("attempt_id").agg(F.max("was_locked").alias("locked"))
+
+
+def blocks(verdicts: DataFrame) -> DataFrame:
+    """The state of every address that was ever blocked: ``ip``, ``strikes``, ``hits``, ``blocked_until_ms``, ``first_seen``, ``last_seen``."""
+    began = verdicts.withColumn("before", F.lag("blocked_until_ms", 1, 0).over(Window.partitionBy("ip").orderBy("ms", "event_id"))).filter("blocked_until_ms > before")
+    return began.groupBy("ip").agg(F.max("strikes").alias("strikes"), F.max("hits").alias("hits"), F.max("blocked_until_ms").alias("blocked_until_ms"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+
+
+def active_blocks(all_blocks: DataFrame, now_ms: int) -> DataFrame:
+    return all_blocks.filter(F.col("blocked_until_ms") > now_ms)
+
+
+def list_blocks(all_blocks: DataFrame, n: int = 100) -> DataFrame:
+    return all_blocks.orderBy(F.desc("last_seen"), "ip").limit(n)
+
+
+def clear_block(all_blocks: DataFrame, ips: DataFrame) -> DataFrame:
+    """Blocks and strikes without those of the given addresses."""
+    return all_blocks.join(ips.select("ip").distinct(), "ip", "left_anti")
