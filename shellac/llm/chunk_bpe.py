@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, by_size
-from .tokenizers_io import encode_many, tokenizer
+from .tokenizers_io import encode_bytes, tokenizer
 
 WINDOW, LEAST, MOST = 16, 64, 8192
 FIRST_SAFE = re.compile(r"(?<=[^\s])[ \n]")
@@ -77,10 +77,10 @@ def halves(chunk: str) -> tuple[str, str, str] | None:
 class ChunkEncoder:
     """Encodes texts of one worker; ``chunks`` and ``encoded`` count its work."""
 
-    def __init__(self, path: str, mean: int = 512, most: int = 60_000):
+    def __init__(self, path: str, mean: int = 512, most: int = 30_000):
         self.path, self.mean = path, mean
-        self.cores = Memo(lambda texts: encode_many(path, texts), most)
-        self.joins = Memo(lambda texts: encode_many(path, texts), 2 * most)
+        self.cores = Memo(lambda texts: encode_bytes(path, texts), most)
+        self.joins = Memo(lambda texts: encode_bytes(path, texts), 2 * most)
 
     def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
         """The text as (is a chunk's core, part): cores are reused, parts between are re-encoded."""

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, by_size
-from .tokenizers_io import encode_many
+from .tokenizers_io import encode_bytes
 
 #: Blanks and line ends before a segment belong to it: its start is always a token boundary.
 SEGMENT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -119,7 +119,7 @@ _COUNTS: dict = {}
 def counter(path: str):
     """Token counts of segments; distinct ones are encoded once in a worker."""
     if path not in _COUNTS:
-        memo = Memo(lambda texts: [len(x) // 4 for x in encode_many(path, texts)], 500_000)
+        memo = Memo(lambda texts: [len(x) // 4 for x in encode_bytes(path, texts)], 500_000)
 
         def count(parts: list[str]) -> list[int]:
             memo.fill(parts)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from array import array
 from collections.abc import Callable
 
@@ -24,6 +26,52 @@ def tokenizer(path: str):
     return _MADE[path]
 
 
+#: The byte-level pre-tokenizer's pattern (fixed value).
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Beyond these letters, and where an added token might stand, the library itself encodes: Unicode tables may differ.
+ODD = re.compile(r"[^\x00-\u024f]|<\|")
+
+
+def _ranked(path: str):
+    """A second engine for byte-level files whose ids are merge ranks, several times as fast; else None."""
+    key = (path, "ranked")
+    if key not in _MADE:
+        _MADE[key] = None
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        model, pre, added = made["model"], made.get("pre_tokenizer") or {}, made.get("added_tokens") or []
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        letters = {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(sorted({*range(256)} - {*plain}))}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
+        vocab = {t: i for t, i in model["vocab"].items() if t not in {a["content"] for a in added}}
+        if (
+            model["type"] == "BPE" and not made.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+            and not model.get("ignore_merges") and len(vocab) == 256 + len(merges) and all(c in letters for t in vocab for c in t)
+            and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(merges)) and all(a["content"].startswith("<|") for a in added)
+        ):
+            import tiktoken
+
+            ranks = {bytes(letters[c] for c in t): i for t, i in vocab.items()}
+            _MADE[key] = tiktoken.Encoding("own", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+    return _MADE[key]
+
+
+def encode_bytes(path: str, texts: list[str]) -> list[bytes]:
+    """As :func:`encode_many`, with the faster engine for the texts on which both are known to agree.
+
+    Those are texts of Latin letters and signs (below U+0250) without ``<|``, with
+    which added tokens begin; all others go through the library.
+    """
+    quick = _ranked(path)
+    if quick is None:
+        return encode_many(path, texts)
+    out: list[bytes | None] = [array("I", quick.encode_ordinary(t)).tobytes() if not ODD.search(t) else None for t in texts]
+    rest = [i for i, x in enumerate(out) if x is None]
+    for i, ids in zip(rest, encode_many(path, [texts[i] for i in rest]), strict=True):
+        out[i] = ids
+    return out
+
+
 def encode_many(path: str, texts: list[str], run: int = 256 << 10) -> list[bytes]:
     """Ids of each text as little-endian unsigned 32-bit integers, straight from the library."""
     made, out = tokenizer(path), []
