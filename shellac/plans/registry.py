@@ -347,18 +347,25 @@ def apply_diff(spark, sf_dir):
     return diff.apply_diff(live.select("id", *SOURCE_FIELDS), new, diff.multiset_diff(live, new))
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Generations and histories are stored tables: written, then read."""
+    path = sources.workspace(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _history(spark, sf_dir):
     """Two imports: the upload over the catalogue, and the catalogue without some rows over that."""
-    first, second = fx.catalogue(spark, sf_dir).select("id", *SOURCE_FIELDS), fx.upload(spark, sf_dir)
+    first, second = _stored(fx.catalogue(spark, sf_dir).select("id", *SOURCE_FIELDS), "live"), _stored(fx.upload(spark, sf_dir), "target")
     history = spark.createDataFrame([], "id long, created_at timestamp, inserted_count long, deleted_count long, result_count long, previous_count long, truncated boolean")
     changes = spark.createDataFrame([], "import_id long, op string, " + ", ".join(f"{f} string" for f in SOURCE_FIELDS))
-    d1 = diff.multiset_diff(first, second)
-    history, changes = diff.record_import(history, changes, d1, first, second, NOW)
-    live = diff.apply_diff(first, second, d1)
-    third = first.filter("id % 13 <> 0").withColumn("n", F.col("id"))
-    d2 = diff.multiset_diff(live, third)
-    history, changes = diff.record_import(history, changes, d2, live, third, NOW)
-    return history, changes, diff.apply_diff(live, third, d2)
+    live = first
+    for target in (second, first.filter("id % 13 <> 0").withColumn("n", F.col("id"))):
+        d = _stored(diff.multiset_diff(live, target), "diff")
+        history, changes = diff.record_import(history, changes, d, live, target, NOW)
+        history, changes = _stored(history, "history"), _stored(changes, "changes")
+        live = _stored(diff.apply_diff(live, target, d), "live")
+    return history, changes, live
 
 
 _H2 = f"{_DIFF}, c3 AS (SELECT * FROM cat WHERE id % 13 <> 0)"
@@ -368,8 +375,11 @@ def _surplus(a: str, b: str) -> str:
     return f"(SELECT count(*) FROM (SELECT {fx.FIELDS} FROM {a} EXCEPT ALL SELECT {fx.FIELDS} FROM {b}) AS x)"
 
 
-@query("record_import", f"{_H2} SELECT 1 AS id, {_surplus('upload', 'cat')} AS inserted_count, {_surplus('cat', 'upload')} AS deleted_count, (SELECT count(*) FROM upload) AS result_count, (SELECT count(*) FROM cat) AS previous_count, inserted_count + deleted_count > 25000 AS truncated "
-       f"UNION ALL SELECT 2, {_surplus('c3', 'upload')} AS i, {_surplus('upload', 'c3')} AS d, (SELECT count(*) FROM c3), (SELECT count(*) FROM upload), i + d > 25000")
+def _entry(i: int, new: str, old: str) -> str:
+    return f"SELECT {i} AS id, {_surplus(new, old)} AS inserted_count, {_surplus(old, new)} AS deleted_count, (SELECT count(*) FROM {new}) AS result_count, (SELECT count(*) FROM {old}) AS previous_count"
+
+
+@query("record_import", f"{_H2} SELECT *, inserted_count + deleted_count > 25000 AS truncated FROM ({_entry(1, 'upload', 'cat')} UNION ALL {_entry(2, 'c3', 'upload')})")
 def record_import(spark, sf_dir):
     return _history(spark, sf_dir)[0].drop("created_at")
 
@@ -379,7 +389,7 @@ def can_reconstruct(spark, sf_dir):
     return diff.can_reconstruct(_history(spark, sf_dir)[0], 1)
 
 
-@query("net_reversal", f"{_H2}, s AS (SELECT {fx.FIELDS}, 1 AS w FROM c3 UNION ALL SELECT {fx.FIELDS}, -1 FROM cat) SELECT {fx.FIELDS}, sum(w) AS net, {_HASH} AS hash FROM s GROUP BY ALL HAVING sum(w) <> 0")
+@query("net_reversal", f"{_H2}, s AS (SELECT {fx.FIELDS}, 1 AS w FROM c3 UNION ALL SELECT {fx.FIELDS}, -1 FROM cat) SELECT {fx.FIELDS}, cast(sum(w) AS bigint) AS net, {_HASH} AS hash FROM s GROUP BY ALL HAVING sum(w) <> 0")
 def net_reversal(spark, sf_dir):
     return diff.net_reversal(_history(spark, sf_dir)[1], 1)
 
@@ -521,7 +531,7 @@ DAY = 86_400_000
 CRAWL = streaming.crawl_guard(3 * DAY, 25, 40, (1440, 2880, 4320))
 LIMITER = streaming.request_limiter(3, DAY)
 LOCKOUT = streaming.login_lockout(2, 3 * DAY, 2 * DAY)
-_CRAWL_SQL = f"""WITH RECURSIVE e AS (SELECT event_id, ip, user_agent LIKE 'Googlebot%' AS free, epoch_ms(ts) AS ms, weight, row_number() OVER (PARTITION BY ip ORDER BY ts, event_id) AS rn FROM ({fx.REQUESTS_SELECT.format(events="events")}) AS q),
+_CRAWL_SQL = f"""WITH RECURSIVE e AS (SELECT event_id, ip, user_agent LIKE 'Googlebot%' AS free, epoch_us(ts) // 1000 AS ms, weight, row_number() OVER (PARTITION BY ip ORDER BY ts, event_id) AS rn FROM ({fx.REQUESTS_SELECT.format(events="events")}) AS q),
   r AS (SELECT ip, cast(0 AS bigint) AS rn, cast(NULL AS bigint) AS event_id, cast(-1 AS bigint) AS st, cast(0 AS bigint) AS cnt, cast(0 AS bigint) AS strikes, cast(0 AS bigint) AS until, cast(0 AS bigint) AS hits, '' AS action, cast(NULL AS bigint) AS retry FROM e GROUP BY ip
     UNION ALL
     SELECT ip, rn, event_id, CASE WHEN skip THEN st WHEN nc >= 40 THEN -1 ELSE ns END, CASE WHEN skip THEN cnt WHEN nc >= 40 THEN 0 ELSE nc END, CASE WHEN NOT skip AND nc >= 40 THEN least(strikes + 1, 3) ELSE strikes END,
@@ -547,7 +557,7 @@ query("list_blocks", f"{_CRAWL_SQL} SELECT ip, max(strikes) AS strikes, max(hits
 query("clear_block", f"{_CRAWL_SQL} SELECT ip, max(strikes) AS strikes FROM r GROUP BY ip HAVING max(until) > 0 AND cast(ip AS bigint) % 2 = 1")(lambda s, d: streaming.clear_block(_blocks(s, d), fx.requests(s, d).filter("cast(ip as long) % 2 = 0")).select("ip", "strikes"))
 
 
-@query("request_limiter", f"""WITH RECURSIVE e AS (SELECT event_id, user_id AS k, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+@query("request_limiter", f"""WITH RECURSIVE e AS (SELECT event_id, user_id AS k, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
   r AS (SELECT k, rn, event_id, ms AS st, cast(1 AS bigint) AS cnt FROM e WHERE rn = 1 UNION ALL
     SELECT e.k, e.rn, e.event_id, CASE WHEN r.st < e.ms - {DAY} THEN e.ms ELSE r.st END, CASE WHEN r.st < e.ms - {DAY} THEN 1 ELSE r.cnt + 1 END FROM r JOIN e ON e.k = r.k AND e.rn = r.rn + 1)
   SELECT event_id, cnt AS count, cnt <= 3 AS allowed FROM r""")
@@ -555,7 +565,7 @@ def request_limiter(spark, sf_dir):
     return streaming.replay(streaming.with_time(fx.requests(spark, sf_dir)), LIMITER, "ip", "event_id").select("event_id", *LIMITER.names)
 
 
-_LOGIN = f"""WITH RECURSIVE a AS ({fx.ATTEMPTS_SELECT.format(events="events")}), k AS (SELECT attempt_id, 'ip:' || ip AS k, success, epoch_ms(ts) AS ms FROM a UNION ALL SELECT attempt_id, 'email:' || email, success, epoch_ms(ts) FROM a),
+_LOGIN = f"""WITH RECURSIVE a AS ({fx.ATTEMPTS_SELECT.format(events="events")}), k AS (SELECT attempt_id, 'ip:' || ip AS k, success, epoch_us(ts) // 1000 AS ms FROM a UNION ALL SELECT attempt_id, 'email:' || email, success, epoch_us(ts) // 1000 FROM a),
   e AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ms, attempt_id) AS rn FROM k),
   r AS (SELECT k, cast(0 AS bigint) AS rn, cast(NULL AS bigint) AS attempt_id, cast(-1 AS bigint) AS st, cast(0 AS bigint) AS f, cast(0 AS bigint) AS until, false AS was FROM e GROUP BY k UNION ALL
     SELECT k, rn, attempt_id, CASE WHEN success THEN -1 ELSE ns END, CASE WHEN success THEN 0 ELSE nf END, CASE WHEN success THEN 0 WHEN nf >= 2 AND until <= ms THEN ms + {2 * DAY} ELSE until END, until > ms

@@ -89,7 +89,7 @@ def login_lockout(most: int = 5, window_ms: int = 15 * MINUTE, lock_ms: int = 15
 
 
 def with_time(events: DataFrame, ts_col: str = "ts") -> DataFrame:
-    return events.withColumn("ms", F.unix_millis(ts_col))
+    return events.withColumn("ms", F.unix_millis(F.col(ts_col).cast("timestamp")))
 
 
 def replay(events: DataFrame, guard: Guard, key: str, order: str) -> DataFrame:
