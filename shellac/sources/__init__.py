@@ -48,6 +48,8 @@ def read_catalogue_csv(spark: SparkSession, path: str, encoding: str = "UTF-8")
     span lines, blank values are null, blank rows go.  A byte order mark stands
     in the header and goes with it.
     """
+    if encoding.upper() not in ("UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-32"):
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else Spark knows these only
     names = [*SOURCE_FIELDS, *(f"_spare{i}" for i in range(SPARE))]
     rows = spark.read.csv(path, schema=", ".join(f"{c} string" for c in names), header=True, enforceSchema=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", encoding=encoding)
     clean = rows.select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_i"), *(null_if_blank(c).alias(c) for c in SOURCE_FIELDS))

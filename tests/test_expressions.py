@@ -49,11 +49,11 @@ def cat(spark, rows):
     return spark.createDataFrame([tuple([i, *(r.get(f) for f in FIELDS)]) for i, r in enumerate(rows)], "id long, " + ", ".join(f"{f} {'int' if f == 'year_sort' else 'string'}" for f in FIELDS))
 
 
-@pytest.mark.parametrize("q, hits", [("will power", [0, 1]), ("will-power", [0, 1]), ("power will", []), ('"', []), ("wil", []), ("noel", [4])])
+@pytest.mark.parametrize("q, hits", [("will power", [0, 1]), ("will-power", [0, 1]), ("power will", []), ('"', []), ("wil", [0, 1, 2, 3]), ("noel", [4])])
 def test_phrase(spark, q, hits):
     rows = cat(spark, [{"title": "Will Power"}, {"title": "Will Powers"}, {"title": "Power and Will"}, {"title": "His Power", "artist": "Williams"}, {"artist": "Noël X"}])
     got = [r["id"] for r in rows.filter(search.phrase_match(q)).orderBy("id").collect()]
-    assert got == (hits if q != "wil" else [0, 1, 3])
+    assert got == hits
 
 
 @pytest.mark.parametrize("q, hits", [("marley", [0]), ("1022", [1]), ("1660-1", [2]), ("tysonic", [3]), ("ab", []), ("", []), ("a\u0001b", [])])
