@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import content_hash
 from ..schema import SOURCE_FIELDS
+from ..storage import stored
 
 KEPT_PAYLOAD, KEPT_IMPORTS = 25_000, 10
 
@@ -28,15 +29,18 @@ def multiset_diff(live: DataFrame, target: DataFrame, order_col: str = "n") -> D
 def dense_numbers(df: DataFrame, order: str, name: str, start: Column | int = 0) -> DataFrame:
     """Number rows from ``start`` + 1 in the order of a column, without a global window.
 
-    Ranges of the column are counted, their offsets added to the numbers within
-    each range.
+    The rows are sorted in ranges of the column and stored with their place in
+    their range; the counts of the ranges give each one's offset.  Stored, so that
+    a task that runs again can't deal the ranges otherwise.
     """
-    ranged = df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id())
-    local = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(order)))
-    counts = ranged.groupBy("_part").agg(F.count("*").alias("_c"))
-    # one row per partition: the bound of this broadcast
+    place = F.monotonically_increasing_id()  # range number in the upper bits, place in the range in the lower 33
+    ranged = stored(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("_place", place), "ranges")
+    part = F.shiftright("_place", 33)
+    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_c"))
+    # one row per range: the bound of this window and of the broadcast
     offsets = counts.withColumn("_off", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_off")
-    return local.join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_off") + F.col("_rn") + start).cast("long")).drop("_part", "_rn", "_off")
+    at = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part").withColumn(name, (F.col("_off") + at + start).cast("long")).drop("_part", "_place", "_off")
 
 
 def apply_diff(live: DataFrame, target: DataFrame, diff: DataFrame, order_col: str = "n") -> DataFrame:

@@ -12,6 +12,7 @@ from .. import functions as fn
 from .. import sources, streaming
 from ..operators import audit, diff, edit_log, facets, overlay, search
 from ..schema import B_SIDE_FIELDS, EDITABLE_FIELDS, FACETS, LOG, NORM_COLUMNS, PHRASE_FIELDS, RESULT_COLUMNS, SORT_COLUMNS, SOURCE_FIELDS, SUBSTRING_FIELDS
+from ..storage import stored, workspace
 from . import fixtures as fx
 from .fixtures import CAT, key_sql, nk
 
@@ -347,24 +348,17 @@ def apply_diff(spark, sf_dir):
     return diff.apply_diff(live.select("id", *SOURCE_FIELDS), new, diff.multiset_diff(live, new))
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    """Generations and histories are stored tables: written, then read."""
-    path = sources.workspace(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _history(spark, sf_dir):
     """Two imports: the upload over the catalogue, and the catalogue without some rows over that."""
-    first, second = _stored(fx.catalogue(spark, sf_dir).select("id", *SOURCE_FIELDS), "live"), _stored(fx.upload(spark, sf_dir), "target")
+    first, second = stored(fx.catalogue(spark, sf_dir).select("id", *SOURCE_FIELDS), "live"), stored(fx.upload(spark, sf_dir), "target")
     history = spark.createDataFrame([], "id long, created_at timestamp, inserted_count long, deleted_count long, result_count long, previous_count long, truncated boolean")
     changes = spark.createDataFrame([], "import_id long, op string, " + ", ".join(f"{f} string" for f in SOURCE_FIELDS))
     live = first
     for target in (second, first.filter("id % 13 <> 0").withColumn("n", F.col("id"))):
-        d = _stored(diff.multiset_diff(live, target), "diff")
+        d = stored(diff.multiset_diff(live, target), "diff")
         history, changes = diff.record_import(history, changes, d, live, target, NOW)
-        history, changes = _stored(history, "history"), _stored(changes, "changes")
-        live = _stored(diff.apply_diff(live, target, d), "live")
+        history, changes = stored(history, "history"), stored(changes, "changes")
+        live = stored(diff.apply_diff(live, target, d), "live")
     return history, changes, live
 
 
@@ -481,21 +475,21 @@ query("list_deleted", f"WITH {CAT}, {fx.OVERLAY} SELECT record_key FROM tombston
 
 @query("csv_round_trip", f"WITH {CAT} SELECT {fx.FIELDS}, row_number() OVER (ORDER BY id) AS n FROM cat")
 def csv_round_trip(spark, sf_dir):
-    path = sources.workspace(spark, "export")
+    path = workspace(spark, "export")
     sources.export_catalogue(fx.catalogue(spark, sf_dir), path)
     return sources.read_catalogue_csv(spark, path)
 
 
 @query("detect_encoding", "SELECT 'UTF-8' AS encoding")
 def detect_encoding(spark, sf_dir):
-    path = sources.workspace(spark, "export")
+    path = workspace(spark, "export")
     sources.export_catalogue(fx.catalogue(spark, sf_dir), path)
     return sources.detect_encoding(spark, f"{path}/*.csv").select("encoding").distinct()
 
 
 @query("publish_generation", f"WITH {CAT} SELECT id, {fx.FIELDS} FROM cat")
 def publish_generation(spark, sf_dir):
-    gens = sources.Generations(spark, sources.workspace(spark, "generations"))
+    gens = sources.Generations(spark, workspace(spark, "generations"))
     cat = fx.catalogue(spark, sf_dir).select("id", *SOURCE_FIELDS)
     gens.publish(cat, "2024-06-01")
     gens.publish(cat.filter("id % 2 = 0"), "2024-06-02")
@@ -505,7 +499,7 @@ def publish_generation(spark, sf_dir):
 
 @query("catalogue_status", "SELECT true AS has_live, count(*) AS n_rows, '2024-06-01' AS updated_at, false AS has_previous FROM orders")
 def catalogue_status(spark, sf_dir):
-    gens = sources.Generations(spark, sources.workspace(spark, "generations"))
+    gens = sources.Generations(spark, workspace(spark, "generations"))
     gens.publish(fx.catalogue(spark, sf_dir).select("id"), "2024-06-01")
     return gens.status()
 
@@ -519,7 +513,7 @@ over_cat("sitemap_index", lambda cat: sources.sitemap_index(sources.sitemap_chun
 
 @query("read_overlay", f"WITH {CAT}, {fx.OVERLAY} SELECT id, record_key, 'Added ' || cast(id AS string) AS artist, 'New ' || cast(id AS string) AS title, '1970' AS year, ' ' AS label FROM added")
 def read_overlay(spark, sf_dir):
-    path, side = sources.workspace(spark, "overlay"), fx.overlay(spark, sf_dir)
+    path, side = workspace(spark, "overlay"), fx.overlay(spark, sf_dir)
     for name, df in side.items():
         df.write.parquet(f"{path}/{name}")
     return sources.read_overlay(spark, *(f"{path}/{n}" for n in ("overrides", "added", "tombstones")))["added"].select("id", "record_key", "artist", "title", "year", "label")

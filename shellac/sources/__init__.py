@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -18,12 +17,6 @@ from ..schema import EDITABLE_FIELDS, FACETS, HEADERS, SOURCE_FIELDS
 SPARE = 8
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder that all executors share: under ``spark.checkpoint.dir`` where it is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shellac-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
     """(file, encoding) of each file: UTF-8 if all of it decodes, else Windows-1252; one row per file leaves the executors."""
 
