@@ -112,14 +112,14 @@ def _p(z: np.ndarray) -> np.ndarray:
 def train(
     docs: DataFrame, labels: DataFrame, label_col: str = "good", id_col: str = "doc_id", text_col: str = "text",
     meta_cols: tuple[str, ...] = ("lang", "source"), number_cols: tuple[str, ...] = ("n_chars",),
-    most_labelled: int = 6000, most_unlabelled: int = 3000, n_words: int = 400, rounds: int = 3,
+    most_labelled: int = 10_000, most_unlabelled: int = 3000, n_words: int = 400, rounds: int = 3,
 ) -> CoModel | None:
     """Fit both views on bounded samples.
 
     ``labels`` holds the id and 0/1 in ``label_col``; rows with nulls are left
     out.  About ``most_labelled`` labelled and ``most_unlabelled`` other
-    documents are chosen by a hash of their id.  Without labels of both kinds
-    there is no model (None).
+    documents are chosen by a hash of their id; at most ``n_words`` words are
+    telling.  Without labels of both kinds there is no model (None).
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).dropna().groupBy("id").agg(F.min("y").alias("y"))
     kinds = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -147,7 +147,8 @@ def train(
     share = good / max(1.0, good + bad)
     tally = marked.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n"), F.sum("y").alias("g")).filter("n >= 5")
     excess = (F.col("g") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share) + 1e-6))
-    telling = [bytes(r["w"]) for r in tally.orderBy(F.abs(excess).desc(), "w").limit(n_words).collect()]
+    # words whose share of good documents chance would hardly give (3.5 deviations), the most telling first
+    telling = [bytes(r["w"]) for r in tally.filter(F.abs(excess) >= 3.5).orderBy(F.abs(excess).desc(), "w").limit(n_words).collect()]
     values: dict[tuple[int, str], int] = {}
     for i in range(len(meta_cols)):
         for r in sample.groupBy(f"m{i}").count().orderBy(F.desc("count"), f"m{i}").limit(200).collect():
