@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 
 from ..functions import derived_columns
 from ..schema import SOURCE_FIELDS
+from ..storage import stored
+
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A derived table, stored once in a session as the generation that the jobs read."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = stored(make(), name)
+    return _STORED[key]
 
 
 #: o = order key, u = o mod 2, p = pair, k = release, j = o mod 4, m = the other row of the pair.
@@ -95,7 +106,7 @@ def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The derived catalogue: id, source columns, derived columns."""
-    return spark.sql(BASE_SELECT, **_tables(spark, sf_dir)).withColumns(derived_columns())
+    return table(spark, sf_dir, "catalogue", lambda: spark.sql(BASE_SELECT, **_tables(spark, sf_dir)).withColumns(derived_columns()))
 
 
 #: The upload: without o mod 50 = 7; a dub title, doubled rows, extra rows; ``n`` is the file order.
@@ -108,7 +119,7 @@ UPLOAD = f"upload AS ({UPLOAD_SELECT.format(base='base')})"
 
 
 def upload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(UPLOAD_SELECT, base=spark.sql(BASE_SELECT, **_tables(spark, sf_dir)))
+    return table(spark, sf_dir, "upload", lambda: spark.sql(UPLOAD_SELECT, base=catalogue(spark, sf_dir).select("id", *SOURCE_FIELDS)))
 
 
 _AT = "cast('2024-01-01 00:00:00' AS timestamp)"
@@ -139,7 +150,8 @@ OVERLAY = f"overrides AS ({OVERRIDES_SELECT.format(cat='cat')}), tombstones AS (
 
 def overlay(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     cat = catalogue(spark, sf_dir)
-    return {"overrides": spark.sql(OVERRIDES_SELECT, cat=cat), "tombstones": spark.sql(TOMBSTONES_SELECT, cat=cat), "added": spark.sql(ADDED_SELECT, cat=cat)}
+    selects = {"overrides": OVERRIDES_SELECT, "tombstones": TOMBSTONES_SELECT, "added": ADDED_SELECT}
+    return {name: table(spark, sf_dir, name, lambda sql=sql: spark.sql(sql, cat=cat)) for name, sql in selects.items()}
 
 
 #: The edit log, from the events.
@@ -157,7 +169,7 @@ LOG_CTE = f"log AS ({LOG_SELECT.format(events='events', cat='cat')})"
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.sql(LOG_SELECT, events=spark.read.parquet(f"{sf_dir}/events.parquet"), cat=catalogue(spark, sf_dir).select("id", "record_key"))
+    return table(spark, sf_dir, "log", lambda: spark.sql(LOG_SELECT, events=spark.read.parquet(f"{sf_dir}/events.parquet"), cat=catalogue(spark, sf_dir).select("id", "record_key")))
 
 
 REQUESTS_SELECT = """
