@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shellac.llm import chunk_bpe, decontaminate, jaccard_join, langid, quality
-from shellac.llm.common import read_table, written
+from shellac.llm.common import bounded_batches, read_table, written
 from shellac.llm.queries import BYTE_FILE, QUALITY_LEAST, good_labels
 
 #: A language is rejected below this probability; "und" always is.
@@ -22,12 +22,14 @@ LANGUAGE_LEAST = 0.25
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents whose language is known; the network learns from their labels."""
+    bounded_batches(spark)
     found = docs.withColumn("_found", langid.language(langid.train(docs), F.col("text")))
     return found.filter((F.col("_found.lang_pred") != langid.UNKNOWN) & (F.col("_found.score") >= LANGUAGE_LEAST)).drop("_found")
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that are probably of quality and not toxic."""
+    bounded_batches(spark)
     model = quality.train(docs, good_labels(spark, sf_dir))
     found = docs.withColumn("_found", quality.judged(model, F.col("text"), [F.col("lang"), F.col("source")], [F.col("n_chars")]))
     return found.filter(F.col("_found.quality") >= QUALITY_LEAST).drop("_found")
@@ -39,6 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat an id are one document: of those the first by their
     contents stays.  Rows without an id stay.
     """
+    bounded_batches(spark)
     groups = jaccard_join.join(docs, size=5, percent=80)
     first = written(groups.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_n")), "survivors")
     once = docs.join(first.filter("_n = 1").select("_id"), F.col("doc_id") == F.col("_id"), "left_semi")
@@ -54,6 +57,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents of which a twentieth or more stands in the benchmark."""
+    bounded_batches(spark)
     found = decontaminate.find_windows(docs, read_table(spark, sf_dir, "benchmark"))
     hit = found.filter(decontaminate.contaminated(F.col("n_words"), F.col("n_hit"))).select(F.col("row_key").alias("_key")).distinct()
     return docs.join(written(hit, "contaminated"), decontaminate.row_key(F.col("doc_id"), F.col("text")) == F.col("_key"), "left_anti")
@@ -61,6 +65,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document that is left, with a digest of the text decoded from them."""
+    bounded_batches(spark)
     path = public_tokenizers.path(BYTE_FILE)
     return chunk_bpe.decode(chunk_bpe.encode(docs, path), path).select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -36,6 +36,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Lower the rows of an Arrow batch: texts are long, and a worker holds a batch several times over."""
+    now = int(spark.conf.get(ARROW_ROWS))
+    if now <= 0 or now > rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

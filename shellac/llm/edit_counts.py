@@ -119,7 +119,7 @@ _COUNTS: dict = {}
 def counter(path: str):
     """Token counts of segments; distinct ones are encoded once in a worker."""
     if path not in _COUNTS:
-        memo = Memo(lambda texts: [len(x) // 4 for x in encode_bytes(path, texts)], 500_000)
+        memo = Memo(lambda texts: [len(x) // 4 for x in encode_bytes(path, texts)], 300_000)
 
         def count(parts: list[str]) -> list[int]:
             memo.fill(parts)

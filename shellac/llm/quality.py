@@ -119,7 +119,8 @@ def train(
     ``labels`` holds the id and 0/1 in ``label_col``; rows with nulls are left
     out.  About ``most_labelled`` labelled and ``most_unlabelled`` other
     documents are chosen by a hash of their id; at most ``n_words`` words are
-    telling.  Without labels of both kinds there is no model (None).
+    telling.  Without documents of both kinds
+    there is no model (None).
     """
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).dropna().groupBy("id").agg(F.min("y").alias("y"))
     kinds = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -172,6 +173,8 @@ def train(
     meta = np.array([np.frombuffer(r["meta"], np.float32) for r in got], np.float32).astype(np.float64)
     y = np.array([np.nan if r["y"] is None else r["y"] for r in got])
     labelled = np.flatnonzero(~np.isnan(y))
+    if len(set(y[labelled])) < 2:
+        return None
     free = np.flatnonzero(np.isnan(y))
     held = labelled[::4]
     own = np.setdiff1d(labelled, held)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, chunk_bpe, decontaminate, edit_counts, jaccard_join, langid, language_model, packed_ids, quality, url_filter
-from .common import read_table
+from .common import bounded_batches, read_table
 from .tokenizers_io import word_encoder
 
 WORD_FILE, WORD_VOCABULARY, WORD_END = "word_bpe_49k.json", 49_408, 1
@@ -172,8 +173,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 
+def _bounded(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {name: _bounded(query) for name, query in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
