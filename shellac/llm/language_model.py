@@ -26,6 +26,7 @@ import math
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ _WORDS: list[Memo] = []
 
 def word_hashes(words: list[bytes]) -> list[int]:
     if not _WORDS:
-        _WORDS.append(Memo(lambda ws: [xxhash.xxh3_64_intdigest(w) for w in ws], 500_000))
+        _WORDS.append(Memo(lambda ws: [xxhash.xxh3_64_intdigest(w) for w in ws], 150_000))
     memo = _WORDS[0]
     memo.fill(words)
     return list(map(memo.__getitem__, words))
@@ -71,6 +72,25 @@ def ngram_hashes(words: np.ndarray, first: np.ndarray, order: int) -> list[np.nd
     return out
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Unsigned integers as compressed byte planes: the first bytes of all, the second of all, and so on."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+
+
+def unpacked(data: bytes, dtype: str) -> np.ndarray:
+    x = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.ascontiguousarray(x.T).reshape(-1).view(dtype)
+
+
+def packed_sorted(x: np.ndarray) -> bytes:
+    """Sorted hashes by their differences, whose upper bytes are few."""
+    return packed(np.diff(x, prepend=np.uint64(0)).astype("<u8"))
+
+
+def unpacked_sorted(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, "<u8"), dtype=np.uint64)
+
+
 class Block:
     """The n-grams of a block of texts."""
 
@@ -128,8 +148,8 @@ def score(
             c = np.bincount(i, weight, len(u)).astype("<u4")
             edge = np.searchsorted(bucket_of(u, n_buckets), np.arange(n_buckets + 1))
             for k in range(n_buckets):
-                grams[k].append(u[edge[k] : edge[k + 1]].astype("<u8").tobytes())
-                counts[k].append(c[edge[k] : edge[k + 1]].tobytes())
+                grams[k].append(packed_sorted(u[edge[k] : edge[k + 1]]))
+                counts[k].append(packed(c[edge[k] : edge[k + 1]]))
         out = {"block": [int(pdf["block"].iloc[0])] * n_buckets, "bucket": range(n_buckets)}
         for n in range(order):
             out[f"g{n}"] = [g[n] for g in grams]
@@ -144,15 +164,15 @@ def score(
         out = {"block": pdf["block"], "bucket": pdf["bucket"]}
         total_tokens = kinds = 0
         for n in range(order):
-            asked_for = [np.frombuffer(x, "<u8") for x in pdf[f"g{n}"]]
-            count = np.concatenate([np.frombuffer(x, "<u4") for x in pdf[f"c{n}"]]) if len(pdf) else np.zeros(0)
+            asked_for = [unpacked_sorted(x) for x in pdf[f"g{n}"]]
+            count = np.concatenate([unpacked(x, "<u4") for x in pdf[f"c{n}"]]) if len(pdf) else np.zeros(0)
             u, i = np.unique(np.concatenate(asked_for) if asked_for else np.zeros(0, np.uint64), return_inverse=True)
             c = np.bincount(i, count, len(u)).astype("<u8")
             if n == 0:
                 total_tokens, kinds = int(c.sum()), int((c > 0).sum())
             each = c[i].astype("<u4" if not len(c) or c.max() < 2**32 else "<u8")
             edge = np.cumsum([0] + [len(x) for x in asked_for])
-            out[f"c{n}"] = [each[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            out[f"c{n}"] = [packed(each[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
             out[f"w{n}"] = [each.itemsize] * len(pdf)
         return pd.DataFrame(out | {"tokens": total_tokens, "kinds": kinds})
 
@@ -162,7 +182,7 @@ def score(
     def finish(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         b = Block(list(pdf["text"]), order)
         got = got.sort_values("bucket")
-        count = [np.concatenate([np.frombuffer(x, f"<u{w}").astype(np.float64) for x, w in zip(got[f"c{n}"], got[f"w{n}"], strict=True)]) for n in range(order)]
+        count = [np.concatenate([unpacked(x, f"<u{w}").astype(np.float64) for x, w in zip(got[f"c{n}"], got[f"w{n}"], strict=True)]) for n in range(order)]
         n_all, kinds = int(got["tokens"].sum()), int(got["kinds"].sum())
         known, base, full = Automaton(b, count, n_all, kinds, strength).traverse()
         return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "in_train": pdf["in_train"].to_numpy(), "n_tokens": b.sizes, "n_known": known, "train_tokens": n_all, "base_score": base, "score": full})
