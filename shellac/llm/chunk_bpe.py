@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, by_size
+from .common import Memo, by_size, on_release, take_worker
 from .tokenizers_io import encode_bytes, tokenizer
 
 WINDOW, LEAST, MOST = 16, 64, 8192
@@ -110,6 +110,7 @@ class ChunkEncoder:
 
 
 _ENCODERS: dict = {}
+on_release(_ENCODERS.clear)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", mean_chunk: int = 512) -> DataFrame:
@@ -122,6 +123,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("chunk_bpe")
         key = (path, mean_chunk)
         if key not in _ENCODERS:
             _ENCODERS[key] = ChunkEncoder(path, mean_chunk)
@@ -159,6 +161,7 @@ def byte_table(path: str) -> list[bytes]:
 
 
 _TABLES: dict = {}
+on_release(_TABLES.clear)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -170,6 +173,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("chunk_bpe")
         if path not in _TABLES:
             _TABLES[path] = byte_table(path)
         table = _TABLES[path]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -36,6 +38,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_OWNER: list[str | None] = [None]
+_RELEASE: list = []
+
+
+def on_release(free) -> None:
+    """Register what drops an operator's memos and tokenizers from a Python worker."""
+    _RELEASE.append(free)
+
+
+def take_worker(owner: str) -> None:
+    """Called where an operator starts in a worker: what others have left there goes.
+
+    Spark hands the same workers to all stages of a job; without this their
+    memos would add up.
+    """
+    if _OWNER[0] == owner:
+        return
+    if _OWNER[0] is not None:
+        for free in _RELEASE:
+            free()
+        gc.collect()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except OSError:  # another C library: it keeps the pages for later use
+            pass
+    _OWNER[0] = owner
+
+
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

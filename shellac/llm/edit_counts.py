@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, by_size
+from .common import Memo, by_size, on_release, take_worker
 from .tokenizers_io import encode_bytes
 
 #: Blanks and line ends before a segment belong to it: its start is always a token boundary.
@@ -114,6 +114,7 @@ class CountTree:
 
 
 _COUNTS: dict = {}
+on_release(_COUNTS.clear)
 
 
 def counter(path: str):
@@ -173,6 +174,7 @@ def count_with_edits(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("edit_counts")
         count = counter(path)
         for batch in batches:
             at = 0

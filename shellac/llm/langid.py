@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_size
+from .common import by_size, take_worker
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
@@ -164,6 +164,7 @@ def language(net: ByteNet | None, text: Column) -> Column:
 
     @F.pandas_udf("lang_pred string, score double")
     def apply(texts: pd.Series) -> pd.DataFrame:
+        take_worker("langid")
         langs, scores = label_texts(net, texts.tolist())
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 

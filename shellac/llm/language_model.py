@@ -30,13 +30,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo
+from .common import Memo, on_release, take_worker
 
 #: The end of a text, counted as a token; no word holds a blank.
 END = xxhash.xxh3_64_intdigest(b" end ")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 _WORDS: list[Memo] = []
+on_release(_WORDS.clear)
 
 
 def word_hashes(words: list[bytes]) -> list[int]:
@@ -140,6 +141,7 @@ def score(
 
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
         """The block's n-grams, with their counts in its training texts, cut by bucket."""
+        take_worker("words")
         b = Block(list(pdf["text"]), order)
         weight = np.repeat(pdf["in_train"].to_numpy(np.float64), b.sizes)
         grams: list[list[bytes]] = [[] for _ in range(n_buckets)]
@@ -180,6 +182,7 @@ def score(
     answered = asked.groupBy("bucket").applyInPandas(answer, kind)
 
     def finish(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        take_worker("words")
         b = Block(list(pdf["text"]), order)
         got = got.sort_values("bucket")
         count = [np.concatenate([unpacked(x, f"<u{w}").astype(np.float64) for x, w in zip(got[f"c{n}"], got[f"w{n}"], strict=True)]) for n in range(order)]

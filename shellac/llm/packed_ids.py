@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import shared_dir, take_worker
 
 MAGIC, VERSION, BLOCK = b"SHPI", 1, 4096
 HEADER = struct.Struct("<4sIIIQQQ")
@@ -165,6 +165,7 @@ def write_packed(
     bits = bits_for(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("packed_ids")
         writer, shard, encode = Writer(bits, block), None, None
         for batch in batches:
             if not batch.num_rows:

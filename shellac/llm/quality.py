@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import take_worker, written
 
 #: ASCII letters in lower case, digits and the bytes of other scripts stay, all else parts words.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
@@ -203,6 +203,7 @@ def judged(model: CoModel | None, text: Column, texts: list[Column], numbers: li
 
     @F.pandas_udf("quality double, p_text double, p_meta double")
     def apply(text: pd.Series, *values: pd.Series) -> pd.DataFrame:
+        take_worker("quality")
         rows = [v.astype(object).where(v.notna(), None).tolist() for v in values]
         words, out = text.tolist(), []
         for at in range(0, len(words), 500):  # bounds the feature rows held
