@@ -15,8 +15,10 @@ empty parts; only such sets join on their empty parts too.
 A join key that many near copies share is not expanded into pairs.  In rounds
 every key names one pivot (the member with the most company), all its members
 are checked against the pivot, and members of one component need no further
-check.  When the pairs left between different components are few, they are
-checked all; until then rounds go on, so no link between components is lost.
+check.  Once the pairs left between different components are few for each row,
+all of them are compared by short bit sketches, whose Hamming distance is a lower
+bound of the symmetric difference, and what is left is checked; until then rounds
+go on, so no link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,19 +26,21 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import take_worker, written
 from .components import components
 from .language_model import tokens, word_hashes
 
 #: Representatives' ids are broadcast up to this many (16 MB); beyond it their texts are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: All pairs left are compared by their short sketches once they are no more than this many for each shared key.
+PAIRS_A_ROW = 20
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -110,6 +114,7 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(id, n, class, keys) per row; keys only for the first row of a class in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("words")
         met: set[int] = set()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -134,15 +139,39 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, class long, keys array<long>")
 
 
+#: 64-bit words of a set's short sketch, and their columns.
+WORDS = 16
+BITS = [f"w{i}" for i in range(WORDS)]
+
+
+def short_sketch(h: np.ndarray) -> np.ndarray:
+    """1024 bits, one flipped by each element: sketches differ in no more bits than the sets in elements."""
+    odd = np.bincount((mixed(h, 4) >> np.uint64(54)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _hashed(docs: DataFrame, size: int) -> DataFrame:
+    """(id, s, n, short sketch) per row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_worker("words")
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for at in range(0, len(texts), 500):
-                sets = [shingles(t, size).view(np.int64) for t in texts[at : at + 500]]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(sets)), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
+                sets = [shingles(t, size) for t in texts[at : at + 500]]
+                bits = np.array([short_sketch(h) for h in sets], np.int64).reshape(len(sets), WORDS)
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(at, len(sets)), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS))],
+                    names=["id", "s", "n", *BITS])
+
+    return docs.mapInArrow(run, "id long, s array<long>, n long, " + ", ".join(f"{b} long" for b in BITS))
+
 
-    return docs.mapInArrow(run, "id long, s array<long>")
+def _near(a: str, b: str, percent: int) -> Column:
+    """What linked sets must fulfil by their sizes and short sketches: the sketches' distance and the sizes' are at most the sets'."""
+    most = (100 - percent) * (F.col(f"{a}.n") + F.col(f"{b}.n"))
+    apart = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}.{w}").bitwiseXOR(F.col(f"{b}.{w}"))) for w in BITS])
+    return ((100 + percent) * F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= most) & ((100 + percent) * apart <= most)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -169,10 +198,11 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     sets = written(_sets(rows, size, percent), "sketches")
     classes = written(sets.filter("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("n_class")), "classes")
 
-    members = Window.partitionBy("key")
-    keyed = sets.filter("id is not null").select("class", F.explode("keys").alias("key")).distinct()
-    shared = keyed.withColumn("n", F.count("*").over(members)).filter("n > 1")
-    live = written(shared.join(classes.select("class", F.col("rep").alias("id")), "class").select("key", "id", "n"), "keys")
+    # one shuffle of (key, class); a key of one class only, however often it was listed, goes at once
+    of_key = Window.partitionBy("key")
+    keyed = sets.filter("id is not null").select("class", F.explode("keys").alias("key"))
+    shared = keyed.withColumns({"low": F.min("class").over(of_key), "high": F.max("class").over(of_key)}).filter("low <> high").select("class", "key").distinct()
+    live = written(shared.join(classes.select("class", F.col("rep").alias("id")), "class").select("key", "id"), "keys")
     edges = _links(rows, live, size, percent)
 
     # rows that repeat an id with other texts tie the classes of that id together
@@ -189,39 +219,46 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
 def _links(rows: DataFrame, live: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) that connect what the join keys connect, in rounds of pivots."""
     spark = rows.sparkSession
-    involved = written(live.groupBy("id").agg(F.sum(F.col("n") - 1).alias("company")), "involved")
-    n_involved = involved.count()
+    company = live.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    involved = written(company.groupBy("id").agg(F.sum(F.col("n") - 1).alias("company")), "involved")
+    n_involved, n_live = involved.count(), live.count()
     ids = involved.select("id")
     if n_involved <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     edges = spark.createDataFrame([], "a long, b long")
     if not n_involved:
         return edges
-    # a repeated id would give several sets: all of them are compared
+    # a repeated id has several sets: all of them are compared
     sets = written(_hashed(rows.join(ids, "id", "left_semi"), size).distinct(), "sets")
-    left = written(live.join(involved, "id").select("key", "id", "company"), "left")
-    done = None
-    label = ids.select("id", F.col("id").alias("component"))
+    short = sets.select("id", "n", *BITS)
+    left = written(live.join(involved, "id"), "left")
+    done = label = None
     while True:
-        tagged = left.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        tagged = left.withColumn("component", F.col("id")) if label is None else left.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
         per = tagged.groupBy("key", "component").agg(F.count("*").alias("c"))
-        open_keys = per.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).filter("s * s > q")
-        open_keys = written(open_keys, "open")
-        n_rows, n_pairs = open_keys.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
+        keys = per.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).filter("s * s > q")
+        keys = written(keys, "open")
+        n_rows, n_pairs = keys.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
         if not n_rows:
             return edges
-        left = written(tagged.join(open_keys.select("key"), "key", "left_semi"), "left")
-        last = n_pairs <= max(200_000, 2 * n_rows)
+        left = written(tagged.join(keys.select("key"), "key", "left_semi"), "left")
+        last = n_pairs <= PAIRS_A_ROW * n_live
         if last:
-            # few pairs are left: every pair of different components that shares a key
-            x = left.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-            y = left.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-            pairs = x.join(y, "key").filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            # the pairs of different components that share a key are as many as the rows at most, but for a factor
+            full = left.select("key", "id", "component").join(short, "id")
+            a, b = full.alias("a"), full.alias("b")
+            met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & _near("a", "b", percent))
+            pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
         else:
-            first = F.max(F.struct("company", (-F.col("id")).alias("m"))).over(Window.partitionBy("key"))["m"]
-            starred = written(left.withColumn("pivot", -first), "starred")
-            mine = F.min(F.when(F.col("id") == F.col("pivot"), F.col("component"))).over(Window.partitionBy("key"))
-            pairs = starred.withColumn("pc", mine).filter("component <> pc").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+            by_key = Window.partitionBy("key")
+            pivot = -F.max(F.struct("company", (-F.col("id")).alias("m"))).over(by_key)["m"]
+            starred = left.withColumn("pivot", pivot)
+            own = F.min(F.when(F.col("id") == F.col("pivot"), F.col("component"))).over(by_key)
+            starred = written(starred.withColumn("own", own), "starred")
+            star = starred.filter("component <> own").select("id", "pivot").distinct()
+            a, b = short.alias("a"), short.alias("b")
+            met = star.join(a, F.col("a.id") == F.col("pivot")).join(b, F.col("b.id") == star["id"]).filter(_near("a", "b", percent))
+            pairs = met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
             left = starred.filter("id <> pivot").select("key", "id", "company")
         pairs = pairs.distinct()
         if done is not None:
