@@ -68,7 +68,7 @@ class Tables:
 
     def keys(self, slots: np.ndarray, table: int) -> np.ndarray:
         """One long for each slot tuple of a table."""
-        h = np.full(len(slots), table + 1, np.uint64)
+        h = np.full(len(slots), (table + 1) * 0xC2B2AE3D27D4EB4F & 0xFFFFFFFFFFFFFFFF, np.uint64)
         for k in range(slots.shape[1]):
             h = (h ^ slots[:, k].astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
@@ -138,7 +138,7 @@ def search(
 
     def rank(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"q": [], "s": [], "c": []}, dtype=object)
+            return pd.DataFrame({"q": [], "n": [], "c": []}, dtype=object)
         x, ids = _matrix(b["v"]), b["c"].to_numpy()
         q, scores, found = [], [], []
         for at in range(0, len(a), 256):
@@ -150,12 +150,14 @@ def search(
                     best = np.flatnonzero(row >= np.partition(row, -(k + 1))[-(k + 1)])
                 best = best[np.lexsort((ids[best], -row[best]))][: k + 1]
                 q.append(c)
-                scores.append(row[best])
+                scores.append(-row[best])
                 found.append(ids[best])
-        return pd.DataFrame({"q": q, "s": scores, "c": found})
+        return pd.DataFrame({"q": q, "n": scores, "c": found})
 
-    each = probed.groupBy("bucket", "chunk").cogroup(held.groupBy("bucket", "chunk")).applyInPandas(rank, "q long, s array<double>, c array<long>")
-    near = each.select("q", F.explode(F.arrays_zip("s", "c")).alias("f")).select("q", "f.s", "f.c").groupBy("q", "c").agg(F.max("s").alias("s"))
+    each = probed.groupBy("bucket", "chunk").cogroup(held.groupBy("bucket", "chunk")).applyInPandas(rank, "q long, n array<double>, c array<long>")
+    # a candidate comes from each table once at most: so many entries hold the best of all tables
+    merged = F.slice(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("n", "c")))), 1, (k + 1) * made.count)
+    near = each.groupBy("q").agg(merged.alias("f")).select("q", F.explode("f").alias("f")).select("q", (-F.col("f.n")).alias("s"), F.col("f.c").alias("c")).groupBy("q", "c").agg(F.max("s").alias("s"))
     top = Window.partitionBy("q").orderBy(F.desc("s"), "c")
     best = near.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= k + 1).drop("r")
     named = best.join(classes.select("c", "ids"), "c").select("q", "s", F.explode("ids").alias("vec_id"))
