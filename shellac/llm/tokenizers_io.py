@@ -8,9 +8,10 @@ import re
 from array import array
 from collections.abc import Callable
 
-from .common import Memo, by_size
+from .common import Memo, by_size, on_release
 
 _MADE: dict = {}
+on_release(_MADE.clear)
 
 
 def tokenizer(path: str):
@@ -80,6 +81,25 @@ def encode_many(path: str, texts: list[str], run: int = 256 << 10) -> list[bytes
     return out
 
 
+def _letters() -> list[str]:
+    """The letters that stand for bytes 0 to 255 in byte-level files."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
+def _word_model(path: str):
+    """The library's BPE model, if its tokenizer does to a lower-case Latin word nothing before the model but write its bytes as letters."""
+    state = json.loads(tokenizer(path).to_str())
+    parts = [x["type"] for x in (state.get("normalizer") or {}).get("normalizers", [])]
+    pre = (state.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    known = (
+        parts == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in pre] == ["Split", "ByteLevel"]
+        and "[\\p{L}]+" in pre[0]["pattern"].get("Regex", "").split("|") and not pre[1]["add_prefix_space"] and not pre[1]["use_regex"]
+    )
+    return tokenizer(path).model if known else None
+
+
 def word_encoder(path: str, end_id: int | None = None) -> Callable[[list[str]], list[bytes]]:
     """An encoder for tokenizers that drop white space and never join words.
 
@@ -87,26 +107,38 @@ def word_encoder(path: str, end_id: int | None = None) -> Callable[[list[str]],
     signs never share a token) gives the same ids word by word: texts are cut at
     blanks and line ends, each distinct word is encoded once per worker and kept
     in a bounded memo.  A word of letters and one ASCII sign is looked up as its
-    two parts, an ASCII word in lower case.  ``end_id`` is appended to each text.
+    two parts, a Latin word in lower case.  ``end_id`` is appended to each text.
     """
     key = (path, "words", end_id)
     if key in _MADE:
         return _MADE[key]
     end = b"" if end_id is None else array("I", [end_id]).tobytes()
     signs = frozenset(".,;:!?")
-    stems = Memo(lambda words: encode_many(path, words))
+    model, letters = _word_model(path), _letters()
+
+    def encode_stems(stems: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(stems)
+        if model is not None:
+            for i, w in enumerate(stems):
+                if w.isalpha() and w.islower() and not ODD.search(w):
+                    out[i] = array("I", [t.id for t in model.tokenize(w if w.isascii() else "".join(letters[b] for b in w.encode()))]).tobytes()
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(rest, encode_many(path, [stems[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+    stems = Memo(encode_stems)
 
     def compute(words: list[str]) -> list[bytes]:
         parts = []
         for w in words:
             stem = w[:-1] if w[-1:] in signs else w
-            if stem.isalpha():
-                low = stem.lower() if stem.isascii() else stem
+            low = stem.lower()
+            if stem.isalpha() and low.isalpha() and not ODD.search(stem):
                 parts.append((low,) if stem is w else (low, w[-1]))
             else:
                 parts.append((w,))
-        wanted = {p for x in parts for p in x}
-        stems.fill(wanted)
+        stems.fill({p for x in parts for p in x})
         return [b"".join(map(stems.__getitem__, x)) for x in parts]
 
     memo = Memo(compute, 600_000)
