@@ -10,6 +10,8 @@ from ..schema import SOURCE_FIELDS
 from ..storage import stored
 
 KEPT_PAYLOAD, KEPT_IMPORTS = 25_000, 10
+#: ``op`` of the one change row that stands for the rows of a truncated import.
+CUT = "cut"
 
 
 def multiset_diff(live: DataFrame, target: DataFrame, order_col: str = "n") -> DataFrame:
@@ -53,21 +55,24 @@ def apply_diff(live: DataFrame, target: DataFrame, diff: DataFrame, order_col: s
     return live.join(gone, "id", "left_anti").unionByName(numbered.select(*columns), allowMissingColumns=True)
 
 
-def record_import(history: DataFrame, changes: DataFrame, diff: DataFrame, live: DataFrame, target: DataFrame, now, order_col: str = "n") -> tuple[DataFrame, DataFrame]:
+def record_import(history: DataFrame, changes: DataFrame, diff: DataFrame, live: DataFrame, target: DataFrame, now, order_col: str = "n", whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """History and change rows after an import.
 
-    Nothing is recorded when nothing changed; the changed rows are kept up to
-    25,000 of them, else the entry is marked truncated; the newest 10 entries
-    stay.
+    Nothing is recorded when nothing changed.  With ``whole`` all changed rows
+    are kept; else up to 25,000 of them, beyond which the entry is marked
+    truncated and one row with op ``cut`` stands for them.  The newest 10
+    entries stay.
     """
     n = diff.agg(F.count_if(F.col("status") == "insert").alias("i"), F.count_if(F.col("status") == "delete").alias("d"), F.count_if(F.col("status") != "insert").alias("l"), F.count_if(F.col("status") != "delete").alias("t")).first()
     if not n["i"] + n["d"]:
         return history, changes
     import_id = (history.agg(F.max("id")).first()[0] or 0) + 1
-    truncated = n["i"] + n["d"] > KEPT_PAYLOAD
+    truncated = not whole and n["i"] + n["d"] > KEPT_PAYLOAD
     entry = history.sparkSession.createDataFrame([(import_id, now, n["i"], n["d"], n["t"], n["l"], truncated)], history.schema)
     kept = history.unionByName(entry).orderBy(F.desc("id")).limit(KEPT_IMPORTS)
-    if not truncated:
+    if truncated:
+        changes = changes.unionByName(history.sparkSession.createDataFrame([(import_id, CUT)], "import_id long, op string"), allowMissingColumns=True)
+    else:
         ins = target.join(diff.filter("status = 'insert'").select(F.col("n").alias(order_col)), order_col, "left_semi").select(F.lit(import_id).cast("long").alias("import_id"), F.lit("ins").alias("op"), *SOURCE_FIELDS)
         out = live.join(diff.filter("status = 'delete'").select("id"), "id", "left_semi").select(F.lit(import_id).cast("long").alias("import_id"), F.lit("del").alias("op"), *SOURCE_FIELDS)
         changes = changes.unionByName(ins).unionByName(out)
@@ -85,15 +90,19 @@ def net_reversal(changes: DataFrame, import_id: int) -> DataFrame:
 
     Net is inserted less deleted copies: so many copies have to go, or to come
     back if it is negative.  Copies are exchangeable, so the order of imports
-    doesn't matter.
+    doesn't matter.  ValueError if the rows of one of these imports were not kept.
     """
-    later = changes.filter(F.col("import_id") >= import_id).withColumn("hash", content_hash())
+    later = changes.filter(F.col("import_id") >= import_id)
+    cut = later.filter(F.col("op") == CUT).agg(F.min("import_id")).first()[0]
+    if cut is not None:
+        raise ValueError(f"the changed rows of import {cut} were not kept")
+    later = later.withColumn("hash", content_hash())
     each = later.groupBy("hash").agg(F.sum(F.when(F.col("op") == "ins", 1).otherwise(-1)).alias("net"), F.min(F.struct(*SOURCE_FIELDS)).alias("row"))
     return each.filter("net <> 0").select("hash", "net", "row.*")
 
 
 def reconstruct_before(live: DataFrame, changes: DataFrame, import_id: int) -> DataFrame:
-    """Source columns of the rows as they were before an import, copies included."""
+    """Source columns of the rows as they were before an import, copies included; ValueError as in ``net_reversal``."""
     back = net_reversal(changes, import_id)
     numbered = live.withColumn("hash", content_hash())
     # only contents that lose copies are numbered

@@ -348,7 +348,7 @@ def apply_diff(spark, sf_dir):
     return diff.apply_diff(live.select("id", *SOURCE_FIELDS), new, diff.multiset_diff(live, new))
 
 
-def _history(spark, sf_dir):
+def _history(spark, sf_dir, whole=True):
     """Two imports: the upload over the catalogue, and the catalogue without some rows over that."""
     first, second = stored(fx.catalogue(spark, sf_dir).select("id", *SOURCE_FIELDS), "live"), stored(fx.upload(spark, sf_dir), "target")
     history = spark.createDataFrame([], "id long, created_at timestamp, inserted_count long, deleted_count long, result_count long, previous_count long, truncated boolean")
@@ -356,7 +356,7 @@ def _history(spark, sf_dir):
     live = first
     for target in (second, first.filter("id % 13 <> 0").withColumn("n", F.col("id"))):
         d = stored(diff.multiset_diff(live, target), "diff")
-        history, changes = diff.record_import(history, changes, d, live, target, NOW)
+        history, changes = diff.record_import(history, changes, d, live, target, NOW, whole=whole)
         history, changes = stored(history, "history"), stored(changes, "changes")
         live = stored(diff.apply_diff(live, target, d), "live")
     return history, changes, live
@@ -375,7 +375,7 @@ def _entry(i: int, new: str, old: str) -> str:
 
 @query("record_import", f"{_H2} SELECT *, inserted_count + deleted_count > 25000 AS truncated FROM ({_entry(1, 'upload', 'cat')} UNION ALL {_entry(2, 'c3', 'upload')})")
 def record_import(spark, sf_dir):
-    return _history(spark, sf_dir)[0].drop("created_at")
+    return _history(spark, sf_dir, whole=False)[0].drop("created_at")
 
 
 @query("can_reconstruct", "SELECT true AS can")

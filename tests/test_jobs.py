@@ -54,6 +54,24 @@ def test_multiset_diff_and_history(spark):
     assert diff.multiset_diff(live.limit(0), target).filter("status = 'insert'").count() == 5
 
 
+def test_truncated_history(spark, monkeypatch):
+    monkeypatch.setattr(diff, "KEPT_PAYLOAD", 2)
+    live, target = source(spark, [{"title": x} for x in "aabb"], "id"), source(spark, [{"title": x} for x in "abbbc"])
+    d = diff.multiset_diff(live, target)
+    after = diff.apply_diff(live, target, d)
+    history = spark.createDataFrame([], "id long, created_at timestamp, inserted_count long, deleted_count long, result_count long, previous_count long, truncated boolean")
+    changes = spark.createDataFrame([], "import_id long, op string, " + ", ".join(f"{f} string" for f in SOURCE_FIELDS))
+    cut, kept = diff.record_import(history, changes, d, live, target, NOW)
+    assert cut.first()["truncated"] and not diff.can_reconstruct(cut, 1).first()["can"]
+    for f in (lambda: diff.net_reversal(kept, 1), lambda: diff.reconstruct_before(after, kept, 1)):
+        with pytest.raises(ValueError):
+            f()
+    assert diff.net_reversal(kept, 2).count() == 0
+    entries, rows = diff.record_import(history, changes, d, live, target, NOW, whole=True)
+    assert diff.can_reconstruct(entries, 1).first()["can"]
+    assert sorted(r["title"] for r in diff.reconstruct_before(after, rows, 1).collect()) == ["a", "a", "b", "b"]
+
+
 def side(n, **more):
     return {"label_number": n, "label": "L", "year": "1970", "format": "12", "artist": "a", "title": f"t {n}", "b_side_title": "x", **more}
 

@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from shellac.operators import diff
 from shellac.plans import registry
 
 duckdb = pytest.importorskip("duckdb")
@@ -38,6 +39,12 @@ def test_query(spark, duck, name):
     assert plain(tuple(r) for r in got.select(*columns).collect()) == plain(want)
 
 
+@pytest.mark.parametrize("name", ["net_reversal", "reconstruct_before", "can_reconstruct"])
+def test_history_beyond_the_kept_payload(spark, duck, monkeypatch, name):
+    monkeypatch.setattr(diff, "KEPT_PAYLOAD", 100)
+    test_query(spark, duck, name)
+
+
 def test_every_catalogue_query_has_sql():
     assert set(registry.QUERIES) == set(registry.ORACLES)
 
