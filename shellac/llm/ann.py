@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Vectors in one chunk of a bucket: larger buckets are split.
+#: Vectors in one chunk of a bucket, and queries in one block of those that visit it: more of them are split.
 CHUNK = 4096
 
 
@@ -130,11 +130,19 @@ def search(
                 yield pd.DataFrame({"c": part["c"].to_numpy(), "v": part["v"].to_numpy(), "buckets": got})
 
     placed = written(classes.select("c", "v").mapInPandas(place, "bucket long, c long, v array<double>"), "placed")
-    directory = placed.groupBy("bucket").count().select("bucket", F.ceil(F.col("count") / CHUNK).cast("int").alias("chunks"))
-    chunk = F.pmod(F.xxhash64("c"), F.col("chunks")).cast("int")
-    held = placed.join(directory, "bucket").select("bucket", chunk.alias("chunk"), "c", "v")
-    probed = queries.mapInPandas(visit, "c long, v array<double>, buckets array<long>").select("c", "v", F.explode("buckets").alias("bucket")).join(directory, "bucket")
-    probed = probed.select("bucket", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "c", "v")
+    visits = written(queries.mapInPandas(visit, "c long, v array<double>, buckets array<long>"), "visits")
+    pieces = F.ceil(F.col("count") / CHUNK).cast("int")
+    chunks = placed.groupBy("bucket").count().select("bucket", pieces.alias("chunks"))
+    blocks = visits.select(F.explode("buckets").alias("bucket")).groupBy("bucket").count().select("bucket", pieces.alias("blocks"))
+    directory = written(chunks.join(blocks, "bucket"), "directory")
+
+    def dealt(rows: DataFrame, own: str, other: str) -> DataFrame:
+        """Each row in its own piece of the bucket, once for each piece of the other side."""
+        mine, theirs = F.pmod(F.xxhash64("c"), F.col(f"{own}s")).cast("int"), F.explode(F.sequence(F.lit(0), F.col(f"{other}s") - 1))
+        return rows.join(directory, "bucket").select("bucket", mine.alias(own), theirs.alias(other), "c", "v")
+
+    held = dealt(placed, "chunk", "block")
+    probed = dealt(visits.select("c", "v", F.explode("buckets").alias("bucket")), "block", "chunk")
 
     def rank(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -154,7 +162,7 @@ def search(
                 found.append(ids[best])
         return pd.DataFrame({"q": q, "n": scores, "c": found})
 
-    each = probed.groupBy("bucket", "chunk").cogroup(held.groupBy("bucket", "chunk")).applyInPandas(rank, "q long, n array<double>, c array<long>")
+    each = probed.groupBy("bucket", "chunk", "block").cogroup(held.groupBy("bucket", "chunk", "block")).applyInPandas(rank, "q long, n array<double>, c array<long>")
     # a candidate comes from each table once at most: so many entries hold the best of all tables
     merged = F.slice(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("n", "c")))), 1, (k + 1) * made.count)
     near = each.groupBy("q").agg(merged.alias("f")).select("q", F.explode("f").alias("f")).select("q", (-F.col("f.n")).alias("s"), F.col("f.c").alias("c")).groupBy("q", "c").agg(F.max("s").alias("s"))

@@ -12,6 +12,7 @@ import pytest
 pytest.importorskip("public_tokenizers")
 
 from pyspark.sql import functions as F  # noqa: E402
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps  # noqa: E402
 
 from shellac.llm import ann, components, decontaminate, jaccard_join, langid, language_model, quality, url_filter  # noqa: E402
 
@@ -276,6 +277,29 @@ def test_neighbours(spark, unit):
     assert hits >= 0.9 * 10 * len(got)
 
 
+def test_neighbours_in_a_crowded_bucket(spark, monkeypatch):
+    monkeypatch.setattr(ann, "CHUNK", 32)
+    cogroup = PandasCogroupedOps.applyInPandas
+
+    def bounded(f):
+        def run(a, b):
+            assert max(len(a), len(b)) <= 128, (len(a), len(b))
+            return f(a, b)
+
+        return run
+
+    monkeypatch.setattr(PandasCogroupedOps, "applyInPandas", lambda self, f, schema: cogroup(self, bounded(f), schema))
+    r = np.random.default_rng(13)
+    x = r.normal(size=8) + 1e-3 * r.normal(size=(1200, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for g in ann.search(df, F.col("vec_id") % 2 == 0, k=5).orderBy("query_id", "rank").collect():
+        got[g["query_id"]].append(g["vec_id"])
+    assert set(got) == set(range(0, 1200, 2)) and {len(found) for found in got.values()} == {5}
+    hits = sum(len(set(found) & set([i for i in np.argsort(-(x @ x[q])) if i != q][:5])) for q, found in got.items())
+    assert hits >= 0.9 * 5 * len(got)
+
+
 def test_neighbours_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])], "vec_id long, embedding array<double>")
     assert [(r["query_id"], r["vec_id"]) for r in ann.search(df, F.col("vec_id") % 20 == 0, k=5).orderBy("rank").collect()] == [(0, 2), (0, 1)]
