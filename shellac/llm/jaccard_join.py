@@ -111,21 +111,22 @@ def sketch_keys(h: np.ndarray, low: int, percent: int) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, n, class, keys) per row; keys only for the first row of a class in a task."""
+    """(id, n, class, keys) per row; keys only for the first row with an id of a class in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker("words")
         met: set[int] = set()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
+            named = ids.is_valid().to_pylist()
             for at in range(0, len(texts), 500):
                 n, kind, keys = [], [], []
-                for text in texts[at : at + 500]:
+                for text, has_id in zip(texts[at : at + 500], named[at : at + 500], strict=True):
                     h = shingles(text, size)
                     n.append(len(h))
                     digest = int(mixed(np.add.reduce(mixed(h, 5), keepdims=True) + np.uint64(len(h)), 6).view(np.int64)[0]) if len(h) else None
                     kind.append(digest)
-                    if digest is None or digest in met:
+                    if digest is None or not has_id or digest in met:
                         keys.append(None)
                         continue
                     if len(met) < 1_000_000:

@@ -76,6 +76,15 @@ def test_jaccard_join_repeated_ids_and_empty(spark):
     assert jaccard_join.join(spark.createDataFrame([], "doc_id long, text string"), 3, 90).count() == 0
 
 
+def test_jaccard_join_null_id_first(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [*words[:100], "other", *words[101:]]
+    rows = [(None, " ".join(words)), (1, " ".join(words)), (2, " ".join(near))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = jaccard_join.join(docs, 5, 80).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in got) == groups(rows, 5, 80)
+
+
 @pytest.mark.parametrize("percent", [50, 80, 90])
 def test_pigeonhole_bound(percent):
     r = random.Random(percent)
