@@ -12,30 +12,53 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``.
-
-    Where the setting is missing (tests on one machine) a temporary folder is
-    made once per session and set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("shellac.shared.dir", None)
+    """The folder all executors share: ``spark.checkpoint.dir``, or the local one that ``set_local`` has named."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL_DIR, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shellac-")
-        spark.conf.set("shellac.shared.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+        spark.conf.set(LOCAL_DIR, found)
     return found.rstrip("/")
 
 
+#: Stands in for ``spark.checkpoint.dir`` where all of Spark runs in one process.
+LOCAL_DIR = "shellac.shared.dir"
+#: Spark's own switch that removes an execution's shuffle files as soon as it has ended.
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    Cuts the lineage: a lost executor costs a re-read, not a recomputation.  The
+    shuffle files behind ``df`` go once it is written; ``dropped`` removes the
+    table when what was made of it is written in turn.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing reads any more; other frames are left alone."""
+    for df in tables:
+        path = getattr(df, "written_to", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 _OWNER: list[str | None] = [None]

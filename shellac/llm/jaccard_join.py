@@ -1,24 +1,26 @@
 """N-gram Jaccard join by parity sketches.
 
-Equal sets form one class, found by a digest.  A class has a sketch of 64-bit
-parts: every shingle XORs its hash into the one part it belongs to, so two
+Equal sets form one class, found by a 128-bit digest.  A class has a sketch of
+64-bit parts: every shingle XORs its hash into the one part it belongs to, so two
 sketches differ in no more parts than the sets differ in elements.  Sets fall in
 size bands; linked sets lie in the same or in neighbouring bands and differ in at
-most D elements (from the band's largest size).  A sketch of the band has more
-than D parts, so linked sets agree in at least one whole part (pigeonhole).
-Classes are joined on (band, part, bits) and checked exactly.
-
-The parts leave room for empty ones: with P = D + 1 + s parts a linked pair
-agrees in s + 1 parts, hence in a filled part unless both sets have more than s
-empty parts; only such sets join on their empty parts too.
-
-A join key that many near copies share is not expanded into pairs.  In rounds
-every key names one pivot (the member with the most company), all its members
-are checked against the pivot, and members of one component need no further
-check.  Once the pairs left between different components are few for each row,
-all of them are compared by short bit sketches, whose Hamming distance is a lower
-bound of the symmetric difference, and what is left is checked; until then rounds
-go on, so no link between components is lost.
+most D elements (from the band's largest size).  A sketch of the band has
+P = D + 1 + e + s parts, so linked sets agree in e + 1 + s parts (pigeonhole), and
+in e + 1 filled ones unless both have more than s empty parts; only such sets join
+on their empty parts too.  Classes are joined on (band, part, bits): a class that
+shares fewer than e + 1 keys with any others links with none and is done.
+
+The classes that are left are compared by their elements, rarest first: two sets
+that link share one of the first n - o + 1 elements of each, where o is the overlap
+that sets of their sizes need.  Members of a crowded cluster mostly have more
+elements of their own than that, so they meet nobody.  One round of stars comes
+first: every element names as pivot its member with the fewest elements of its own,
+and all its members are compared with the pivot.  What still stands in different
+components and meets the bounds of size and position is then compared, each pair
+once.  A pair is first held against the Hamming distance of two short parity
+sketches, a lower bound of the symmetric difference, and then checked exactly.
+There are two rounds whatever the size of a group, and no link is lost between
+components.  "Exact" is meant up to collisions of 64-bit shingle hashes.
 """
 
 from __future__ import annotations
@@ -30,17 +32,17 @@ from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import take_worker, written
+from .common import dropped, take_worker, written
 from .components import components
 from .language_model import tokens, word_hashes
 
 #: Representatives' ids are broadcast up to this many (16 MB); beyond it their texts are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
-#: All pairs left are compared by their short sketches once they are no more than this many for each shared key.
-PAIRS_A_ROW = 20
+#: Parts beyond the least number, as a share of D: so many more keys must two linked sets share.
+EXTRA = 0.15
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -79,22 +81,22 @@ def band_below(low: int, percent: int) -> int | None:
 
 
 @cache
-def parts_of(low: int, percent: int) -> tuple[int, int, int]:
-    """(D, spare, parts) of the band from ``low``: most differing elements, spare parts, all parts."""
+def parts_of(low: int, percent: int) -> tuple[int, int, int, int]:
+    """(D, extra, spare, parts) of the band from ``low``: most differing elements, extra and spare parts, all parts."""
     high = 100 * low // percent
     t = Fraction(percent, 100)
     most = math.floor((1 - t) / (1 + t) * (high + math.floor(high / t)))
-    spare = 0
+    extra, spare = int(EXTRA * most), 0
     for _ in range(20):
-        p = most + 1 + spare
+        p = most + 1 + extra + spare
         empty = p * math.exp(-low / p)
         spare = math.ceil(empty + 3 * math.sqrt(empty))
-    return most, spare, most + 1 + spare
+    return most, extra, spare, most + 1 + extra + spare
 
 
 def sketch_keys(h: np.ndarray, low: int, percent: int) -> np.ndarray:
     """Join keys of the set ``h`` in the band from ``low``: one for each filled part, and for empty ones if they are many."""
-    most, spare, parts = parts_of(low, percent)
+    most, _, spare, parts = parts_of(low, percent)
     if most == 0:
         return np.zeros(0, np.int64)  # only equal sets link
     at = (mixed(h, low) >> np.uint64(16)) % np.uint64(parts)
@@ -110,34 +112,55 @@ def sketch_keys(h: np.ndarray, low: int, percent: int) -> np.ndarray:
     return mixed(bits ^ mixed(where + np.uint64(low << 20), 2), 3).view(np.int64)
 
 
+def keys_of(h: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The keys of a set in its own band and the one below, and how many of them a linked set shares at least."""
+    low = band(len(h), percent)
+    below = band_below(low, percent)
+    keys, need = sketch_keys(h, low, percent), parts_of(low, percent)[1] + 1
+    if below:
+        keys, need = np.concatenate((keys, sketch_keys(h, below, percent))), min(need, parts_of(below, percent)[1] + 1)
+    return keys, need
+
+
+def digest(h: np.ndarray) -> tuple[int, int] | tuple[None, None]:
+    """Two 64-bit halves that stand for the set; nulls for the empty set."""
+    if not len(h):
+        return None, None
+    n = np.uint64(len(h))
+    halves = [mixed(np.add.reduce(mixed(h, salt), keepdims=True) + n, salt + 1).view(np.int64)[0] for salt in (5, 7)]
+    return int(halves[0]), int(halves[1])
+
+
 def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(id, n, class, keys) per row; keys only for the first row with an id of a class in a task."""
+    """(id, n, lo, hi, need, keys) per row; keys only for the first row with an id of a class in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker("words")
-        met: set[int] = set()
+        met: set[tuple[int, int]] = set()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             named = ids.is_valid().to_pylist()
             for at in range(0, len(texts), 500):
-                n, kind, keys = [], [], []
+                n, lo, hi, need, keys = [], [], [], [], []
                 for text, has_id in zip(texts[at : at + 500], named[at : at + 500], strict=True):
                     h = shingles(text, size)
+                    kind = digest(h)
                     n.append(len(h))
-                    digest = int(mixed(np.add.reduce(mixed(h, 5), keepdims=True) + np.uint64(len(h)), 6).view(np.int64)[0]) if len(h) else None
-                    kind.append(digest)
-                    if digest is None or not has_id or digest in met:
-                        keys.append(None)
-                        continue
-                    if len(met) < 1_000_000:
-                        met.add(digest)
-                    low = band(len(h), percent)
-                    below = band_below(low, percent)
-                    both = [sketch_keys(h, low, percent)] + ([sketch_keys(h, below, percent)] if below else [])
-                    keys.append(np.concatenate(both))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(n)), pa.array(n, pa.int64()), pa.array(kind, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "class", "keys"])
-
-    return docs.mapInArrow(run, "id long, n long, class long, keys array<long>")
+                    lo.append(kind[0])
+                    hi.append(kind[1])
+                    own, least = None, None
+                    if len(h) and has_id and kind not in met:
+                        if len(met) < 500_000:
+                            met.add(kind)
+                        own, least = keys_of(h, percent)
+                    keys.append(own)
+                    need.append(least)
+                columns = [pa.array(x, pa.int64()) for x in (n, lo, hi, need)]
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(at, len(n)), *columns, pa.array(keys, pa.list_(pa.int64()))],
+                    names=["id", "n", "lo", "hi", "need", "keys"])
+
+    return docs.mapInArrow(run, "id long, n long, lo long, hi long, need long, keys array<long>")
 
 
 #: 64-bit words of a set's short sketch, and their columns.
@@ -152,7 +175,7 @@ def short_sketch(h: np.ndarray) -> np.ndarray:
 
 
 def _hashed(docs: DataFrame, size: int) -> DataFrame:
-    """(id, s, n, short sketch) per row."""
+    """(id, c, s, n, short sketch) per row; c tells the sets of a repeated id apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker("words")
@@ -162,10 +185,14 @@ def _hashed(docs: DataFrame, size: int) -> DataFrame:
                 sets = [shingles(t, size) for t in texts[at : at + 500]]
                 bits = np.array([short_sketch(h) for h in sets], np.int64).reshape(len(sets), WORDS)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(sets)), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())), pa.array([len(h) for h in sets], pa.int64()), *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS))],
-                    names=["id", "s", "n", *BITS])
+                    [
+                        ids.slice(at, len(sets)), pa.array([digest(h)[0] for h in sets], pa.int64()),
+                        pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64())), pa.array([len(h) for h in sets], pa.int64()),
+                        *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS)),
+                    ],
+                    names=["id", "c", "s", "n", *BITS])
 
-    return docs.mapInArrow(run, "id long, s array<long>, n long, " + ", ".join(f"{b} long" for b in BITS))
+    return docs.mapInArrow(run, "id long, c long, s array<long>, n long, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def _near(a: str, b: str, percent: int) -> Column:
@@ -175,13 +202,20 @@ def _near(a: str, b: str, percent: int) -> Column:
     return ((100 + percent) * F.abs(F.col(f"{a}.n") - F.col(f"{b}.n")) <= most) & ((100 + percent) * apart <= most)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, with exact sizes of intersection and union."""
-    left = pairs.join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    both = left.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link: first by their short sketches, then by exact sizes of intersection and union."""
+    short = sets.select("id", "n", *BITS)
+    a, b = short.alias("x"), short.alias("y")
+    met = pairs.join(a, F.col("a") == F.col("x.id")).join(b, F.col("b") == F.col("y.id")).filter(_near("x", "y", percent)).select("a", "b").distinct()
+    near = written(met, "near")
+    full = sets.select("id", "s")
+    left = near.join(full.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+    both = left.join(full.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
     common = F.size(F.array_intersect("sa", "sb"))
     counted = both.select("a", "b", common.alias("common"), (F.size("sa") + F.size("sb") - common).alias("all"))
-    return counted.filter(100 * F.col("common") >= percent * F.col("all")).select("a", "b")
+    out = written(counted.filter(100 * F.col("common") >= percent * F.col("all")).select("a", "b").distinct(), "links")
+    dropped(near)
+    return out
 
 
 def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,77 +230,104 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_i
     one document.  A null id has no component and takes no part.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sets = written(_sets(rows, size, percent), "sketches")
-    classes = written(sets.filter("class is not null and id is not null").groupBy("class").agg(F.min("id").alias("rep"), F.max("id").alias("last"), F.count("*").alias("n_class")), "classes")
-
-    # one shuffle of (key, class); a key of one class only, however often it was listed, goes at once
-    of_key = Window.partitionBy("key")
-    keyed = sets.filter("id is not null").select("class", F.explode("keys").alias("key"))
-    shared = keyed.withColumns({"low": F.min("class").over(of_key), "high": F.max("class").over(of_key)}).filter("low <> high").select("class", "key").distinct()
-    live = written(shared.join(classes.select("class", F.col("rep").alias("id")), "class").select("key", "id"), "keys")
-    edges = _links(rows, live, size, percent)
+    sketched = written(_sets(rows, size, percent), "sketches")
+    classes = _classes(sketched)
+    involved = _involved(sketched, classes)
+    sets = written(sketched.select("id", "n", "lo", "hi"), "sets")
+    dropped(sketched)
+    named = sets.filter("lo is not null and id is not null")
+    edges = _links(rows, involved, size, percent)
 
     # rows that repeat an id with other texts tie the classes of that id together
-    tied = sets.filter("class is not null and id is not null").join(classes.select("class", "rep"), "class").filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
-    again = sets.filter("class is not null and id is not null").groupBy("id").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select(F.col("id").alias("a"))
+    again = named.groupBy("id").agg(F.min("lo").alias("x"), F.max("lo").alias("y"), F.min("hi").alias("z"), F.max("hi").alias("w")).filter("x <> y or z <> w").select(F.col("id").alias("a"))
+    tied = named.join(classes.select("lo", "hi", "rep"), ["lo", "hi"]).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
     if again.limit(1).count():
-        edges = edges.unionByName(tied.join(again, "a", "left_semi"))
-    grouped = written(components(edges), "components")
-    named = written(classes.join(grouped.withColumnRenamed("id", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component_id"), "n_class"), "named")
-    out = sets.select("id", "n", "class").join(named, "class", "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), F.coalesce("n_class", F.lit(1)).alias("n_class"))
-
-
-def _links(rows: DataFrame, live: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) that connect what the join keys connect, in rounds of pivots."""
-    spark = rows.sparkSession
-    company = live.withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    involved = written(company.groupBy("id").agg(F.sum(F.col("n") - 1).alias("company")), "involved")
-    n_involved, n_live = involved.count(), live.count()
-    ids = involved.select("id")
-    if n_involved <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    edges = spark.createDataFrame([], "a long, b long")
+        tied = written(tied.join(again, "a", "left_semi"), "tied")
+        edges = tied if edges is None else edges.unionByName(tied)
+    if edges is None:
+        groups = classes.withColumn("component_id", F.col("rep"))
+    else:
+        grouped = components(edges)
+        dropped(edges, tied)
+        groups = classes.join(grouped.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
+    out = sets.join(groups.select("lo", "hi", "component_id", "n_class"), ["lo", "hi"], "left")
+    return out.select(
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
+        F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"), F.coalesce("n_class", F.lit(1)).alias("n_class"))
+
+
+def _classes(sketched: DataFrame) -> DataFrame:
+    """(lo, hi, rep, n_class) per class of equal sets."""
+    named = sketched.filter("lo is not null and id is not null")
+    return written(named.groupBy("lo", "hi").agg(F.min("id").alias("rep"), F.count("*").alias("n_class")), "classes")
+
+
+def _involved(sketched: DataFrame, classes: DataFrame) -> DataFrame:
+    """Ids of the classes that share as many keys with others as a linked class must.
+
+    A key's least and greatest class come from an aggregate that Spark sums up
+    before the shuffle; the join back may be split where a key is crowded.
+    """
+    keyed = sketched.filter("keys is not null").select("lo", "need", F.explode("keys").alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).filter("x <> y").select("key"), "shared")
+    counted = keyed.join(shared, "key", "left_semi").distinct().groupBy("lo").agg(F.count("*").alias("keys"), F.min("need").alias("need"))
+    enough = written(counted.filter("keys >= need").select("lo"), "enough")
+    out = written(classes.join(enough, "lo", "left_semi").select(F.col("rep").alias("id")).distinct(), "involved")
+    dropped(shared, enough)
+    return out
+
+
+def _overlap(n: Column, m: Column, percent: int) -> Column:
+    """Common elements that sets of n and m elements need in order to link."""
+    return F.ceil((percent * (n + m)) / (100 + percent) - 1e-6)
+
+
+def _rare(sets: DataFrame, percent: int) -> DataFrame:
+    """(id, c, n, h, own, at): the elements in which a set may meet others, each with its place in the set, rarest first.
+
+    ``own`` is the number of elements that no other set has; they stand first.
+    """
+    each = sets.select("id", "c", "n", F.explode("s").alias("h"))
+    common = written(each.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "common")
+    found = each.join(common, "h").groupBy("id", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("f"))
+    own = (F.col("n") - F.size("f")).alias("own")
+    first = F.col("n") - F.ceil(percent * F.col("n") / 100 - 1e-6) + 1
+    cut = found.select("id", "c", "n", own, F.slice("f", 1, F.greatest(F.lit(0), first - F.col("n") + F.size("f")).cast("int")).alias("f"))
+    placed = cut.select("id", "c", "n", "own", F.posexplode("f").alias("k", "e"))
+    out = written(placed.select("id", "c", "n", "own", F.col("e.h").alias("h"), (F.col("own") + F.col("k")).alias("at")), "rare")
+    dropped(common)
+    return out
+
+
+def _links(rows: DataFrame, involved: DataFrame, size: int, percent: int) -> DataFrame | None:
+    """Links (a, b) that connect whatever links connect; None if there is none."""
+    n_involved = involved.count()
     if not n_involved:
-        return edges
-    # a repeated id has several sets: all of them are compared
-    sets = written(_hashed(rows.join(ids, "id", "left_semi"), size).distinct(), "sets")
-    short = sets.select("id", "n", *BITS)
-    left = written(live.join(involved, "id"), "left")
-    done = label = None
-    while True:
-        tagged = left.withColumn("component", F.col("id")) if label is None else left.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        per = tagged.groupBy("key", "component").agg(F.count("*").alias("c"))
-        keys = per.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q")).filter("s * s > q")
-        keys = written(keys, "open")
-        n_rows, n_pairs = keys.agg(F.sum("s"), F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()
-        if not n_rows:
-            return edges
-        left = written(tagged.join(keys.select("key"), "key", "left_semi"), "left")
-        last = n_pairs <= PAIRS_A_ROW * n_live
-        if last:
-            # the pairs of different components that share a key are as many as the rows at most, but for a factor
-            full = left.select("key", "id", "component").join(short, "id")
-            a, b = full.alias("a"), full.alias("b")
-            met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & _near("a", "b", percent))
-            pairs = met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        else:
-            by_key = Window.partitionBy("key")
-            pivot = -F.max(F.struct("company", (-F.col("id")).alias("m"))).over(by_key)["m"]
-            starred = left.withColumn("pivot", pivot)
-            own = F.min(F.when(F.col("id") == F.col("pivot"), F.col("component"))).over(by_key)
-            starred = written(starred.withColumn("own", own), "starred")
-            star = starred.filter("component <> own").select("id", "pivot").distinct()
-            a, b = short.alias("a"), short.alias("b")
-            met = star.join(a, F.col("a.id") == F.col("pivot")).join(b, F.col("b.id") == star["id"]).filter(_near("a", "b", percent))
-            pairs = met.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
-            left = starred.filter("id <> pivot").select("key", "id", "company")
-        pairs = pairs.distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        done = pairs if done is None else done.unionByName(pairs)
-        edges = written(edges.unionByName(_verified(pairs, sets, percent).distinct()), "links")
-        if last:
-            return edges
-        label = written(components(edges), "labels")
+        return None
+    ids = F.broadcast(involved) if n_involved <= BROADCAST_IDS else involved
+    theirs = rows.join(ids, "id", "left_semi")
+    if theirs.groupBy("id").count().filter("count > 1").limit(1).count():
+        theirs = theirs.distinct()  # a repeated id has several sets: all of them are compared
+    sets = written(_hashed(theirs, size), "elements")
+    rare = _rare(sets, percent)
+
+    # one round of stars
+    pivots = rare.groupBy("h").agg(F.min(F.struct("own", "id")).alias("p"), F.min("id").alias("x"), F.max("id").alias("y")).filter("x <> y").select("h", F.col("p.id").alias("pivot"))
+    star = rare.join(pivots, "h").filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    edges = _linked(star, sets, percent)
+    label = components(edges)
+
+    # the pairs that are left between components
+    tagged = rare.join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed_ = tagged.groupBy("h").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("n").alias("least")).filter("x <> y").select("h", "least")
+    smallest = F.greatest(F.col("least"), F.ceil(percent * F.col("n") / 100 - 1e-6))
+    open_ = written(tagged.join(mixed_, "h").filter(F.col("at") <= F.col("n") - _overlap(F.col("n"), smallest, percent)).select("h", "id", "n", "at", "component"), "open")
+    a, b = open_.alias("a"), open_.alias("b")
+    need = _overlap(F.col("a.n"), F.col("b.n"), percent)
+    meet = (F.col("a.h") == F.col("b.h")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component"))
+    fits = (need <= F.least("a.n", "b.n")) & (F.col("a.at") <= F.col("a.n") - need) & (F.col("b.at") <= F.col("b.n") - need)
+    pairs = a.join(b, meet & fits).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    rest = _linked(pairs, sets, percent)
+    out = written(edges.unionByName(rest), "all_links")
+    dropped(edges, rest, label, open_, rare, sets, involved)
+    return out

@@ -62,11 +62,58 @@ def test_jaccard_join(spark, seed, size, percent):
     assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in got) == groups(rows, size, percent)
 
 
-def test_jaccard_join_pivot_rounds(spark, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "PAIRS_A_ROW", 0)
-    rows = near_copies(4, 80)
-    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()
-    assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in got) == groups(rows, 3, 80)
+def crowd(seed, changed, n=2000, length=200):
+    """Texts made from one template, each with some words changed."""
+    r = random.Random(seed)
+    template = [f"t{i}" for i in range(length)]
+    out = []
+    for i in range(n):
+        words = list(template)
+        for at in r.sample(range(length), changed(r)):
+            words[at] = f"x{r.randrange(400)}"
+        out.append((i, " ".join(words)))
+    return out
+
+
+def groups_by_counts(rows, size, percent):
+    """As ``groups``, by one product of the matrix of sets and elements."""
+    sets = [sets_of(t, size) for _, t in rows]
+    number = {e: k for k, e in enumerate(sorted(set().union(*sets)))}
+    m = np.zeros((len(sets), len(number)), np.float32)
+    for k, s in enumerate(sets):
+        m[k, [number[e] for e in s]] = 1
+    common, n = (m @ m.T).astype(np.int64), m.sum(1).astype(np.int64)
+    link = 100 * common >= percent * (n[:, None] + n[None] - common)
+    label = np.arange(len(rows))
+    while True:
+        least = np.where(link, label[None], len(rows)).min(1)
+        if (least == label).all():
+            break
+        label = np.minimum(label, least)
+    return [(str(i), len(sets[k]), int(rows[label[k]][0])) for k, (i, _) in enumerate(rows)]
+
+
+@pytest.mark.parametrize("seed, changed, components_at_most", [(1, lambda r: 8, 2000), (2, lambda r: r.choice([0, 1, 1, 2, 3, 4, 6, 9]), 900)])
+def test_jaccard_join_crowds(spark, seed, changed, components_at_most):
+    """2,000 texts of one template: a crowd in which hardly any link, and one of near copies."""
+    rows = crowd(seed, changed)
+    want = groups_by_counts(rows, 3, 90)
+    assert len({w[2] for w in want}) <= components_at_most and (seed == 2 or len({w[2] for w in want}) > 1900)
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"]) for r in got) == sorted(want)
+
+
+def test_jaccard_join_leaves_two_tables(spark, tmp_path):
+    """What a run has written goes, but for what its result reads."""
+    import glob
+
+    from shellac.llm.common import shared_dir
+
+    root = shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(root + "/*"))
+    out = jaccard_join.join(spark.createDataFrame(near_copies(5, 80), "doc_id long, text string"), 3, 80)
+    left = {p.rsplit("/", 1)[1].split("-")[0] for p in set(glob.glob(root + "/*")) - before}
+    assert left == {"sets", "classes", "components"} and out.count() == 87
 
 
 def test_jaccard_join_repeated_ids_and_empty(spark):
@@ -100,11 +147,10 @@ def test_pigeonhole_bound(percent):
         if a == b or 100 * len(a & b) < percent * len(a | b):
             continue
         def keys(s):
-            h = np.unique(jaccard_join.mixed(np.array(sorted(s), np.uint64), 9))
-            low = jaccard_join.band(len(h), percent)
-            below = jaccard_join.band_below(low, percent)
-            return set(jaccard_join.sketch_keys(h, low, percent).tolist()) | (set(jaccard_join.sketch_keys(h, below, percent).tolist()) if below else set())
-        assert keys(a) & keys(b)
+            found, need = jaccard_join.keys_of(np.unique(jaccard_join.mixed(np.array(sorted(s), np.uint64), 9)), percent)
+            return set(found.tolist()), need
+        (x, least_x), (y, least_y) = keys(a), keys(b)
+        assert len(x & y) >= max(least_x, least_y)
 
 
 def test_components(spark):
