@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shellac.llm import chunk_bpe, decontaminate, jaccard_join, langid, quality
-from shellac.llm.common import bounded_batches, read_table, written
+from shellac.llm.common import bounded_batches, dropped, read_table, written
 from shellac.llm.queries import BYTE_FILE, QUALITY_LEAST, good_labels
 
 #: A language is rejected below this probability; "und" always is.
@@ -84,8 +84,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each keeps is written and read again."""
+    """All stages over ``documents``; what each keeps is written and read again, and deleted once the next stage has been written."""
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        dropped(before)
     return docs
