@@ -2,20 +2,23 @@
 
 A rolling hash over the UTF-8 bytes cuts each text where its contents say so, so
 that passages shared by documents give the same chunks wherever they stand.  A
-chunk is encoded once and its ids are reused from a bounded memo in each Python
-worker.  Chunks end in the middle of words, hence a chunk's own ids are right
-only between its first and last *safe point*: the place between a sign that is
-not white space and a following blank or line end, which every byte-level BPE of
-this kind always separates, whatever stands around it.  The join of two chunks
-is therefore re-encoded from the last safe point of the left one to the first of
-the right one; where a chunk has none, the window grows over it until both ends
-agree with the neighbours' ids.  The result equals encoding the whole text.
+chunk is encoded once by itself, and its ids are reused from a memo that is
+bounded by bytes in each Python worker.  Chunks begin and end in the middle of
+words, so their outer ids are wrong.  Each join of two chunks is repaired: a window
+over the join, from a blank in the left chunk to one in the right, is re-encoded
+and its ids are compared with those of both chunks over a word at each end; where
+they differ the window grows by further words, until both ends agree.  Then the
+ids of the left chunk up to the agreement, of the window, and of the right chunk
+from there on are put together.  Blanks after a visible ASCII sign are where a
+byte-level BPE always parts words, so two encodings that agree at one agree beyond
+it.  A text whose joins do not come to agree is encoded as a whole.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +30,10 @@ from .common import Memo, by_size, on_release, take_worker
 from .tokenizers_io import encode_bytes, tokenizer
 
 WINDOW, LEAST, MOST = 16, 64, 8192
-FIRST_SAFE = re.compile(r"(?<=[^\s])[ \n]")
+#: Where words always part: a blank or line end after a visible ASCII sign.
+PARTING = re.compile(rb"(?<=[!-~])[ \n]")
+#: A group of chunks has so many partings at least, or is all of its text.
+PARTINGS = 4
 
 
 def cuts(data: bytes, mean: int) -> list[int]:
@@ -62,50 +68,109 @@ def cuts(data: bytes, mean: int) -> list[int]:
     return out
 
 
-def halves(chunk: str) -> tuple[str, str, str] | None:
-    """(before the first safe point, between, after the last); None without two of them."""
-    first = FIRST_SAFE.search(chunk)
-    if not first:
-        return None
-    a = first.start()
-    b = len(chunk) - 1
-    while b > a and not (chunk[b] in " \n" and not chunk[b - 1].isspace()):
-        b -= 1
-    return (chunk[:a], chunk[a:b], chunk[b:]) if b > a else None
+class Chunk:
+    """One chunk (or some that have too few blanks each): its bytes, ids, and where they end."""
+
+    __slots__ = ("data", "ids", "ends", "partings")
+
+    def __init__(self, data: bytes, ids: bytes, lengths: np.ndarray):
+        self.data, self.ids = data, ids
+        self.ends = array("i", np.cumsum(lengths[np.frombuffer(ids, "<u4")], dtype=np.int32).tobytes())
+        self.partings = array("i", [m.start() for m in PARTING.finditer(data)])
+
+    def __len__(self) -> int:
+        return len(self.data) + 2 * len(self.ids) + 4 * len(self.partings) + 300
+
+    def upto(self, at: int) -> int | None:
+        """Size of the ids that cover the first ``at`` bytes; None if an id reaches across."""
+        k = bisect_left(self.ends, at)
+        return 4 * k + 4 if k < len(self.ends) and self.ends[k] == at else 0 if at == 0 else None
 
 
 class ChunkEncoder:
-    """Encodes texts of one worker; ``chunks`` and ``encoded`` count its work."""
+    """Encodes texts of one worker; ``grown`` counts windows that had to grow, ``whole`` texts encoded without chunks."""
 
-    def __init__(self, path: str, mean: int = 512, most: int = 30_000):
-        self.path, self.mean = path, mean
-        self.cores = Memo(lambda texts: encode_bytes(path, texts), most)
-        self.joins = Memo(lambda texts: encode_bytes(path, texts), 2 * most)
+    def __init__(self, path: str, mean: int = 512, most_bytes: int = 64 << 20):
+        self.path, self.mean, self.grown, self.whole = path, mean, 0, 0
+        self.lengths = np.array([len(x) for x in byte_table(path)], np.int64)
+        self.chunks = Memo(self._encoded, 200_000, most_bytes)
+        self.joins = Memo(lambda texts: encode_bytes(path, [t.decode() for t in texts]), 200_000, most_bytes // 2)
 
-    def pieces(self, text: str) -> Iterator[tuple[bool, str]]:
-        """The text as (is a chunk's core, part): cores are reused, parts between are re-encoded."""
-        data, last, pending = text.encode(), 0, ""
+    def _encoded(self, chunks: list[bytes]) -> list[Chunk]:
+        ids = encode_bytes(self.path, [c.decode() for c in chunks])
+        return [Chunk(c, x, self.lengths) for c, x in zip(chunks, ids, strict=True)]
+
+    def cut(self, data: bytes) -> list[bytes]:
+        """The chunks of a text, those with few blanks joined to the next."""
+        out, last, seen, found = [], 0, 0, 0
         for end in cuts(data, self.mean):
-            chunk = data[last:end].decode()
-            last = end
-            got = halves(chunk)
-            if got is None:
-                pending += chunk
-                continue
-            if pending or got[0]:
-                yield False, pending + got[0]
-            yield True, got[1]
-            pending = got[2]
-        if pending:
-            yield False, pending
+            for _ in PARTING.finditer(data, seen, end):
+                found += 1
+                if found == PARTINGS:
+                    break
+            seen = end
+            if found == PARTINGS:
+                out.append(data[last:end])
+                last, found = end, 0
+        if last < len(data):
+            rest = data[last:]
+            out = [*out[:-1], out[-1] + rest] if out else [rest]
+        return out
+
+    @staticmethod
+    def window(left: Chunk, right: Chunk, words: int) -> tuple[int, int, int, int] | None:
+        """Bounds of a window: from and to of the left word compared, from and to of the right one; None if a chunk has no more words."""
+        if words + 2 > min(len(left.partings), len(right.partings)):
+            return None
+        return left.partings[-words - 1], left.partings[-words], right.partings[words - 1], right.partings[words]
+
+    @staticmethod
+    def agreed(left: Chunk, right: Chunk, bounds: tuple[int, int, int, int], ids: bytes) -> tuple[int, bytes, int] | None:
+        """(size of the ids kept of the left chunk, ids between, size left out of the right one) if the window agrees with both."""
+        la, lb, rc, rd = left.upto(bounds[0]), left.upto(bounds[1]), right.upto(bounds[2]), right.upto(bounds[3])
+        if la is None or lb is None or rc is None or rd is None:
+            return None
+        head, tail = lb - la, len(ids) - (rd - rc)
+        if head > tail or ids[:head] != left.ids[la:lb] or ids[tail:] != right.ids[rc:rd]:
+            return None
+        return lb, ids[head:tail], rc
+
+    def joined(self, chunks: list[Chunk]) -> bytes | None:
+        """Ids of a text from its chunks; None if a join does not come to agree."""
+        out, begin = [], 0
+        for left, right in zip(chunks[:-1], chunks[1:], strict=True):
+            words, got = 1, None
+            while got is None:
+                bounds = self.window(left, right, words)
+                if bounds is None:
+                    return None
+                text = left.data[bounds[0] :] + right.data[: bounds[3]]
+                if text not in self.joins:
+                    self.joins.fill([text])
+                got = self.agreed(left, right, bounds, self.joins[text])
+                self.grown += words > 1
+                words *= 2
+            if got[0] < begin:
+                return None
+            out += [left.ids[begin : got[0]], got[1]]
+            begin = got[2]
+        out.append(chunks[-1].ids[begin:])
+        return b"".join(out)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out = []
         for part in by_size(texts, (len(t) for t in texts), 1 << 20):
-            cut = [list(self.pieces(t)) for t in part]
-            self.cores.fill({s for x in cut for core, s in x if core})
-            self.joins.fill({s for x in cut for core, s in x if not core})
-            out += [b"".join([(self.cores if core else self.joins)[s] for core, s in x]) for x in cut]
+            cut = [self.cut(t.encode()) for t in part]
+            self.chunks.fill({c for x in cut for c in x})
+            made = [[self.chunks[c] for c in x] for x in cut]
+            first = {left.data[w[0] :] + right.data[: w[3]] for x in made for left, right in zip(x[:-1], x[1:], strict=True) if (w := self.window(left, right, 1))}
+            self.joins.fill(first)
+            for text, x in zip(part, made, strict=True):
+                ids = (self.joined(x) if len(x) > 1 else x[0].ids) if x else b""
+                if ids is None:
+                    self.whole += 1
+                    ids = encode_bytes(self.path, [text])[0]
+                out.append(ids)
         return out
 
 
@@ -118,8 +183,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     unsigned 32-bit integers, binary).
 
     One row for each row of ``docs``, repeated ids included; null and empty texts
-    have no ids.  Each partition is encoded by itself without a shuffle; memory
-    is bounded by one Arrow batch and the memo.
+    have no ids, an empty table gives no row, further columns are not read.  Each
+    partition is encoded by itself without a shuffle; memory is bounded by one
+    Arrow batch and the memos.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -122,19 +122,28 @@ class Memo(dict):
 
     ``fill(words)`` computes what is missing.  When the young generation is
     full it becomes the old one, and entries still in use move back: frequent
-    strings stay, the memory is bounded by twice ``most`` entries.
+    strings stay.  A generation holds ``most`` entries at most whose strings and
+    results come to ``most_bytes``; a string of more than a 256th of that is
+    computed and kept for the present call only.
     """
 
-    def __init__(self, compute, most: int = 400_000):
+    def __init__(self, compute, most: int = 400_000, most_bytes: int = 48 << 20):
         super().__init__()
-        self.compute, self.most, self.old = compute, most, {}
+        self.compute, self.most, self.most_bytes, self.old, self.held = compute, most, most_bytes, {}, 0
+        self.passing: list[str] = []
+
+    def _size(self, word, result) -> int:
+        return len(word) + (len(result) if hasattr(result, "__len__") else 8)
 
     def fill(self, words: Iterable[str]) -> None:
+        for w in self.passing:
+            self.pop(w, None)
+        self.passing = []
         missing = [w for w in set(words) if w not in self]
         if not missing:
             return
-        if len(self) + len(missing) > self.most:
-            self.old = dict(self)
+        if len(self) + len(missing) > self.most or self.held > self.most_bytes:
+            self.old, self.held = dict(self), 0
             self.clear()
             missing = list({*missing, *words})
         unknown = []
@@ -144,5 +153,12 @@ class Memo(dict):
                 unknown.append(w)
             else:
                 self[w] = got
+                self.held += self._size(w, got)
         if unknown:
-            self.update(zip(unknown, self.compute(unknown), strict=True))
+            for w, got in zip(unknown, self.compute(unknown), strict=True):
+                self[w] = got
+                size = self._size(w, got)
+                if size > self.most_bytes >> 8:
+                    self.passing.append(w)
+                else:
+                    self.held += size

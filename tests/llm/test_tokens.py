@@ -84,9 +84,36 @@ def test_chunks_are_shared():
     passage = " ".join(words)
     made = chunk_bpe.ChunkEncoder(BYTES, 128)
     made([passage + " tail one"])
-    before = len(made.cores)
+    before = len(made.chunks)
     made(["another head " + passage + " and another tail"])
-    assert before >= 5 and len(made.cores) - before <= 4  # only the ends are new
+    assert before >= 5 and len(made.chunks) - before <= 4  # only the ends are new
+
+
+def test_joins_are_compared_until_they_agree(monkeypatch):
+    """A window whose ids differ from its neighbours' grows; where none agrees the text is encoded as a whole."""
+    text = " ".join(f"word{i} and others" for i in range(400))
+    want, made = tokenizers_io.encode_many(BYTES, [text]), chunk_bpe.ChunkEncoder(BYTES, 128)
+    assert made([text]) == want and made.grown == made.whole == 0
+    agreed, tries = chunk_bpe.ChunkEncoder.agreed, []
+
+    def second(left, right, bounds, ids):
+        tries.append(bounds)
+        return None if len(tries) % 2 else agreed(left, right, bounds, ids)
+
+    monkeypatch.setattr(chunk_bpe.ChunkEncoder, "agreed", staticmethod(second))
+    assert made([text]) == want and made.grown == len(tries) // 2 > 5
+    monkeypatch.setattr(chunk_bpe.ChunkEncoder, "agreed", staticmethod(lambda *_: None))
+    assert made([text]) == want and made.whole == 1
+
+
+def test_memo_is_bounded_by_bytes():
+    from shellac.llm.common import Memo
+
+    memo = Memo(lambda words: [w.encode() for w in words], 1000, 10_000)
+    for i in range(3000):
+        memo.fill([f"word{i}", "x" * 5000])
+        assert memo[f"word{i}"] and memo["x" * 5000]
+    assert sum(map(len, memo)) + sum(map(len, memo.old)) < 30_000
 
 
 def test_encode_and_decode(spark):
@@ -120,6 +147,25 @@ def test_edit_tree():
             assert tree.text() == text and tree.total == len(ids_of(BYTES, text)) // 4
 
 
+def test_edits_at_one_place_stay_small():
+    count = edit_counts.counter(BYTES)
+    text = "some words here. " * 300
+    tree = edit_counts.CountTree(edit_counts.segments(text), count)
+    for i in range(400):
+        tree.edit(2000, 2000, f" new{i} words")
+        text = text[:2000] + f" new{i} words" + text[2000:]
+    assert tree.text() == text and tree.total == len(ids_of(BYTES, text)) // 4
+    assert tree.reencoded < 400 * 60
+
+
+def test_edit_counts_of_repeated_rows_and_empty_tables(spark):
+    rows = spark.createDataFrame([(1, "a@b.org x"), (1, "a@b.org x"), (None, "y")], "doc_id long, text string").withColumn("n_edits", F.lit("clash"))
+    edits = edit_counts.redactions(rows, [(r"[a-z]+@[a-z.]+", "<email>")])
+    got = edit_counts.count_with_edits(edits, BYTES).collect()
+    assert sorted((str(r["doc_id"]), r["n_edits"]) for r in got) == [("1", 1), ("1", 1), ("None", 0)]
+    assert edit_counts.count_with_edits(edits.limit(0), BYTES).count() == 0
+
+
 def test_edit_counts_only_reencode_near_edits(spark):
     long = "some words here. " * 2000
     rows = spark.createDataFrame([(1, long + "mail a@b.org now"), (2, None), (3, long), (4, "a@b.org c@d.org")], "doc_id long, text string")
