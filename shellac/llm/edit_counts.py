@@ -3,7 +3,9 @@
 Each edited document keeps a segment tree over its pre-token segments: every
 node holds the number of characters and of tokens below it.  An edit finds its
 leaves by offset on the way down, takes one whole segment of context on either
-side, re-encodes that region alone, and updates the sums on the way up.
+side, re-encodes that region alone, puts its segments back as leaves and updates
+the sums on the way up; however many edits meet at one place, each re-encodes only
+the segments around it.
 Unedited parts are never encoded again; distinct segments are encoded once in a
 worker.
 """
@@ -43,20 +45,21 @@ class CountTree:
     """Sums of characters and tokens over the segments of one document."""
 
     def __init__(self, parts: list[str], count):
-        self.count = count
-        self.parts = parts
+        self.count, self.reencoded = count, 0
+        self._build(parts, count(parts))
+
+    def _build(self, parts: list[str], tokens: list[int], room: int = 1) -> None:
+        """Lay out the leaves, each with ``room`` - 1 empty ones behind it."""
         n = 1
-        while n < max(1, len(parts)):
+        while n < max(1, room * len(parts)):
             n *= 2
         self.n = n
-        pad = [0] * (n - len(parts))
-        self.chars = [0] * n + [len(p) for p in parts] + pad
-        self.tokens = [0] * n + count(parts) + pad
+        self.parts, self.chars, self.tokens = [""] * n, [0] * (2 * n), [0] * (2 * n)
+        for i, (part, t) in enumerate(zip(parts, tokens, strict=True)):
+            self.parts[room * i], self.chars[n + room * i], self.tokens[n + room * i] = part, len(part), t
         for sums in (self.chars, self.tokens):
             for i in range(n - 1, 0, -1):
                 sums[i] = sums[2 * i] + sums[2 * i + 1]
-        self.parts += [""] * len(pad)
-        self.reencoded = 0
 
     def leaf(self, offset: int) -> tuple[int, int]:
         """The leaf that holds the character at ``offset`` and the offset of its start."""
@@ -98,12 +101,18 @@ class CountTree:
         old = "".join(self.parts[a:b_end])
         new = old[: start - at] + text + old[end - at :]
         pieces = segments(new)
-        tokens = sum(self.count(pieces)) if pieces else 0
+        tokens = self.count(pieces) if pieces else []
         self.reencoded += len(new)
-        self._put(a, new, tokens)
-        for i in range(a + 1, b_end):
-            if self.parts[i]:
-                self._put(i, "", 0)
+        if len(pieces) > b_end - a:  # no room: lay all leaves out anew, without encoding any
+            filled = [i for i in range(self.n) if self.parts[i]]
+            before, after = [i for i in filled if i < a], [i for i in filled if i >= b_end]
+            counts = [[self.tokens[self.n + i] for i in side] for side in (before, after)]
+            self._build([self.parts[i] for i in before] + pieces + [self.parts[i] for i in after], counts[0] + tokens + counts[1], 2)
+            return
+        for i in range(a, b_end):
+            piece, t = (pieces[i - a], tokens[i - a]) if i - a < len(pieces) else ("", 0)
+            if piece or self.parts[i]:
+                self._put(i, piece, t)
 
     @property
     def total(self) -> int:
@@ -170,7 +179,8 @@ def count_with_edits(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     nothing.  Returns one row for each row: ``doc_id``, ``n_edits``,
     ``n_tokens_before``, ``n_tokens_after``, ``n_chars_after``,
     ``chars_reencoded`` (characters of the regions encoded again).  A null text
-    counts as empty.
+    counts as empty.  Repeated rows and ids are counted each by itself, an empty
+    table gives no row, further columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
