@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import by_size, take_worker
 
-LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and numerals such as fractions and Roman ones, which ``isalpha`` tells apart.
+WORD_SIGN = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
 
@@ -142,10 +143,14 @@ def windows(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8).reshape(-1, width), counts
 
 
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in WORD_SIGN.finditer(text))
+
+
 def label_texts(net: ByteNet | None, texts: list[str | None], run: int = 512) -> tuple[list[str], list[float]]:
     """Language and score of each text; memory is bounded by the texts and ``run`` windows."""
     langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-    known = [i for i, t in enumerate(texts) if net and t and LETTER.search(t)]
+    known = [i for i, t in enumerate(texts) if net and t and has_letter(t)]
     for part in by_size(known, (len(texts[i]) for i in known), 1 << 20):
         data, counts = windows([texts[i].encode() for i in part], net.width)
         # bytes of letters: ASCII letters and all of the other scripts' bytes
@@ -174,7 +179,9 @@ def language(net: ByteNet | None, text: Column) -> Column:
 def identify(docs: DataFrame, net: ByteNet | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Language of every whole text: ``doc_id``, ``lang_pred``, ``score`` (its probability).
 
-    One row for each row.  ``und`` with score 0 if the text is null or has no
-    letter, or if there is no network.
+    One row for each row, repeated ones and null ids included; an empty table
+    gives none; other columns are not read.  ``und`` with score 0 if the text is
+    null or has no letter (digits, fractions and Roman numerals are none), or if
+    there is no network.
     """
     return docs.select(F.col(id_col).alias("doc_id"), language(net, F.col(text_col)).alias("found")).select("doc_id", "found.lang_pred", "found.score")
