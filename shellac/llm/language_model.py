@@ -6,17 +6,23 @@ Model: word n-grams of the training texts with Dirichlet smoothing,
     p(w | h) = (c(h w) + m p(w | h')) / (c(h) + m)       h' = h without its first word
 
 which sums to one over the seen words and one unseen word.  As an automaton:
-each seen n-gram h is a state; a seen h w is an arc of weight p(w | h) to the
+each seen n-gram h is a state; a seen h w is an arc of weight log p(w | h) to the
 longest state that ends h w; any other word takes the failure arc of weight
-m / (c(h) + m) to the state h'.
+log m / (c(h) + m) to the state h'; at the state of no words an unseen word takes an
+arc of its own weight back to it.  A text is read once from left to right: the state
+is carried along, failure arcs are followed until an arc fits, weights are added up.
 
 No machine holds the automaton of the whole corpus.  Texts are dealt to blocks;
 each block lists its distinct n-grams once, packed in arrays and dealt by hash to
 buckets; a bucket sums the training counts of its n-grams over all blocks and
 sends each block the counts of just the n-grams it asked about.  With those a
-block builds the part of the automaton its own texts can reach, and traverses
-them left to right.  Counts are pre-aggregated in blocks before the shuffle, so a
-very common n-gram is one entry per block.
+block builds the part of the automaton its own texts can reach, and walks it.
+Counts are pre-aggregated in blocks before the shuffle, so a very common n-gram is
+one entry per block.  Only filled slices of a block are sent, and blocks grow with
+the square root of the corpus (up to 64 MB), so that the rows sent follow the bytes.
+
+N-grams are known by hashes of 18 bits more than the corpus' size needs, 48 to 64:
+about one in a million meets another's count.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, on_release, take_worker
+from .common import Memo, on_release, take_worker, written
 
 #: The end of a text, counted as a token; no word holds a blank.
 END = xxhash.xxh3_64_intdigest(b" end ")
@@ -95,7 +101,7 @@ def unpacked_sorted(data: bytes) -> np.ndarray:
 class Block:
     """The n-grams of a block of texts."""
 
-    def __init__(self, texts: list[str | None], order: int):
+    def __init__(self, texts: list[str | None], order: int, bits: int = 64):
         cut = [tokens(t) for t in texts]
         self.sizes = np.array([len(c) + 1 for c in cut], np.int64)
         flat: list[int] = []
@@ -105,35 +111,37 @@ class Block:
         words = np.array(flat, np.uint64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(np.int64)
         self.first = np.arange(len(words)) - np.repeat(self.starts, self.sizes)
-        self.grams = ngram_hashes(words, self.first, order)
         self.distinct, self.inverse = [], []
-        for g in self.grams:
-            u, i = np.unique(g, return_inverse=True)
+        for g in ngram_hashes(words, self.first, order):
+            u, i = np.unique(g >> np.uint64(64 - bits), return_inverse=True)
             self.distinct.append(u)
             self.inverse.append(i)
 
 
-def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    """Buckets are ranges of the hash, so that sorted hashes fall into runs."""
-    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+def bucket_of(h: np.ndarray, buckets: int, bits: int) -> np.ndarray:
+    """Buckets are ranges of a hash of ``bits`` bits, so that sorted hashes fall into runs."""
+    high = h >> np.uint64(bits - 32) if bits > 32 else h << np.uint64(32 - bits)
+    return (high * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def score(
     docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text",
-    order: int = 2, strength: float = 8.0, block_bytes: int = 4 << 20, buckets: int | None = None,
+    order: int = 3, strength: float = 16.0, block_bytes: int | None = None, buckets: int | None = None,
 ) -> DataFrame:
     """Score every whole text: ``doc_id``, ``in_train``, ``n_tokens``, ``n_known``,
     ``train_tokens``, ``base_score`` (unigrams alone), ``score``.
 
     ``train`` says from which rows to learn (null: not).  One row for each row;
-    null texts are one end token, ids may repeat or be null.  Scores are log10
-    probabilities.  Without training rows every token has the unseen word's
-    probability, 1.
+    null texts are one end token, ids may repeat or be null, further columns are
+    not read, an empty table gives no row.  Scores are log10 probabilities.
+    Without training rows every token has the unseen word's probability, 1.
     """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.coalesce(F.octet_length(text_col), F.lit(0)) + 1)).first()[0] or 0
+    block_bytes = block_bytes or min(max(8 << 20, math.isqrt(8 * total)), 64 << 20)
     blocks = max(1, math.ceil(total / block_bytes))
-    n_buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // 16)
+    n_buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / (64 << 20)))
+    bits = min(64, max(48, 18 + (total + 1).bit_length()))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(False)).alias("in_train"),
     ).withColumn("block", F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(blocks)).cast("int"))
@@ -142,21 +150,20 @@ def score(
     def ask(pdf: pd.DataFrame) -> pd.DataFrame:
         """The block's n-grams, with their counts in its training texts, cut by bucket."""
         take_worker("words")
-        b = Block(list(pdf["text"]), order)
+        b = Block(list(pdf["text"]), order, bits)
         weight = np.repeat(pdf["in_train"].to_numpy(np.float64), b.sizes)
-        grams: list[list[bytes]] = [[] for _ in range(n_buckets)]
-        counts: list[list[bytes]] = [[] for _ in range(n_buckets)]
-        for u, i in zip(b.distinct, b.inverse, strict=True):
+        out: dict[str, list] = {f"{x}{n}": [] for n in range(order) for x in "gc"}
+        filled = np.zeros(n_buckets, bool)
+        for n, (u, i) in enumerate(zip(b.distinct, b.inverse, strict=True)):
             c = np.bincount(i, weight, len(u)).astype("<u4")
-            edge = np.searchsorted(bucket_of(u, n_buckets), np.arange(n_buckets + 1))
+            edge = np.searchsorted(bucket_of(u, n_buckets, bits), np.arange(n_buckets + 1))
+            filled |= edge[1:] > edge[:-1]
             for k in range(n_buckets):
-                grams[k].append(packed_sorted(u[edge[k] : edge[k + 1]]))
-                counts[k].append(packed(c[edge[k] : edge[k + 1]]))
-        out = {"block": [int(pdf["block"].iloc[0])] * n_buckets, "bucket": range(n_buckets)}
-        for n in range(order):
-            out[f"g{n}"] = [g[n] for g in grams]
-            out[f"c{n}"] = [c[n] for c in counts]
-        return pd.DataFrame(out)
+                full = edge[k + 1] > edge[k]
+                out[f"g{n}"].append(packed_sorted(u[edge[k] : edge[k + 1]]) if full else None)
+                out[f"c{n}"].append(packed(c[edge[k] : edge[k + 1]]) if full else None)
+        sent = pd.DataFrame({"block": int(pdf["block"].iloc[0]), "bucket": np.arange(n_buckets)} | out)
+        return sent[filled]
 
     fields = "".join(f", g{n} binary, c{n} binary" for n in range(order))
     asked = dealt.groupBy("block").applyInPandas(ask, "block int, bucket int" + fields)
@@ -166,28 +173,32 @@ def score(
         out = {"block": pdf["block"], "bucket": pdf["bucket"]}
         total_tokens = kinds = 0
         for n in range(order):
-            asked_for = [unpacked_sorted(x) for x in pdf[f"g{n}"]]
-            count = np.concatenate([unpacked(x, "<u4") for x in pdf[f"c{n}"]]) if len(pdf) else np.zeros(0)
-            u, i = np.unique(np.concatenate(asked_for) if asked_for else np.zeros(0, np.uint64), return_inverse=True)
+            asked_for = [unpacked_sorted(x) if x is not None else np.zeros(0, np.uint64) for x in pdf[f"g{n}"]]
+            count = np.concatenate([unpacked(x, "<u4") for x in pdf[f"c{n}"] if x is not None] or [np.zeros(0)])
+            u, i = np.unique(np.concatenate(asked_for), return_inverse=True)
             c = np.bincount(i, count, len(u)).astype("<u8")
             if n == 0:
                 total_tokens, kinds = int(c.sum()), int((c > 0).sum())
             each = c[i].astype("<u4" if not len(c) or c.max() < 2**32 else "<u8")
             edge = np.cumsum([0] + [len(x) for x in asked_for])
-            out[f"c{n}"] = [packed(each[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            out[f"c{n}"] = [packed(each[a:b]) if b > a else None for a, b in zip(edge[:-1], edge[1:], strict=True)]
             out[f"w{n}"] = [each.itemsize] * len(pdf)
         return pd.DataFrame(out | {"tokens": total_tokens, "kinds": kinds})
 
     kind = "block int, bucket int" + "".join(f", c{n} binary, w{n} int" for n in range(order)) + ", tokens long, kinds long"
-    answered = asked.groupBy("bucket").applyInPandas(answer, kind)
+    answered = written(asked.groupBy("bucket").applyInPandas(answer, kind), "counts")
+    figures = answered.groupBy("bucket").agg(F.max("tokens").alias("t"), F.max("kinds").alias("k")).agg(F.sum("t").alias("t"), F.sum("k").alias("k")).first()
+    n_all, n_kinds = figures["t"] or 0, figures["k"] or 0
 
     def finish(pdf: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         take_worker("words")
-        b = Block(list(pdf["text"]), order)
+        b = Block(list(pdf["text"]), order, bits)
         got = got.sort_values("bucket")
-        count = [np.concatenate([unpacked(x, f"<u{w}").astype(np.float64) for x, w in zip(got[f"c{n}"], got[f"w{n}"], strict=True)]) for n in range(order)]
-        n_all, kinds = int(got["tokens"].sum()), int(got["kinds"].sum())
-        known, base, full = Automaton(b, count, n_all, kinds, strength).traverse()
+        count = [
+            np.concatenate([unpacked(x, f"<u{w}").astype(np.float64) for x, w in zip(got[f"c{n}"], got[f"w{n}"], strict=True) if x is not None] or [np.zeros(0)])
+            for n in range(order)
+        ]
+        known, base, full, _ = Automaton(b, count, n_all, n_kinds, strength).walk()
         return pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy(), "in_train": pdf["in_train"].to_numpy(), "n_tokens": b.sizes, "n_known": known, "train_tokens": n_all, "base_score": base, "score": full})
 
     done = "in_train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -195,32 +206,94 @@ def score(
 
 
 class Automaton:
-    """The states and arcs that the texts of one block can reach."""
+    """The states, arcs and failure arcs that the texts of one block can reach.
+
+    State 0 stands for no words; the n-grams of n words (n below the order) have
+    the states from ``base[n]`` on, in the order of the block's distinct n-grams,
+    of which those are in use that training has seen.  ``fail_to`` and
+    ``fail_weight`` go by state.  The arcs of n + 1 words are those of the block's
+    distinct n-grams that training has seen: ``arc_from[n]`` (their state of n
+    words), ``arc_to[n]`` and ``arc_weight[n]``; ``seen[n]`` tells which are there.
+    """
 
     def __init__(self, block: Block, counts: list[np.ndarray], n_all: int, kinds: int, strength: float):
-        self.block, self.counts = block, counts
-        self.strength = strength
-        self.start = np.log10((counts[0] + 0.5) / (n_all + 0.5 * (kinds + 1)))
-
-    def traverse(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Per text: known tokens, sum of unigram weights, sum along the path of the automaton.
-
-        All texts of the block advance through one pass over the token array:
-        the state before a place is the longest n-gram ending there that was
-        seen in training; its arc is taken if the next n-gram was seen, else its
-        failure arc, and the weights are summed up from the left.
+        self.block, order = block, len(counts)
+        sizes = [len(c) for c in counts]
+        self.base = np.concatenate(([0, 1], 1 + np.cumsum(sizes[: order - 1]))).astype(np.int64)
+        states = int(self.base[order])
+        self.fail_to, self.fail_weight = np.zeros(states, np.int64), np.zeros(states)
+        self.seen = [c > 0 for c in counts]
+        self.arc_from, self.arc_to, self.arc_weight = [], [], []
+        places = np.arange(len(block.first))
+        p_shorter = None
+        for n, c in enumerate(counts):
+            at = np.zeros(len(c), np.int64)  # a place at which the n-gram ends
+            fit = block.first >= n
+            at[block.inverse[n][fit]] = places[fit]
+            if n == 0:
+                p = (c + 0.5) / (n_all + 0.5 * (kinds + 1))
+                origin = np.zeros(len(c), np.int64)
+            else:
+                suffix, prefix = block.inverse[n - 1][at], block.inverse[n - 1][np.maximum(at - 1, 0)]
+                p = (c + strength * p_shorter[suffix]) / (counts[n - 1][prefix] + strength)
+                origin = self.base[n] + prefix
+            own = self.base[n + 1] + np.arange(len(c)) if n + 1 < order else (self.base[n] + suffix if n else np.zeros(len(c), np.int64))
+            if n + 1 < order:
+                self.fail_to[own] = self.base[n] + suffix if n else 0
+                self.fail_weight[own] = np.log10(strength / (c + strength))
+            self.arc_from.append(origin)
+            self.arc_to.append(own)
+            self.arc_weight.append(np.log10(p))
+            p_shorter = p
+
+    def walk(self, lane: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per text: known tokens, sum of unigram weights, sum along the path; and how many failure arcs were followed.
+
+        Texts are read from left to right with a carried state, a token a step.
+        All texts of the block advance side by side; a long text is cut into
+        lanes, each of which reads the order - 1 tokens before it without counting
+        them, and so comes to the state that the whole text would carry there.
         """
-        b, m = self.block, self.strength
-        seen = self.counts[0][b.inverse[0]]
-        weight = self.start[b.inverse[0]]
+        b, order = self.block, len(self.seen)
+        seen, weight = self.seen[0][b.inverse[0]], self.arc_weight[0][b.inverse[0]]
         base = np.add.reduceat(weight, b.starts)
-        p = 10.0**weight
-        for n in range(1, len(self.counts)):
-            here = b.first >= n
-            state = np.zeros(len(p))
-            state[1:] = self.counts[n - 1][b.inverse[n - 1]][:-1]  # c(h) of the state before each place
-            arc = self.counts[n][b.inverse[n]]
-            p = np.where(here, (arc + m * p) / (state + m), p)
-        full = np.add.reduceat(np.log10(p), b.starts)
-        known = np.add.reduceat((seen > 0).astype(np.int64), b.starts)
-        return known, base, full
+        known = np.add.reduceat(seen.astype(np.int64), b.starts)
+
+        pieces = -(-b.sizes // lane)
+        text = np.repeat(np.arange(len(b.sizes)), pieces)
+        begin = b.starts[text] + lane * (np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+        end = np.minimum(begin + lane, b.starts[text] + b.sizes[text])
+        at = np.maximum(begin - (order - 1), b.starts[text])
+        longest = np.argsort(at - end, kind="stable")  # lanes that end first stand last
+        text, begin, end, at = text[longest], begin[longest], end[longest], at[longest]
+        state, words = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        sums, failures, live = np.zeros(len(at)), np.zeros(len(at), np.int64), len(at)
+        for step in range(lane + order - 1):
+            while live and at[live - 1] + step >= end[live - 1]:
+                live -= 1
+            if not live:
+                break
+            place = at[:live] + step
+            added = np.zeros(live)
+            waiting = np.ones(live, bool)
+            for n in range(order - 1, -1, -1):
+                here = np.flatnonzero(waiting & (words[:live] == n))
+                if not len(here):
+                    continue
+                gram = b.inverse[n][place[here]]
+                fits = self.seen[n][gram] if n else np.ones(len(here), bool)
+                go, back = here[fits], here[~fits]
+                arc = gram[fits]
+                added[go] += self.arc_weight[n][arc]
+                if n:
+                    state[go], words[go] = self.arc_to[n][arc], min(n + 1, order - 1)
+                else:  # an unseen word stays at the state of no words
+                    state[go] = np.where(self.seen[0][arc], self.arc_to[0][arc], 0)
+                    words[go] = np.where(self.seen[0][arc], min(1, order - 1), 0)
+                waiting[go] = False
+                added[back] += self.fail_weight[state[back]]
+                failures[back] += place[back] >= begin[back]
+                state[back] = self.fail_to[state[back]]
+                words[back] = n - 1
+            sums[:live] += np.where(place >= begin[:live], added, 0.0)
+        return known, base, np.bincount(text, sums, len(b.sizes)), np.bincount(text, failures, len(b.sizes)).astype(np.int64)

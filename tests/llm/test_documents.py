@@ -245,8 +245,8 @@ def test_language_model(spark):
     words = [f"w{int(r.paretovariate(0.8))}" for _ in range(3000)]
     docs = [(i, " ".join(r.choice(words) for _ in range(r.randrange(0, 60))), i % 5 != 1) for i in range(60)] + [(100, None, False), (101, " ", True), (3, "W1 w1 new", None), (None, "w1", False)]
     rows = spark.createDataFrame(docs, "doc_id long, text string, learn boolean").withColumn("block", F.lit("clash"))
-    for order in (1, 2, 3):
-        got = language_model.score(rows, F.col("learn"), order=order, block_bytes=2000).collect()
+    for order in (1, 2, 3, 4):
+        got = language_model.score(rows, F.col("learn"), order=order, strength=8.0, block_bytes=2000).collect()
         counts = [collections.Counter() for _ in range(order)]
         cut = [((t or "").lower().split() + [None]) for _, t, _ in docs]
         for (_, _, learn), w in zip(docs, cut, strict=True):
@@ -271,6 +271,33 @@ def test_language_model(spark):
     assert language_model.score(rows, F.lit(False)).filter("score <> 0").count() == 0
 
 
+def test_automaton_walk():
+    """The walk carries a state that the arcs it takes lead on from, follows failure arcs, and lanes don't change it."""
+    r = random.Random(12)
+    words = [f"w{int(r.paretovariate(0.9))}" for _ in range(500)]
+    texts = [" ".join(r.choice(words) for _ in range(n)) for n in (0, 1, 5, 40, 700)] + [None]
+    block = language_model.Block(texts, 3)
+    learnt = np.repeat([1.0, 1.0, 1.0, 1.0, 0.0, 1.0], block.sizes)
+    counts = [np.bincount(i, learnt, len(u)) for u, i in zip(block.distinct, block.inverse, strict=True)]
+    made = language_model.Automaton(block, counts, int(learnt.sum()), int((counts[0] > 0).sum()), 4.0)
+    known, base, full, failures = made.walk()
+    assert failures[4] > 50 and failures[:4].sum() == 0 and full[3] > base[3]
+    for lane in (1, 7, 64):
+        other = made.walk(lane)
+        assert np.allclose(other[2], full) and (other[3] == failures).all() and (other[0] == known).all()
+    # one text by hand: arcs fit the state they leave from
+    state, n, weight, failed = 0, 0, 0.0, 0
+    for place in range(block.starts[4], block.starts[4] + block.sizes[4]):
+        while n and not made.seen[n][block.inverse[n][place]]:
+            weight, state, n, failed = weight + made.fail_weight[state], made.fail_to[state], n - 1, failed + 1
+        arc = block.inverse[n][place]
+        weight += made.arc_weight[n][arc]
+        if n or made.seen[0][arc]:
+            assert made.arc_from[n][arc] == state
+            state, n = made.arc_to[n][arc], min(n + 1, 2)
+    assert weight == pytest.approx(full[4], abs=1e-9) and failed == failures[4]
+
+
 def test_language_id(spark):
     r = random.Random(10)
     make = lambda s: " ".join("".join(r.choice(s) for _ in range(r.randrange(2, 5))) for _ in range(80))
@@ -278,11 +305,12 @@ def test_language_id(spark):
     docs = [(i, make(parts[k]), k) for i, k in enumerate(list(parts) * 60)] + [(900, None, "aa"), (901, "x y", None)]
     rows = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
     net = langid.train(rows.filter("doc_id % 4 <> 2"), steps=120)
-    tests = rows.unionByName(spark.createDataFrame([(1000, "123 ...", "aa", "x"), (1001, "", "aa", "x")], "doc_id long, text string, lang string, score string"))
+    tests = rows.unionByName(spark.createDataFrame([(1000, "123 ...", "aa", "x"), (1001, "", "aa", "x"), (1002, "\u00bd \u00b2", "aa", "x"), (1003, "\u2167", "aa", "x"), (1003, "\u2167", "aa", "x"), (None, "the", "aa", "x")], "doc_id long, text string, lang string, score string"))
     got = {x["doc_id"]: x for x in langid.identify(tests, net).collect()}
     held = [i for i, _, _ in docs[:180] if i % 4 == 2]
     assert sum(got[i]["lang_pred"] == docs[i][2] for i in held) >= 0.95 * len(held)
-    assert all(got[i]["lang_pred"] == "und" for i in (900, 1000, 1001)) and all(0 <= x["score"] <= 1 for x in got.values())
+    assert all(got[i]["lang_pred"] == "und" for i in (900, 1000, 1001, 1002, 1003)) and got[None]["lang_pred"] != "und" and all(0 <= x["score"] <= 1 for x in got.values())
+    assert langid.identify(rows.limit(0), net).count() == 0
     assert langid.train(rows.limit(0)) is None and langid.identify(rows, None).filter("lang_pred <> 'und'").count() == 0
 
 
