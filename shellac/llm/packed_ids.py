@@ -2,15 +2,16 @@
 
 File layout (little endian)::
 
-    header   magic b"SHPI", version u32, bits u32, block u32,
-             n_ids u64, n_docs u64, n_blocks u64
+    blocks   ``block`` ids of ``bits`` bits each, the last one padded
     table 1  block offsets, u64 each, from the start of the file
     table 2  end of each document in ids, u64 each, within the file
     table 3  document ids, i64 each (the smallest value stands for null)
-    blocks   ``block`` ids of ``bits`` bits each, the last one padded
+    footer   magic b"SHPI", version u32, bits u32, block u32,
+             n_ids u64, n_docs u64, n_blocks u64
 
 A block always fills whole 64-bit words, so that any block can be unpacked by
 itself with a handful of numpy operations and any id is reached with one seek.
+The tables stand behind the blocks, so that blocks go to the file as they fill.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import io
 import struct
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, take_worker
 
-MAGIC, VERSION, BLOCK = b"SHPI", 1, 4096
-HEADER = struct.Struct("<4sIIIQQQ")
+MAGIC, VERSION, BLOCK = b"SHPI", 2, 4096
+FOOTER = struct.Struct("<4sIIIQQQ")
 NULL_ID = -(2**63)
 
 
@@ -65,17 +67,15 @@ def unpack(words: np.ndarray, bits: int) -> np.ndarray:
 
 
 class Writer:
-    """Writes one file; documents come in order, memory holds packed words only."""
+    """Writes one file; documents come in order, memory holds 64 blocks of ids and 16 bytes a document."""
 
-    def __init__(self, bits: int, block: int = BLOCK):
+    def __init__(self, out: io.RawIOBase, bits: int, block: int = BLOCK):
         if block % 64:
             raise ValueError("a block holds a multiple of 64 ids")
-        self.bits, self.block = bits, block
+        self.out, self.bits, self.block = out, bits, block
         self.pending: list[np.ndarray] = []
         self.held = self.n_ids = 0
-        self.blocks: list[bytes] = []
-        self.ends: list[int] = []
-        self.docs: list[int] = []
+        self.ends, self.docs = array("q"), array("q")
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append(NULL_ID if doc_id is None else doc_id)
@@ -88,25 +88,22 @@ class Writer:
 
     def _flush(self, count: int) -> None:
         ids = np.concatenate(self.pending) if self.pending else np.zeros(0, np.uint32)
-        self.blocks.append(pack(ids[:count], self.bits).tobytes())
+        self.out.write(pack(ids[:count], self.bits).tobytes())
         self.pending = [ids[count:]]
         self.held = len(ids) - count
 
-    def write(self, out: io.RawIOBase) -> int:
+    def close(self) -> None:
+        """Write the last block, the tables and the footer; the stream stays open."""
         if self.held:
             self.pending.append(np.zeros(-self.held % self.block, np.uint32))
             self.held += len(self.pending[-1])
             self._flush(self.held)
         n_blocks = -(-self.n_ids // self.block)
-        first = HEADER.size + 8 * (n_blocks + 2 * len(self.docs))
         step = self.block * self.bits // 8
-        out.write(HEADER.pack(MAGIC, VERSION, self.bits, self.block, self.n_ids, len(self.docs), n_blocks))
-        out.write((first + step * np.arange(n_blocks, dtype=np.int64)).astype("<u8").tobytes())
-        out.write(np.array(self.ends, dtype="<u8").tobytes())
-        out.write(np.array(self.docs, dtype="<i8").tobytes())
-        for data in self.blocks:
-            out.write(data)
-        return first + step * n_blocks
+        self.out.write((step * np.arange(n_blocks, dtype=np.int64)).astype("<u8").tobytes())
+        self.out.write(np.array(self.ends, dtype="<u8").tobytes())
+        self.out.write(np.array(self.docs, dtype="<i8").tobytes())
+        self.out.write(FOOTER.pack(MAGIC, VERSION, self.bits, self.block, self.n_ids, len(self.docs), n_blocks))
 
 
 class Reader:
@@ -114,9 +111,14 @@ class Reader:
 
     def __init__(self, stream):
         self.stream = stream
-        magic, version, self.bits, self.block, self.n_ids, n_docs, n_blocks = HEADER.unpack(stream.read(HEADER.size))
+        end = stream.seek(0, 2) - FOOTER.size
+        if end < 0:
+            raise ValueError("not a packed id file")
+        stream.seek(end)
+        magic, version, self.bits, self.block, self.n_ids, n_docs, n_blocks = FOOTER.unpack(stream.read(FOOTER.size))
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a packed id file")
+        stream.seek(end - 8 * (n_blocks + 2 * n_docs))
         self.offsets = np.frombuffer(stream.read(8 * n_blocks), "<u8")
         self.ends = np.frombuffer(stream.read(8 * n_docs), "<u8").astype(np.int64)
         self.docs = np.frombuffer(stream.read(8 * n_docs), "<i8")
@@ -156,9 +158,11 @@ def write_packed(
     ranges of their id, each range becomes one file, written under a temporary
     name and renamed when complete, so that a task that runs twice leaves one
     valid file.  Null texts count as empty; null ids come first; rows of equal
-    id follow each other in order of their text.  Returns the manifest, a row
-    per file: ``shard``, ``path``, ``n_docs``, ``n_ids``, ``start`` (ids in all
-    files before it).  An empty table gives an empty manifest.
+    id follow each other in order of their text's 64-bit hash, then of the text,
+    so that even one id of very many rows spreads over files.  Returns the
+    manifest, a row per file: ``shard``, ``path``, ``n_docs``, ``n_ids``,
+    ``start`` (ids in all files before it).  An empty table gives an empty
+    manifest; further columns are not read.
     """
     spark = docs.sparkSession
     root = out_dir or f"{shared_dir(spark)}/packed-{uuid.uuid4().hex}"
@@ -166,32 +170,34 @@ def write_packed(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker("packed_ids")
-        writer, shard, encode = Writer(bits, block), None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            encode = encode or encoder()
-            shard = batch.column(2)[0].as_py() if shard is None else shard
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
-                writer.add(doc, np.frombuffer(ids, "<u4"))
-        if shard is None:
+        filled = (batch for batch in batches if batch.num_rows)
+        batch = next(filled, None)
+        if batch is None:
             return
+        encode, shard = encoder(), batch.column(2)[0].as_py()
         store, at = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
         store.create_dir(at, recursive=True)
         path, part = f"shard-{shard:07d}.bin", f"{at}/.{uuid.uuid4().hex}"
         with store.open_output_stream(part) as out:
-            writer.write(out)
+            writer = Writer(out, bits, block)
+            while batch is not None:
+                texts = [t or "" for t in batch.column(1).to_pylist()]
+                for doc, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+                    writer.add(doc, np.frombuffer(ids, "<u4"))
+                batch = next(filled, None)
+            writer.close()
         store.move(part, f"{at}/{path}")
         yield pa.RecordBatch.from_pydict(
             {"shard": [shard], "path": [f"{root}/{path}"], "n_docs": [len(writer.docs)], "n_ids": [writer.n_ids]},
             schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]),
         )
 
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    # as many ranges as the reader makes splits, which follow the bytes; rows of one id are parted by a hash of their text
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     placed = (
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        .repartitionByRange("id").sortWithinPartitions("id", "text")
-        .withColumn("shard", F.spark_partition_id())
+        rows.withColumn("mark", F.xxhash64("text")).repartitionByRange(ranges, "id", "mark").sortWithinPartitions("id", "mark", "text")
+        .select("id", "text", F.spark_partition_id().alias("shard"))
     )
     manifest = f"{root}/manifest"
     placed.mapInArrow(run, "shard long, path string, n_docs long, n_ids long").write.parquet(manifest)

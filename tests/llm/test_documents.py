@@ -389,5 +389,35 @@ def test_neighbours_of_few(spark):
     assert ann.search(df.limit(0), F.lit(True)).count() == 0 and ann.search(df, F.lit(False)).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """An id with several vectors keeps the least; repeated rows count once; other vectors take no part."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.9, 0.1]), (2, [0.2, 0.3]), (2, [0.2, 0.3]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, None]), (None, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("c", F.lit("clash")).withColumn("bucket", F.lit(1))
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.search(df, F.col("vec_id") % 20 == 0, k=5).orderBy("rank").collect()]
+    assert got == [(0, 1, 2, 0.3), (0, 2, 1, 0.1)]
+
+
+def test_neighbours_recall_on_the_given_table(spark):
+    import os
+
+    path = "/root/testdata/sf0.01/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the driver's tables are not here")
+    df = spark.read.parquet(path)
+    x = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in df.collect() if r["embedding"] is not None}
+    ids = np.array(sorted(x))
+    m = np.stack([x[i] for i in ids])
+    got = collections.defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    hits = wanted = 0
+    for q in ids[ids % 20 == 0]:
+        s = m @ x[q]
+        best = [i for i in ids[np.lexsort((ids, -s))] if i != q][:20]
+        hits, wanted = hits + len(set(best) & set(got[q])), wanted + len(best)
+        assert len(got[q]) == len(best)
+    assert hits >= 0.9 * wanted
+
+
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")

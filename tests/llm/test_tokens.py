@@ -44,7 +44,9 @@ def test_packed_files(spark):
     rows = docs(spark)
     manifest = packed_ids.write_packed(rows, lambda: tokenizers_io.word_encoder(WORDS, 1), 49_408, block=64)
     got = packed_ids.read_packed(manifest).orderBy("start").collect()
-    want = sorted(((r["doc_id"], r["text"]) for r in rows.collect()), key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
+    # rows of one id follow each other by the hash of their text
+    want = [tuple(r) for r in rows.select("doc_id", "text").orderBy("doc_id", F.xxhash64("text"), "text").collect()]
+    assert [d for d, _ in want] == sorted((d for d, _ in want), key=lambda d: (d is not None, d or 0))
     start = 0
     for g, (doc, text) in zip(got, want, strict=True):
         ids = ids_of(WORDS, text) + array("I", [1]).tobytes()
@@ -58,6 +60,16 @@ def test_packed_files(spark):
             assert (reader.ids(a, b) == whole[a:b]).all()
 
 
+def test_packed_id_of_many_rows_spreads(spark):
+    """Rows without an id, many of them, fill several files; a long text passes through, blocks go to the file as they fill."""
+    rows = spark.createDataFrame([(None, f"text {i}") for i in range(3000)] + [(7, "long words " * 300_000)], "doc_id long, text string")
+    manifest = packed_ids.write_packed(rows, lambda: tokenizers_io.word_encoder(WORDS, 1), 49_408)
+    assert manifest.filter("n_docs > 0").count() == 4 and manifest.agg(F.max("n_docs")).first()[0] < 1500
+    got = packed_ids.read_packed(manifest).filter("doc_id = 7").first()
+    ids = ids_of(WORDS, "long words " * 300_000) + array("I", [1]).tobytes()
+    assert zlib.crc32(got["ids"]) == zlib.crc32(ids) and got["start"] == manifest.agg(F.sum("n_ids")).first()[0] - len(ids) // 4
+
+
 def test_packed_empty(spark):
     manifest = packed_ids.write_packed(docs(spark).limit(0), lambda: tokenizers_io.word_encoder(WORDS, 1), 49_408)
     assert packed_ids.read_packed(manifest).count() == 0
