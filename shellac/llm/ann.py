@@ -89,8 +89,11 @@ def search(
     other rows.  Null ids, and vectors that are null, zero, of another length
     than most or hold null or non-finite components take no part.  Equal vectors
     are searched once: of each the least ``k + 1`` ids can be found.  Ties go to
-    the smaller id.  Rows that repeat an id and vector count once.  ``recall`` is
-    aimed at on a sample of about ``fitted_on`` queries; all rows are indexed.
+    the smaller id.  Rows that repeat an id and vector count once; an id that
+    stands on rows with different vectors keeps the least of them (compared
+    component by component) and asks if any of its rows does.  An empty table
+    gives no row, further columns are not read.  ``recall`` is aimed at on a
+    sample of about ``fitted_on`` queries; all rows are indexed.
     """
     v = F.col(vector_col).cast("array<double>")
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -101,6 +104,13 @@ def search(
         return empty
     rows = rows.filter(F.size("v") == sizes["d"])
 
+    # an id on rows with different vectors keeps the least of them
+    told = rows.groupBy("id").agg(F.min(F.xxhash64("v")).alias("x"), F.max(F.xxhash64("v")).alias("y")).filter("x <> y").select("id")
+    if told.limit(1).count():
+        several = written(told, "several")
+        least_vector = rows.join(several, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
+        rows = rows.join(several, "id", "left_anti").unionByName(least_vector)
+
     # classes of equal vectors; the salt pre-aggregates a class of a third of all rows
     least = F.slice(F.array_sort(F.collect_set("id")), 1, k + 1)
     salted = rows.groupBy("v", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(least.alias("ids"))
@@ -163,9 +173,13 @@ def search(
         return pd.DataFrame({"q": q, "n": scores, "c": found})
 
     each = probed.groupBy("bucket", "chunk", "block").cogroup(held.groupBy("bucket", "chunk", "block")).applyInPandas(rank, "q long, n array<double>, c array<long>")
-    # a candidate comes from each table once at most: so many entries hold the best of all tables
-    merged = F.slice(F.sort_array(F.flatten(F.collect_list(F.arrays_zip("n", "c")))), 1, (k + 1) * made.count)
-    near = each.groupBy("q").agg(merged.alias("f")).select("q", F.explode("f").alias("f")).select("q", (-F.col("f.n")).alias("s"), F.col("f.c").alias("c")).groupBy("q", "c").agg(F.max("s").alias("s"))
+    # a candidate comes from each table once at most: so many entries hold the best of all tables;
+    # the lists of a query meet in parts first, so that no row holds those of all its probes
+    def merged(lists):
+        return F.slice(F.sort_array(F.flatten(F.collect_list(lists))), 1, (k + 1) * made.count).alias("f")
+
+    parts = each.groupBy("q", F.pmod(F.xxhash64("c"), F.lit(16)).alias("part")).agg(merged(F.arrays_zip("n", "c")))
+    near = parts.groupBy("q").agg(merged(F.col("f"))).select("q", F.explode("f").alias("f")).select("q", (-F.col("f.n")).alias("s"), F.col("f.c").alias("c")).groupBy("q", "c").agg(F.max("s").alias("s"))
     top = Window.partitionBy("q").orderBy(F.desc("s"), "c")
     best = near.withColumn("r", F.row_number().over(top)).filter(F.col("r") <= k + 1).drop("r")
     named = best.join(classes.select("c", "ids"), "c").select("q", "s", F.explode("ids").alias("vec_id"))
@@ -206,4 +220,8 @@ def _fit(classes: DataFrame, queries: DataFrame, made: Tables, k: int, recall: f
     got = classes.select("c", "v").mapInPandas(exact, "q int, s double, cost double")
     top = Window.partitionBy("q").orderBy(F.desc("s"))
     costs = [r["cost"] for r in got.withColumn("r", F.row_number().over(top)).filter((F.col("r") <= k) & (F.col("s") > float("-inf"))).select("cost").collect()]
-    return float(np.quantile(costs, recall)) + 1e-9 if costs else 0.0
+    if not costs:
+        return 0.0
+    # with as few vectors as are asked for, every one of them is to be found
+    few = classes.limit(k + 2).count() <= k + 1
+    return float(np.quantile(costs, 1.0 if few else recall, method="higher")) + 1e-9
