@@ -74,8 +74,9 @@ def release_siblings(cat: DataFrame) -> DataFrame:
         F.greatest(F.coalesce(side_marker_number("label_number"), F.lit(0)), F.coalesce(side_marker_number("b_side_label_number"), F.lit(0))).alias("mark"))
     rows = rows.withColumn("lab", F.struct("lab"))  # equal also where both are null
     keys = ["base", "lab", "fmt", "yr"]
-    w = Window.partitionBy(*keys)
-    counted = rows.withColumns({"sibs": F.sum(F.col("is_sib").cast("int")).over(w), "top": F.max(F.when(F.col("is_sib"), F.col("mark"))).over(w)})
+    # an aggregate, summed up before the shuffle: a number in reuse never meets in one task, and goes before the join
+    groups = rows.groupBy(*keys).agg(F.sum(F.col("is_sib").cast("int")).alias("sibs"), F.max(F.when(F.col("is_sib"), F.col("mark"))).alias("top"))
+    counted = rows.join(groups.filter(F.col("sibs") <= LARGEST_RELEASE), keys)
     size = F.col("sibs") + F.when(F.col("is_sib"), 0).otherwise(1)
     anchors = counted.filter((size <= LARGEST_RELEASE) & (F.greatest("mark", F.coalesce("top", F.lit(0))) >= 2))
     siblings = counted.filter("is_sib").filter(F.col("sibs") <= LARGEST_RELEASE).select(*keys, F.col("id").alias("sibling_id"))

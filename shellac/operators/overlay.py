@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import derived_columns, null_if_blank, record_key, record_label
 from ..schema import EDITABLE_FIELDS, SOURCE_FIELDS
+from .diff import dense_numbers
 
 #: Overlay sides are broadcast up to this many rows, else joined by a shuffle.
 BROADCAST_ROWS = 500_000
@@ -119,13 +120,13 @@ def apply_edits(cat: DataFrame, overrides: DataFrame, added: DataFrame, log: Dat
 
 def _logged(rows: DataFrame, action: str, now, log: DataFrame) -> DataFrame:
     """Log rows for changes; ids follow the log's own, in the order of record, field and sequence."""
-    top = log.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
+    top = log.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
     for c in ("field", "old_value", "value", "editor_name"):
         if c not in rows.columns:
             rows = rows.withColumn(c, F.lit(None).cast("string"))
     order = [c for c in ("record_id", "record_key", "field", "seq") if c in rows.columns]
-    numbered = rows.withColumn("_n", F.row_number().over(Window.orderBy(*order))).crossJoin(F.broadcast(top))
-    return numbered.select((F.col("_top") + F.col("_n")).cast("long").alias("id"), "record_key", F.col("record_id").cast("long").alias("record_id"), F.lit(action).alias("action"), "field", "old_value",
+    numbered = dense_numbers(rows.withColumn("_order", F.struct(*order)), "_order", "_n", F.lit(top))
+    return numbered.select(F.col("_n").alias("id"), "record_key", F.col("record_id").cast("long").alias("record_id"), F.lit(action).alias("action"), "field", "old_value",
                            F.col("value").alias("new_value"), "editor_name", F.lit(now).cast("timestamp").alias("created_at"))
 
 
@@ -136,9 +137,8 @@ def create_records(cat: DataFrame, added: DataFrame, log: DataFrame, rows: DataF
     and takes the new data.
     """
     clean = rows.select("seq", *(null_if_blank(f).alias(f) if f in rows.columns and f in EDITABLE_FIELDS else F.lit(None).cast("string").alias(f) for f in SOURCE_FIELDS))
-    top = cat.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    numbered = clean.withColumn("_n", F.row_number().over(Window.orderBy("seq"))).crossJoin(F.broadcast(top))  # the batch is small, typed by hand
-    made = numbered.withColumn("id", (F.col("_top") + F.col("_n")).cast("long")).withColumns(derived_columns())
+    top = cat.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+    made = dense_numbers(clean, "seq", "id", F.lit(top)).withColumns(derived_columns())
     new_cat = cat.unionByName(made.select(*cat.columns))
     data = F.to_json(F.struct(*EDITABLE_FIELDS), {"ignoreNullFields": "false"})
     latest = made.groupBy("record_key").agg(F.max_by(data, "seq").alias("_data"), F.max("id").alias("_id"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+import unicodedata
 from functools import reduce
 from operator import and_, or_
 
@@ -10,18 +13,39 @@ from pyspark.sql import functions as F
 
 from ..functions import phrase_term, substring_term
 from ..schema import PHRASE_FIELDS, RESULT_COLUMNS, SORT_COLUMNS, SUBSTRING_FIELDS
+from ..storage import stored
 
 PAGE_SIZE, LAST_PAGE, SORTED_UP_TO = 100, 10_000, 5_000
 
-#: Latin letters with marks and their base letters, side by side.
-MARKED = "àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž"
-PLAIN = "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz"
+def _bases() -> tuple[str, str]:
+    """Letters that are written as one sign with their marks, and the letters without them, side by side (from Unicode's decompositions)."""
+    marked, plain = [], []
+    for sign in map(chr, range(0x80, 0x2FFF)):
+        base, *marks = unicodedata.normalize("NFD", sign)
+        if marks and all(unicodedata.category(m).startswith("M") for m in marks) and base.isalpha():
+            marked.append(sign)
+            plain.append(base)
+    return "".join(marked), "".join(plain)
+
+
+MARKED, PLAIN = _bases()
 
 
 def token_text(c: Column) -> Column:
     """Lower-case words without marks, each led by a blank; null as empty."""
     folded = F.translate(F.lower(F.coalesce(c, F.lit(""))), MARKED, PLAIN)
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(folded, r"[^\p{L}\p{N}]+", " ")))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.regexp_replace(folded, r"\p{M}+", ""), r"[^\p{L}\p{N}]+", " ")))
+
+
+#: What searches read, as derived columns: words of the phrase fields, and the substring fields in lower case, both joined by U+0001.
+PHRASE_TEXT, SUBSTRING_TEXT = "phrase_text", "substring_text"
+
+
+def with_search_text(cat: DataFrame) -> DataFrame:
+    """Add the two searched columns where they are missing; stored with a generation, they are made once."""
+    words = [F.nullif(token_text(F.col(f)), F.lit(" ")) for f in PHRASE_FIELDS]
+    made = {PHRASE_TEXT: F.concat_ws("\u0001", *words), SUBSTRING_TEXT: F.lower(F.concat_ws("\u0001", *SUBSTRING_FIELDS))}
+    return cat.withColumns({k: v for k, v in made.items() if k not in cat.columns})
 
 
 def phrase_match(q: Column | str, fields: list[str] = PHRASE_FIELDS) -> Column:
@@ -41,9 +65,16 @@ def substring_match(q: Column | str, fields: list[str] = SUBSTRING_FIELDS) -> Co
     return F.coalesce((F.length(term) >= 3) & F.contains(joined, term), F.lit(False))
 
 
+def text_match(q: str) -> Column:
+    """The keyword test on the two searched columns: :func:`phrase_match` or :func:`substring_match`."""
+    phrase, term = token_text(phrase_term(F.lit(q))), substring_term(F.lit(q))
+    found = (phrase != " ") & F.contains(F.col(PHRASE_TEXT), phrase) | (F.length(term) >= 3) & F.contains(F.col(SUBSTRING_TEXT), term)
+    return F.coalesce(found, F.lit(False)) if q.strip() else F.lit(False)
+
+
 def matches(cat: DataFrame, q: str) -> DataFrame:
     """Rows of a keyword search, whole; a blank query has none."""
-    return cat.filter(phrase_match(q) | substring_match(q)) if q.strip() else cat.limit(0)
+    return with_search_text(cat).filter(text_match(q)).select(*cat.columns)
 
 
 def ordering(sort: str | None, direction: str | None, total: int) -> list[Column]:
@@ -60,12 +91,9 @@ def order_rows(df: DataFrame, sort: str | None = None, direction: str | None = N
 
 
 def parse_page(page: object) -> int:
-    digits = "".join(ch for ch in str(page or "1").strip().split(".")[0] if ch.isdigit() or ch == "-")
-    try:
-        n = int(digits)
-    except ValueError:
-        return 1
-    return min(max(n, 1), LAST_PAGE)
+    """The integer that leads ``page``, 1 without one, from 1 to the last page."""
+    found = re.match(r"\s*([+-]?[0-9]+)", str(page or "1"))
+    return min(max(int(found[1]), 1), LAST_PAGE) if found else 1
 
 
 def page_slice(ordered: DataFrame, page: object = 1, size: int = PAGE_SIZE) -> DataFrame:
@@ -92,37 +120,48 @@ def page_numbers(total: int, page: object = 1, size: int = PAGE_SIZE) -> dict[st
     return {"first_row": min((n - 1) * size + 1, total), "last_row": min(n * size, total), "pages": max(1, -(-total // size))}
 
 
-def bm25(cat: DataFrame, q: str, fields: list[str] = PHRASE_FIELDS, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def phrase_figures(q: str) -> tuple[Column, Column]:
+    """How often the phrase stands in a row's phrase text, and the row's number of words."""
+    phrase, text = token_text(phrase_term(F.lit(q))), F.col(PHRASE_TEXT)
+    hits = (F.length(text) - F.length(F.replace(text, phrase, F.lit("")))) / F.greatest(F.length(phrase), F.lit(1))
+    words = F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
+    return F.when(phrase == " ", 0.0).otherwise(hits), words.cast("double")
+
+
+def relevance(tf: Column, words: Column, n_all: int, n_hit: int, avg_words: float, k1: float = 1.2, b: float = 0.75) -> Column:
+    idf = max(math.log((n_all - n_hit + 0.5) / (n_hit + 0.5)), 1e-6) if n_all else 0.0
+    return -idf * (tf * (k1 + 1) / (tf + k1 * (1 - b + b * words / (avg_words or 1.0))))
+
+
+def bm25(cat: DataFrame, q: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Relevance of the rows with the phrase, ascending (better is lower): ``id``, ``score``.
 
     Frequency counts the phrase in all fields, length the words of all fields;
     equal weights.  The corpus figures come from one aggregate over all rows.
     """
-    phrase = token_text(phrase_term(F.lit(q)))
-    size = F.length(phrase)
-    texts = [token_text(F.col(f)) for f in fields]
-    hits = reduce(lambda x, y: x + y, [(F.length(t) - F.length(F.replace(t, phrase, F.lit("")))) / F.greatest(size, F.lit(1)) for t in texts])
-    lengths = reduce(lambda x, y: x + y, [F.when(t == " ", 0).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit("")))) for t in texts])
-    counted = cat.select("id", F.when(phrase == " ", 0.0).otherwise(hits).alias("tf"), lengths.cast("double").alias("len"))
-    stats = counted.agg(F.count("*").alias("n_all"), F.avg("len").alias("avg_len"), F.count_if(F.col("tf") > 0).alias("n_hit"))
-    idf = F.greatest(F.ln((F.col("n_all") - F.col("n_hit") + 0.5) / (F.col("n_hit") + 0.5)), F.lit(1e-6))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    # one row of figures: the bound of this broadcast
-    return counted.filter("tf > 0").crossJoin(F.broadcast(stats)).select("id", (-idf * weight).alias("score"))
+    texts = with_search_text(cat)
+    tf, words = phrase_figures(q)
+    figures = texts.agg(F.count("*").alias("n"), F.avg(words).alias("words"), F.count_if(tf > 0).alias("hit")).first()
+    return texts.filter(tf > 0).select("id", relevance(tf, words, figures["n"], figures["hit"], figures["words"], k1, b).alias("score"))
 
 
 def keyword_search(cat: DataFrame, q: str, sort: str | None = None, direction: str | None = None, page: object = 1) -> DataFrame:
     """A page of a keyword search: result columns, ``page_pos``, ``total``.
 
     With a sort, or few hits, in that order; else phrase hits by relevance, then
-    the others by id.
+    the others by id.  One aggregate gives the total and the corpus figures, one
+    more pass the page: a row's score needs nothing but the row and the figures.
     """
-    found = matches(cat, q)
-    total = found.count()
+    texts, test = with_search_text(cat), text_match(q)
+    tf, words = phrase_figures(q)
+    figures = texts.agg(F.count_if(test).alias("total"), F.count("*").alias("n"), F.avg(words).alias("words"), F.count_if(tf > 0).alias("hit")).first()
+    total, found = figures["total"], texts.filter(test)
     if sort in SORT_COLUMNS or total <= SORTED_UP_TO:
-        return paged(found, ordering(sort, direction, total), page, total=total).select(*RESULT_COLUMNS, "page_pos", "total")
-    ranked = found.join(bm25(cat, q).withColumnRenamed("score", "_score"), "id", "left")
-    return paged(ranked, [F.col("_score").asc_nulls_last(), F.col("id")], page, total=total).select(*RESULT_COLUMNS, "page_pos", "total")
+        order = ordering(sort, direction, total)
+    else:
+        found = found.withColumn("_score", F.when(tf > 0, relevance(tf, words, figures["n"], figures["hit"], figures["words"])))
+        order = [F.col("_score").asc_nulls_last(), F.col("id")]
+    return paged(found, order, page, total=total).select(*RESULT_COLUMNS, "page_pos", "total")
 
 
 #: Searched field -> its flip-side column.
@@ -161,23 +200,32 @@ def trigrams(c: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3))))
 
 
-def bulk_search(cat: DataFrame, queries: DataFrame, fields: list[str] = SUBSTRING_FIELDS) -> DataFrame:
+#: Distinct search terms of a bulk search are broadcast up to this many, beyond it joined by a shuffle.
+BROADCAST_TERMS = 200_000
+
+
+def bulk_search(cat: DataFrame, queries: DataFrame) -> DataFrame:
     """Substring matches of many queries at once: ``query_id``, ``id``.
 
-    Rows are listed under their trigrams, each query is looked up by the rarest
-    of its own, and what comes back is checked.  The result equals
-    :func:`substring_match` query by query.
+    Distinct terms are looked up once each: by the rarest of their trigrams among
+    those of all rows, which gives candidates; what comes back is checked.  Rows
+    are listed under wanted trigrams only, where the terms are few enough to be
+    broadcast without a shuffle.  The result equals :func:`substring_match` query
+    by query.
     """
-    terms = queries.select("query_id", substring_term(F.col("q")).alias("term")).filter(F.length("term") >= 3)
-    wanted = terms.select("query_id", "term", F.explode(trigrams(F.col("term"))).alias("g"))
-    text = F.lower(F.concat_ws("\u0001", *fields))
-    rows = cat.select("id", text.alias("text"))
-    listed = rows.select("id", F.explode(trigrams(F.col("text"))).alias("g")).join(wanted.select("g").distinct(), "g", "left_semi")
-    sizes = listed.groupBy("g").count()
-    known = wanted.join(sizes, "g", "left").groupBy("query_id", "term").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "g")).alias("best"))
-    chosen = known.filter("best.n > 0").select("query_id", "term", F.col("best.g").alias("g"))
-    near = listed.join(chosen, "g").select("query_id", "term", "id")
-    return near.join(rows, "id").filter(F.contains("text", F.col("term"))).select("query_id", "id").distinct()
+    asked = queries.select("query_id", substring_term(F.col("q")).alias("term")).filter(F.length("term") >= 3)
+    terms = asked.select("term").distinct()
+    few = terms.count() <= BROADCAST_TERMS
+    side = F.broadcast if few else lambda df: df
+    rows = with_search_text(cat).select("id", F.col(SUBSTRING_TEXT).alias("text"))
+    listed = rows.select("id", F.explode(trigrams(F.col("text"))).alias("g"))
+    wanted = terms.select("term", F.explode(trigrams(F.col("term"))).alias("g"))
+    sizes = listed.join(side(wanted.select("g").distinct()), "g", "left_semi").groupBy("g").count()
+    known = wanted.join(sizes, "g", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "g")).alias("best"))
+    chosen = stored(known.filter("best.n > 0").select("term", F.col("best.g").alias("g")), "chosen")
+    near = listed.join(side(chosen), "g").select("term", "id")
+    hits = near.join(rows, "id").filter(F.contains("text", F.col("term"))).select("term", "id")
+    return hits.join(side(asked), "term").select("query_id", "id").distinct()
 
 
 def record_by_id(cat: DataFrame, ids: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import derived_columns
+from ..operators.search import with_search_text
 from ..schema import SOURCE_FIELDS
 from ..storage import stored
 
@@ -109,6 +110,11 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "catalogue", lambda: spark.sql(BASE_SELECT, **_tables(spark, sf_dir)).withColumns(derived_columns()))
 
 
+def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue with the columns that searches read."""
+    return table(spark, sf_dir, "searchable", lambda: with_search_text(catalogue(spark, sf_dir)))
+
+
 #: The upload: without o mod 50 = 7; a dub title, doubled rows, extra rows; ``n`` is the file order.
 UPLOAD_SELECT = f"""
 SELECT id * 4 + c AS n, {", ".join("CASE WHEN c = 0 AND (id - 1) % 40 = 3 THEN title || ' (Dub)' ELSE title END AS title" if f == "title" else "CASE WHEN c = 2 THEN 'NX ' || cast(id - 1 AS string) ELSE matrix_number END AS matrix_number" if f == "matrix_number" else f for f in SOURCE_FIELDS)}

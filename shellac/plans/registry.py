@@ -39,6 +39,12 @@ def over_cat(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None:
     query(name, f"WITH {CAT} {sql}" if not sql.startswith(",") else f"WITH {CAT}{sql}")(lambda spark, sf_dir: f(fx.catalogue(spark, sf_dir)))
 
 
+def over_search(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    """As ``over_cat``, over the catalogue stored with its search columns."""
+    over_cat(name, f, sql)
+    QUERIES[name] = lambda spark, sf_dir: f(fx.searchable(spark, sf_dir))
+
+
 def scalar(name: str, columns: Callable[[], dict[str, Column]], sql: dict[str, str]) -> None:
     over_cat(name, lambda cat: cat.select("id", *(c.alias(k) for k, c in columns().items())), "SELECT id, " + ", ".join(f"{v} AS {k}" for k, v in sql.items()) + " FROM cat")
 
@@ -133,11 +139,14 @@ def page_sql(test: str, sort: str | None, direction: str | None, page: int, more
             f"(SELECT *, count(*) OVER () AS total FROM cat WHERE {test})) WHERE page_pos > {(page - 1) * 100} AND page_pos <= {page * 100}")
 
 
-over_cat("phrase_match", lambda cat: cat.filter(search.phrase_match("red-widget 10")).select("id"), f"SELECT id FROM cat WHERE {phrase_sql('red widget 10')}")
+#: Titles with marks: an i with its dots in one sign, in two, or none.
+_DOTTED = "CASE id % 3 WHEN 0 THEN replace(title, 'i', '\u00ef') WHEN 1 THEN replace(title, 'i', 'i\u0308') ELSE title END"
+over_cat("phrase_match", lambda cat: cat.withColumn("title", F.expr(_DOTTED)).filter(search.phrase_match("R\u00edng-1")).select("id"),
+         f"SELECT id FROM (SELECT * REPLACE ({_DOTTED} AS title) FROM cat) WHERE " + phrase_sql("ring 1").replace("lower(coalesce(title, ''))", "strip_accents(lower(coalesce(title, '')))"))
 over_cat("substring_match", lambda cat: cat.filter(search.substring_match("X 0010")).select("id"), f"SELECT id FROM cat WHERE {sub_sql('x 0010')}")
-over_cat("keyword_search", lambda cat: search.keyword_search(cat, "ring 7", "title", "desc", 2), page_sql(f"{phrase_sql('ring 7')} OR {sub_sql('ring 7')}", "title", "desc", 2))
-over_cat("keyword_search_default", lambda cat: search.keyword_search(cat, "red widget"), page_sql(f"{phrase_sql('red widget')} OR {sub_sql('red widget')}", None, None, 1))
-over_cat("keyword_search_ranked", lambda cat: search.keyword_search(cat, "customer", page=3), f""",
+over_search("keyword_search", lambda cat: search.keyword_search(cat, "ring 7", "title", "desc", 2), page_sql(f"{phrase_sql('ring 7')} OR {sub_sql('ring 7')}", "title", "desc", 2))
+over_search("keyword_search_default", lambda cat: search.keyword_search(cat, "red widget"), page_sql(f"{phrase_sql('red widget')} OR {sub_sql('red widget')}", None, None, 1))
+over_search("keyword_search_ranked", lambda cat: search.keyword_search(cat, "customer", page=3), f""",
   hit AS (SELECT *, (SELECT count(*) FROM cat WHERE {phrase_sql('customer')} OR {sub_sql('customer')}) AS total FROM cat WHERE {phrase_sql('customer')} OR {sub_sql('customer')}),
   tok AS (SELECT id, {" || ".join(f"{tok_sql(c)}" for c in PHRASE_FIELDS)} AS t FROM cat),
   tf AS (SELECT id, ({" + ".join(f"(length({tok_sql(c)}) - length(replace({tok_sql(c)}, ' customer', ''))) / 9" for c in PHRASE_FIELDS)}) AS tf,
@@ -145,7 +154,7 @@ over_cat("keyword_search_ranked", lambda cat: search.keyword_search(cat, "custom
   st AS (SELECT count(*) AS n_all, avg(len) AS al, count(*) FILTER (WHERE tf > 0) AS nh FROM tf),
   sc AS (SELECT id, CASE WHEN tf > 0 THEN -greatest(ln((n_all - nh + 0.5) / (nh + 0.5)), 1e-6) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / al))) END AS s FROM tf, st)
   SELECT {RESULTS}, page_pos, total FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN total > 5000 THEN s END NULLS LAST, CASE WHEN total <= 5000 THEN artist_norm END NULLS LAST, id) AS page_pos FROM hit JOIN sc USING (id)) WHERE page_pos > 200 AND page_pos <= 300""")
-over_cat("bm25_rank", lambda cat: search.bm25(cat, "red widget").select("id", F.round("score", 6).alias("score")), f""",
+over_search("bm25_rank", lambda cat: search.bm25(cat, "red widget").select("id", F.round("score", 6).alias("score")), f""",
   tf AS (SELECT id, ({" + ".join(f"(length({tok_sql(c)}) - length(replace({tok_sql(c)}, ' red widget', ''))) / 11" for c in PHRASE_FIELDS)}) AS tf,
          ({" + ".join(f"CASE WHEN {tok_sql(c)} = ' ' THEN 0 ELSE length({tok_sql(c)}) - length(replace({tok_sql(c)}, ' ', '')) END" for c in PHRASE_FIELDS)}) AS len FROM cat),
   st AS (SELECT count(*) AS n_all, avg(len) AS al, count(*) FILTER (WHERE tf > 0) AS nh FROM tf)
@@ -155,13 +164,17 @@ over_cat("field_search", lambda cat: search.field_search(cat, {"artist": "custom
 over_cat("field_search_short", lambda cat: search.field_search(cat, {"format": "EP", "title": "ring"}, "year", "desc", 1), page_sql("format_norm = 'ep' AND (contains(lower(title), 'ring') OR contains(lower(b_side_title), 'ring'))", "year", "desc", 1))
 
 
-@query("bulk_search", f"WITH {CAT}, q AS (SELECT p_partkey AS query_id, lower(p_name) AS t FROM part WHERE p_partkey % 7 = 0 UNION ALL SELECT 1000000 + o_orderkey, 'mx ' || lpad(cast(o_orderkey AS string), 6, '0') FROM orders WHERE o_orderkey % 50 = 1), "
-       f"txt AS (SELECT id, concat_ws(chr(1), {', '.join(f'lower({c})' for c in SUBSTRING_FIELDS)}) AS x FROM cat) SELECT query_id, id FROM txt, q WHERE contains(x, t)")
+@query("bulk_search", f"""WITH {CAT}, q AS (
+         SELECT p_partkey AS query_id, lower(p_name) AS t FROM part WHERE p_partkey % 50 = 0
+         UNION ALL SELECT 1000000000 + o_orderkey, 'mx ' || lpad(cast(o_orderkey AS string), 6, '0') FROM orders WHERE o_orderkey % 50 = 0),
+       txt AS (SELECT id, concat_ws(chr(1), {', '.join(f'lower({c})' for c in SUBSTRING_FIELDS)}) AS x FROM cat)
+       SELECT query_id, id FROM txt, q WHERE contains(x, t)""")
 def bulk_search(spark, sf_dir):
+    """The names of the parts and the codes of the orders whose id is divisible by 50, against all rows."""
     part, orders = spark.read.parquet(f"{sf_dir}/part.parquet"), spark.read.parquet(f"{sf_dir}/orders.parquet")
-    names = part.filter("p_partkey % 7 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("q"))
-    codes = orders.filter("o_orderkey % 50 = 1").select((F.col("o_orderkey") + 1_000_000).alias("query_id"), F.concat(F.lit("MX "), F.lpad(F.col("o_orderkey").cast("string"), 6, "0")).alias("q"))
-    return search.bulk_search(fx.catalogue(spark, sf_dir), names.unionByName(codes))
+    names = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("q"))
+    codes = orders.filter("o_orderkey % 50 = 0").select((F.col("o_orderkey") + 1_000_000_000).alias("query_id"), F.concat(F.lit("MX "), F.lpad(F.col("o_orderkey").cast("string"), 6, "0")).alias("q"))
+    return search.bulk_search(fx.searchable(spark, sf_dir), names.unionByName(codes))
 
 
 over_cat("record_by_id", lambda cat: search.record_by_id(cat, cat.filter("id % 97 = 3").select("id")).select("id", *SOURCE_FIELDS), f"SELECT id, {fx.FIELDS} FROM cat WHERE id % 97 = 3")
@@ -181,7 +194,9 @@ for _f in FACETS:
     over_cat(f"facet_index_{_f}", lambda cat, f=_f: facets.facet_index(cat, f), index_sql(_f))
 over_cat("facet_indexes", facets.facet_indexes, " UNION ALL ".join(f"SELECT '{f}' AS facet, * FROM ({index_sql(f)})" for f in FACETS))
 over_cat("facet_letter", lambda cat: facets.facet_index(cat, "artists", "c"), index_sql("artists", "artist_norm >= 'c' AND artist_norm < 'd'"))
-over_cat("facet_letter_other", lambda cat: facets.facet_index(cat, "labels", "#"), index_sql("labels", "(label_norm < 'a' OR label_norm >= '{')"))
+_NUMBERED = "CASE WHEN id % 10 = 0 THEN '7 ' || label_norm WHEN id % 10 = 1 THEN '{' || label_norm ELSE label_norm END"
+over_cat("facet_letter_other", lambda cat: facets.facet_index(cat.withColumn("label_norm", F.expr(_NUMBERED)), "labels", "#"),
+         index_sql("labels", "(label_norm < 'a' OR label_norm >= '{')").replace("FROM cat", f"FROM (SELECT * REPLACE ({_NUMBERED} AS label_norm) FROM cat)"))
 over_cat("facet_unknown", lambda cat: facets.facet_unknown(cat, "labels"), f"SELECT *, 0 AS last FROM ({index_sql('labels')}) UNION ALL SELECT '__unknown__', 'Unknown', count(*), 1 FROM cat WHERE label_norm IS NULL HAVING count(*) > 0")
 over_cat("facet_rows", lambda cat: facets.facet_rows(cat, "countries", "ja", "artist", "desc", 2),
          f"SELECT *, arg_min(country, page_pos) OVER () AS heading FROM ({page_sql(chr(99) + 'ountry_norm = ' + chr(39) + 'ja' + chr(39), 'artist', 'desc', 2)})".replace("arg_min(country, page_pos) OVER ()", "first_value(country) OVER (ORDER BY page_pos)"))
