@@ -4,7 +4,8 @@ A window starts at a key's first event after the last one lapsed, so no built-in
 window fits.  Each guard is one pure step from (state, event) to (state,
 verdict).  A replay sorts each key's events and walks them with the state of one
 key at a time in memory; a stream keeps the same state per key.  Late events
-count as arriving at the key's last time.
+count as arriving at the key's last time.  A stream's watermark serves to evict
+windows that have lapsed, and only those: strikes stay.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,11 +25,28 @@ MINUTE = 60_000
 
 
 class Guard:
-    """A step with its state and its verdict columns."""
+    """A step with its state and its verdict columns.
 
-    def __init__(self, step: Callable, state: str, start: tuple, verdict: str):
-        self.step, self.state, self.start, self.verdict = step, state, start, verdict
+    ``lapse`` says when (ms) nothing of a state's window matters any more,
+    ``rest`` what has to be kept then: None if nothing.  ``walk``, where a guard
+    has it, takes many events at once: (state, their ms) to (state, a column for
+    each part of the verdict).
+    """
+
+    def __init__(self, step: Callable, state: str, start: tuple, verdict: str, lapse: Callable[[tuple], int], rest: Callable[[tuple], tuple | None], walk: Callable | None = None):
+        self.step, self.state, self.start, self.verdict, self.lapse, self.rest = step, state, start, verdict, lapse, rest
         self.names = [x.split()[0] for x in verdict.split(", ")]
+        self.walk = walk
+
+    def verdicts(self, state: tuple, events: pd.DataFrame) -> tuple[tuple, list]:
+        """The state after one key's events, in their order, and the columns of the verdicts."""
+        if self.walk:
+            return self.walk(state, events["ms"].to_numpy(np.int64))
+        out = []
+        for e in events.to_dict("records"):
+            state, verdict = self.step(state, e)
+            out.append(verdict)
+        return state, [[v[i] for v in out] for i in range(len(self.names))]
 
 
 def crawl_guard(window_ms: int = 5 * MINUTE, warn: int = 400, block: int = 900, minutes: tuple[int, ...] = (15, 60, 360)) -> Guard:
@@ -52,7 +71,9 @@ def crawl_guard(window_ms: int = 5 * MINUTE, warn: int = 400, block: int = 900,
             return state, ("block", minutes[strikes - 1], strikes, state[4], state[3])
         return (start, count, strikes, until, hits), ("warn" if count >= warn else "allow", None, strikes, hits, until)
 
-    return Guard(step, "start long, count long, strikes long, until long, hits long", (-1, 0, 0, 0, 0), "action string, retry_minutes long, strikes long, hits long, blocked_until_ms long")
+    return Guard(
+        step, "start long, count long, strikes long, until long, hits long", (-1, 0, 0, 0, 0), "action string, retry_minutes long, strikes long, hits long, blocked_until_ms long",
+        lambda s: max(s[0] + window_ms, s[3]), lambda s: (-1, 0, *s[2:]) if s[2] or s[4] else None)
 
 
 def request_limiter(limit: int = 150, window_ms: int = MINUTE) -> Guard:
@@ -63,7 +84,18 @@ def request_limiter(limit: int = 150, window_ms: int = MINUTE) -> Guard:
         start, count = (e["ms"], 1) if start < 0 or start < e["ms"] - window_ms else (start, count + 1)
         return (start, count), (count, count <= limit)
 
-    return Guard(step, "start long, count long", (-1, 0), "count long, allowed boolean")
+    def walk(state: tuple, ms: np.ndarray) -> tuple[tuple, list]:
+        """From window start to window start."""
+        (start, held), at, counts = state, 0, np.empty(len(ms), np.int64)
+        while at < len(ms):
+            if start < 0 or start < ms[at] - window_ms:
+                start, held = int(ms[at]), 0
+            to = at + int(np.searchsorted(ms[at:], start + window_ms, "right"))
+            counts[at:to] = np.arange(held + 1, held + 1 + to - at)
+            held, at = held + to - at, to
+        return (start, held), [counts, counts <= limit]
+
+    return Guard(step, "start long, count long", (-1, 0), "count long, allowed boolean", lambda s: s[0] + window_ms, lambda _: None, walk)
 
 
 def login_lockout(most: int = 5, window_ms: int = 15 * MINUTE, lock_ms: int = 15 * MINUTE) -> Guard:
@@ -85,7 +117,9 @@ def login_lockout(most: int = 5, window_ms: int = 15 * MINUTE, lock_ms: int = 15
             until = now + lock_ms
         return (start, failures, until), (failures, was, until)
 
-    return Guard(step, "start long, failures long, until long", (-1, 0, 0), "failures long, was_locked boolean, locked_until_ms long")
+    return Guard(
+        step, "start long, failures long, until long", (-1, 0, 0), "failures long, was_locked boolean, locked_until_ms long",
+        lambda s: max(s[0] + window_ms, s[2]), lambda _: None)
 
 
 def with_time(events: DataFrame, ts_col: str = "ts") -> DataFrame:
@@ -103,35 +137,52 @@ def replay(events: DataFrame, guard: Guard, key: str, order: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = object(), guard.start
         for pdf in batches:
-            out = []
-            for e in pdf.to_dict("records"):
-                if e[key] != last:
-                    last, state = e[key], guard.start
-                state, verdict = guard.step(state, e)
-                out.append(verdict)
-            yield pdf.assign(**{n: pd.Series([v[i] for v in out], index=pdf.index, dtype=object) for i, n in enumerate(guard.names)})
+            columns: list[list] = [[] for _ in guard.names]
+            keys = pdf[key].to_numpy()
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
+            for at, to in zip(edges[:-1], edges[1:], strict=True):
+                if keys[at] != last:
+                    last, state = keys[at], guard.start
+                state, got = guard.verdicts(state, pdf.iloc[at:to])
+                for c, g in zip(columns, got, strict=True):
+                    c.extend(g)
+            yield pdf.assign(**{n: pd.Series(c, index=pdf.index, dtype=object) for n, c in zip(guard.names, columns, strict=True)})
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     return rows.mapInPandas(run, f"{kinds}, {guard.verdict}")
 
 
-def stream(events: DataFrame, guard: Guard, key: str, order: str) -> DataFrame:
-    """The same verdicts on a stream; events of a micro-batch are sorted by time, later ones never go back."""
+def stream(events: DataFrame, guard: Guard, key: str, order: str, ts_col: str = "ts", delay: str = "1 hour") -> DataFrame:
+    """The same verdicts on a stream; events of a micro-batch are sorted by time, later ones never go back.
+
+    The watermark on ``ts_col`` lags ``delay`` behind; a key's state goes once the
+    watermark has passed the end of its window (and of its block), all but what
+    never decays; a lock or block that is over reads as none from then on.  Spark
+    leaves out events that come later than ``delay``.
+    """
     columns = [f.name for f in events.schema]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
 
     def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            *was, last = state.get
+            kept = guard.rest(tuple(was))
+            if kept is None:
+                state.remove()
+            else:
+                state.update((*kept, last))
+            return
         pdf = pd.concat(list(batches)).sort_values(["ms", order])
         now, last = (tuple(state.get[:-1]), state.get[-1]) if state.exists else (guard.start, 0)
-        out = []
-        for e in pdf.to_dict("records"):
-            last = e["ms"] = max(e["ms"], last)
-            now, verdict = guard.step(now, e)
-            out.append(verdict)
+        at = pdf.assign(ms=pdf["ms"].clip(lower=last))
+        now, got = guard.verdicts(now, at)
+        last = int(at["ms"].iloc[-1])
         state.update((*now, last))
-        yield pdf[columns].assign(**{n: pd.Series([v[i] for v in out], index=pdf.index, dtype=object) for i, n in enumerate(guard.names)})
+        state.setTimeoutTimestamp(max(guard.lapse(now), last, state.getCurrentWatermarkMs()) + 1)
+        yield pdf[columns].assign(**{n: pd.Series(list(c), index=pdf.index, dtype=object) for n, c in zip(guard.names, got, strict=True)})
 
-    return events.groupBy(key).applyInPandasWithState(run, f"{kinds}, {guard.verdict}", f"{guard.state}, last long", "append", GroupStateTimeout.NoTimeout)
+    marked = events.withWatermark(ts_col, delay)
+    return marked.groupBy(key).applyInPandasWithState(run, f"{kinds}, {guard.verdict}", f"{guard.state}, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def crawl_events(requests: DataFrame) -> DataFrame:

@@ -139,16 +139,57 @@ def test_limiter_and_lockout(spark):
     assert got == [(1, False), (2, False), (3, False), (4, False), (5, False), (6, True), (0, False), (1, False), (1, False), (0, False), (1, False)]
 
 
-def test_stream_equals_replay(spark, tmp_path):
-    rows = [(f"k{i % 3}", i * 7_000, 1, False) for i in range(60)]
-    df = events(spark, rows)
-    guard = streaming.request_limiter(3)
-    df.repartition(1).sortWithinPartitions("event_id").write.parquet(str(tmp_path / "in"))
-    read = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    query = streaming.stream(read, guard, "ip", "event_id").writeStream.format("memory").queryName("guarded").outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    key = lambda r: (r["event_id"], r["allowed"], r["count"])
-    assert sorted(map(key, spark.table("guarded").collect())) == sorted(map(key, streaming.replay(df, guard, "ip", "event_id").collect()))
+def by_hand(batches, guard, key, order):
+    """Verdicts of the steps themselves over micro-batches, each sorted by time; late events count at the key's last time."""
+    state, last, out = {}, {}, {}
+    for rows in batches:
+        for e in sorted(rows, key=lambda e: (e["ms"], e[order])):
+            k = e[key]
+            last[k] = max(last.get(k, 0), e["ms"])
+            state[k], verdict = guard.step(state.get(k, guard.start), e | {"ms": last[k]})
+            out[(e[order], k)] = tuple(verdict)
+    return out
+
+
+M, BASE = streaming.MINUTE, 1_700_000_000_000
+GUARDS = {
+    "limiter": (streaming.request_limiter(3), lambda i: {"ip": f"k{i % 3}", "ms": BASE + i * 7_000, "weight": 1, "free": False, "success": False}),
+    "crawl": (streaming.crawl_guard(warn=4, block=6), lambda i: {"ip": f"k{i % 3}", "ms": BASE + i * 40_000 + (i // 30) * 30 * M, "weight": 1 + i % 3, "free": i % 17 == 0, "success": False}),
+    "lockout": (streaming.login_lockout(), lambda i: {"ip": f"k{i % 3}", "ms": BASE + i * 50_000, "weight": 1, "free": False, "success": i % 23 == 22}),
+}
+
+
+@pytest.mark.parametrize("name", GUARDS)
+def test_stream_equals_replay(spark, tmp_path, name):
+    """Several micro-batches with late events, and one so late that windows before it were evicted: strikes stay."""
+    import os
+
+    guard, make = GUARDS[name]
+    rows = [{"event_id": i} | make(i) for i in range(90)]
+    cut = [rows[:30], rows[33:60], [*rows[30:33], *rows[60:]]]  # three come late, within the delay
+    end = rows[-1]["ms"] + 600 * M
+    cut += [[{"event_id": 100} | make(0) | {"ip": "other", "ms": end}], [{"event_id": 101} | make(1) | {"ip": "other", "ms": end + 1}], [{"event_id": 110 + i} | make(i) | {"ms": end + M + i, "weight": 6} for i in range(9)]]
+    kind = "event_id long, ip string, ms long, weight int, free boolean, success boolean"
+    for k, part in enumerate(cut):
+        df = spark.createDataFrame([tuple(r[c.split()[0]] for c in kind.split(", ")) for r in part], kind).withColumn("ts", F.timestamp_millis("ms"))
+        df.coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
+        made = next(p for p in (tmp_path / f"part{k}").iterdir() if p.suffix == ".parquet")
+        (tmp_path / "in").mkdir(exist_ok=True)
+        made.rename(tmp_path / "in" / f"{k}.parquet")
+        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + 100 * k,) * 2)
+    read = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = streaming.stream(read, guard, "ip", "event_id").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    got = {(r["event_id"], r["ip"]): tuple(r[n] for n in guard.names) for r in spark.table(name).collect()}
+    hand = by_hand(cut, guard, "ip", "event_id")
+    if name == "lockout":  # a lock that is over reads 0 once its state has been evicted
+        hand = {k: (*v[:2], v[2] if v[2] > end or k[0] < 110 else 0) for k, v in hand.items()}
+    assert got == hand and len(got) == 101
+    removed = sum(p["stateOperators"][0]["numRowsRemoved"] for p in query.recentProgress if p["stateOperators"])
+    assert removed >= 3 if name != "crawl" else any(v[2] > 1 for (i, _), v in got.items() if i >= 110)
+    once = spark.createDataFrame([tuple(r[c.split()[0]] for c in kind.split(", ")) for r in rows], kind)
+    replayed = {(r["event_id"], r["ip"]): tuple(r[n] for n in guard.names) for r in streaming.replay(once, guard, "ip", "event_id").collect()}
+    assert replayed == by_hand([rows], guard, "ip", "event_id")
 
 
 def test_files(spark, tmp_path):
@@ -182,6 +223,22 @@ def test_dense_numbers_and_sitemap(spark):
     assert sources.sitemap_index(sources.sitemap_chunks(ids.limit(0), 100)).count() == 1
 
 
+def test_page_parsing():
+    from shellac.operators import search
+
+    pages = {"1a2": 1, "1e3": 1, "abc3": 1, "5-3": 5, " 7": 7, "-2": 1, "": 1, None: 1, "3.9": 3, 4: 4, "999999": 10_000}
+    assert {p: search.parse_page(p) for p in pages} == pages
+
+
+def test_phrases_with_marks(spark):
+    from shellac.operators import search
+
+    cat = catalogue(spark, [{"title": t} for t in ("D\u00e9j\u00e0 Vu", "De\u0301ja\u0300 vu", "deja vuelta", "vu deja", "Ti\u1ebfng Vi\u1ec7t", "\u0386\u03bb\u03c6\u03b1")])
+    ids = lambda q: sorted(r["id"] for r in cat.filter(search.phrase_match(q)).collect())
+    assert ids("d\u00e9ja-vu") == [1, 2, 3] and ids("tieng vie") == [5] and ids("\u03b1\u03bb\u03c6\u03b1") == [6]
+    assert sorted(r["id"] for r in search.keyword_search(cat, "de\u0301ja vu").collect()) == [1, 2, 3]
+
+
 def test_record_key_default(spark):
     rows = source(spark, [{"matrix_number": " Mx  1 "}, {"label_number": "L1", "artist": "A", "title": "T"}, {}])
     assert [r["k"] for r in rows.select(record_key().alias("k")).collect()] == ["mx:mx 1", "lk:l1|a|t", "lk:||"]
