@@ -132,33 +132,29 @@ class Memo(dict):
         self.compute, self.most, self.most_bytes, self.old, self.held = compute, most, most_bytes, {}, 0
         self.passing: list[str] = []
 
-    def _size(self, word, result) -> int:
-        return len(word) + (len(result) if hasattr(result, "__len__") else 8)
-
     def fill(self, words: Iterable[str]) -> None:
         for w in self.passing:
             self.pop(w, None)
         self.passing = []
-        missing = [w for w in set(words) if w not in self]
+        words = words if isinstance(words, set) else set(words)
+        missing = {w for w in words if w not in self}
         if not missing:
             return
         if len(self) + len(missing) > self.most or self.held > self.most_bytes:
             self.old, self.held = dict(self), 0
             self.clear()
-            missing = list({*missing, *words})
-        unknown = []
-        for w in missing:
-            got = self.old.get(w)
-            if got is None:
-                unknown.append(w)
-            else:
-                self[w] = got
-                self.held += self._size(w, got)
+            missing = words
+        unknown = list(missing.difference(self.old))
+        known = missing.difference(unknown)
+        self.update((w, self.old[w]) for w in known)
+        self.held += 2 * sum(map(len, known))
         if unknown:
-            for w, got in zip(unknown, self.compute(unknown), strict=True):
-                self[w] = got
-                size = self._size(w, got)
-                if size > self.most_bytes >> 8:
-                    self.passing.append(w)
-                else:
-                    self.held += size
+            got = self.compute(unknown)
+            self.update(zip(unknown, got, strict=True))
+            sized = hasattr(got[0], "__len__")
+            self.held += sum(map(len, unknown)) + (sum(map(len, got)) if sized else 8 * len(got))
+            most = self.most_bytes >> 8
+            if max(map(len, unknown)) > most >> 4:
+                long = [(w, len(w) + (len(x) if sized else 8)) for w, x in zip(unknown, got, strict=True)]
+                self.passing = [w for w, n in long if n > most]
+                self.held -= sum(n for _, n in long if n > most)

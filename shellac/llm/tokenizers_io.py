@@ -120,7 +120,7 @@ def word_encoder(path: str, end_id: int | None = None) -> Callable[[list[str]],
         out: list[bytes | None] = [None] * len(stems)
         if model is not None:
             for i, w in enumerate(stems):
-                if w.isalpha() and w.islower() and not ODD.search(w):
+                if w.isalpha() and w.islower() and (w.isascii() or not ODD.search(w)):
                     out[i] = array("I", [t.id for t in model.tokenize(w if w.isascii() else "".join(letters[b] for b in w.encode()))]).tobytes()
         rest = [i for i, x in enumerate(out) if x is None]
         for i, ids in zip(rest, encode_many(path, [stems[i] for i in rest]), strict=True):
@@ -134,7 +134,7 @@ def word_encoder(path: str, end_id: int | None = None) -> Callable[[list[str]],
         for w in words:
             stem = w[:-1] if w[-1:] in signs else w
             low = stem.lower()
-            if stem.isalpha() and low.isalpha() and not ODD.search(stem):
+            if stem.isalpha() and (stem.isascii() or low.isalpha() and not ODD.search(stem)):
                 parts.append((low,) if stem is w else (low, w[-1]))
             else:
                 parts.append((w,))
@@ -148,7 +148,7 @@ def word_encoder(path: str, end_id: int | None = None) -> Callable[[list[str]],
         out = []
         for part in by_size(texts, (len(t) for t in texts), 1 << 20):
             cut = [t.replace("\n", " ").split(" ") for t in part]
-            memo.fill({w for words in cut for w in words})
+            memo.fill(set().union(*cut))
             out += [b"".join(map(get, words)) + end for words in cut]
         return out
 
