@@ -55,21 +55,22 @@ def apply_diff(live: DataFrame, target: DataFrame, diff: DataFrame, order_col: s
     return live.join(gone, "id", "left_anti").unionByName(numbered.select(*columns), allowMissingColumns=True)
 
 
-def record_import(history: DataFrame, changes: DataFrame, diff: DataFrame, live: DataFrame, target: DataFrame, now, order_col: str = "n", whole: bool = False) -> tuple[DataFrame, DataFrame]:
+def record_import(history: DataFrame, changes: DataFrame, diff: DataFrame, live: DataFrame, target: DataFrame, now, order_col: str = "n", whole: bool = False, kept_rows: int | None = None, kept_imports: int | None = None) -> tuple[DataFrame, DataFrame]:
     """History and change rows after an import.
 
     Nothing is recorded when nothing changed.  With ``whole`` all changed rows
-    are kept; else up to 25,000 of them, beyond which the entry is marked
-    truncated and one row with op ``cut`` stands for them.  The newest 10
-    entries stay.
+    are kept; else up to ``kept_rows`` (25,000), beyond which the entry is marked
+    truncated and one row with op ``cut`` stands for them.  The newest
+    ``kept_imports`` (10) entries stay.
     """
+    kept_rows, kept_imports = KEPT_PAYLOAD if kept_rows is None else kept_rows, KEPT_IMPORTS if kept_imports is None else kept_imports
     n = diff.agg(F.count_if(F.col("status") == "insert").alias("i"), F.count_if(F.col("status") == "delete").alias("d"), F.count_if(F.col("status") != "insert").alias("l"), F.count_if(F.col("status") != "delete").alias("t")).first()
     if not n["i"] + n["d"]:
         return history, changes
     import_id = (history.agg(F.max("id")).first()[0] or 0) + 1
-    truncated = not whole and n["i"] + n["d"] > KEPT_PAYLOAD
+    truncated = not whole and n["i"] + n["d"] > kept_rows
     entry = history.sparkSession.createDataFrame([(import_id, now, n["i"], n["d"], n["t"], n["l"], truncated)], history.schema)
-    kept = history.unionByName(entry).orderBy(F.desc("id")).limit(KEPT_IMPORTS)
+    kept = history.unionByName(entry).orderBy(F.desc("id")).limit(kept_imports)
     if truncated:
         changes = changes.unionByName(history.sparkSession.createDataFrame([(import_id, CUT)], "import_id long, op string"), allowMissingColumns=True)
     else:

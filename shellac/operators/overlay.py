@@ -238,6 +238,11 @@ def category_edits(cat: DataFrame, fixes: DataFrame, editor: str) -> DataFrame:
     return rows.select(F.col("id").alias("record_id"), "field", F.col("suggested").alias("value"), F.lit(editor).alias("editor_name"), F.lit(1).cast("long").alias("seq"))
 
 
+def apply_category_fix(cat: DataFrame, overrides: DataFrame, added: DataFrame, log: DataFrame, fixes: DataFrame, editor: str, now) -> dict[str, DataFrame]:
+    """Turn ``current`` values of fields into ``suggested`` as edits: new ``cat``, ``overrides``, ``added``, ``log``, as of :func:`apply_edits`."""
+    return apply_edits(cat, overrides, added, log, category_edits(cat, fixes, editor), now)
+
+
 def rename_editor(log: DataFrame, overrides: DataFrame, tombstones: DataFrame, old: str, new: str) -> dict[str, object]:
     """Rewrite an editor's name in five columns; returns the tables and the number of rows changed.
 

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import datetime
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
@@ -278,17 +279,36 @@ def apply_edits_overrides(spark, sf_dir):
     return _edited(spark, sf_dir, "overrides").select("record_key", "field", "value", "base_value", "has_base")
 
 
-@query("create_records", f"WITH {CAT}, nw AS (SELECT o_orderkey AS seq, 'New ' || o_orderpriority AS title, 'MX N' || cast(o_orderkey AS string) AS matrix_number FROM orders WHERE o_orderkey % 300 = 7) SELECT id, title, matrix_number, record_key FROM cat UNION ALL SELECT (SELECT max(id) FROM cat) + row_number() OVER (ORDER BY seq), title, matrix_number, 'mx:' || lower(matrix_number) FROM nw")
-def create_records(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 300 = 7").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit(" New "), "o_orderpriority").alias("title"), F.concat(F.lit("MX N"), F.col("o_orderkey").cast("string")).alias("matrix_number"))
+_NEW = f"""WITH {CAT}, {fx.OVERLAY}, nw AS (
+  SELECT (SELECT max(id) FROM cat) + row_number() OVER (ORDER BY o_orderkey) AS id, 'New ' || o_orderpriority AS title, 'MX N' || cast(o_orderkey AS string) AS matrix_number
+  FROM orders WHERE o_orderkey % 300 = 7)"""
+
+
+def _created(spark, sf_dir, part):
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey % 300 = 7").select(
+        F.col("o_orderkey").alias("seq"), F.concat(F.lit(" New "), "o_orderpriority").alias("title"), F.concat(F.lit("MX N"), F.col("o_orderkey").cast("string")).alias("matrix_number"))
     log = spark.createDataFrame([], LOG)
-    made = overlay.create_records(fx.catalogue(spark, sf_dir), fx.overlay(spark, sf_dir)["added"], log, rows, "dora", NOW)
-    return made["cat"].select("id", "title", "matrix_number", "record_key")
+    return overlay.create_records(fx.catalogue(spark, sf_dir), fx.overlay(spark, sf_dir)["added"], log, rows, "dora", NOW)[part]
+
+
+@query("create_records", f"{_NEW} SELECT id, title, matrix_number, record_key FROM cat UNION ALL SELECT id, title, matrix_number, 'mx:' || lower(matrix_number) FROM nw")
+def create_records(spark, sf_dir):
+    return _created(spark, sf_dir, "cat").select("id", "title", "matrix_number", "record_key")
+
+
+@query("create_records_added", f"{_NEW} SELECT id, record_key, editor_name FROM added UNION ALL SELECT id, 'mx:' || lower(matrix_number), 'dora' FROM nw")
+def create_records_added(spark, sf_dir):
+    return _created(spark, sf_dir, "added").select("id", "record_key", "editor_name")
 
 
-@query("create_pairs", f"WITH {CAT} SELECT id AS seq, 'a' AS side, title, artist, b_side_title, label, country FROM cat WHERE id % 40 < 2 UNION ALL SELECT id, 'b', b_side_title, b_side_artist, title, label, country FROM cat WHERE id % 40 < 2 AND coalesce(b_side_title, b_side_artist) IS NOT NULL")
+@query("create_records_log", f"{_NEW} SELECT row_number() OVER (ORDER BY id) AS id, id AS record_id, 'mx:' || lower(matrix_number) AS record_key, 'new' AS action, title AS new_value, 'dora' AS editor_name FROM nw")
+def create_records_log(spark, sf_dir):
+    return _created(spark, sf_dir, "log").select("id", "record_id", "record_key", "action", "new_value", "editor_name")
+
+
+@query("create_pairs", f"WITH {CAT} SELECT id AS seq, 'a' AS side, title, artist, b_side_title, label, country FROM cat UNION ALL SELECT id, 'b', b_side_title, b_side_artist, title, label, country FROM cat WHERE coalesce(b_side_title, b_side_artist) IS NOT NULL")
 def create_pairs(spark, sf_dir):
-    cat = fx.catalogue(spark, sf_dir).filter("id % 40 < 2")
+    cat = fx.catalogue(spark, sf_dir)
     none = F.lit(None).cast("string")
     a = F.struct(*(F.col(f).alias(f) for f in EDITABLE_FIELDS))
     b = F.struct(*((F.col(f"b_side_{f}") if f in overlay.PAIR else none).alias(f) for f in EDITABLE_FIELDS))
@@ -308,18 +328,42 @@ query("delete_records_tombstones", f"WITH {CAT}, {fx.OVERLAY} SELECT record_key
 query("delete_records_log", f"WITH {CAT} SELECT id AS record_id, record_key, 'deleted' AS action, coalesce(artist || ' – ' || title, title) AS old_value FROM cat WHERE id % 31 = 6")(lambda s, d: _deleted(s, d, "log").select("record_id", "record_key", "action", "old_value"))
 
 
+def _restored(spark, sf_dir, part):
+    keys = fx.catalogue(spark, sf_dir).filter("id % 3 = 0").select("record_key")
+    return overlay.restore_deleted(fx.overlay(spark, sf_dir)["tombstones"], spark.createDataFrame([], LOG), keys, "ann", NOW)[part]
+
+
 @query("restore_deleted", f"WITH {CAT}, {fx.OVERLAY} SELECT record_key FROM tombstones WHERE record_key NOT IN (SELECT record_key FROM cat WHERE id % 3 = 0)")
 def restore_deleted(spark, sf_dir):
-    log = spark.createDataFrame([], LOG)
-    keys = fx.catalogue(spark, sf_dir).filter("id % 3 = 0").select("record_key")
-    return overlay.restore_deleted(fx.overlay(spark, sf_dir)["tombstones"], log, keys, "ann", NOW)["tombstones"].select("record_key")
+    return _restored(spark, sf_dir, "tombstones").select("record_key")
 
 
-@query("remove_overrides", f"WITH {CAT}, {fx.OVERLAY} SELECT cat.id, CASE WHEN o.record_id IS NOT NULL THEN o.base_value ELSE cat.producer END AS producer FROM cat LEFT JOIN (SELECT * FROM overrides WHERE field = 'producer' AND has_base) AS o ON o.record_id = cat.id AND o.record_key = cat.record_key")
-def remove_overrides(spark, sf_dir):
+@query("restore_deleted_log", f"WITH {CAT}, {fx.OVERLAY} SELECT record_key, 'restored' AS action, 'ann' AS editor_name FROM tombstones WHERE record_key IN (SELECT record_key FROM cat WHERE id % 3 = 0)")
+def restore_deleted_log(spark, sf_dir):
+    return _restored(spark, sf_dir, "log").select("record_key", "action", "editor_name")
+
+
+def _withdrawn(spark, sf_dir, part):
     o = fx.overlay(spark, sf_dir)["overrides"]
-    log = spark.createDataFrame([], LOG)
-    return overlay.remove_overrides(fx.catalogue(spark, sf_dir), o, log, o.filter("field = 'producer'").select("record_key", "field"), "ann", NOW)["cat"].select("id", "producer")
+    return overlay.remove_overrides(fx.catalogue(spark, sf_dir), o, spark.createDataFrame([], LOG), o.filter("field = 'producer'").select("record_key", "field"), "ann", NOW)[part]
+
+
+_BACK = "(SELECT * FROM overrides WHERE field = 'producer' AND has_base) AS o ON o.record_id = cat.id AND o.record_key = cat.record_key"
+
+
+@query("remove_overrides", f"WITH {CAT}, {fx.OVERLAY} SELECT cat.id, CASE WHEN o.record_id IS NOT NULL THEN o.base_value ELSE cat.producer END AS producer FROM cat LEFT JOIN {_BACK}")
+def remove_overrides(spark, sf_dir):
+    return _withdrawn(spark, sf_dir, "cat").select("id", "producer")
+
+
+@query("remove_overrides_left", f"WITH {CAT}, {fx.OVERLAY} SELECT record_key, field FROM overrides WHERE field <> 'producer'")
+def remove_overrides_left(spark, sf_dir):
+    return _withdrawn(spark, sf_dir, "overrides").select("record_key", "field")
+
+
+@query("remove_overrides_log", f"WITH {CAT}, {fx.OVERLAY} SELECT o.record_id, o.record_key, o.field, o.value AS old_value, o.base_value AS new_value, 'reverted' AS action FROM cat JOIN {_BACK}")
+def remove_overrides_log(spark, sf_dir):
+    return _withdrawn(spark, sf_dir, "log").select("record_id", "record_key", "field", "old_value", "new_value", "action")
 
 
 @query("backfill_base", f"WITH {CAT}, {fx.OVERLAY}, {fx.LOG_CTE}, f AS (SELECT record_key, field, arg_min(old_value, id) AS v FROM log WHERE field IS NOT NULL GROUP BY 1, 2) SELECT record_key, field, CASE WHEN NOT has_base AND f.v IS NOT NULL THEN f.v ELSE base_value END AS base_value, has_base OR f.v IS NOT NULL AS has_base FROM overrides LEFT JOIN f USING (record_key, field)")
@@ -334,7 +378,31 @@ def _fixes(cat):
     return cat.sparkSession.createDataFrame([("country", "Scandanavia", "Scandinavia"), ("genre", "dancehall", "Dancehall")], "field string, current string, suggested string")
 
 
-over_cat("apply_category_fix", lambda cat: overlay.category_edits(cat, _fixes(cat), "ann").select("record_id", "field", "value"), "SELECT id AS record_id, 'country' AS field, 'Scandinavia' AS value FROM cat WHERE country = 'Scandanavia' UNION ALL SELECT id, 'genre', 'Dancehall' FROM cat WHERE genre = 'dancehall'")
+over_cat("category_edits", lambda cat: overlay.category_edits(cat, _fixes(cat), "ann").select("record_id", "field", "value"), "SELECT id AS record_id, 'country' AS field, 'Scandinavia' AS value FROM cat WHERE country = 'Scandanavia' UNION ALL SELECT id, 'genre', 'Dancehall' FROM cat WHERE genre = 'dancehall'")
+
+
+def _fixed(spark, sf_dir, part):
+    cat, side = fx.catalogue(spark, sf_dir), fx.overlay(spark, sf_dir)
+    return overlay.apply_category_fix(cat, side["overrides"], side["added"], spark.createDataFrame([], LOG), _fixes(cat), "ann", NOW)[part]
+
+
+@query("apply_category_fix", f"""WITH {CAT}, f AS (SELECT id, CASE country WHEN 'Scandanavia' THEN 'Scandinavia' ELSE country END AS country, CASE genre WHEN 'dancehall' THEN 'Dancehall' ELSE genre END AS genre, record_key FROM cat)
+  SELECT id, country, lower(country) AS country_norm, genre, lower(genre) AS genre_norm, record_key FROM f""")
+def apply_category_fix(spark, sf_dir):
+    return _fixed(spark, sf_dir, "cat").select("id", "country", "country_norm", "genre", "genre_norm", "record_key")
+
+
+@query("apply_category_fix_log", f"WITH {CAT} SELECT id AS record_id, 'country' AS field, country AS old_value, 'Scandinavia' AS new_value FROM cat WHERE country = 'Scandanavia' UNION ALL SELECT id, 'genre', genre, 'Dancehall' FROM cat WHERE genre = 'dancehall'")
+def apply_category_fix_log(spark, sf_dir):
+    return _fixed(spark, sf_dir, "log").select("record_id", "field", "old_value", "new_value")
+
+
+@query("rename_editor_count", f"""WITH {CAT}, {fx.LOG_CTE}, {fx.OVERLAY}, n AS (SELECT editor_name AS e FROM log UNION ALL SELECT reviewed_by FROM log UNION ALL SELECT note_by FROM log
+  UNION ALL SELECT editor_name FROM overrides UNION ALL SELECT editor_name FROM tombstones) SELECT o.e AS old, count(*) AS changed FROM n AS o WHERE o.e IN ('editor 1', 'ann', 'boss') GROUP BY 1""")
+def rename_editor_count(spark, sf_dir):
+    side, log = fx.overlay(spark, sf_dir), fx.log(spark, sf_dir)
+    changed = [(old, overlay.rename_editor(log, side["overrides"], side["tombstones"], old, "Eve")["changed"]) for old in ("editor 1", "ann", "boss")]
+    return spark.createDataFrame(changed, "old string, changed long").filter("changed > 0")
 
 
 @query("rename_editor", f"WITH {CAT}, {fx.LOG_CTE} SELECT id, CASE WHEN editor_name = 'editor 1' THEN 'Eve' ELSE editor_name END AS editor_name, reviewed_by, CASE WHEN note_by = 'editor 1' THEN 'Eve' ELSE note_by END AS note_by FROM log")
@@ -363,7 +431,7 @@ def apply_diff(spark, sf_dir):
     return diff.apply_diff(live.select("id", *SOURCE_FIELDS), new, diff.multiset_diff(live, new))
 
 
-def _history(spark, sf_dir, whole=True):
+def _history(spark, sf_dir, whole=True, kept_rows=None):
     """Two imports: the upload over the catalogue, and the catalogue without some rows over that."""
     first, second = stored(fx.catalogue(spark, sf_dir).select("id", *SOURCE_FIELDS), "live"), stored(fx.upload(spark, sf_dir), "target")
     history = spark.createDataFrame([], "id long, created_at timestamp, inserted_count long, deleted_count long, result_count long, previous_count long, truncated boolean")
@@ -371,7 +439,7 @@ def _history(spark, sf_dir, whole=True):
     live = first
     for target in (second, first.filter("id % 13 <> 0").withColumn("n", F.col("id"))):
         d = stored(diff.multiset_diff(live, target), "diff")
-        history, changes = diff.record_import(history, changes, d, live, target, NOW, whole=whole)
+        history, changes = diff.record_import(history, changes, d, live, target, NOW, whole=whole, kept_rows=kept_rows)
         history, changes = stored(history, "history"), stored(changes, "changes")
         live = stored(diff.apply_diff(live, target, d), "live")
     return history, changes, live
@@ -393,9 +461,18 @@ def record_import(spark, sf_dir):
     return _history(spark, sf_dir, whole=False)[0].drop("created_at")
 
 
-@query("can_reconstruct", "SELECT true AS can")
+#: Rows that the truncated history of the next query keeps of an import.
+_KEPT = 2000
+
+
+@query("can_reconstruct", f"""{_H2}, e AS (SELECT *, inserted_count + deleted_count AS n FROM ({_entry(1, 'upload', 'cat')} UNION ALL {_entry(2, 'c3', 'upload')})),
+  k AS (SELECT unnest([0, {_KEPT}]) AS kept), i AS (SELECT unnest([1, 2, 3]) AS id)
+  SELECT kept, i.id, count(e.id) > 0 AND coalesce(bool_and(kept = 0 OR n <= kept), false) AS can FROM k CROSS JOIN i LEFT JOIN e ON e.id >= i.id AND n > 0 GROUP BY 1, 2""")
 def can_reconstruct(spark, sf_dir):
-    return diff.can_reconstruct(_history(spark, sf_dir)[0], 1)
+    """For a whole history (0) and one that keeps few rows of an import, from each import on and from one that never was."""
+    histories = {0: _history(spark, sf_dir)[0], _KEPT: _history(spark, sf_dir, whole=False, kept_rows=_KEPT)[0]}
+    answers = [diff.can_reconstruct(h, i).select(F.lit(kept).alias("kept"), F.lit(i).alias("id"), "can") for kept, h in histories.items() for i in (1, 2, 3)]
+    return functools.reduce(DataFrame.unionByName, answers)
 
 
 @query("net_reversal", f"{_H2}, s AS (SELECT {fx.FIELDS}, 1 AS w FROM c3 UNION ALL SELECT {fx.FIELDS}, -1 FROM cat) SELECT {fx.FIELDS}, cast(sum(w) AS bigint) AS net, {_HASH} AS hash FROM s GROUP BY ALL HAVING sum(w) <> 0")
@@ -409,83 +486,11 @@ def reconstruct_before(spark, sf_dir):
     return diff.reconstruct_before(live, changes, 1)
 
 
-@query("list_imports", "SELECT unnest([2, 1]) AS id, unnest([1, 2]) AS rn")
+@query("list_imports", f"{_H2} SELECT id, inserted_count, deleted_count, row_number() OVER (ORDER BY id DESC) AS rn FROM ({_entry(1, 'upload', 'cat')} UNION ALL {_entry(2, 'c3', 'upload')})")
 def list_imports(spark, sf_dir):
-    return diff.list_imports(_history(spark, sf_dir)[0]).select("id", (3 - F.col("id")).alias("rn"))
-
-
-# --- audits -------------------------------------------------------------------------------------------------------
-
-def _e(a: str, b: str) -> str:
-    return f"lower(trim(coalesce({a}, ''))) = lower(trim(coalesce({b}, '')))"
-
-
-_MM = (f"mm AS (SELECT a.id AS own_id, b.id AS stub_id, a.title AS own_title, a.artist AS own_artist, a.label AS own_label, a.matrix_number AS own_matrix, b.b_side_matrix_number AS stub_matrix, "
-       f"a.record_key AS ka, b.record_key AS kb FROM cat AS a JOIN cat AS b ON lower(trim(a.title)) = lower(trim(b.b_side_title)) AND {_e('a.artist', 'b.b_side_artist')} AND {_e('a.label', 'b.label')} AND {_e('a.country', 'b.country')} AND {_e('a.format', 'b.format')} AND {_e('a.year', 'b.year')} "
-       "WHERE a.id <> b.id AND trim(a.title) <> '' AND trim(a.matrix_number) <> '' AND trim(b.b_side_matrix_number) <> '' AND lower(trim(a.matrix_number)) <> lower(trim(b.b_side_matrix_number)))")
-_DK = " || chr(1) || ".join(nk(c) for c in ("ka", "kb", "own_matrix", "stub_matrix"))
-over_cat("matrix_mismatches", audit.matrix_mismatches, f", {_MM} SELECT * EXCLUDE (ka, kb), {prefix_sql('own_matrix', 'stub_matrix')} AS shared, {_DK} AS dismiss_key FROM mm")
-
-
-def _dismissed(pairs):
-    return pairs.filter("own_id % 5 = 0").select("dismiss_key")
-
-
-over_cat("open_mismatches", lambda cat: audit.open_mismatches(audit.matrix_mismatches(cat), _dismissed(audit.matrix_mismatches(cat))).select("own_id", "stub_id", "pos", "capped", "dismissed_total"), f""", {_MM}, k AS (SELECT *, {_DK} AS dk FROM mm),
-  o AS (SELECT *, row_number() OVER (ORDER BY own_label NULLS FIRST, own_matrix NULLS FIRST, own_id, stub_id) AS pos, count(*) OVER () AS c FROM k WHERE dk NOT IN (SELECT dk FROM k WHERE own_id % 5 = 0))
-  SELECT own_id, stub_id, pos, c > 500 AS capped, (SELECT count(DISTINCT dk) FROM k WHERE own_id % 5 = 0) AS dismissed_total FROM o WHERE pos <= 500""")
-_SIB = f""", r AS (SELECT id, {nk(f'({base_sql("label_number")})')} AS base, lower(trim(label)) AS lab, {nk('format')} AS fmt, {nk('year')} AS yr, label_number,
-    greatest(coalesce({marker_sql("label_number")}, 0), coalesce({marker_sql("b_side_label_number")}, 0)) AS mark FROM cat WHERE ({base_sql("label_number")}) IS NOT NULL),
-  p AS (SELECT a.id, b.id AS sid, greatest(a.mark, b.mark) AS mk FROM r AS a JOIN r AS b ON a.base = b.base AND a.lab IS NOT DISTINCT FROM b.lab AND a.fmt = b.fmt AND a.yr = b.yr AND a.id <> b.id AND starts_with(lower(b.label_number), a.base)),
-  g AS (SELECT id FROM p GROUP BY id HAVING count(*) + 1 <= 6 AND max(mk) >= 2), sib AS (SELECT p.id, p.sid AS sibling_id FROM p JOIN g USING (id))"""
-over_cat("release_siblings", audit.release_siblings, f"{_SIB} SELECT * FROM sib")
-over_cat("release_tracks", lambda cat: audit.release_tracks(cat, audit.release_siblings(cat)), f"""{_SIB},
-  mem AS (SELECT DISTINCT id AS anchor_id, id FROM sib UNION SELECT id, sibling_id FROM sib),
-  t AS (SELECT anchor_id, id, 0 AS side, label_number, artist, title FROM mem JOIN cat USING (id) UNION ALL SELECT anchor_id, id, 1, b_side_label_number, b_side_artist, b_side_title FROM mem JOIN cat USING (id)),
-  k AS (SELECT *, {nk('artist')} || '|' || {nk('title')} AS k, anchor_id = id AS own FROM t WHERE coalesce(trim(title), '') <> ''),
-  w AS (SELECT *, bool_or(own) OVER (PARTITION BY anchor_id, k) AS here, row_number() OVER (PARTITION BY anchor_id, k ORDER BY coalesce(label_number, '') = '', NOT own, id, side) AS rn,
-        first_value(struct_pack(a := NOT own, b := id, c := side)) OVER (PARTITION BY anchor_id, k ORDER BY NOT own, id, side) AS f FROM k),
-  s AS (SELECT *, CASE WHEN regexp_matches(coalesce(trim(label_number), ''), '(?i)[A-D][0-9]{{0,2}}$') THEN upper(regexp_extract(trim(label_number), '(?i)([A-D])[0-9]{{0,2}}$', 1)) ELSE 'Z' END AS sl,
-        CASE WHEN regexp_matches(coalesce(trim(label_number), ''), '(?i)[A-D][0-9]{{0,2}}$') THEN coalesce(try_cast(nullif(regexp_extract(trim(label_number), '(?i)[A-D]([0-9]{{0,2}})$', 1), '') AS integer), 0) ELSE 999 END AS sn FROM w WHERE rn = 1)
-  SELECT anchor_id, row_number() OVER (PARTITION BY anchor_id ORDER BY sl, sn, f.a, f.b, f.c) AS position, label_number, artist, title, id AS record_id, here FROM s""")
-over_cat("stub_mismatches", lambda cat: audit.stub_mismatches(cat, audit.release_siblings(cat)), f"""{_SIB}, j AS (SELECT sib.id, sibling_id, b.label_number AS sibling_label_number, a.matrix_number AS m1, b.b_side_matrix_number AS m2, a.label_number AS l1, b.b_side_label_number AS l2
-  FROM sib JOIN cat AS a ON a.id = sib.id JOIN cat AS b ON b.id = sib.sibling_id WHERE coalesce(trim(a.title), '') <> '' AND {nk('a.title')} = {nk('b.b_side_title')}),
-  x AS (SELECT id, sibling_id, sibling_label_number, 'matrix number' AS field, m1 AS here, m2 AS there FROM j UNION ALL SELECT id, sibling_id, sibling_label_number, 'label number', l1, l2 FROM j)
-  SELECT * FROM x WHERE coalesce(trim(here), '') <> '' AND {nk('here')} <> {nk('there')}""")
-_VALS = ", v AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, {f} AS value, count(*) AS n FROM cat WHERE trim({f}) <> '' GROUP BY {f}" for f in audit.CATEGORY_FIELDS) + """),
-  fv AS (SELECT field, value AS current, n AS current_n, first_value(value) OVER w AS suggested, first_value(n) OVER w AS suggested_n, row_number() OVER w AS rn FROM (SELECT *, regexp_replace(lower(value), '[^a-z0-9]', '', 'g') AS k FROM v WHERE trim(value) NOT LIKE '%?') WHERE k <> '' WINDOW w AS (PARTITION BY field, k ORDER BY n DESC, value)),
-  fmt AS (SELECT field, current, current_n, suggested, suggested_n, 'formatting' AS kind FROM fv WHERE rn > 1),
-  ms(field, value, suggested) AS (VALUES """ + ", ".join(str(x) for x in audit.MISSPELLINGS) + """),
-  spl AS (SELECT ms.field, ms.value AS current, v.n AS current_n, ms.suggested, coalesce(r.n, 0) AS suggested_n, 'spelling' AS kind FROM ms JOIN v USING (field, value) LEFT JOIN v AS r ON r.field = ms.field AND r.value = ms.suggested WHERE NOT EXISTS (SELECT 1 FROM fmt WHERE fmt.field = ms.field AND fmt.current = ms.value))"""
-over_cat("format_variants", audit.format_variants, f"{_VALS} SELECT * FROM fmt")
-over_cat("known_misspellings", audit.known_misspellings, f"{_VALS} SELECT * FROM spl")
-over_cat("category_suggestions", lambda cat: audit.category_suggestions(cat, cat.sparkSession.createDataFrame([("country", "ja")], "field string, value string")), f"{_VALS} SELECT * FROM (SELECT * FROM fmt UNION ALL SELECT * FROM spl) WHERE NOT (field = 'country' AND current = 'ja')")
-
-# --- edit log -----------------------------------------------------------------------------------------------------
-
-
-def over_log(name, f, sql):
-    query(name, f"WITH {CAT}, {fx.LOG_CTE}{sql if sql.startswith(',') else ' ' + sql}")(lambda spark, sf_dir: f(fx.log(spark, sf_dir)))
-
-
-over_log("record_log", lambda log: edit_log.record_log(log, 20).select("id", "record_key", "rn"), "SELECT id, record_key, rn FROM (SELECT *, row_number() OVER (PARTITION BY record_key ORDER BY created_at DESC, id DESC) AS rn FROM log) WHERE rn <= 20")
-over_log("global_log", lambda log: edit_log.global_log(log, "noted", 2).select("id", "page_pos", "total", "unreviewed"),
-         "SELECT id, page_pos, total, (SELECT count(*) FROM log WHERE reviewed_at IS NULL) AS unreviewed FROM (SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS page_pos, count(*) OVER () AS total FROM log WHERE note IS NOT NULL) WHERE page_pos BETWEEN 101 AND 200")
-
-
-@query("resolve_live_ids", f"WITH {CAT}, {fx.LOG_CTE}, c2 AS (SELECT * FROM cat WHERE id % 4 <> 2), bk AS (SELECT record_key, min(id) AS i FROM c2 GROUP BY 1) SELECT log.id, coalesce(bk.i, CASE WHEN c2.record_key = log.record_key THEN c2.id END) AS live_id FROM log LEFT JOIN bk ON bk.record_key = log.record_key LEFT JOIN c2 ON c2.id = log.record_id")
-def resolve_live_ids(spark, sf_dir):
-    return edit_log.resolve_live_ids(fx.log(spark, sf_dir), fx.catalogue(spark, sf_dir).filter("id % 4 <> 2"))
-
-
-over_log("review_log", lambda log: edit_log.review_log(log, log.filter("id % 6 < 3").select("id", F.expr("id % 6 = 1").alias("reviewed"), F.expr("case id % 6 when 0 then '' when 1 then ' hm ' end").alias("note")), "zoe", NOW).select("id", "reviewed_by", F.col("reviewed_at").isNull().alias("open"), "note", "note_by"),
-         "SELECT id, CASE WHEN id % 6 IN (0, 2) THEN NULL WHEN id % 6 = 1 THEN 'zoe' ELSE reviewed_by END AS reviewed_by, CASE WHEN id % 6 IN (0, 2) THEN true WHEN id % 6 = 1 THEN false ELSE reviewed_at IS NULL END AS open, CASE id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'hm' ELSE note END AS note, CASE id % 6 WHEN 0 THEN NULL WHEN 1 THEN 'zoe' ELSE note_by END AS note_by FROM log")
-over_log("editor_names", edit_log.editor_names, "SELECT name, cast(sum(n) AS bigint) AS n FROM (SELECT editor_name AS name, 1 AS n FROM log UNION ALL SELECT note_by, 0 FROM log UNION ALL SELECT reviewed_by, 0 FROM log) WHERE trim(name) <> '' GROUP BY 1")
-over_log("review_counts", edit_log.review_counts, "SELECT editor_name, count(note) AS noted, count(*) - count(reviewed_at) AS unreviewed FROM log GROUP BY 1")
-query("list_overrides", f"WITH {CAT}, {fx.OVERLAY} SELECT record_key, field, value FROM overrides")(lambda s, d: edit_log.list_overrides(fx.overlay(s, d)["overrides"]).select("record_key", "field", "value"))
-query("list_deleted", f"WITH {CAT}, {fx.OVERLAY} SELECT record_key FROM tombstones")(lambda s, d: edit_log.list_deleted(fx.overlay(s, d)["tombstones"]).select("record_key"))
-
-# --- sources and sinks --------------------------------------------------------------------------------------------
+    listed = diff.list_imports(_history(spark, sf_dir)[0])
+    place = F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))  # ten entries at most
+    return listed.select("id", "inserted_count", "deleted_count", place.alias("rn"))
 
 
 @query("csv_round_trip", f"WITH {CAT} SELECT {fx.FIELDS}, row_number() OVER (ORDER BY id) AS n FROM cat")
@@ -495,11 +500,16 @@ def csv_round_trip(spark, sf_dir):
     return sources.read_catalogue_csv(spark, path)
 
 
-@query("detect_encoding", "SELECT 'UTF-8' AS encoding")
+@query("detect_encoding", f"WITH {CAT}, r AS (SELECT count(*) FILTER (WHERE title IS NOT NULL) AS n FROM cat) SELECT 'plain' AS folder, 'UTF-8' AS encoding FROM r WHERE n > 0 UNION ALL SELECT 'marked', 'windows-1252' FROM r WHERE n > 0 UNION ALL SELECT 'utf8', 'UTF-8' FROM r WHERE n > 0")
 def detect_encoding(spark, sf_dir):
-    path = workspace(spark, "export")
-    sources.export_catalogue(fx.catalogue(spark, sf_dir), path)
-    return sources.detect_encoding(spark, f"{path}/*.csv").select("encoding").distinct()
+    """The catalogue in ASCII, with accents in UTF-8, and with accents in a one-byte encoding."""
+    root, cat = workspace(spark, "export"), fx.catalogue(spark, sf_dir)
+    sources.export_catalogue(cat, f"{root}/plain")
+    accents = cat.filter("title is not null").repartition(2).select(F.concat(F.lit("\u00e9 "), "title").alias("title"))
+    accents.write.csv(f"{root}/marked", encoding="ISO-8859-1")
+    accents.write.csv(f"{root}/utf8")
+    found = sources.detect_encoding(spark, f"{root}/*/*.csv")
+    return found.select(F.regexp_extract("file", "/([a-z0-9]+)/[^/]*$", 1).alias("folder"), "encoding").distinct()
 
 
 @query("publish_generation", f"WITH {CAT} SELECT id, {fx.FIELDS} FROM cat")

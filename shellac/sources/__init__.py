@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,20 +16,22 @@ SPARE = 8
 
 
 def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
-    """(file, encoding) of each file: UTF-8 if all of it decodes, else Windows-1252; one row per file leaves the executors."""
+    """(file, encoding) of each file: UTF-8 if all of it decodes, else Windows-1252; one row per file leaves the executors.
+
+    Files are read as lines, in splits, so that no file is held whole: a file is
+    UTF-8 if all of its lines are, for a line end is no part of another sign.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    lines = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid"))
+    judged = lines.groupBy("file").agg(F.bool_and("valid").alias("valid"))
+    encoding = F.when(F.coalesce("valid", F.lit(True)), "UTF-8").otherwise("windows-1252")
+    return files.join(judged, "file", "left").select("file", encoding.alias("encoding"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for data in pdf["content"]:
-                try:
-                    bytes(data).decode("utf-8")
-                    out.append("UTF-8")
-                except UnicodeDecodeError:
-                    out.append("windows-1252")
-            yield pd.DataFrame({"file": pdf["path"], "encoding": out})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, encoding string")
+def quoted_line_ends(spark: SparkSession, path: str) -> bool:
+    """Whether some line holds an odd number of quotes: only then can a value span lines."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return spark.read.text(path).filter(quotes % 2 == 1).limit(1).count() > 0
 
 
 def read_catalogue_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -39,12 +39,14 @@ def read_catalogue_csv(spark: SparkSession, path: str, encoding: str = "UTF-8")
 
     The header is skipped; short and long rows are tolerated, quoted values may
     span lines, blank values are null, blank rows go.  A byte order mark stands
-    in the header and goes with it.
+    in the header and goes with it.  Files are read in splits, but for those of
+    a path in which some quoted value spans lines: each of these takes one task.
     """
     if encoding.upper() not in ("UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-32"):
         spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else Spark knows these only
     names = [*SOURCE_FIELDS, *(f"_spare{i}" for i in range(SPARE))]
-    rows = spark.read.csv(path, schema=", ".join(f"{c} string" for c in names), header=True, enforceSchema=True, multiLine=True, quote='"', escape='"', mode="PERMISSIVE", encoding=encoding)
+    spans = encoding.upper().startswith("UTF-") and encoding.upper() != "UTF-8" or quoted_line_ends(spark, path)
+    rows = spark.read.csv(path, schema=", ".join(f"{c} string" for c in names), header=True, enforceSchema=True, multiLine=spans, quote='"', escape='"', mode="PERMISSIVE", encoding=encoding)
     clean = rows.select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_i"), *(null_if_blank(c).alias(c) for c in SOURCE_FIELDS))
     kept = clean.dropna(how="all", subset=SOURCE_FIELDS)
     return dense_numbers(kept.withColumn("_at", F.struct("file_path", "file_block_start", "_i")), "_at", "n").drop("_at", "file_path", "file_block_start", "_i")
@@ -79,9 +81,12 @@ class Generations:
         out = self._fs.create(part, True)
         out.write(json.dumps({"live": live, "previous": previous, "updated_at": updated_at}).encode())
         out.close()
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        self._fs.rename(part, at)
+        # in one step, so that there is a live generation at every moment
+        jvm = self.spark._jvm
+        overwrite = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.makeQualified(part).toUri(), self.spark._jsc.hadoopConfiguration())
+        files.rename(self._fs.makeQualified(part), self._fs.makeQualified(at), overwrite)
 
     def publish(self, df: DataFrame, updated_at: str) -> int:
         """Write a new generation aside, then make it the live one."""
