@@ -7,11 +7,29 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Stands in for ``spark.checkpoint.dir`` where all of Spark runs in one process.
+LOCAL_DIR = "shellac.shared.dir"
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, one temporary folder a session on a single machine, an
+    error on a cluster.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL_DIR, None)
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="shellac-")
+        spark.conf.set(LOCAL_DIR, found)
+    return found.rstrip("/")
+
 
 def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset (tests on one machine), a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="shellac-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
