@@ -4,26 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..storage import shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or the local one that ``set_local`` has named."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(LOCAL_DIR, None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="shellac-")
-        spark.conf.set(LOCAL_DIR, found)
-    return found.rstrip("/")
 
-
-#: Stands in for ``spark.checkpoint.dir`` where all of Spark runs in one process.
-LOCAL_DIR = "shellac.shared.dir"
 #: Spark's own switch that removes an execution's shuffle files as soon as it has ended.
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
