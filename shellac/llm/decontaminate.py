@@ -21,6 +21,8 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Prefix shingles are broadcast up to this many windows (about 0.4 kB each); beyond it the joins shuffle.
 BROADCAST_WINDOWS = 50_000
+#: Words of a document that are looked up together, with as many around them as a window may reach: no row holds a long text for each of its words.
+SEGMENT = 64
 
 
 def words(text: Column, separators: str = SEPARATORS) -> Column:
@@ -88,18 +90,28 @@ def find_windows(
     # a window with a shingle that no document holds occurs nowhere
     prefix = written(rarest.filter(F.col("met") == F.greatest(F.lit(1), F.col("len") - 1)).select("win_id", "window", "len", "p.at", "p.sh"), "prefix")
 
-    places = rows.select("row_key", "w", F.posexplode(found).alias("pos", "sh"))
-    one = F.greatest(F.lit(0), n - 1)
-    start = F.when(F.col("pos") < one, F.col("pos")).otherwise(F.col("pos") - one) - F.col("at")
-    fits = (start >= 0) & (start + F.col("len") <= n)
-    same = F.slice("w", start + 1, F.col("len")) == F.col("window")
+    def segment(base: Column) -> Column:
+        low = F.greatest(F.lit(0), base - size)
+        return F.struct(base.alias("base"), low.alias("low"), F.slice("w", low + 1, SEGMENT + 2 * size).alias("w"))
+
+    def looked_up(last: Column, sh) -> Column:
+        """(pos, sh) of the segment's own places up to ``last``."""
+        to = F.least(F.col("base") + (SEGMENT - 1), last)
+        each = F.transform(F.sequence("base", F.greatest("base", to)), lambda p: F.struct(p.alias("pos"), sh(p - F.col("low") + 1).alias("sh")))
+        return F.when(to >= F.col("base"), each).otherwise(F.array().cast("array<struct<pos:int,sh:bigint>>"))
+
+    bases = F.when(n > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), n - 1), F.lit(SEGMENT))).otherwise(F.array().cast("array<int>"))
+    segments = rows.select("row_key", n.alias("n"), F.explode(F.transform(bases, segment)).alias("s")).select("row_key", "n", "s.*")
+    of_pairs = looked_up(F.col("n") - 2, lambda i: shingle(F.col("w"), i))
+    of_words = looked_up(F.col("n") - 1, lambda i: F.xxhash64(F.element_at("w", i)))
+    places = segments.select("row_key", "n", "low", "w", F.explode(F.concat(of_pairs, of_words) if lengths["one"] else of_pairs).alias("f")).select("row_key", "n", "low", "w", "f.pos", "f.sh")
+    start = F.col("pos") - F.col("at")
+    fits = (start >= 0) & (start + F.col("len") <= F.col("n"))
     if small:
+        same = F.slice("w", start - F.col("low") + 1, F.col("len")) == F.col("window")
         matched = places.join(F.broadcast(prefix), "sh").filter(fits).filter(same).select("row_key", "win_id", start.alias("start"), "len")
     else:
-        lean = places.withColumn("n", n).drop("w").join(prefix.drop("window"), "sh")
-        one = F.greatest(F.lit(0), F.col("n") - 1)
-        begin = F.when(F.col("pos") < one, F.col("pos")).otherwise(F.col("pos") - one) - F.col("at")
-        lean = lean.withColumn("start", begin).filter("start >= 0 and start + len <= n").select("row_key", "win_id", "start", "len")
+        lean = places.drop("w", "low").join(prefix.drop("window"), "sh").filter(fits).select("row_key", "win_id", start.alias("start"), "len")
         matched = (
             lean.join(prefix.select("win_id", "window"), "win_id").join(rows.select("row_key", "w").distinct(), "row_key")
             .filter(F.slice("w", F.col("start") + 1, F.col("len")) == F.col("window")).select("row_key", "win_id", "start", "len")
