@@ -125,6 +125,7 @@ class Reader:
 
     def ids(self, start: int, end: int) -> np.ndarray:
         """Ids ``start`` to ``end`` of the file; reads only the blocks they lie in."""
+        end = min(end, self.n_ids)
         if end <= start:
             return np.zeros(0, "<u4")
         first, last = start // self.block, (end - 1) // self.block

@@ -52,7 +52,7 @@ def test_packed_files(spark):
         ids = ids_of(WORDS, text) + array("I", [1]).tobytes()
         assert (g["doc_id"], g["start"], g["n_tokens"], zlib.crc32(g["ids"])) == (doc, start, len(ids) // 4, zlib.crc32(ids))
         start += len(ids) // 4
-    path = manifest.orderBy("shard").first()["path"].removeprefix("file://")
+    path = manifest.orderBy(F.desc("n_ids")).first()["path"].removeprefix("file://")
     with open(path, "rb") as f:  # any span can be read by itself
         reader = packed_ids.Reader(f)
         whole = reader.ids(0, reader.n_ids)
