@@ -337,6 +337,48 @@ def test_quality(spark):
     assert quality.score(rows, None).filter("quality = 1").count() == 400
 
 
+def test_quality_rows_are_stored_whole():
+    r = np.random.default_rng(3)
+    for dense, bits in ((9, 0), (9, 13), (0, 8), (3, 1), (0, 0)):
+        x = np.c_[r.normal(size=(5, dense)).astype(np.float32), r.integers(0, 2, (5, bits))]
+        assert np.array_equal(quality.unpacked([quality.packed(v, dense) for v in x], dense, bits), x)
+        assert quality.unpacked([], dense, bits).shape == (0, dense + bits)
+
+
+def test_quality_takes_whole_bins_from_either_end():
+    counts = {-80: 3, -40: 4, -31: 9, -30: 50, 0: 10, 34: 7, 35: 5, 60: 12}
+    assert quality.surest(counts, 0.05, 0.14) == [(-80, -40, 7), (35, 60, 17)]
+    assert quality.surest(counts, 0.9, 0.9) == [(-80, -31, 16), (35, 60, 17)]
+    assert quality.surest({0: 5}, 0.1, 0.1) == quality.surest({}, 0.1, 0.1) == [(0, -1, 0)] * 2
+
+
+def test_quality_views_teach_each_other_on_all_documents(spark):
+    """A word that no labelled text holds is learned from documents whose metadata tell what they are."""
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefghij") for _ in range(4)) for _ in range(300)]
+    docs, labels = [], []
+    for i in range(3000):
+        bad = i % 4 == 0
+        w = [r.choice(words) for _ in range(40)]
+        if bad:
+            w = [x.upper() if i >= 600 else x for x in w]
+        docs.append((i, " ".join(w), "en", "spam" if bad else "press", 200))
+        if i < 400:
+            labels.append((i, int(not bad)))
+    docs += [(8, docs[0][1], "en", "spam", 200)] * 3 + [(None, docs[1][1], "en", "press", 200)] * 400 + [(None, None, None, None, None)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = rows.withColumns({c: F.lit("clash") for c in ("id", "y", "h", "meta", "b", "m0", "n0", "good", "words")})
+    labelled = spark.createDataFrame(labels, "doc_id long, good int")
+    alone, taught = quality.train(rows, labelled, rounds=0), quality.train(rows, labelled)
+    upper, lower = " ".join(words[:40]).upper(), " ".join(words[:40])
+    shout = [m.text.logit(np.array([m.text_row(t) for t in (upper, lower)])) for m in (alone, taught)]
+    assert shout[1][0] - shout[1][1] < min(0.0, shout[0][0] - shout[0][1]) - 2
+    got = quality.score(rows, taught)
+    assert got.count() == len(docs) and got.filter("doc_id % 4 = 0 and quality >= 0.5 or doc_id % 4 in (1, 2) and quality < 0.5").count() == 0
+    empty = rows.limit(0)
+    assert quality.train(empty, labelled) is None and quality.score(empty, taught).count() == 0
+
+
 @pytest.mark.parametrize("unit", [True, False])
 def test_neighbours(spark, unit):
     r = np.random.default_rng(12)
