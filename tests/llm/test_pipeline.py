@@ -45,6 +45,6 @@ def test_stages_keep_columns_and_empty_tables(spark, tmp_path):
     df = spark.createDataFrame(docs[:0], "doc_id long, text string, lang string, source string, n_chars long")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, df, str(tmp_path))
-        assert out.columns == df.columns and out.count() == 0, name
+        assert (name == "bpe_tokens" or out.columns == df.columns) and out.count() == 0, name
