@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phrase_term, substring_term
 from ..schema import PHRASE_FIELDS, RESULT_COLUMNS, SORT_COLUMNS, SUBSTRING_FIELDS
-from ..storage import stored
+from ..storage import removed, stored
 
 PAGE_SIZE, LAST_PAGE, SORTED_UP_TO = 100, 10_000, 5_000
 
@@ -196,8 +196,13 @@ def field_search(cat: DataFrame, terms: dict[str, str], sort: str | None = None,
     return paged(found, ordering(sort, direction, total), page, total=total).select(*RESULT_COLUMNS, "page_pos", "total")
 
 
-def trigrams(c: Column) -> Column:
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, F.lit(3))))
+#: Terms are looked up by pieces of eight signs, shorter terms by pieces of three.
+LONG_PIECE, SHORT_PIECE = 8, 3
+
+
+def pieces(c: Column, size: int) -> Column:
+    """The distinct pieces of ``size`` signs, found in one pass over the text."""
+    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 #: Distinct search terms of a bulk search are broadcast up to this many, beyond it joined by a shuffle.
@@ -207,23 +212,25 @@ BROADCAST_TERMS = 200_000
 def bulk_search(cat: DataFrame, queries: DataFrame) -> DataFrame:
     """Substring matches of many queries at once: ``query_id``, ``id``.
 
-    Distinct terms are looked up once each: by the rarest of their trigrams among
+    Distinct terms are looked up once each: by the rarest of their pieces among
     those of all rows, which gives candidates; what comes back is checked.  Rows
-    are listed under wanted trigrams only, where the terms are few enough to be
-    broadcast without a shuffle.  The result equals :func:`substring_match` query
-    by query.
+    are listed once, under wanted pieces only, where the terms are few enough to
+    be broadcast without a shuffle.  The result equals :func:`substring_match`
+    query by query.
     """
-    asked = queries.select("query_id", substring_term(F.col("q")).alias("term")).filter(F.length("term") >= 3)
-    terms = asked.select("term").distinct()
-    few = terms.count() <= BROADCAST_TERMS
-    side = F.broadcast if few else lambda df: df
+    asked = queries.select("query_id", substring_term(F.col("q")).alias("term")).filter(F.length("term") >= SHORT_PIECE)
+    terms = stored(asked.select("term").distinct(), "terms")
+    figures = terms.agg(F.count("*").alias("n"), F.count_if(F.length("term") < LONG_PIECE).alias("short")).first()
+    sizes = [SHORT_PIECE] * (figures["short"] > 0) + [LONG_PIECE] * (figures["short"] < figures["n"])
+    side = F.broadcast if figures["n"] <= BROADCAST_TERMS else lambda df: df
     rows = with_search_text(cat).select("id", F.col(SUBSTRING_TEXT).alias("text"))
-    listed = rows.select("id", F.explode(trigrams(F.col("text"))).alias("g"))
-    wanted = terms.select("term", F.explode(trigrams(F.col("term"))).alias("g"))
-    sizes = listed.join(side(wanted.select("g").distinct()), "g", "left_semi").groupBy("g").count()
-    known = wanted.join(sizes, "g", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "g")).alias("best"))
-    chosen = stored(known.filter("best.n > 0").select("term", F.col("best.g").alias("g")), "chosen")
-    near = listed.join(side(chosen), "g").select("term", "id")
+    listed = rows.select("id", F.explode(F.concat(*[pieces(F.col("text"), n) for n in sizes or [SHORT_PIECE]])).alias("g"))
+    own = F.when(F.length("term") < LONG_PIECE, pieces(F.col("term"), SHORT_PIECE)).otherwise(pieces(F.col("term"), LONG_PIECE))
+    wanted = terms.select("term", F.explode(own).alias("g"))
+    found = stored(listed.join(side(wanted.select("g").distinct()), "g", "left_semi"), "listed")
+    known = wanted.join(found.groupBy("g").count(), "g").groupBy("term").agg(F.min(F.struct("count", "g")).alias("best"))
+    near = stored(found.join(side(known.select("term", F.col("best.g").alias("g"))), "g").select("term", "id"), "candidates")
+    removed(found)
     hits = near.join(rows, "id").filter(F.contains("text", F.col("term"))).select("term", "id")
     return hits.join(side(asked), "term").select("query_id", "id").distinct()
 

@@ -36,4 +36,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back."""
     path = workspace(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def removed(df: DataFrame) -> None:
+    """Delete a table of ``stored`` that nothing reads any more."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

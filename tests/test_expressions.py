@@ -63,11 +63,14 @@ def test_substring(spark, q, hits):
 
 
 def test_bulk_equals_single(spark):
-    rows = cat(spark, [{"artist": f"name {i % 7}", "title": f"song {i} one"} for i in range(40)])
-    texts = ["name 3", "song 1", "one", "zz", "no such", "g 12 o"]
+    rows = cat(spark, [{"artist": f"name {i % 7}", "title": f"song {i} one"} for i in range(40)] + [{"artist": "name 3\U00010400\U00010400 longer"}])
+    texts = ["name 3", "song 1", "one", "zz", "no such", "g 12 o", "song 12 one", "e 3\U00010400\U00010400 longer", "\U00010400\U00010400 longer", None, "song 12 one"]
     queries = spark.createDataFrame(list(enumerate(texts)), "query_id long, q string")
     got = {(r["query_id"], r["id"]) for r in search.bulk_search(rows, queries).collect()}
-    assert got == {(k, r["id"]) for k, q in enumerate(texts) for r in rows.filter(search.substring_match(q)).collect()}
+    assert got == {(k, r["id"]) for k, q in enumerate(texts) if q for r in rows.filter(search.substring_match(q)).collect()}
+    for some in (queries.filter("length(q) < 8"), queries.filter("length(q) >= 8"), queries.limit(0)):
+        asked = {r["query_id"] for r in some.collect()}
+        assert {(r["query_id"], r["id"]) for r in search.bulk_search(rows, some).collect()} == {(k, i) for k, i in got if k in asked}
 
 
 def test_pages():
