@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chunk_bpe, decontaminate, edit_counts, jaccard_join, langid, language_model, packed_ids, quality, url_filter
+from . import ann, chunk_bpe, decontaminate, edit_counts, jaccard_join, langid, language_model, packed_ids, quality, reversed_search, secret_scan, source_audit, url_filter
 from .common import bounded_batches, read_table
 from .tokenizers_io import word_encoder
 
@@ -157,6 +157,79 @@ FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents: the base kinds' numbers and digest, and all spans."""
+    found = secret_scan.scan(read_table(spark, sf_dir, "documents"))
+
+    def told(spans: str) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, secret_scan.KINDS[:3]), F.sha2(told("base"), 256).alias("base_sha256"), told("spans").alias("spans"))
+
+
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ, and the terms that set each apart."""
+    return source_audit.audit(read_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+t AS (SELECT lang, source, row_number() OVER () AS row, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM (SELECT DISTINCT lang, row, term FROM t) GROUP BY ALL HAVING count(*) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+own AS (
+  SELECT lang, source, term, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY lang, source) AS total
+  FROM g JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)),
+p AS (SELECT lang, source, term, n, 1 + (1000000000::HUGEINT * (n + 2)) // (total + 2 * v) AS p FROM own JOIN v USING (lang)),
+q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY lang) + 2 * v) AS q
+  FROM (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL) JOIN v USING (lang)),
+pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item,
+         coalesce((SELECT sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) FROM p AS x JOIN p AS y USING (lang, term)
+                   WHERE x.lang = a.lang AND x.source = a.source AND y.source = b.source), 0) AS value
+  FROM g AS a JOIN g AS b ON a.lang = b.lang AND a.source <> b.source),
+term AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value
+  FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, cast(value AS BIGINT) AS value, cast(rank AS INTEGER) AS rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def op13_reversed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    return reversed_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (
+  SELECT row_number() OVER () AS item, item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM benchmark),
+f AS (SELECT count(*) AS docs, sum(len(w)) AS length FROM d WHERE len(w) > 0),
+it AS (SELECT item, item_id, term, count(*) AS times FROM (SELECT item, item_id, unnest(w) AS term FROM i) GROUP BY ALL),
+dt AS (SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(w) AS n, unnest(w) AS term FROM d) SEMI JOIN it USING (term) GROUP BY ALL),
+wt AS (SELECT term, cast(floor(1000 * ln((2 * max(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS weight FROM dt, f GROUP BY term),
+s AS (
+  SELECT item, item_id, row, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // length)))) AS score
+  FROM dt JOIN wt USING (term) JOIN it USING (term), f GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, cast(rank AS INTEGER) AS rank, doc_id, cast(score AS BIGINT) AS score FROM r WHERE rank <= 20
+"""
+
 QUALITY_LEAST = 0.4
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -170,6 +243,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_langid": op8_langid,
     "op9_quality": op9_quality,
     "op10_decontaminate": op10_decontaminate,
+    "op11_secret_scan": op11_secret_scan,
+    "op12_source_audit": op12_source_audit,
+    "op13_reversed_search": op13_reversed_search,
 }
 
 
@@ -187,4 +263,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard_join": OP5_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op5_jaccard_join": OP5_SQL, "op10_decontaminate": OP10_SQL, "op12_source_audit": OP12_SQL, "op13_reversed_search": OP13_SQL}

@@ -73,8 +73,19 @@ def test_query_on_odd_rows(spark, tables, name):
         assert {r["query_id"] for r in rows} == set(near) and all(len(n) == len(set(n)) <= 20 and q not in n for q, n in near.items())
         assert all(abs(r["score"] - sum(a * b for a, b in zip(vectors[r["query_id"]], vectors[r["vec_id"]], strict=True))) < 1e-6 for r in rows)
         return
+    if name == "op12_source_audit":
+        pairs = [r for r in rows if r["part"] == "pair"]
+        groups = {(r[2] or "", r[3] or "") for r in docs}
+        assert len(pairs) == sum(a[0] == b[0] and a != b for a in groups for b in groups) and {r["rank"] for r in rows if r["part"] == "term"} <= set(range(1, 11))
+        return
+    if name == "op13_reversed_search":
+        best = [(r["doc_id"], r["rank"]) for r in rows if r["item_id"] == 2]
+        assert sorted(best, key=lambda x: x[1]) == [(9, 1), (10, 2)] and min(rows, key=lambda r: (r["item_id"], r["rank"]))["doc_id"] == 8 and {r["item_id"] for r in rows} == {1, 2}
+        return
     assert len(rows) == len(ROWS["pages"] if name == "op2_url_filter" else docs)
-    if name == "op1_packed_ids":
+    if name == "op11_secret_scan":
+        assert all(r["n_assign"] + r["n_access"] + r["n_hex"] == 0 and r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest() for r in rows)
+    elif name == "op1_packed_ids":
         want = sorted((str(d), zlib.crc32(tokenizers_io.encode_many(WORDS, [t or ""])[0] + array("I", [1]).tobytes())) for d, t, *_ in docs)
         assert sorted((str(r["doc_id"]), r["ids_crc32"]) for r in rows) == want
         assert sorted(r["start"] for r in rows)[1:] == sorted(r["start"] + r["n_tokens"] for r in rows)[:-1]
