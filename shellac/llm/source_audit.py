@@ -83,7 +83,7 @@ class Block:
         for k in np.flatnonzero(edges[1:] > edges[:-1]):
             low, high = int(edges[k]), int(edges[k + 1])
             first, last = int(ends[low - 1]) if low else 0, int(ends[high - 1])
-            own = [keys[i] for i in order[low:high]]
+            own = [keys[i] for i in order[low:high].tolist()]
             yield {
                 "shard": int(k), "first": own[0], "keys": own, "docs": docs[low:high].astype("<i8").tobytes(), "ends": (ends[low:high] - first).astype("<i8").tobytes(),
                 "names": names, "sources": source[first:last].tobytes(), "counts": count[first:last].tobytes()}
@@ -108,8 +108,8 @@ def _runs(rows: DataFrame, shards: int, most: int) -> DataFrame:
 
         block = Block()
         for batch in batches:
-            for lang, source, text in zip(*batch.columns, strict=True):
-                block.add(lang.as_py(), source.as_py(), text.as_py())
+            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                block.add(lang, source, text)
                 if block.entries >= most:
                     yield from spilled(block)
                     block = Block()
@@ -118,18 +118,19 @@ def _runs(rows: DataFrame, shards: int, most: int) -> DataFrame:
     return rows.mapInArrow(run, PIECE_SQL)
 
 
-def _entries(piece: dict) -> Iterator[tuple[bytes, int, list[str], np.ndarray, np.ndarray]]:
-    """(key, documents, source names, sources, occurrences) of a run's piece, in order."""
+def _entries(piece: dict, known: dict[str, int]) -> Iterator[tuple[bytes, int, np.ndarray, np.ndarray]]:
+    """(key, documents, sources, occurrences) of a run's piece, in order; sources by their number in ``known``, which learns new ones."""
     docs, ends = np.frombuffer(piece["docs"], "<i8").tolist(), np.frombuffer(piece["ends"], "<i8").tolist()
-    sources, counts = np.frombuffer(piece["sources"], "<i4"), np.frombuffer(piece["counts"], "<i8")
+    number = np.array([known.setdefault(s, len(known)) for s in piece["names"]], np.int64)
+    sources, counts = number[np.frombuffer(piece["sources"], "<i4")], np.frombuffer(piece["counts"], "<i8")
     start = 0
     for key, n, end in zip(piece["keys"], docs, ends, strict=True):
-        yield key, n, piece["names"], sources[start:end], counts[start:end]
+        yield key, n, sources[start:end], counts[start:end]
         start = end
 
 
-def merged_runs(pieces: Iterator[dict]) -> Iterator[tuple[bytes, int, list]]:
-    """(key, documents, postings of the runs that hold it) for every key of a shard; ``pieces`` come by their first key.
+def merged_runs(pieces: Iterator[dict], known: dict[str, int]) -> Iterator[tuple[bytes, int, list]]:
+    """(key, documents, (sources, occurrences) of each run that holds it) for every key of a shard; ``pieces`` come by their first key.
 
     A heap holds one entry of each run that has begun; a run is opened when its
     first key is due.
@@ -139,7 +140,7 @@ def merged_runs(pieces: Iterator[dict]) -> Iterator[tuple[bytes, int, list]]:
     opened = 0
     while heap or coming:
         while coming and (not heap or coming["first"] <= heap[0][0]):
-            entries = _entries(coming)
+            entries = _entries(coming, known)
             entry = next(entries)
             heapq.heappush(heap, (entry[0], opened, entry, entries))
             opened += 1
@@ -161,41 +162,46 @@ def _frequencies(runs: DataFrame, least: int) -> DataFrame:
     """Kept terms: ``lang``, ``term``, ``sources``, ``counts``; with the term '' the sums of a task, and how many terms it kept (``kept``)."""
     fields = [("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("kept", pa.int64())]
 
+    def packed(langs: list, terms: list, groups: list, counts: list, kept: list, names: pa.Array) -> pa.RecordBatch:
+        ends = pa.array(np.cumsum([0, *map(len, groups)]), pa.int32())
+        lists = [pa.ListArray.from_arrays(ends, x) for x in (names.take(pa.array(np.concatenate(groups))), pa.array(np.concatenate(counts)))]
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(terms, pa.string()), *lists, pa.array(kept, pa.int64())], schema=pa.schema(fields))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         take_worker("source_audit")
-        sums: dict[str, Counter] = {}
+        known: dict[str, int] = {}
+        sums: dict[str, np.ndarray] = {}
         kept: Counter = Counter()
-        rows: list[dict] = []
-
-        def packed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist(rows, schema=pa.schema(fields))
-
-        shard = (piece for batch in batches for i in range(batch.num_rows) for piece in batch.slice(i, 1).to_pylist())
-        for key, docs, postings in _shards(shard):
+        rows: list[tuple] = []
+        pieces = (piece for batch in batches for i in range(batch.num_rows) for piece in batch.slice(i, 1).to_pylist())
+        for key, docs, postings in _shards(pieces, known):
             lead, _, term = key.rpartition(b"\0")
             if term and docs < least:
                 continue
-            total: Counter = Counter()
-            for names, sources, counts in postings:
-                for i, n in zip(sources.tolist(), counts.tolist(), strict=True):
-                    total[names[i]] += n
+            own, at = np.unique(np.concatenate([x for x, _ in postings]), return_inverse=True)
+            total = np.zeros(len(own), np.int64)
+            np.add.at(total, at, np.concatenate([x for _, x in postings]))
             lang = lead.decode()
-            own = sums.setdefault(lang, Counter())
-            for source, n in total.items():
-                own[source] += n
+            summed = sums.get(lang)
+            if summed is None or len(summed) < len(known):
+                sums[lang] = summed = np.concatenate((np.full(0, -1) if summed is None else summed, np.full(2 * len(known) - (0 if summed is None else len(summed)), -1)))
+            summed[own] = np.maximum(summed[own], 0) + total  # -1: not a source of this language
             if term:
                 kept[lang] += 1
-                rows.append({"lang": lang, "term": term.decode(), "sources": list(total), "counts": list(total.values()), "kept": None})
+                rows.append((lang, term.decode(), own, total, None))
             if len(rows) >= 1000:
-                yield packed()
+                yield packed(*map(list, zip(*rows, strict=True)), pa.array(known, pa.string()))
                 rows.clear()
-        rows += [{"lang": lang, "term": "", "sources": list(own), "counts": list(own.values()), "kept": kept[lang]} for lang, own in sums.items()]
-        yield packed()
+        for lang, summed in sums.items():
+            own = np.flatnonzero(summed >= 0)
+            rows.append((lang, "", own, summed[own], kept[lang]))
+        if rows:
+            yield packed(*map(list, zip(*rows, strict=True)), pa.array(known, pa.string()))
 
     return runs.mapInArrow(run, "lang string, term string, sources array<string>, counts array<long>, kept long")
 
 
-def _shards(pieces: Iterator[dict]) -> Iterator[tuple[bytes, int, list]]:
+def _shards(pieces: Iterator[dict], known: dict[str, int]) -> Iterator[tuple[bytes, int, list]]:
     """The merged keys of one shard after the other; the pieces of a shard follow each other."""
     held = next(pieces, None)
     while held:
@@ -206,7 +212,7 @@ def _shards(pieces: Iterator[dict]) -> Iterator[tuple[bytes, int, list]]:
                 piece, rest[0] = rest[0], next(pieces, None)  # noqa: B023
                 yield piece
 
-        yield from merged_runs(own())
+        yield from merged_runs(own(), known)
         held = rest[0]
 
 
@@ -239,10 +245,14 @@ class Part:
         self.least = np.full(len(names), -1, np.int64)
         self.seen = 0
 
-    def add(self, term: str, sources: list[str], counts: list[int]) -> Iterator[pa.RecordBatch]:
-        held = np.array([self.place[s] for s in sources], np.int64)
-        own = share(np.array(counts, np.int64), self.whole[held])
-        whole = share(np.int64(sum(counts)), self.all)
+    def places(self, names: list[str]) -> np.ndarray:
+        """The places of these sources; of those of other languages -1."""
+        return np.array([self.place.get(s, -1) for s in names], np.int64)
+
+    def add(self, term: str, held: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """A term that the sources at the places ``held`` have so many times; gives the sums when they are full."""
+        own = share(counts, self.whole[held])
+        whole = share(counts.sum(), self.all)
         value = apart(own, whole)
         self.seen += 1
         for k in np.flatnonzero((own > whole) & (value > self.least[held])):
@@ -289,14 +299,20 @@ def _corrections(streams: DataFrame) -> DataFrame:
         take_worker("source_audit")
         part = None
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["term"]:
-                    yield from part.add(row["term"], row["sources"], row["counts"])
+            langs, terms, sources, counts, kept = (batch.column(c) for c in ("lang", "term", "sources", "counts", "kept"))
+            ends, coded, numbers = sources.offsets.to_numpy() - sources.offsets[0].as_py(), sources.flatten().dictionary_encode(), counts.flatten().to_numpy()
+            codes, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+            place = part and part.places(names)
+            for i, term in enumerate(terms.to_pylist()):
+                own, n = codes[ends[i] : ends[i + 1]], numbers[ends[i] : ends[i + 1]]
+                if term:
+                    yield from part.add(term, place[own], n)
                     continue
                 if part:
                     yield part.pairs()
                     yield part.terms()
-                part = Part(row["lang"], row["sources"], np.array(row["counts"], np.int64), row["kept"])
+                part = Part(langs[i].as_py(), [names[k] for k in own], n, kept[i].as_py())
+                place = part.places(names)
         if part:
             yield part.pairs()
             yield part.terms()

@@ -140,8 +140,8 @@ def test_sums_of_many_sources_are_sent_in_pieces(monkeypatch):
     """A part that has room for two sources at a time comes to the same sums."""
     rng, names = random.Random(7), [f"s{i}" for i in range(9)]
     terms = [(f"t{i:03}", sorted(rng.sample(names, rng.randint(1, 9)))) for i in range(60)]
-    terms = [(t, held, [rng.randint(1, 50) for _ in held]) for t, held in terms]
-    counts = np.array([sum(n for _, held, c in terms for s, n in zip(held, c, strict=True) if s == x) for x in names])
+    terms = [(t, np.array([names.index(s) for s in held]), np.array([rng.randint(1, 50) for _ in held])) for t, held in terms]
+    counts = np.array([sum(int(c[held == x].sum()) for _, held, c in terms) for x in range(9)])
     sums = []
     for room in (4_000_000, 20):
         monkeypatch.setattr(source_audit, "SUM_ENTRIES", room)
