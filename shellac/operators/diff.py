@@ -2,28 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import content_hash
 from ..schema import SOURCE_FIELDS
-from ..storage import stored
+from ..storage import sized, stored
 
 KEPT_PAYLOAD, KEPT_IMPORTS = 25_000, 10
 #: ``op`` of the one change row that stands for the rows of a truncated import.
 CUT = "cut"
 
 
+#: Copies of a content that are made again in one task, and parts of its rows that a join by content meets in.
+COPIES, PARTS = 100_000, 16
+
+
+def numbered_copies(rows: DataFrame, order: str, descending: bool = False) -> DataFrame:
+    """Number the copies of each ``hash`` from 1 in the order of a column: the columns of ``rows`` and ``rn``.
+
+    Rows are dealt by ranges of (hash, column), so that the copies of a common
+    content lie in as many ranges as they fill, and numbered within their range.
+    Only the first hash of a range can have begun in an earlier one; as all
+    earlier ranges that hold it end with it, running sums over one row a range
+    give what to add.  Stored, so that a task that runs again can't deal the
+    ranges otherwise.
+    """
+    by = [F.col("hash"), F.col(order).desc() if descending else F.col(order).asc()]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    at_hash = rows.columns.index("hash")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h = batch.column(at_hash)
+            new = np.ones(len(h), bool)
+            new[1:] = pc.not_equal(h.slice(1), h.slice(0, len(h) - 1)).to_numpy(zero_copy_only=False)
+            new[0] = h[0].as_py() != held
+            at = np.arange(len(h))
+            edge = np.maximum.accumulate(np.where(new, at, -1))
+            rn = np.where(edge >= 0, at - edge + 1, n + at + 1)
+            held, n = h[len(h) - 1].as_py(), int(rn[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rn.astype(np.int64))], names=[*batch.schema.names, "rn"])
+
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("range", F.spark_partition_id())
+    found = stored(dealt.mapInArrow(run, f"{kinds}, range int, rn long"), "copies")
+    ends = found.groupBy("range").agg(F.min("hash").alias("first"), F.max(F.struct("hash", "rn")).alias("last")).select("range", "first", F.col("last.hash").alias("last"), F.col("last.rn").alias("n"))
+    summed = ends.withColumn("sum", F.sum("n").over(Window.partitionBy("last").orderBy("range")))
+    # one row a range: the bound of this window and of the broadcast
+    before = Window.orderBy("range")
+    offsets = summed.select("range", "first", F.when(F.lag("last").over(before) == F.col("first"), F.lag("sum").over(before)).otherwise(0).alias("add"))
+    return found.join(F.broadcast(offsets), "range").select(*rows.columns, (F.col("rn") + F.when(F.col("hash") == F.col("first"), F.col("add")).otherwise(0)).alias("rn"))
+
+
 def multiset_diff(live: DataFrame, target: DataFrame, order_col: str = "n") -> DataFrame:
     """Rows of either side by content: ``hash``, ``status``, ``id`` (live), ``n`` (target's file order).
 
     Of n live and m target copies min(n, m) are unchanged, the highest live ids
-    first; other live copies are deleted, other target copies inserted.  Only
-    hashes and ids are shuffled, once; the copies of a hash are numbered in the
-    partitioning that the join uses.
+    first; other live copies are deleted, other target copies inserted.  Hashes
+    and ids alone are shuffled: by ranges to be numbered, then by (hash, number)
+    to be joined, so that copies of one content never meet in one task.
     """
-    a = live.select(content_hash().alias("hash"), "id").withColumn("rn", F.row_number().over(Window.partitionBy("hash").orderBy(F.desc("id"))))
-    b = target.select(content_hash().alias("hash"), F.col(order_col).alias("n")).withColumn("rn", F.row_number().over(Window.partitionBy("hash").orderBy("n")))
+    a = numbered_copies(live.select(content_hash().alias("hash"), "id"), "id", descending=True)
+    b = numbered_copies(target.select(content_hash().alias("hash"), F.col(order_col).alias("n")), "n")
     status = F.when(F.col("n").isNull(), "delete").when(F.col("id").isNull(), "insert").otherwise("unchanged")
     return a.join(b, ["hash", "rn"], "full_outer").select("hash", status.alias("status"), "id", "n")
 
@@ -104,15 +152,20 @@ def net_reversal(changes: DataFrame, import_id: int) -> DataFrame:
 
 def reconstruct_before(live: DataFrame, changes: DataFrame, import_id: int) -> DataFrame:
     """Source columns of the rows as they were before an import, copies included; ValueError as in ``net_reversal``."""
-    back = net_reversal(changes, import_id)
-    numbered = live.withColumn("hash", content_hash())
-    # only contents that lose copies are numbered
+    back = stored(net_reversal(changes, import_id), "reversal")
+    hashed = live.withColumn("hash", content_hash())
+    # only contents that lose copies are numbered; a common one meets its entry in as many parts
     losing = back.filter("net > 0").select("hash", F.col("net").alias("remove"))
-    touched = numbered.join(losing, "hash")
-    rest = numbered.join(losing, "hash", "left_anti").select(*SOURCE_FIELDS)
-    rn = F.row_number().over(Window.partitionBy("hash").orderBy("id"))
-    left = touched.withColumn("rn", rn).filter("rn > remove").select(*SOURCE_FIELDS)
-    again = back.filter("net < 0").withColumn("_x", F.explode(F.array_repeat(F.lit(1), (-F.col("net")).cast("int")))).select(*SOURCE_FIELDS)
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
+    dealt = sized(losing.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))))
+    met = hashed.withColumn("_part", part).join(dealt, ["hash", "_part"], "left")
+    rest = met.filter("remove is null").select(*SOURCE_FIELDS)
+    gone = numbered_copies(met.filter("remove is not null").select("hash", "id", "remove"), "id").filter("rn <= remove").select("id")
+    left = met.filter("remove is not null").join(gone, "id", "left_anti").select(*SOURCE_FIELDS)
+    # copies that come back are made in pieces
+    pieces = back.filter("net < 0").withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), -F.col("net") - 1, F.lit(COPIES).cast("long"))))
+    some = F.least(F.lit(COPIES), -F.col("net") - F.col("_from")).cast("int")
+    again = pieces.repartition("hash", "_from").withColumn("_x", F.explode(F.array_repeat(F.lit(1), some))).select(*SOURCE_FIELDS)
     return rest.unionByName(left).unionByName(again)
 
 

@@ -6,18 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import blank, record_key
-from .search import paged
+from .search import Keys, as_order, paged
 
 NOTE_LENGTH = 2_000
 
 
-def newest() -> list[Column]:
-    return [F.desc("created_at"), F.desc("id")]
+NEWEST: Keys = [("created_at", True), ("id", True)]
 
 
 def record_log(log: DataFrame, n: int = 50) -> DataFrame:
     """The newest ``n`` rows of every record, with their place ``rn``."""
-    rn = F.row_number().over(Window.partitionBy("record_key").orderBy(*newest()))
+    rn = F.row_number().over(Window.partitionBy("record_key").orderBy(*as_order(NEWEST)))
     return log.withColumn("rn", rn).filter(F.col("rn") <= n)
 
 
@@ -28,7 +27,7 @@ def log_filter(kind: str) -> Column:
 def global_log(log: DataFrame, kind: str = "all", page: object = 1) -> DataFrame:
     """A page of the log, newest first, with ``page_pos``, ``total`` and ``unreviewed``."""
     n = log.agg(F.count_if(log_filter(kind)).alias("total"), F.count_if(F.col("reviewed_at").isNull()).alias("unreviewed")).first()
-    return paged(log.filter(log_filter(kind)), newest(), page, total=n["total"]).withColumn("unreviewed", F.lit(n["unreviewed"]).cast("long"))
+    return paged(log.filter(log_filter(kind)), NEWEST, page, total=n["total"]).withColumn("unreviewed", F.lit(n["unreviewed"]).cast("long"))
 
 
 def resolve_live_ids(log: DataFrame, cat: DataFrame) -> DataFrame:

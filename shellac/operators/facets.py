@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import is_uncertain
 from ..schema import FACETS, RESULT_COLUMNS
-from .search import ordering, paged
+from .search import order_keys, paged
 
 UNKNOWN = "__unknown__"
 
@@ -59,7 +59,7 @@ def facet_rows(cat: DataFrame, facet: str, value: str, sort: str | None = None,
     column, shown, _ = FACETS[facet]
     rows = cat.filter(F.col(column).isNull() if value == UNKNOWN else F.col(column) == value)
     total = rows.count()
-    out = paged(rows, ordering(sort, direction, total), page, total=total)
+    out = paged(rows, order_keys(sort, direction, total), page, total=total)
     if value == UNKNOWN:
         return out.select(*RESULT_COLUMNS, "page_pos", "total", F.lit("Unknown").alias("heading"))
     if shown not in RESULT_COLUMNS:

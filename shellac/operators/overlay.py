@@ -7,17 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import derived_columns, null_if_blank, record_key, record_label
 from ..schema import EDITABLE_FIELDS, SOURCE_FIELDS
+from ..storage import sized
 from .diff import dense_numbers
 
-#: Overlay sides are broadcast up to this many rows, else joined by a shuffle.
-BROADCAST_ROWS = 500_000
-
-
-def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a side whose rows were counted, if they are few."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def merge_overrides(upload: DataFrame, overrides: DataFrame) -> DataFrame:
     """The upload with its corrections; ``record_key`` is the key of the row before them.
 
@@ -73,13 +65,15 @@ def target_catalogue(upload: DataFrame, overrides: DataFrame, tombstones: DataFr
 def apply_edits(cat: DataFrame, overrides: DataFrame, added: DataFrame, log: DataFrame, batch: DataFrame, now) -> dict[str, DataFrame]:
     """Apply a batch of edits (record_id, field, value, editor_name, seq): new ``cat``, ``overrides``, ``added``, ``log``.
 
-    Blank values are null; edits of unknown rows or fields, and those that change
-    nothing, are dropped.  Edits of one cell follow each other by ``seq``.  A
-    row's key stays that before the edit; an override keeps the base of its first
-    edit.  Edits of an added row go into its data instead.
+    Blank values are null and blanks around a value don't count, neither in the
+    batch nor in the stored row; edits of unknown rows or fields, and those that
+    change nothing, are dropped.  Edits of one cell follow each other by ``seq``.
+    A row's key stays that before the edit; an override keeps the base of its
+    first edit.  Edits of an added row go into its data instead.  Where several
+    rows share a key, that of the highest id speaks for each field.
     """
     edits = batch.filter(F.col("field").isin(EDITABLE_FIELDS)).withColumn("value", null_if_blank("value"))
-    cells = F.map_from_arrays(F.array(*map(F.lit, EDITABLE_FIELDS)), F.array(*EDITABLE_FIELDS))
+    cells = F.map_from_arrays(F.array(*map(F.lit, EDITABLE_FIELDS)), F.array(*map(null_if_blank, EDITABLE_FIELDS)))
     ids = sized(edits.select(F.col("record_id").alias("id")).distinct())
     touched = cat.join(ids, "id", "left_semi").select(F.col("id").alias("record_id"), F.coalesce("record_key", record_key()).alias("record_key"), record_label().alias("record_label"), cells.alias("_row"))
     cell = Window.partitionBy("record_id", "field").orderBy("seq")
@@ -110,7 +104,8 @@ def apply_edits(cat: DataFrame, overrides: DataFrame, added: DataFrame, log: Dat
         F.coalesce("b.record_label", "a.record_label").alias("record_label"), F.coalesce("b.record_id", "a.record_id").alias("record_id"), F.when(is_new, F.lit(None).cast("long")).otherwise(F.col("a.editor_id")).alias("editor_id"),
         F.coalesce("b.editor_name", "a.editor_name").alias("editor_name"), F.when(is_new, F.lit(now).cast("timestamp")).otherwise(F.col("a.updated_at")).alias("updated_at"))
 
-    per_key = to_rows.groupBy("record_key").agg(F.map_from_entries(F.collect_list(F.struct("field", F.struct("value").alias("v")))).alias("_new"))
+    per_cell = to_rows.groupBy("record_key", "field").agg(F.max_by(F.struct("value"), "record_id").alias("v"))
+    per_key = per_cell.groupBy("record_key").agg(F.map_from_entries(F.collect_list(F.struct("field", "v"))).alias("_new"))
     old = F.coalesce(F.from_json("data", "map<string,string>"), F.create_map().cast("map<string,string>"))
     written_back = F.to_json(F.map_concat(F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys("_new"), k)), F.transform_values("_new", lambda k, v: v["value"])), {"ignoreNullFields": "false"})
     new_added = added.join(per_key, "record_key", "left").withColumns({

@@ -77,19 +77,79 @@ def matches(cat: DataFrame, q: str) -> DataFrame:
     return with_search_text(cat).filter(text_match(q)).select(*cat.columns)
 
 
-def ordering(sort: str | None, direction: str | None, total: int) -> list[Column]:
-    """Nulls last either way, id last; without a sort by artist while the result is small, else by id."""
+#: (column, descending) of an order; nulls come last either way.
+Keys = list[tuple[str, bool]]
+
+
+def order_keys(sort: str | None, direction: str | None, total: int) -> Keys:
+    """Id last; without a sort by artist while the result is small, else by id."""
     column = SORT_COLUMNS.get(sort or "")
     if column is None:
-        return [F.col("artist_norm").asc_nulls_last(), F.col("id")] if total <= SORTED_UP_TO else [F.col("id")]
-    c = F.col(column)
-    return [c.desc_nulls_last() if direction == "desc" else c.asc_nulls_last(), F.col("id")]
+        return [("artist_norm", False), ("id", False)] if total <= SORTED_UP_TO else [("id", False)]
+    return [(column, direction == "desc"), ("id", False)]
+
+
+def as_order(keys: Keys) -> list[Column]:
+    return [F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last() for c, down in keys]
+
+
+def ordering(sort: str | None, direction: str | None, total: int) -> list[Column]:
+    """The columns of :func:`order_keys`."""
+    return as_order(order_keys(sort, direction, total))
 
 
 def order_rows(df: DataFrame, sort: str | None = None, direction: str | None = None, total: int | None = None) -> DataFrame:
     return df.orderBy(*ordering(sort, direction, df.count() if total is None else total))
 
 
+def before(keys: Keys, values: tuple) -> Column:
+    """Whether a row comes before the place of ``values`` in an order."""
+    out, same = F.lit(False), F.lit(True)
+    for (name, down), v in zip(keys, values, strict=True):
+        c = F.col(name)
+        if v is None:
+            less, equal = c.isNotNull(), c.isNull()
+        else:
+            less, equal = F.coalesce(c > v if down else c < v, F.lit(False)), F.coalesce(c == v, F.lit(False))
+        out, same = out | same & less, same & equal
+    return out
+
+
+#: Pages from this many rows on are found by ranges; so many rows may be sorted to find one, so many ranges are counted in a pass, and so many keys tell where they begin.
+DEEP_FROM, SORTED_ROWS, RANGES, SAMPLED_KEYS = 20_000, 100_000, 32, 2_048
+
+
+def rank_range(df: DataFrame, keys: Keys, rank: int, total: int, most: int | None = None) -> tuple[Column, int]:
+    """Rows among which that of a rank (from 0) stands: a test for them, and how many rows come before them.
+
+    A bounded sample of the keys gives the borders of ranges, one pass counts the
+    rows before each, and the range of the rank is cut again until it has ``most``
+    rows (SORTED_ROWS) or no two keys to tell apart.  Only counts and keys reach
+    the driver.
+    """
+    most = SORTED_ROWS if most is None else most
+    test, skipped, n = F.lit(True), 0, total
+    names = [c for c, _ in keys]
+    while n > most:
+        inside = df.filter(test).select(*names)
+        spread = inside.withColumn("_h", F.xxhash64(*names)).orderBy("_h").limit(SAMPLED_KEYS).drop("_h")
+        sample = list(dict.fromkeys(tuple(r) for r in spread.orderBy(*as_order(keys)).collect()))
+        borders = [sample[i * len(sample) // RANGES] for i in range(1, RANGES)] if len(sample) >= RANGES else sample[1:]
+        borders = list(dict.fromkeys(borders))
+        if not borders:
+            break
+        counts = [0, *inside.agg(*(F.count_if(before(keys, b)).alias(f"c{i}") for i, b in enumerate(borders))).first(), n]
+        at = max(i for i, c in enumerate(counts[:-1]) if c <= rank - skipped)
+        low, high = None if at == 0 else borders[at - 1], None if at == len(borders) else borders[at]
+        if counts[at + 1] - counts[at] == n:
+            break
+        for border, inside_of in ((low, lambda b: ~before(keys, b)), (high, lambda b: before(keys, b))):
+            if border is not None:
+                test = test & inside_of(border)
+        skipped, n = skipped + counts[at], counts[at + 1] - counts[at]
+    return test, skipped
+
+
 def parse_page(page: object) -> int:
     """The integer that leads ``page``, 1 without one, from 1 to the last page."""
     found = re.match(r"\s*([+-]?[0-9]+)", str(page or "1"))
@@ -97,20 +157,39 @@ def parse_page(page: object) -> int:
 
 
 def page_slice(ordered: DataFrame, page: object = 1, size: int = PAGE_SIZE) -> DataFrame:
-    """One page of an ordered frame: a top-k for early pages, an offset for deep ones."""
+    """One page of a frame that is already ordered, by an offset; :func:`keyed_page` is for deep pages."""
     n = parse_page(page)
     return ordered.offset((n - 1) * size).limit(size)
 
 
-def paged(df: DataFrame, order: list[Column], page: object = 1, size: int = PAGE_SIZE, total: int | None = None) -> DataFrame:
+def keyed_page(df: DataFrame, keys: Keys, page: object = 1, size: int = PAGE_SIZE, total: int | None = None, deep_from: int | None = None, most: int | None = None) -> DataFrame:
+    """One page in the order of keys.
+
+    Early pages are a top-k.  For deep ones the range of the page's first row is
+    found by counts, the keys of that range alone are sorted for the page's first
+    one, and a top-k of the rows from there on is the page.
+    """
+    start = (parse_page(page) - 1) * size
+    if start < (DEEP_FROM if deep_from is None else deep_from):
+        return page_slice(df.orderBy(*as_order(keys)), page, size)
+    total = df.count() if total is None else total
+    if start >= total:
+        return df.limit(0)
+    names = [c for c, _ in keys]
+    test, skipped = rank_range(df, keys, start, total, most)
+    first = df.filter(test).select(*names).orderBy(*as_order(keys)).offset(start - skipped).limit(1).first()
+    return df.filter(~before(keys, tuple(first))).orderBy(*as_order(keys)).limit(size)
+
+
+def paged(df: DataFrame, keys: Keys, page: object = 1, size: int = PAGE_SIZE, total: int | None = None, deep_from: int | None = None) -> DataFrame:
     """A page with its places: ``page_pos`` (from 1, over all pages) and ``total``.
 
     Only the page's own rows are numbered.
     """
     n = parse_page(page)
     total = df.count() if total is None else total
-    kept = page_slice(df.orderBy(*order), n, size)
-    place = F.row_number().over(Window.orderBy(*order)) + (n - 1) * size
+    kept = keyed_page(df, keys, n, size, total, deep_from)
+    place = F.row_number().over(Window.orderBy(*as_order(keys))) + (n - 1) * size
     return kept.withColumns({"page_pos": place.cast("long"), "total": F.lit(total).cast("long")})
 
 
@@ -157,10 +236,10 @@ def keyword_search(cat: DataFrame, q: str, sort: str | None = None, direction: s
     figures = texts.agg(F.count_if(test).alias("total"), F.count("*").alias("n"), F.avg(words).alias("words"), F.count_if(tf > 0).alias("hit")).first()
     total, found = figures["total"], texts.filter(test)
     if sort in SORT_COLUMNS or total <= SORTED_UP_TO:
-        order = ordering(sort, direction, total)
+        order = order_keys(sort, direction, total)
     else:
         found = found.withColumn("_score", F.when(tf > 0, relevance(tf, words, figures["n"], figures["hit"], figures["words"])))
-        order = [F.col("_score").asc_nulls_last(), F.col("id")]
+        order = [("_score", False), ("id", False)]
     return paged(found, order, page, total=total).select(*RESULT_COLUMNS, "page_pos", "total")
 
 
@@ -193,7 +272,7 @@ def field_search(cat: DataFrame, terms: dict[str, str], sort: str | None = None,
     test = field_match(terms)
     found = cat.limit(0) if test is None else cat.filter(test)
     total = found.count()
-    return paged(found, ordering(sort, direction, total), page, total=total).select(*RESULT_COLUMNS, "page_pos", "total")
+    return paged(found, order_keys(sort, direction, total), page, total=total).select(*RESULT_COLUMNS, "page_pos", "total")
 
 
 #: Terms are looked up by pieces of eight signs, shorter terms by pieces of three.

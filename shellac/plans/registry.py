@@ -179,9 +179,11 @@ def bulk_search(spark, sf_dir):
 
 
 over_cat("record_by_id", lambda cat: search.record_by_id(cat, cat.filter("id % 97 = 3").select("id")).select("id", *SOURCE_FIELDS), f"SELECT id, {fx.FIELDS} FROM cat WHERE id % 97 = 3")
-over_cat("order_rows", lambda cat: search.paged(cat, search.ordering("year", "desc", 10**6), 7).select("id", "year_sort", "page_pos"),
+over_cat("order_rows", lambda cat: search.paged(cat, search.order_keys("year", "desc", 10**6), 7).select("id", "year_sort", "page_pos"),
          "SELECT id, year_sort, page_pos FROM (SELECT *, row_number() OVER (ORDER BY year_sort DESC NULLS LAST, id) AS page_pos FROM cat) WHERE page_pos > 600 AND page_pos <= 700")
 over_cat("page_slice", lambda cat: search.page_slice(cat.orderBy("id"), "9").select("id", "title"), "SELECT id, title FROM cat ORDER BY id LIMIT 100 OFFSET 800")
+over_cat("deep_page", lambda cat: search.keyed_page(cat, [("artist_norm", True), ("id", False)], 13, deep_from=0, most=200).select("id", "artist_norm"),
+         "SELECT id, artist_norm FROM cat ORDER BY artist_norm DESC NULLS LAST, id LIMIT 100 OFFSET 1200")
 
 # --- facets -------------------------------------------------------------------------------------------------------
 
@@ -279,6 +281,20 @@ def apply_edits_overrides(spark, sf_dir):
     return _edited(spark, sf_dir, "overrides").select("record_key", "field", "value", "base_value", "has_base")
 
 
+@query("apply_edits_added", f"""WITH {CAT}, {fx.OVERLAY}, b AS (SELECT record_key, max(id) AS edited_id FROM cat WHERE (id - 1) % 1000 = 2 GROUP BY ALL)
+  SELECT id, record_key, json_extract_string(data, '$.artist') AS artist, json_extract_string(data, '$.title') AS title, 'P' || cast(edited_id AS string) AS producer, edited_id IS NOT NULL AS edited
+  FROM added LEFT JOIN b USING (record_key)""")
+def apply_edits_added(spark, sf_dir):
+    """What edits of added rows leave in their data: a new producer, a title that stays, notes that go."""
+    cat, side = fx.catalogue(spark, sf_dir), fx.overlay(spark, sf_dir)
+    rows = cat.filter("(id - 1) % 1000 = 2").select(F.col("id").alias("record_id"), F.explode(F.expr(
+        "array(named_struct('field', 'producer', 'value', 'P' || cast(id AS string), 'seq', 1L), named_struct('field', 'title', 'value', ' ' || title, 'seq', 2L), named_struct('field', 'notes', 'value', ' ', 'seq', 3L))")).alias("e"))
+    edits = rows.select("record_id", "e.*", F.lit("cleo").alias("editor_name"))
+    added = overlay.apply_edits(cat, side["overrides"], side["added"], spark.createDataFrame([], LOG), edits, NOW)["added"]
+    cell = lambda f: F.get_json_object("data", f"$.{f}").alias(f)
+    return added.select("id", "record_key", cell("artist"), cell("title"), cell("producer"), (F.col("updated_at") == F.lit(NOW)).alias("edited"))
+
+
 _NEW = f"""WITH {CAT}, {fx.OVERLAY}, nw AS (
   SELECT (SELECT max(id) FROM cat) + row_number() OVER (ORDER BY o_orderkey) AS id, 'New ' || o_orderpriority AS title, 'MX N' || cast(o_orderkey AS string) AS matrix_number
   FROM orders WHERE o_orderkey % 300 = 7)"""
@@ -425,6 +441,15 @@ def multiset_diff(spark, sf_dir):
     return diff.multiset_diff(fx.catalogue(spark, sf_dir), fx.upload(spark, sf_dir))
 
 
+@query("multiset_diff_copies", f"""WITH {CAT}, {fx.UPLOAD}, a AS (SELECT country, id, row_number() OVER (PARTITION BY country ORDER BY id DESC) AS rn FROM cat),
+  b AS (SELECT country, n, row_number() OVER (PARTITION BY country ORDER BY n) AS rn FROM upload)
+  SELECT CASE WHEN n IS NULL THEN 'delete' WHEN id IS NULL THEN 'insert' ELSE 'unchanged' END AS status, id, n FROM a FULL JOIN b ON a.country IS NOT DISTINCT FROM b.country AND a.rn = b.rn""")
+def multiset_diff_copies(spark, sf_dir):
+    """The diff of tables that have nothing but a country: every content has very many copies."""
+    bare = [F.col(f) if f == "country" else F.lit(None).cast("string").alias(f) for f in SOURCE_FIELDS]
+    return diff.multiset_diff(fx.catalogue(spark, sf_dir).select("id", *bare), fx.upload(spark, sf_dir).select("n", *bare)).select("status", "id", "n")
+
+
 @query("apply_diff", f"{_DIFF} SELECT id, {fx.FIELDS} FROM cat WHERE id NOT IN (SELECT id FROM d WHERE status = 'delete') UNION ALL SELECT id, {fx.FIELDS} FROM ins")
 def apply_diff(spark, sf_dir):
     live, new = fx.catalogue(spark, sf_dir), fx.upload(spark, sf_dir)

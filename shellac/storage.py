@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Stands in for ``spark.checkpoint.dir`` where all of Spark runs in one process.
 LOCAL_DIR = "shellac.shared.dir"
@@ -27,6 +28,15 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Sides of joins are broadcast up to this many rows, else joined by a shuffle.
+BROADCAST_ROWS = 500_000
+
+
+def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast a side whose rows were counted, if they are few."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

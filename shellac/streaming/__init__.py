@@ -130,7 +130,8 @@ def replay(events: DataFrame, guard: Guard, key: str, order: str) -> DataFrame:
     """Verdicts for all events of a table: its columns and the guard's.
 
     One shuffle by key; the events of a key are walked in order, batch by batch,
-    so that a key of any size needs the memory of one batch.
+    so that a key of any size needs the memory of one batch.  A null key is one
+    key like all others.
     """
     rows = events.repartition(key).sortWithinPartitions(key, "ms", order)
 
@@ -138,11 +139,13 @@ def replay(events: DataFrame, guard: Guard, key: str, order: str) -> DataFrame:
         last, state = object(), guard.start
         for pdf in batches:
             columns: list[list] = [[] for _ in guard.names]
-            keys = pdf[key].to_numpy()
-            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else [0]
+            keys, none = pdf[key].to_numpy(), pdf[key].isna().to_numpy()  # a null number is NaN here, which equals nothing
+            new = (none[1:] != none[:-1]) | (keys[1:] != keys[:-1]) & ~none[1:]
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(keys)] if len(keys) else [0]
             for at, to in zip(edges[:-1], edges[1:], strict=True):
-                if keys[at] != last:
-                    last, state = keys[at], guard.start
+                own = None if none[at] else keys[at]
+                if own != last:
+                    last, state = own, guard.start
                 state, got = guard.verdicts(state, pdf.iloc[at:to])
                 for c, g in zip(columns, got, strict=True):
                     c.extend(g)
