@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 from operator import and_, or_
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import phrase_term, substring_term
 from ..schema import PHRASE_FIELDS, RESULT_COLUMNS, SORT_COLUMNS, SUBSTRING_FIELDS
-from ..storage import removed, stored
+from ..storage import removed, sized, stored
 
 PAGE_SIZE, LAST_PAGE, SORTED_UP_TO = 100, 10_000, 5_000
 
@@ -288,9 +289,12 @@ def pieces(c: Column, size: int) -> Column:
 BROADCAST_TERMS = 200_000
 
 
-def bulk_search(cat: DataFrame, queries: DataFrame) -> DataFrame:
+def bulk_search(cat: DataFrame, queries: DataFrame, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Substring matches of many queries at once: ``query_id``, ``id``.
 
+    ``near`` gives candidates (``term``, ``id``) for terms, from a stored index
+    (:mod:`postings`); what it gives is checked.  Without an index, as follows.
+
     Distinct terms are looked up once each: by the rarest of their pieces among
     those of all rows, which gives candidates; what comes back is checked.  Rows
     are listed once, under wanted pieces only, where the terms are few enough to
@@ -299,18 +303,21 @@ def bulk_search(cat: DataFrame, queries: DataFrame) -> DataFrame:
     """
     asked = queries.select("query_id", substring_term(F.col("q")).alias("term")).filter(F.length("term") >= SHORT_PIECE)
     terms = stored(asked.select("term").distinct(), "terms")
+    rows = with_search_text(cat).select("id", F.col(SUBSTRING_TEXT).alias("text"))
+    if near:
+        hits = near(terms).join(rows, "id").filter(F.contains("text", F.col("term"))).select("term", "id")
+        return hits.join(sized(asked, BROADCAST_TERMS), "term").select("query_id", "id").distinct()
     figures = terms.agg(F.count("*").alias("n"), F.count_if(F.length("term") < LONG_PIECE).alias("short")).first()
     sizes = [SHORT_PIECE] * (figures["short"] > 0) + [LONG_PIECE] * (figures["short"] < figures["n"])
     side = F.broadcast if figures["n"] <= BROADCAST_TERMS else lambda df: df
-    rows = with_search_text(cat).select("id", F.col(SUBSTRING_TEXT).alias("text"))
     listed = rows.select("id", F.explode(F.concat(*[pieces(F.col("text"), n) for n in sizes or [SHORT_PIECE]])).alias("g"))
     own = F.when(F.length("term") < LONG_PIECE, pieces(F.col("term"), SHORT_PIECE)).otherwise(pieces(F.col("term"), LONG_PIECE))
     wanted = terms.select("term", F.explode(own).alias("g"))
     found = stored(listed.join(side(wanted.select("g").distinct()), "g", "left_semi"), "listed")
     known = wanted.join(found.groupBy("g").count(), "g").groupBy("term").agg(F.min(F.struct("count", "g")).alias("best"))
-    near = stored(found.join(side(known.select("term", F.col("best.g").alias("g"))), "g").select("term", "id"), "candidates")
+    listed_ids = stored(found.join(side(known.select("term", F.col("best.g").alias("g"))), "g").select("term", "id"), "candidates")
     removed(found)
-    hits = near.join(rows, "id").filter(F.contains("text", F.col("term"))).select("term", "id")
+    hits = listed_ids.join(rows, "id").filter(F.contains("text", F.col("term"))).select("term", "id")
     return hits.join(side(asked), "term").select("query_id", "id").distinct()
 
 

@@ -11,9 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import derived_columns
+from ..operators import facets
+from ..operators.postings import publish_postings
 from ..operators.search import with_search_text
 from ..schema import SOURCE_FIELDS
-from ..storage import stored
+from ..storage import stored, workspace
 
 _STORED: dict[tuple, DataFrame] = {}
 
@@ -115,6 +117,23 @@ def searchable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "searchable", lambda: with_search_text(catalogue(spark, sf_dir)))
 
 
+def postings_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of the stored postings of the catalogue."""
+    return table(spark, sf_dir, "postings", lambda: publish_postings(searchable(spark, sf_dir), workspace(spark, "postings"), POSTING_IDS))
+
+
+#: Ids of a block of the postings here, so that the small tables have several.
+POSTING_IDS = 1 << 12
+
+
+def facet_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nine stored facet indexes of the catalogue, ordered by value."""
+    def build() -> DataFrame:
+        return facets.by_range(facets.facet_table(catalogue(spark, sf_dir)))
+
+    return table(spark, sf_dir, "facets", build)
+
+
 #: The upload: without o mod 50 = 7; a dub title, doubled rows, extra rows; ``n`` is the file order.
 UPLOAD_SELECT = f"""
 SELECT id * 4 + c AS n, {", ".join("CASE WHEN c = 0 AND (id - 1) % 40 = 3 THEN title || ' (Dub)' ELSE title END AS title" if f == "title" else "CASE WHEN c = 2 THEN 'NX ' || cast(id - 1 AS string) ELSE matrix_number END AS matrix_number" if f == "matrix_number" else f for f in SOURCE_FIELDS)}

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .. import sources, streaming
-from ..operators import audit, diff, edit_log, facets, overlay, search
+from ..functions import derived_columns
+from ..operators import audit, diff, edit_log, facets, overlay, postings, search
 from ..schema import B_SIDE_FIELDS, EDITABLE_FIELDS, FACETS, LOG, NORM_COLUMNS, PHRASE_FIELDS, RESULT_COLUMNS, SORT_COLUMNS, SOURCE_FIELDS, SUBSTRING_FIELDS
 from ..storage import stored, workspace
 from . import fixtures as fx
@@ -165,17 +166,32 @@ over_cat("field_search", lambda cat: search.field_search(cat, {"artist": "custom
 over_cat("field_search_short", lambda cat: search.field_search(cat, {"format": "EP", "title": "ring"}, "year", "desc", 1), page_sql("format_norm = 'ep' AND (contains(lower(title), 'ring') OR contains(lower(b_side_title), 'ring'))", "year", "desc", 1))
 
 
-@query("bulk_search", f"""WITH {CAT}, q AS (
+_BULK = f"""WITH {CAT}, q AS (
          SELECT p_partkey AS query_id, lower(p_name) AS t FROM part WHERE p_partkey % 50 = 0
          UNION ALL SELECT 1000000000 + o_orderkey, 'mx ' || lpad(cast(o_orderkey AS string), 6, '0') FROM orders WHERE o_orderkey % 50 = 0),
        txt AS (SELECT id, concat_ws(chr(1), {', '.join(f'lower({c})' for c in SUBSTRING_FIELDS)}) AS x FROM cat)
-       SELECT query_id, id FROM txt, q WHERE contains(x, t)""")
-def bulk_search(spark, sf_dir):
-    """The names of the parts and the codes of the orders whose id is divisible by 50, against all rows."""
+       SELECT query_id, id FROM txt, q WHERE contains(x, t)"""
+
+
+def _asked(spark, sf_dir):
+    """The names of the parts and the codes of the orders whose id is divisible by 50."""
     part, orders = spark.read.parquet(f"{sf_dir}/part.parquet"), spark.read.parquet(f"{sf_dir}/orders.parquet")
     names = part.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("q"))
     codes = orders.filter("o_orderkey % 50 = 0").select((F.col("o_orderkey") + 1_000_000_000).alias("query_id"), F.concat(F.lit("MX "), F.lpad(F.col("o_orderkey").cast("string"), 6, "0")).alias("q"))
-    return search.bulk_search(fx.searchable(spark, sf_dir), names.unionByName(codes))
+    return names.unionByName(codes)
+
+
+@query("bulk_search", _BULK)
+def bulk_search(spark, sf_dir):
+    """Many queries against all rows, by the stored postings."""
+    index = postings.read_postings(spark, fx.postings_manifest(spark, sf_dir))
+    return search.bulk_search(fx.searchable(spark, sf_dir), _asked(spark, sf_dir), lambda terms: postings.candidates(index, terms))
+
+
+@query("bulk_search_unindexed", _BULK)
+def bulk_search_unindexed(spark, sf_dir):
+    """The same by listing the rows under the wanted pieces."""
+    return search.bulk_search(fx.searchable(spark, sf_dir), _asked(spark, sf_dir))
 
 
 over_cat("record_by_id", lambda cat: search.record_by_id(cat, cat.filter("id % 97 = 3").select("id")).select("id", *SOURCE_FIELDS), f"SELECT id, {fx.FIELDS} FROM cat WHERE id % 97 = 3")
@@ -196,7 +212,8 @@ def index_sql(facet: str, test: str = "true") -> str:
 for _f in FACETS:
     over_cat(f"facet_index_{_f}", lambda cat, f=_f: facets.facet_index(cat, f), index_sql(_f))
 over_cat("facet_indexes", facets.facet_indexes, " UNION ALL ".join(f"SELECT '{f}' AS facet, * FROM ({index_sql(f)})" for f in FACETS))
-over_cat("facet_letter", lambda cat: facets.facet_index(cat, "artists", "c"), index_sql("artists", "artist_norm >= 'c' AND artist_norm < 'd'"))
+query("facet_letter", f"WITH {CAT} {index_sql('artists', "artist_norm >= 'c' AND artist_norm < 'd'")}")(lambda spark, sf_dir: facets.index_range(fx.facet_table(spark, sf_dir), "artists", "c"))
+over_cat("facet_letter_unindexed", lambda cat: facets.facet_index(cat, "artists", "c"), index_sql("artists", "artist_norm >= 'c' AND artist_norm < 'd'"))
 _NUMBERED = "CASE WHEN id % 10 = 0 THEN '7 ' || label_norm WHEN id % 10 = 1 THEN '{' || label_norm ELSE label_norm END"
 over_cat("facet_letter_other", lambda cat: facets.facet_index(cat.withColumn("label_norm", F.expr(_NUMBERED)), "labels", "#"),
          index_sql("labels", "(label_norm < 'a' OR label_norm >= '{')").replace("FROM cat", f"FROM (SELECT * REPLACE ({_NUMBERED} AS label_norm) FROM cat)"))
@@ -456,6 +473,35 @@ def apply_diff(spark, sf_dir):
     return diff.apply_diff(live.select("id", *SOURCE_FIELDS), new, diff.multiset_diff(live, new))
 
 
+_AFTER = f"{_DIFF}, fin AS (SELECT id, {fx.FIELDS} FROM cat WHERE id NOT IN (SELECT id FROM d WHERE status = 'delete') UNION ALL SELECT id, {fx.FIELDS} FROM ins), now AS (SELECT fin.*, {fx.derived_sql()} FROM fin)"
+
+
+def _imported(spark, sf_dir):
+    """Rows deleted and inserted by the upload, and the catalogue after it, with derived columns."""
+    live, new = fx.catalogue(spark, sf_dir), fx.upload(spark, sf_dir)
+    d = stored(diff.multiset_diff(live, new), "diff")
+    after = stored(diff.apply_diff(live.select("id", *SOURCE_FIELDS), new, d).withColumns(derived_columns()), "after")
+    return live.join(d.filter("status = 'delete'").select("id"), "id", "left_semi"), after.join(live.select("id"), "id", "left_anti"), after
+
+
+@query("facet_table_updated", f"{_AFTER} " + " UNION ALL ".join(f"SELECT '{f}' AS facet, * FROM ({index_sql(f).replace('FROM cat', 'FROM now')})" for f in FACETS))
+def facet_table_updated(spark, sf_dir):
+    """The stored indexes after an import, kept up to date by its diff."""
+    deleted, inserted, after = _imported(spark, sf_dir)
+    return facets.updated_facets(fx.facet_table(spark, sf_dir), deleted, inserted, after).filter("value is not null").select("facet", "value", "label", "n")
+
+
+@query("postings_updated", f"""{_AFTER}, txt AS (SELECT id, concat_ws(chr(1), {', '.join(f'lower({c})' for c in SUBSTRING_FIELDS)}) AS x FROM now),
+  k AS (SELECT unnest([{', '.join(map(str, postings.SIZES))}]) AS k), p AS (SELECT DISTINCT id, substring(x, i, k) AS piece FROM (SELECT id, x, k, unnest(range(1, len(x) - k + 2)) AS i FROM txt, k))
+  SELECT piece, count(*) AS n, cast(sum(id) AS bigint) AS ids FROM p WHERE NOT contains(piece, chr(1)) GROUP BY ALL""")
+def postings_updated(spark, sf_dir):
+    """The stored postings after an import: of every piece how many rows hold it, and the sum of their ids."""
+    deleted, inserted, _ = _imported(spark, sf_dir)
+    manifest = postings.update_postings(fx.postings_manifest(spark, sf_dir), deleted, inserted, workspace(spark, "postings"), fx.POSTING_IDS)
+    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
+    return postings.read_postings(spark, manifest).groupBy("piece").agg(F.sum(F.size("ids").cast("long")).alias("n"), F.sum(total).alias("ids"))
+
+
 def _history(spark, sf_dir, whole=True, kept_rows=None):
     """Two imports: the upload over the catalogue, and the catalogue without some rows over that."""
     first, second = stored(fx.catalogue(spark, sf_dir).select("id", *SOURCE_FIELDS), "live"), stored(fx.upload(spark, sf_dir), "target")
