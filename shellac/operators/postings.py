@@ -66,7 +66,11 @@ def _written(index: DataFrame, root: str) -> DataFrame:
     """Write blocks to a folder of their own; the manifest of these blocks: ``block``, ``folder``."""
     folder = f"{root}/blocks-{uuid.uuid4().hex}"
     index.repartition("block", F.pmod(F.xxhash64("piece"), F.lit(FILES))).sortWithinPartitions("block", "piece").write.partitionBy("block").parquet(folder)
-    return index.sparkSession.read.parquet(folder).select(F.col("block").cast("long").alias("block"), F.lit(folder).alias("folder")).distinct()
+    return _blocks_of(index.sparkSession, folder).select("block", F.lit(folder).alias("folder")).distinct()
+
+
+def _blocks_of(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema("block long, piece string, ids array<long>").parquet(folder)
 
 
 def publish_postings(cat: DataFrame, root: str, block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -83,7 +87,7 @@ def _saved(manifest: DataFrame, root: str) -> DataFrame:
 def read_postings(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """The index that a manifest names: of every folder the blocks that are still its own."""
     held = manifest.groupBy("folder").agg(F.collect_set("block").alias("blocks")).collect()  # a row a generation
-    parts = [spark.read.parquet(r["folder"]).filter(F.col("block").isin(r["blocks"])).select(F.col("block").cast("long").alias("block"), "piece", "ids") for r in held]
+    parts = [_blocks_of(spark, r["folder"]).filter(F.col("block").isin(r["blocks"])).select("block", "piece", "ids") for r in held]
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "block long, piece string, ids array<long>")
 
 
