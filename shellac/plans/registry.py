@@ -571,6 +571,7 @@ def _e(a: str, b: str) -> str:
 
 
 _MM = (f"mm AS (SELECT a.id AS own_id, b.id AS stub_id, a.title AS own_title, a.artist AS own_artist, a.label AS own_label, a.matrix_number AS own_matrix, b.b_side_matrix_number AS stub_matrix, "
+       "a.label_number AS own_label_number, b.label_number AS stub_label_number, a.country, a.year, a.format, "
        f"a.record_key AS ka, b.record_key AS kb FROM cat AS a JOIN cat AS b ON lower(trim(a.title)) = lower(trim(b.b_side_title)) AND {_e('a.artist', 'b.b_side_artist')} AND {_e('a.label', 'b.label')} AND {_e('a.country', 'b.country')} AND {_e('a.format', 'b.format')} AND {_e('a.year', 'b.year')} "
        "WHERE a.id <> b.id AND trim(a.title) <> '' AND trim(a.matrix_number) <> '' AND trim(b.b_side_matrix_number) <> '' AND lower(trim(a.matrix_number)) <> lower(trim(b.b_side_matrix_number)))")
 _DK = " || chr(1) || ".join(nk(c) for c in ("ka", "kb", "own_matrix", "stub_matrix"))
@@ -578,18 +579,30 @@ over_cat("matrix_mismatches", audit.matrix_mismatches, f", {_MM} SELECT * EXCLUD
 
 
 def _dismissed(pairs):
-    return pairs.filter("own_id % 5 = 0").select("dismiss_key")
+    return pairs.filter("own_id % 7 = 0").select("dismiss_key")
 
 
+def _aside(cat, remainder=0, modulus=7, who="ann"):
+    """Mismatches of some songs as they are set aside: a row a pair, at a time that follows from its first song."""
+    found = audit.matrix_mismatches(cat).filter(f"own_id % {modulus} = {remainder}").groupBy("dismiss_key").agg(F.min("own_id").alias("i"), F.min("own_title").alias("song"), F.min("own_matrix").alias("own_matrix"), F.min("stub_matrix").alias("stub_matrix"))
+    return found.select("dismiss_key", "song", "own_matrix", "stub_matrix", F.lit(who).alias("dismissed_by"), F.timestamp_seconds("i").alias("dismissed_at"))
+
+
+_SET = f", {_MM}, k AS (SELECT *, {_DK} AS dismiss_key FROM mm), x AS (SELECT dismiss_key, min(own_id) AS i FROM k WHERE own_id % 7 = 0 GROUP BY ALL)"
+over_cat("dismiss_mismatches", lambda cat: audit.dismiss(_aside(cat), _aside(cat, 0, 3, "bob"), ["dismiss_key"]).select("dismiss_key", "dismissed_by"),
+         f"{_SET} SELECT dismiss_key, 'ann' AS dismissed_by FROM x UNION ALL SELECT DISTINCT dismiss_key, 'bob' FROM k WHERE own_id % 3 = 0 AND dismiss_key NOT IN (SELECT dismiss_key FROM x)")
+over_cat("undismiss_mismatches", lambda cat: audit.undismiss(_aside(cat), _aside(cat, 0, 3), ["dismiss_key"]).select("dismiss_key", "dismissed_by"),
+         f"{_SET} SELECT dismiss_key, 'ann' AS dismissed_by FROM x WHERE dismiss_key NOT IN (SELECT dismiss_key FROM k WHERE own_id % 3 = 0)")
+over_cat("list_dismissed", lambda cat: audit.list_dismissed(_aside(cat)).select("dismiss_key", F.unix_seconds("dismissed_at").alias("seconds")), f"{_SET} SELECT dismiss_key, i AS seconds FROM x ORDER BY i DESC, dismiss_key LIMIT 500")
 over_cat("open_mismatches", lambda cat: audit.open_mismatches(audit.matrix_mismatches(cat), _dismissed(audit.matrix_mismatches(cat))).select("own_id", "stub_id", "pos", "capped", "dismissed_total"), f""", {_MM}, k AS (SELECT *, {_DK} AS dk FROM mm),
-  o AS (SELECT *, row_number() OVER (ORDER BY own_label NULLS FIRST, own_matrix NULLS FIRST, own_id, stub_id) AS pos, count(*) OVER () AS c FROM k WHERE dk NOT IN (SELECT dk FROM k WHERE own_id % 5 = 0))
-  SELECT own_id, stub_id, pos, c > 500 AS capped, (SELECT count(DISTINCT dk) FROM k WHERE own_id % 5 = 0) AS dismissed_total FROM o WHERE pos <= 500""")
+  o AS (SELECT *, row_number() OVER (ORDER BY own_label NULLS FIRST, own_matrix NULLS FIRST, own_id, stub_id) AS pos, count(*) OVER () AS c FROM k WHERE dk NOT IN (SELECT dk FROM k WHERE own_id % 7 = 0))
+  SELECT own_id, stub_id, pos, c > 500 AS capped, (SELECT count(DISTINCT dk) FROM k WHERE own_id % 7 = 0) AS dismissed_total FROM o WHERE pos <= 500""")
 _SIB = f""", r AS (SELECT id, {nk(f'({base_sql("label_number")})')} AS base, lower(trim(label)) AS lab, {nk('format')} AS fmt, {nk('year')} AS yr, label_number,
     greatest(coalesce({marker_sql("label_number")}, 0), coalesce({marker_sql("b_side_label_number")}, 0)) AS mark FROM cat WHERE ({base_sql("label_number")}) IS NOT NULL),
   p AS (SELECT a.id, b.id AS sid, greatest(a.mark, b.mark) AS mk FROM r AS a JOIN r AS b ON a.base = b.base AND a.lab IS NOT DISTINCT FROM b.lab AND a.fmt = b.fmt AND a.yr = b.yr AND a.id <> b.id AND starts_with(lower(b.label_number), a.base)),
   g AS (SELECT id FROM p GROUP BY id HAVING count(*) + 1 <= 6 AND max(mk) >= 2), sib AS (SELECT p.id, p.sid AS sibling_id FROM p JOIN g USING (id))"""
 over_cat("release_siblings", audit.release_siblings, f"{_SIB} SELECT * FROM sib")
-over_cat("release_tracks", lambda cat: audit.release_tracks(cat, audit.release_siblings(cat)), f"""{_SIB},
+over_cat("release_tracks", lambda cat: audit.release_tracks(audit.release_groups(cat, tracks=True)), f"""{_SIB},
   mem AS (SELECT DISTINCT id AS anchor_id, id FROM sib UNION SELECT id, sibling_id FROM sib),
   t AS (SELECT anchor_id, id, 0 AS side, label_number, artist, title FROM mem JOIN cat USING (id) UNION ALL SELECT anchor_id, id, 1, b_side_label_number, b_side_artist, b_side_title FROM mem JOIN cat USING (id)),
   k AS (SELECT *, {nk('artist')} || '|' || {nk('title')} AS k, anchor_id = id AS own FROM t WHERE coalesce(trim(title), '') <> ''),

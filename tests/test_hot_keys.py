@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shellac import streaming
-from shellac.operators import diff, overlay, search
+from shellac.operators import audit, diff, overlay, search
 from shellac.schema import LOG
 from test_jobs import NOW, catalogue, source
 
@@ -122,3 +122,30 @@ def test_null_keys_are_one_key(spark, kind):
     got = {r["event_id"]: (r["count"], r["allowed"]) for r in streaming.replay(events, streaming.request_limiter(3), "k", "event_id").collect()}
     assert [got[i][0] for i in range(1, 24, 2)] == list(range(1, 13)) and [got[i][0] for i in range(0, 24, 4)] == list(range(1, 7))
     assert [got[i][1] for i in (5, 7)] == [True, False]
+
+
+def test_grid_join(spark):
+    rng = random.Random(6)
+    sides = [[(i, rng.choice(["hot", "hot", "warm", f"k{rng.randrange(40)}"]), rng.choice(["x", None, "y"])) for i in range(n)] for n in (400, 300)]
+    a, b = (spark.createDataFrame(rows, f"{name} long, k string, v{name} string") for rows, name in zip(sides, ("a", "b"), strict=True))
+    want = sorted((i, j) for i, k, _ in sides[0] for j, m, _ in sides[1] if k == m)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for most in (20, 1000):
+            met = audit.grid_join(a, b, ["k"], "a", "b", most)
+            assert sorted((r["a"], r["b"]) for r in met.select("a", "b").collect()) == want and met.columns == ["k", "a", "va", "b", "vb"]
+        sizes = [r["count"] for r in audit.grid_join(a, b, ["k"], "a", "b", 20).groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) == 4 and max(sizes) <= 2 * statistics.median(sizes)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_releases_with_odd_numbers(spark):
+    """A row whose own number doesn't begin with its base has siblings, but is none."""
+    row = lambda number, title, b=None: {"label_number": number, "title": title, "artist": "A", "label": "L", "format": "12", "year": "1970", "b_side_title": b, "b_side_artist": b and "A"}
+    cat = catalogue(spark, [row("GR 1-A", "one", "two"), row("GR 1-A2", "two"), row("GR  1-B", "three", "ONE"), row("GR 2-A2", "alone"), *(row(f"GR 3-A{i}", f"s{i}") for i in range(7))])
+    assert sorted(tuple(r) for r in audit.release_siblings(cat).collect()) == [(1, 2), (2, 1), (3, 1), (3, 2)]
+    got = sorted(tuple(r) for r in audit.release_tracks(audit.release_groups(cat, tracks=True)).select("anchor_id", "position", "title", "record_id", "here").collect())
+    assert got == [(1, 1, "one", 1, True), (1, 2, "two", 2, True), (2, 1, "one", 1, False), (2, 2, "two", 2, True), (3, 1, "one", 1, True), (3, 2, "two", 2, False), (3, 3, "three", 3, True)]

@@ -87,7 +87,7 @@ def test_release_siblings(spark):
 def test_release_tracks(spark):
     pair = lambda a, b: {"label_number": f"GR 266-{a}", "b_side_label_number": f"GR 266-{b}", "label": "L", "artist": "x", "title": f"song {a}", "b_side_artist": "x", "b_side_title": f"song {b}"}
     cat = catalogue(spark, [pair("A", "A2"), pair("A2", "A"), pair("B", "B2"), pair("B2", "B")])
-    rows = audit.release_tracks(cat, audit.release_siblings(cat)).filter("anchor_id = 1").orderBy("position").collect()
+    rows = audit.release_tracks(audit.release_groups(cat, tracks=True)).filter("anchor_id = 1").orderBy("position").collect()
     assert [(r["title"], r["here"]) for r in rows] == [("song A", True), ("song A2", True), ("song B", False), ("song B2", False)]
 
 
