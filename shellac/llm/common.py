@@ -7,6 +7,7 @@ import gc
 import uuid
 from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..storage import shared_dir
@@ -69,14 +70,24 @@ def take_worker(owner: str) -> None:
     if _OWNER[0] is not None:
         for free in _RELEASE:
             free()
-        gc.collect()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except OSError:  # another C library: it keeps the pages for later use
-            pass
+        rest_worker()
     _OWNER[0] = owner
 
 
+def rest_worker() -> None:
+    """Called where a task has sent its last batch: pages that neither Python nor Arrow uses go back.
+
+    A worker that waits for its next task stands beside the executor's heap, which
+    may be full by then.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library: it keeps the pages for later use
+        pass
+
+
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

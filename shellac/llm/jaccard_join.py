@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, take_worker, written
+from .common import dropped, rest_worker, take_worker, written
 from .components import components
 from .language_model import tokens, word_hashes
 
@@ -140,9 +140,9 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             named = ids.is_valid().to_pylist()
-            for at in range(0, len(texts), 500):
+            for at in range(0, len(texts), 100):
                 n, lo, hi, need, keys = [], [], [], [], []
-                for text, has_id in zip(texts[at : at + 500], named[at : at + 500], strict=True):
+                for text, has_id in zip(texts[at : at + 100], named[at : at + 100], strict=True):
                     h = shingles(text, size)
                     kind = digest(h)
                     n.append(len(h))
@@ -159,6 +159,8 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(at, len(n)), *columns, pa.array(keys, pa.list_(pa.int64()))],
                     names=["id", "n", "lo", "hi", "need", "keys"])
+        met.clear()
+        rest_worker()
 
     return docs.mapInArrow(run, "id long, n long, lo long, hi long, need long, keys array<long>")
 
@@ -181,8 +183,8 @@ def _hashed(docs: DataFrame, size: int) -> DataFrame:
         take_worker("words")
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 500):
-                sets = [shingles(t, size) for t in texts[at : at + 500]]
+            for at in range(0, len(texts), 100):
+                sets = [shingles(t, size) for t in texts[at : at + 100]]
                 bits = np.array([short_sketch(h) for h in sets], np.int64).reshape(len(sets), WORDS)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -191,6 +193,7 @@ def _hashed(docs: DataFrame, size: int) -> DataFrame:
                         *(pa.array(np.ascontiguousarray(bits[:, k])) for k in range(WORDS)),
                     ],
                     names=["id", "c", "s", "n", *BITS])
+        rest_worker()
 
     return docs.mapInArrow(run, "id long, c long, s array<long>, n long, " + ", ".join(f"{b} long" for b in BITS))
 
