@@ -658,6 +658,15 @@ def csv_round_trip(spark, sf_dir):
     return sources.read_catalogue_csv(spark, path)
 
 
+@query("csv_line_ends", f"""WITH {CAT} SELECT {fx.FIELDS}, row_number() OVER (ORDER BY id) AS n
+    FROM (SELECT * REPLACE (title || chr(10) || chr(10) || '"2", ' || id AS title) FROM cat)""")
+def csv_line_ends(spark, sf_dir):
+    """The catalogue with a quoted value over three lines in each row that has a title."""
+    path, cat = workspace(spark, "export"), fx.catalogue(spark, sf_dir)
+    sources.export_catalogue(cat.withColumn("title", F.concat("title", F.lit('\n\n"2", '), F.col("id").cast("string"))), path)
+    return sources.read_catalogue_csv(spark, path)
+
+
 @query("detect_encoding", f"WITH {CAT}, r AS (SELECT count(*) FILTER (WHERE title IS NOT NULL) AS n FROM cat) SELECT 'plain' AS folder, 'UTF-8' AS encoding FROM r WHERE n > 0 UNION ALL SELECT 'marked', 'windows-1252' FROM r WHERE n > 0 UNION ALL SELECT 'utf8', 'UTF-8' FROM r WHERE n > 0")
 def detect_encoding(spark, sf_dir):
     """The catalogue in ASCII, with accents in UTF-8, and with accents in a one-byte encoding."""

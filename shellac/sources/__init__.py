@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import null_if_blank
 from ..operators.diff import dense_numbers
 from ..schema import EDITABLE_FIELDS, FACETS, HEADERS, SOURCE_FIELDS
+from ..storage import removed
+from .quoted_lines import read_records, values_span
 
 SPARE = 8
 
@@ -28,28 +30,31 @@ def detect_encoding(spark: SparkSession, path: str) -> DataFrame:
     return files.join(judged, "file", "left").select("file", encoding.alias("encoding"))
 
 
-def quoted_line_ends(spark: SparkSession, path: str) -> bool:
-    """Whether some line holds an odd number of quotes: only then can a value span lines."""
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return spark.read.text(path).filter(quotes % 2 == 1).limit(1).count() > 0
-
-
 def read_catalogue_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """The 24 source columns by position, with the file order ``n``.
 
     The header is skipped; short and long rows are tolerated, quoted values may
     span lines, blank values are null, blank rows go.  A byte order mark stands
-    in the header and goes with it.  Files are read in splits, but for those of
-    a path in which some quoted value spans lines: each of these takes one task.
+    in the header and goes with it.  Files are read in splits, in any encoding of
+    Python's: by Spark's own reader where no value spans lines and Spark knows the
+    encoding, else line by line (``quoted_lines``).  But for UTF-16 and UTF-32,
+    whose line ends are several bytes: each of these files takes one task.
     """
-    if encoding.upper() not in ("UTF-8", "US-ASCII", "ISO-8859-1", "UTF-16", "UTF-32"):
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # else Spark knows these only
+    behind = []
     names = [*SOURCE_FIELDS, *(f"_spare{i}" for i in range(SPARE))]
-    spans = encoding.upper().startswith("UTF-") and encoding.upper() != "UTF-8" or quoted_line_ends(spark, path)
-    rows = spark.read.csv(path, schema=", ".join(f"{c} string" for c in names), header=True, enforceSchema=True, multiLine=spans, quote='"', escape='"', mode="PERMISSIVE", encoding=encoding)
-    clean = rows.select("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("_i"), *(null_if_blank(c).alias(c) for c in SOURCE_FIELDS))
-    kept = clean.dropna(how="all", subset=SOURCE_FIELDS)
-    return dense_numbers(kept.withColumn("_at", F.struct("file_path", "file_block_start", "_i")), "_at", "n").drop("_at", "file_path", "file_block_start", "_i")
+    schema, options = ", ".join(f"{c} string" for c in names), {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    wide = encoding.upper().startswith(("UTF-16", "UTF-32"))
+    if wide or encoding.upper() in ("UTF-8", "US-ASCII", "ISO-8859-1") and not values_span(spark, path):
+        read = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, multiLine=wide, encoding=encoding, **options)
+        rows = read.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("i"))
+    else:
+        records, behind = read_records(spark, path, encoding)
+        rows = records.select(F.from_csv("value", schema, options | {"multiLine": "true"}).alias("row"), "file", "block", "i").select("row.*", "file", "block", "i")
+    kept = rows.select(*(null_if_blank(c).alias(c) for c in SOURCE_FIELDS), F.struct("file", "block", "i").alias("_at")).dropna(how="all", subset=SOURCE_FIELDS)
+    numbered = dense_numbers(kept, "_at", "n").drop("_at")
+    for table in behind:
+        removed(table)
+    return numbered
 
 
 def export_catalogue(cat: DataFrame, path: str) -> None:

@@ -12,7 +12,7 @@ duckdb = pytest.importorskip("duckdb")
 DATA = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver tables")
 SOME = [
-    "record_key", "content_hash", "release_base", "shared_prefix", "page_metadata", "facet_value", "flip_side", "phrase_match", "keyword_search", "field_search", "bm25_rank", "bulk_search", "deep_page", "facet_table_updated", "postings_updated", "multiset_diff_copies", "apply_edits_added", "dismiss_mismatches", "list_dismissed",
+    "record_key", "content_hash", "release_base", "shared_prefix", "page_metadata", "facet_value", "flip_side", "phrase_match", "keyword_search", "field_search", "bm25_rank", "bulk_search", "deep_page", "csv_round_trip", "csv_line_ends", "facet_table_updated", "postings_updated", "multiset_diff_copies", "apply_edits_added", "dismiss_mismatches", "list_dismissed",
     "facet_index_labels", "facet_indexes", "facet_letter_other", "facet_unknown", "facet_rows", "target_catalogue", "apply_edits_rows", "apply_edits_overrides", "delete_records_tombstones", "remove_overrides",
     "multiset_diff", "apply_diff", "matrix_mismatches", "release_siblings", "release_tracks", "category_suggestions", "resolve_live_ids", "review_log", "sitemap_chunks", "crawl_guard", "request_limiter", "login_lockout",
 ]
