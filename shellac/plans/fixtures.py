@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import derived_columns
 from ..operators import facets
+from ..operators.blocks import Blocks
 from ..operators.postings import publish_postings
 from ..operators.search import with_search_text
 from ..schema import SOURCE_FIELDS
@@ -122,7 +123,14 @@ def postings_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "postings", lambda: publish_postings(searchable(spark, sf_dir), workspace(spark, "postings"), POSTING_IDS))
 
 
-#: Ids of a block of the postings here, so that the small tables have several.
+def blocks(spark: SparkSession, sf_dir: str) -> Blocks:
+    """The catalogue stored in blocks of ids."""
+    cat, root = catalogue(spark, sf_dir), workspace(spark, "blocks")
+    manifest = table(spark, sf_dir, "blocks", lambda: Blocks.publish(cat, root, POSTING_IDS).manifest)
+    return Blocks(manifest, cat.schema, root, POSTING_IDS)
+
+
+#: Ids of a block of the postings and of the stored catalogue here, so that the small tables have several.
 POSTING_IDS = 1 << 12
 
 

@@ -399,6 +399,30 @@ def remove_overrides_log(spark, sf_dir):
     return _withdrawn(spark, sf_dir, "log").select("record_id", "record_key", "field", "old_value", "new_value", "action")
 
 
+# --- the same changes on stored blocks ----------------------------------------------------------------------------
+
+
+@query("blocks_edited", ORACLES["apply_edits_rows"])
+def blocks_edited(spark, sf_dir):
+    side = fx.overlay(spark, sf_dir)
+    made, _ = fx.blocks(spark, sf_dir).apply_edits(side["overrides"], side["added"], spark.createDataFrame([], LOG), batch(spark, sf_dir), NOW)
+    return made.read().select("id", "record_key", "producer", "producer_norm", "notes", "title")
+
+
+@query("blocks_deleted", ORACLES["delete_records"])
+def blocks_deleted(spark, sf_dir):
+    side, cat = fx.overlay(spark, sf_dir), fx.blocks(spark, sf_dir)
+    made, _ = cat.delete_records(side["overrides"], side["added"], side["tombstones"], spark.createDataFrame([], LOG), cat.read().filter("id % 31 = 6").select("id"), "ann", NOW)
+    return made.read().select("id", "record_key")
+
+
+@query("blocks_withdrawn", ORACLES["remove_overrides"])
+def blocks_withdrawn(spark, sf_dir):
+    o = fx.overlay(spark, sf_dir)["overrides"]
+    made, _ = fx.blocks(spark, sf_dir).remove_overrides(o, spark.createDataFrame([], LOG), o.filter("field = 'producer'").select("record_key", "field"), "ann", NOW)
+    return made.read().select("id", "producer")
+
+
 @query("backfill_base", f"WITH {CAT}, {fx.OVERLAY}, {fx.LOG_CTE}, f AS (SELECT record_key, field, arg_min(old_value, id) AS v FROM log WHERE field IS NOT NULL GROUP BY 1, 2) SELECT record_key, field, CASE WHEN NOT has_base AND f.v IS NOT NULL THEN f.v ELSE base_value END AS base_value, has_base OR f.v IS NOT NULL AS has_base FROM overrides LEFT JOIN f USING (record_key, field)")
 def backfill_base(spark, sf_dir):
     return overlay.backfill_base(fx.overlay(spark, sf_dir)["overrides"], fx.log(spark, sf_dir)).select("record_key", "field", "base_value", "has_base")
