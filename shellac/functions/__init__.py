@@ -68,6 +68,7 @@ def search_columns() -> dict[str, Column]:
     return {f"{c}_lc": F.lower(F.col(c)) for c in SUBSTRING_FIELDS}
 
 
+#: Number, separator and side mark at the end of a label number (fixed value).
 _SIDE = r"(?i)^(.+?)([\s._\-/]+)?([A-D]{1,2}\d{0,2})$"
 
 
@@ -177,7 +178,10 @@ def record_label(artist: Column | str = "artist", title: Column | str = "title")
 
 
 def page_metadata(site: str = "Catalogue entry.") -> dict[str, Column]:
-    """Heading, page title and description of a record's page; ``site`` closes the description."""
+    """Heading, page title and description of a record's page; ``site`` closes the description.
+
+    The wording is fixed: "label no.", "matrix", "produced by", "B-side:", "Record".
+    """
     heading = F.coalesce(record_label(), F.lit("Record"))
     release = F.nullif(F.concat_ws(", ", null_if_blank("label"), null_if_blank("year")), F.lit(""))
     facts = F.nullif(F.concat_ws(

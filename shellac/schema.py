@@ -27,6 +27,7 @@ SUBSTRING_FIELDS = [
     "artist", "title", "label", "label_number", "matrix_number", "producer", "country", "format", "year", "genre", "riddim", "song_origin", "notes",
     "b_side_artist", "b_side_artist_credit", "b_side_title", "b_side_title_credit", "b_side_matrix_number", "b_side_label_number",
 ]
+#: Columns of a search result, in this order (fixed values).
 RESULT_COLUMNS = ["id", "artist", "artist_credit", "title", "title_credit", "label", "label_number", "matrix_number", "country", "year", "format", "riddim", "producer"]
 #: Sort key -> column (fixed values).
 SORT_COLUMNS = {

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,12 +94,28 @@ class Generations:
         files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.makeQualified(part).toUri(), self.spark._jsc.hadoopConfiguration())
         files.rename(self._fs.makeQualified(part), self._fs.makeQualified(at), overwrite)
 
+    def _claim(self, number: int) -> int:
+        """The first number from the given one on that no other publisher has taken; it is taken by creating its file."""
+        while True:
+            at = self._path(f"{self.root}/.claim-{number}")
+            try:
+                self._fs.create(at, False).close()
+                return number
+            except Py4JJavaError:
+                if not self._fs.exists(at):
+                    raise
+                number += 1
+
     def publish(self, df: DataFrame, updated_at: str) -> int:
-        """Write a new generation aside, then make it the live one."""
+        """Write a new generation aside, then make it the live one.
+
+        Publishers at the same time write under different numbers; the one that
+        ends last is live.
+        """
         old = self.pointer()
-        number = max(old["live"] or 0, old["previous"] or 0) + 1
+        number = self._claim(max(old["live"] or 0, old["previous"] or 0) + 1)
         df.write.mode("overwrite").parquet(f"{self.root}/gen={number}")
-        self._point(number, old["live"], updated_at)
+        self._point(number, self.pointer()["live"], updated_at)
         return number
 
     def restore_previous(self, updated_at: str) -> None:

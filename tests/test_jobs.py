@@ -212,6 +212,11 @@ def test_generations(spark, tmp_path):
         gens.restore_previous("3")
         assert gens.read().count() == n
     assert gens.status().first().asDict() == {"has_live": True, "n_rows": 5, "updated_at": "3", "has_previous": True}
+    # another publisher has taken the next number and is not done yet
+    other = sources.Generations(spark, f"file://{tmp_path}/g")
+    taken = other._claim(3)
+    assert (taken, gens.publish(spark.range(7), "4"), gens.publish(spark.range(8), "5")) == (3, 4, 5)
+    assert gens.read().count() == 8 and gens.read("previous").count() == 7
     assert sources.row_count_gate(spark.range(1), spark.range(3)).first()["warn"]
 
 
