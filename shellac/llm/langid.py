@@ -107,20 +107,21 @@ class ByteNet:
             self.p["e"][0] = 0
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", per_label: int = 600, most_labels: int = 200, width: int = 256, steps: int = 400) -> ByteNet | None:
+def train(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", per_label: int = 600, most_labels: int | None = None, width: int = 256, steps: int = 400) -> ByteNet | None:
     """Train on a bounded sample of labelled rows, about ``per_label`` windows of each label.
 
     Rows are chosen by a hash of id and text, each gives the window in the
-    middle of its text.  At most ``most_labels`` of the most frequent labels are
-    learned.  Rows without text or label are left out; None without any row.
+    middle of its text.  All labels are learned, or the ``most_labels`` most
+    frequent ones: the sample and the last layer grow with them.  Rows without text or label are left out; None without any row.
     """
     rows = labelled.select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).filter("label is not null and text is not null and length(text) > 0")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(most_labels).collect()}
+    tally = rows.groupBy("label").count().orderBy(F.desc("count"), "label")
+    counts = {r["label"]: r["count"] for r in (tally.limit(most_labels) if most_labels else tally).collect()}
     if not counts:
         return None
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_label / n) * (1 << 30)))])
+    shares = rows.sparkSession.createDataFrame([(k, int(min(1.0, per_label / n) * (1 << 30))) for k, n in counts.items()], "label string, share long")
     middle = F.substring("text", F.greatest(F.lit(1), (F.length("text") / 2).cast("int") - width // 2), F.lit(width))
-    sample = rows.filter(F.pmod("h", F.lit(1 << 30)) <= share[F.col("label")]).select("label", middle.alias("text"), "h").limit(2 * per_label * len(counts)).collect()
+    sample = rows.join(F.broadcast(shares), "label").filter(F.pmod("h", F.lit(1 << 30)) <= F.col("share")).select("label", middle.alias("text"), "h").limit(2 * per_label * len(counts)).collect()
     sample.sort(key=lambda r: (r["label"], r["h"]))
     labels = sorted({r["label"] for r in sample})
     net = ByteNet(labels, width=width)

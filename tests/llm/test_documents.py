@@ -463,3 +463,10 @@ def test_neighbours_recall_on_the_given_table(spark):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_langid_learns_rare_labels(spark):
+    common = [(k, f"l{k % 220:03d}", chr(0x4E00 + k % 220) * 60) for k in range(660)]
+    rows = spark.createDataFrame([*common, (9999, "rare", "ⵣⴰⵢⵉ " * 20)], "doc_id long, lang string, text string")
+    assert "rare" in langid.train(rows, steps=1).labels and len(langid.train(rows, steps=1).labels) == 221
+    assert "rare" not in langid.train(rows, most_labels=200, steps=1).labels
