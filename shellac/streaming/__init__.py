@@ -11,13 +11,15 @@ windows that have lapsed, and only those: strikes stay.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..functions import is_search_engine
 
@@ -155,37 +157,137 @@ def replay(events: DataFrame, guard: Guard, key: str, order: str) -> DataFrame:
     return rows.mapInPandas(run, f"{kinds}, {guard.verdict}")
 
 
-def stream(events: DataFrame, guard: Guard, key: str, order: str, ts_col: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """The same verdicts on a stream; events of a micro-batch are sorted by time, later ones never go back.
+#: Streams keep their state in this store: transformWithState needs one whose timers are in order of time.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def packed(pdf: pd.DataFrame) -> bytes:
+    batch = pa.RecordBatch.from_pandas(pdf, preserve_index=False)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(pa.BufferReader(bytes(data))).read_all().to_pandas()
+
+
+class Guarded(StatefulProcessor):
+    """A guard's state per key, its events in pieces of one Arrow batch at most.
+
+    One timer a key stands for the end of its window; it moves on when it fires
+    too early, not with every event.  In order (``slice_ms``), events are held as
+    Arrow pieces by slices of event time, each with a timer at its end; timers
+    fire in order of time.
+    """
+
+    def __init__(self, guard: Guard, order: str, columns: list[str], slice_ms: int | None):
+        self.guard, self.order, self.columns, self.slice = guard, order, columns, slice_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("guard", f"{self.guard.state}, last long, timer long")
+        if self.slice:
+            self.parts = handle.getMapState("parts", "slice long", "n int")
+            self.held = handle.getMapState("held", "slice long, part int", "events binary")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        if self.slice:
+            for pdf in rows:
+                for at, own in pdf.groupby(pdf["ms"] // self.slice):
+                    n = (self.parts.getValue((int(at),)) or (0,))[0]
+                    if not n:
+                        self.handle.registerTimer((int(at) + 1) * self.slice)
+                    self.held.updateValue((int(at), n), (packed(own),))
+                    self.parts.updateValue((int(at),), (n + 1,))
+        else:
+            yield from self._walk(rows, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        if self.slice:
+            at = now // self.slice - 1
+            n = (self.parts.getValue((at,)) or (0,))[0]
+            if n:
+                pieces = [unpacked(self.held.getValue((at, i))[0]) for i in range(n)]
+                yield from self._walk([pd.concat(pieces) if n > 1 else pieces[0]], now)
+                for i in range(n):
+                    self.held.removeKey((at, i))
+                self.parts.removeKey((at,))
+        else:
+            now = timerValues.getCurrentWatermarkInMs()
+        found = self.state.get()
+        if found is None or not 0 < found[-1] <= now:
+            return
+        state, last = tuple(found[:-2]), found[-2]
+        if self.guard.lapse(state) >= now:
+            self.state.update((*state, last, self._timer(state, now)))
+            return
+        kept = self.guard.rest(state)
+        if kept is None:
+            self.state.clear()
+        else:
+            self.state.update((*kept, last, 0))
+
+    def _walk(self, pieces: Iterable[pd.DataFrame], now: int) -> Iterator[pd.DataFrame]:
+        found = self.state.get()
+        state, last, timer = (tuple(found[:-2]), *found[-2:]) if found else (self.guard.start, 0, 0)
+        for pdf in pieces:
+            pdf = pdf.sort_values(["ms", self.order])
+            at = pdf.assign(ms=pdf["ms"].clip(lower=last))
+            state, got = self.guard.verdicts(state, at)
+            last = int(at["ms"].iloc[-1])
+            yield pdf[self.columns].assign(**{n: pd.Series(list(c), index=pdf.index, dtype=object) for n, c in zip(self.guard.names, got, strict=True)})
+        self.state.update((*(int(x) for x in state), last, timer or self._timer(state, max(last, now))))
+
+    def _timer(self, state: tuple, now: int) -> int:
+        """Set the key's timer to the end of its window, in order to the end of that slice."""
+        at = max(self.guard.lapse(state), now) + 1
+        if self.slice:
+            at = -(-at // self.slice) * self.slice
+        self.handle.registerTimer(at)
+        return at
+
+
+def stream(events: DataFrame, guard: Guard, key: str, order: str, ts_col: str = "ts", delay: str = "1 hour", in_order: bool = False, slice_ms: int = 1000) -> DataFrame:
+    """The same verdicts on a stream, at once or in order.
+
+    At once: a verdict comes with the micro-batch of its event.  A key's events
+    are walked in pieces of an Arrow batch, each sorted by time; later ones never
+    go back, so an event that is late counts as arriving at the key's last time.
+    ``in_order``: events wait in the state until the watermark has passed their
+    slice of ``slice_ms``, and are then walked in order over all micro-batches, so
+    that verdicts equal those of a replay; a task holds one slice of one key.
 
     The watermark on ``ts_col`` lags ``delay`` behind; a key's state goes once the
     watermark has passed the end of its window (and of its block), all but what
     never decays; a lock or block that is over reads as none from then on.  Spark
-    leaves out events that come later than ``delay``.
+    leaves out events that come later than ``delay``.  Null keys are one key.  The
+    session has to name the state store of ``STATE_STORE`` when the query starts.
     """
     columns = [f.name for f in events.schema]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
-
-    def run(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            *was, last = state.get
-            kept = guard.rest(tuple(was))
-            if kept is None:
-                state.remove()
-            else:
-                state.update((*kept, last))
-            return
-        pdf = pd.concat(list(batches)).sort_values(["ms", order])
-        now, last = (tuple(state.get[:-1]), state.get[-1]) if state.exists else (guard.start, 0)
-        at = pdf.assign(ms=pdf["ms"].clip(lower=last))
-        now, got = guard.verdicts(now, at)
-        last = int(at["ms"].iloc[-1])
-        state.update((*now, last))
-        state.setTimeoutTimestamp(max(guard.lapse(now), last, state.getCurrentWatermarkMs()) + 1)
-        yield pdf[columns].assign(**{n: pd.Series(list(c), index=pdf.index, dtype=object) for n, c in zip(guard.names, got, strict=True)})
-
     marked = events.withWatermark(ts_col, delay)
-    return marked.groupBy(key).applyInPandasWithState(run, f"{kinds}, {guard.verdict}", f"{guard.state}, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    processor = Guarded(guard, order, columns, slice_ms if in_order else None)
+    return marked.groupBy(key).transformWithStateInPandas(processor, f"{kinds}, {guard.verdict}", "append", "eventTime")
+
+
+def stream_once(verdicts: DataFrame, out: str, checkpoint: str) -> None:
+    """Run a stream over what has arrived, into Parquet files; the session's own state store is put back."""
+    spark = verdicts.sparkSession
+    before = {k: spark.conf.get(k, None) for k in STATE_STORE}
+    for k, v in STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        query = verdicts.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def crawl_events(requests: DataFrame) -> DataFrame:

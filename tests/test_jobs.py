@@ -159,37 +159,88 @@ GUARDS = {
 }
 
 
+KIND = "event_id long, ip string, ms long, weight int, free boolean, success boolean"
+
+
+def streamed(spark, folder, cut, guard, name, **how):
+    """Verdicts of a stream whose micro-batches are the given lists of events, and its query."""
+    import os
+
+    (folder / "in").mkdir(parents=True)
+    for k, part in enumerate(cut):
+        df = spark.createDataFrame([tuple(r[c.split()[0]] for c in KIND.split(", ")) for r in part], KIND).withColumn("ts", F.timestamp_millis("ms"))
+        df.coalesce(1).write.parquet(str(folder / f"part{k}"))
+        made = next(p for p in (folder / f"part{k}").iterdir() if p.suffix == ".parquet")
+        made.rename(folder / "in" / f"{k}.parquet")
+        os.utime(folder / "in" / f"{k}.parquet", (1_700_000_000 + 100 * k,) * 2)
+    read = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+    for k, v in streaming.STATE_STORE.items():
+        spark.conf.set(k, v)
+    try:
+        query = streaming.stream(read, guard, "ip", "event_id", **how).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(300)
+    finally:
+        for k in streaming.STATE_STORE:
+            spark.conf.unset(k)
+    return {(r["event_id"], r["ip"]): tuple(r[n] for n in guard.names) for r in spark.table(name).collect()}, query
+
+
+def replayed(spark, rows, guard):
+    once = spark.createDataFrame([tuple(r[c.split()[0]] for c in KIND.split(", ")) for r in rows], KIND)
+    return {(r["event_id"], r["ip"]): tuple(r[n] for n in guard.names) for r in streaming.replay(once, guard, "ip", "event_id").collect()}
+
+
 @pytest.mark.parametrize("name", GUARDS)
 def test_stream_equals_replay(spark, tmp_path, name):
     """Several micro-batches with late events, and one so late that windows before it were evicted: strikes stay."""
-    import os
-
     guard, make = GUARDS[name]
     rows = [{"event_id": i} | make(i) for i in range(90)]
     cut = [rows[:30], rows[33:60], [*rows[30:33], *rows[60:]]]  # three come late, within the delay
     end = rows[-1]["ms"] + 600 * M
     cut += [[{"event_id": 100} | make(0) | {"ip": "other", "ms": end}], [{"event_id": 101} | make(1) | {"ip": "other", "ms": end + 1}], [{"event_id": 110 + i} | make(i) | {"ms": end + M + i, "weight": 6} for i in range(9)]]
-    kind = "event_id long, ip string, ms long, weight int, free boolean, success boolean"
-    for k, part in enumerate(cut):
-        df = spark.createDataFrame([tuple(r[c.split()[0]] for c in kind.split(", ")) for r in part], kind).withColumn("ts", F.timestamp_millis("ms"))
-        df.coalesce(1).write.parquet(str(tmp_path / f"part{k}"))
-        made = next(p for p in (tmp_path / f"part{k}").iterdir() if p.suffix == ".parquet")
-        (tmp_path / "in").mkdir(exist_ok=True)
-        made.rename(tmp_path / "in" / f"{k}.parquet")
-        os.utime(tmp_path / "in" / f"{k}.parquet", (1_700_000_000 + 100 * k,) * 2)
-    read = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = streaming.stream(read, guard, "ip", "event_id").writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination(300)
-    got = {(r["event_id"], r["ip"]): tuple(r[n] for n in guard.names) for r in spark.table(name).collect()}
+    got, query = streamed(spark, tmp_path, cut, guard, name)
     hand = by_hand(cut, guard, "ip", "event_id")
     if name == "lockout":  # a lock that is over reads 0 once its state has been evicted
         hand = {k: (*v[:2], v[2] if v[2] > end or k[0] < 110 else 0) for k, v in hand.items()}
     assert got == hand and len(got) == 101
     removed = sum(p["stateOperators"][0]["numRowsRemoved"] for p in query.recentProgress if p["stateOperators"])
     assert removed >= 3 if name != "crawl" else any(v[2] > 1 for (i, _), v in got.items() if i >= 110)
-    once = spark.createDataFrame([tuple(r[c.split()[0]] for c in kind.split(", ")) for r in rows], kind)
-    replayed = {(r["event_id"], r["ip"]): tuple(r[n] for n in guard.names) for r in streaming.replay(once, guard, "ip", "event_id").collect()}
-    assert replayed == by_hand([rows], guard, "ip", "event_id")
+    assert replayed(spark, rows, guard) == by_hand([rows], guard, "ip", "event_id")
+
+
+@pytest.mark.parametrize("name", GUARDS)
+def test_stream_in_order(spark, tmp_path, name):
+    """Late events, equal times, null keys and windows that lapse between: in order, a stream is a replay."""
+    guard, make = GUARDS[name]
+    rows = [{"event_id": i} | make(i) for i in range(90)]
+    for r in rows[20:60:5]:
+        r["ms"] = rows[20]["ms"]
+    for r in rows[::7]:
+        r["ip"] = None
+    end = rows[-1]["ms"] + 300 * M
+    rows += [{"event_id": 90 + i} | make(i) | {"ms": end + i * M} for i in range(30)]
+    cut = [rows[1:40:2], rows[:40:2], rows[60:90], rows[40:60], rows[110:], rows[90:110]]
+    closing = [{"event_id": 1000 + i} | make(0) | {"ip": "closing", "ms": end + (700 + 100 * i) * M} for i in range(2)]
+    got, _ = streamed(spark, tmp_path, [*cut, *([c] for c in closing)], guard, f"ordered_{name}", in_order=True, slice_ms=20_000)
+    want, ms = replayed(spark, rows, guard), {r["event_id"]: r["ms"] for r in rows}
+    if name == "lockout":  # as above
+        got, want = ({k: (*v[:2], v[2] if v[2] > ms[k[0]] else 0) for k, v in x.items() if k[0] < 1000} for x in (got, want))
+    assert {k: v for k, v in got.items() if k[0] < 1000} == want and len(want) == 120
+
+
+def test_stream_walks_a_key_in_pieces(spark, tmp_path):
+    """No frame is larger than an Arrow batch, however many events of a key one micro-batch holds."""
+    guard = streaming.request_limiter(10**6, 10**9)
+    rows = [{"event_id": i, "ip": "hot", "ms": BASE + i, "weight": 1, "free": False, "success": False} for i in range(1000)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    walk = guard.walk
+    guard.walk = lambda state, ms: (walk(state, ms)[0], [[len(ms)] * len(ms), [True] * len(ms)])
+    try:
+        got, _ = streamed(spark, tmp_path, [rows], guard, "pieces")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    most = {v[0] for v in got.values()}
+    assert len(got) == 1000 and max(most) <= 64
 
 
 def test_files(spark, tmp_path):
