@@ -775,6 +775,24 @@ def request_limiter(spark, sf_dir):
     return streaming.replay(streaming.with_time(fx.requests(spark, sf_dir)), LIMITER, "ip", "event_id").select("event_id", *LIMITER.names)
 
 
+def _streamed(spark: SparkSession, sf_dir: str, guard: streaming.Guard) -> DataFrame:
+    """Verdicts in order of a stream over the requests: half of them, then the others, all late, then an event that closes their windows."""
+    rows = streaming.crawl_events(fx.requests(spark, sf_dir)).withColumn("ts", F.col("ts").cast("timestamp"))
+    arrived, out, checkpoint = (workspace(spark, f"stream_{x}") for x in ("in", "out", "checkpoint"))
+    read = spark.readStream.schema(rows.schema).parquet(f"{arrived}/*")
+    verdicts = streaming.stream(read, guard, "ip", "event_id", delay="40 days", in_order=True, slice_ms=5 * DAY)
+    closing = rows.agg(F.max("ts").alias("last")).select(F.lit(-1).cast("long").alias("event_id"), F.lit("closing").alias("ip"), (F.col("last") + F.expr("INTERVAL 80 DAYS")).alias("ts"))
+    closing = closing.select("event_id", "ip", F.lit("").alias("user_agent"), "ts", F.lit(1).alias("weight"), F.unix_millis("ts").alias("ms"), F.lit(True).alias("free"))
+    for k, part in enumerate((rows.filter("event_id % 2 = 1"), rows.filter("event_id % 2 = 0"), closing.select(*rows.columns))):
+        part.write.parquet(f"{arrived}/{k}")
+        streaming.stream_once(verdicts, out, checkpoint)
+    return spark.read.parquet(out).filter("event_id >= 0").select("event_id", *guard.names)
+
+
+query("stream_crawl_guard", ORACLES["crawl_guard"])(lambda s, d: _streamed(s, d, CRAWL))
+query("stream_request_limiter", ORACLES["request_limiter"])(lambda s, d: _streamed(s, d, LIMITER))
+
+
 _LOGIN = f"""WITH RECURSIVE a AS ({fx.ATTEMPTS_SELECT.format(events="events")}), k AS (SELECT attempt_id, 'ip:' || ip AS k, success, epoch_us(ts) // 1000 AS ms FROM a UNION ALL SELECT attempt_id, 'email:' || email, success, epoch_us(ts) // 1000 FROM a),
   e AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY ms, attempt_id) AS rn FROM k),
   r AS (SELECT k, cast(0 AS bigint) AS rn, cast(NULL AS bigint) AS attempt_id, cast(-1 AS bigint) AS st, cast(0 AS bigint) AS f, cast(0 AS bigint) AS until, false AS was FROM e GROUP BY k UNION ALL

@@ -11,7 +11,7 @@ windows that have lapsed, and only those: strikes stay.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Generator, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -189,35 +189,38 @@ class Guarded(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("guard", f"{self.guard.state}, last long, timer long")
         if self.slice:
-            self.parts = handle.getMapState("parts", "slice long", "n int")
-            self.held = handle.getMapState("held", "slice long, part int", "events binary")
+            self.held = handle.getMapState("held", "slice long", "events binary, parts int")
+            self.more = handle.getMapState("more", "slice long, part int", "events binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         if self.slice:
             for pdf in rows:
                 for at, own in pdf.groupby(pdf["ms"] // self.slice):
-                    n = (self.parts.getValue((int(at),)) or (0,))[0]
-                    if not n:
-                        self.handle.registerTimer((int(at) + 1) * self.slice)
-                    self.held.updateValue((int(at), n), (packed(own),))
-                    self.parts.updateValue((int(at),), (n + 1,))
+                    at, found = int(at), self.held.getValue((int(at),))
+                    if found is None:
+                        self.handle.registerTimer((at + 1) * self.slice)
+                        self.held.updateValue((at,), (packed(own), 1))
+                    else:
+                        self.more.updateValue((at, found[1]), (packed(own),))
+                        self.held.updateValue((at,), (bytes(found[0]), found[1] + 1))
         else:
             yield from self._walk(rows, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now, found = expiredTimerInfo.getExpiryTimeInMs(), None
         if self.slice:
             at = now // self.slice - 1
-            n = (self.parts.getValue((at,)) or (0,))[0]
-            if n:
-                pieces = [unpacked(self.held.getValue((at, i))[0]) for i in range(n)]
-                yield from self._walk([pd.concat(pieces) if n > 1 else pieces[0]], now)
-                for i in range(n):
-                    self.held.removeKey((at, i))
-                self.parts.removeKey((at,))
+            held = self.held.getValue((at,))
+            if held:
+                pieces = [unpacked(held[0])]
+                for i in range(1, held[1]):
+                    pieces.append(unpacked(self.more.getValue((at, i))[0]))
+                    self.more.removeKey((at, i))
+                self.held.removeKey((at,))
+                found = yield from self._walk([pd.concat(pieces) if len(pieces) > 1 else pieces[0]], now)
         else:
             now = timerValues.getCurrentWatermarkInMs()
-        found = self.state.get()
+        found = found or self.state.get()
         if found is None or not 0 < found[-1] <= now:
             return
         state, last = tuple(found[:-2]), found[-2]
@@ -230,7 +233,8 @@ class Guarded(StatefulProcessor):
         else:
             self.state.update((*kept, last, 0))
 
-    def _walk(self, pieces: Iterable[pd.DataFrame], now: int) -> Iterator[pd.DataFrame]:
+    def _walk(self, pieces: Iterable[pd.DataFrame], now: int) -> Generator[pd.DataFrame, None, tuple]:
+        """Verdicts of the pieces; returns what is kept of the key."""
         found = self.state.get()
         state, last, timer = (tuple(found[:-2]), *found[-2:]) if found else (self.guard.start, 0, 0)
         for pdf in pieces:
@@ -239,7 +243,9 @@ class Guarded(StatefulProcessor):
             state, got = self.guard.verdicts(state, at)
             last = int(at["ms"].iloc[-1])
             yield pdf[self.columns].assign(**{n: pd.Series(list(c), index=pdf.index, dtype=object) for n, c in zip(self.guard.names, got, strict=True)})
-        self.state.update((*(int(x) for x in state), last, timer or self._timer(state, max(last, now))))
+        kept = (*(int(x) for x in state), last, timer or self._timer(state, max(last, now)))
+        self.state.update(kept)
+        return kept
 
     def _timer(self, state: tuple, now: int) -> int:
         """Set the key's timer to the end of its window, in order to the end of that slice."""
