@@ -15,6 +15,7 @@ from ..functions import derived_columns
 from ..operators import audit, diff, edit_log, facets, overlay, postings, search
 from ..schema import B_SIDE_FIELDS, EDITABLE_FIELDS, FACETS, LOG, NORM_COLUMNS, PHRASE_FIELDS, RESULT_COLUMNS, SORT_COLUMNS, SOURCE_FIELDS, SUBSTRING_FIELDS
 from ..storage import stored, workspace
+from ..streaming.ranges import replay_limiter
 from . import fixtures as fx
 from .fixtures import CAT, key_sql, nk
 
@@ -789,6 +790,7 @@ def _streamed(spark: SparkSession, sf_dir: str, guard: streaming.Guard) -> DataF
     return spark.read.parquet(out).filter("event_id >= 0").select("event_id", *guard.names)
 
 
+query("request_limiter_ranges", ORACLES["request_limiter"])(lambda s, d: replay_limiter(streaming.with_time(fx.requests(s, d)), "ip", "event_id", 3, DAY).select("event_id", *LIMITER.names))
 query("stream_crawl_guard", ORACLES["crawl_guard"])(lambda s, d: _streamed(s, d, CRAWL))
 query("stream_request_limiter", ORACLES["request_limiter"])(lambda s, d: _streamed(s, d, LIMITER))
 

@@ -135,25 +135,38 @@ def replay(events: DataFrame, guard: Guard, key: str, order: str) -> DataFrame:
     so that a key of any size needs the memory of one batch.  A null key is one
     key like all others.
     """
-    rows = events.repartition(key).sortWithinPartitions(key, "ms", order)
+    return walked(events.repartition(key).sortWithinPartitions(key, "ms", order), guard, [key])
+
+
+def walked(rows: DataFrame, guard: Guard, keys: list[str], entry: list[str] | None = None) -> DataFrame:
+    """Verdicts for rows that are sorted within their partitions by ``keys``, then time.
+
+    A run of equal keys starts afresh, or with the state in the columns
+    ``entry`` where they are not null; those and keys that begin with _ are left out.
+    """
+    shown = [f for f in rows.schema if f.name not in (entry or ()) and not (f.name in keys and f.name.startswith("_"))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = object(), guard.start
         for pdf in batches:
             columns: list[list] = [[] for _ in guard.names]
-            keys, none = pdf[key].to_numpy(), pdf[key].isna().to_numpy()  # a null number is NaN here, which equals nothing
-            new = (none[1:] != none[:-1]) | (keys[1:] != keys[:-1]) & ~none[1:]
-            edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(keys)] if len(keys) else [0]
+            new = np.zeros(max(0, len(pdf) - 1), bool)
+            for key in keys:
+                k, none = pdf[key].to_numpy(), pdf[key].isna().to_numpy()  # a null number is NaN here, which equals nothing
+                new |= (none[1:] != none[:-1]) | (k[1:] != k[:-1]) & ~none[1:]
+            edges = [0, *(np.flatnonzero(new) + 1).tolist(), len(pdf)] if len(pdf) else [0]
             for at, to in zip(edges[:-1], edges[1:], strict=True):
-                own = None if none[at] else keys[at]
+                own = tuple(None if pd.isna(v) else v for v in pdf[keys].iloc[at])
                 if own != last:
-                    last, state = own, guard.start
+                    begun = [pdf[c].iloc[at] for c in entry or ()]
+                    last, state = own, guard.start if not begun or pd.isna(begun[0]) else tuple(map(int, begun))
                 state, got = guard.verdicts(state, pdf.iloc[at:to])
                 for c, g in zip(columns, got, strict=True):
                     c.extend(g)
-            yield pdf.assign(**{n: pd.Series(c, index=pdf.index, dtype=object) for n, c in zip(guard.names, columns, strict=True)})
+            out = pdf[[f.name for f in shown]]
+            yield out.assign(**{n: pd.Series(c, index=pdf.index, dtype=object) for n, c in zip(guard.names, columns, strict=True)})
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shown)
     return rows.mapInPandas(run, f"{kinds}, {guard.verdict}")
 
 

@@ -4,12 +4,14 @@ import collections
 import random
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from shellac import streaming
 from shellac.operators import audit, diff, overlay, search
 from shellac.schema import LOG
+from shellac.streaming import ranges
 from test_jobs import NOW, catalogue, source
 
 
@@ -124,6 +126,37 @@ def test_null_keys_are_one_key(spark, kind):
     assert [got[i][1] for i in (5, 7)] == [True, False]
 
 
+@pytest.mark.parametrize("window", [40, 1000, 10**6])
+def test_a_hot_key_is_replayed_in_ranges(spark, monkeypatch, window):
+    """Half of all events have one key, a sixth none; windows within a range, over some and over all of them."""
+    rng = random.Random(window)
+    rows = [(i, rng.choice([7, 7, 7, None, rng.randrange(100, 140), 9]), rng.choice([i, i // 9 * 9, 3 * i])) for i in range(4000)]
+    events = spark.createDataFrame(rows, "event_id long, k long, ms long").withColumn("more", F.lit("x"))
+    kept = []
+    monkeypatch.setattr(ranges, "stored", lambda df, name, f=ranges.stored: kept.append((name, f(df, name))) or kept[-1][1])
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {tuple(r) for r in ranges.replay_limiter(events, "k", "event_id", 3, window).collect()}
+        want = {tuple(r) for r in streaming.replay(events, streaming.request_limiter(3, window), "k", "event_id").collect()}
+        assert ranges.replay_limiter(events.limit(0), "k", "event_id", 3, window).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got == want and len(got) == 4000
+    sizes = [r["count"] for r in kept[0][1].groupBy("_range").count().collect()]
+    assert kept[0][1].filter("k = 7").select("_range").distinct().count() >= 6 and max(sizes) <= 2 * statistics.median(sizes)
+
+
+def test_steps_put_together():
+    rng = np.random.default_rng(4)
+    for window in (3, 30, 400):
+        ms = np.sort(rng.integers(0, 300, 200))
+        whole = ranges.steps(ms, window, 0)
+        for cut in (1, 50, 199):
+            assert [x.tolist() for x in ranges.composed(ranges.steps(ms[:cut], window, 0), ranges.steps(ms[cut:], window, cut))] == [x.tolist() for x in whole]
+
+
 def test_grid_join(spark):
     rng = random.Random(6)
     sides = [[(i, rng.choice(["hot", "hot", "warm", f"k{rng.randrange(40)}"]), rng.choice(["x", None, "y"])) for i in range(n)] for n in (400, 300)]

@@ -14,7 +14,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no driver table
 SOME = [
     "record_key", "content_hash", "release_base", "shared_prefix", "page_metadata", "facet_value", "flip_side", "phrase_match", "keyword_search", "field_search", "bm25_rank", "bulk_search", "deep_page", "blocks_edited", "blocks_deleted", "blocks_withdrawn", "csv_round_trip", "csv_line_ends", "facet_table_updated", "postings_updated", "multiset_diff_copies", "apply_edits_added", "dismiss_mismatches", "list_dismissed",
     "facet_index_labels", "facet_indexes", "facet_letter_other", "facet_unknown", "facet_rows", "target_catalogue", "apply_edits_rows", "apply_edits_overrides", "delete_records_tombstones", "remove_overrides",
-    "multiset_diff", "apply_diff", "matrix_mismatches", "release_siblings", "release_tracks", "category_suggestions", "resolve_live_ids", "review_log", "sitemap_chunks", "crawl_guard", "request_limiter", "login_lockout", "stream_crawl_guard", "stream_request_limiter",
+    "multiset_diff", "apply_diff", "matrix_mismatches", "release_siblings", "release_tracks", "category_suggestions", "resolve_live_ids", "review_log", "sitemap_chunks", "crawl_guard", "request_limiter", "login_lockout", "request_limiter_ranges", "stream_crawl_guard", "stream_request_limiter",
 ]
 
 
