@@ -70,7 +70,7 @@ def _opaque(word: str) -> bool:
     n = len(word)
     if not any("0" <= c <= "9" for c in word) or word.isdigit():
         return False
-    return -sum(k / n * math.log2(k / n) for k in Counter(word[:4096]).values()) * n / min(n, 4096) >= ENTROPY
+    return -sum(k / n * math.log2(k / n) for k in Counter(word).values()) >= ENTROPY
 
 
 def weak_spans(text: str, base: list[Span]) -> list[Span]:

@@ -77,6 +77,12 @@ def test_parts_are_linked():
     assert kinds_of(f"{NAME} token=abcdef12 at https://example.org") == ["endpoint"]
 
 
+def test_opaque_strings_are_judged_whole():
+    letters = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    assert kinds_of(f"id {NAME} and {'x' * 5000 + letters * 100} here") == ["opaque"]  # mixed behind a plain beginning
+    assert kinds_of(f"id {NAME} and {'x1' * 20_000} here") == []  # two signs, however long
+
+
 def test_many_parts_take_time_in_proportion():
     text = f"user: ann {NAME} {KEY} https://a.example.org/b token=abcdef12 " * 30_000
     base = secret_scan.base_spans(text)
