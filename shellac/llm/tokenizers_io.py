@@ -8,6 +8,10 @@ import re
 from array import array
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from .common import Memo, by_size, on_release
 
 _MADE: dict = {}
@@ -100,56 +104,73 @@ def _word_model(path: str):
     return tokenizer(path).model if known else None
 
 
+#: A word that is looked up as its two parts: letters whose lower case is one letter each, then signs but the apostrophe, with which a token may begin.
+PARTED = r"^(?P<stem>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}]+)(?P<tail>[!-&(-/:-@\[-`{-~]*)$"
+
+
+def _gathered(pool: np.ndarray, sizes: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of ``pool`` (those of ``sizes``, one behind the other) in the order of ``index``, and the size of each."""
+    took = sizes[index]
+    kind = np.int32 if max(len(pool), took.sum(dtype=np.int64)) < 2**31 else np.int64
+    starts = np.cumsum(sizes, dtype=kind) - sizes
+    at = np.repeat(starts[index] - (np.cumsum(took, dtype=kind) - took), took)
+    at += np.arange(len(at), dtype=kind)
+    return pool[at], took
+
+
 def word_encoder(path: str, end_id: int | None = None) -> Callable[[list[str]], list[bytes]]:
     """An encoder for tokenizers that drop white space and never join words.
 
     Such a tokenizer (white space only separates, letters, digits and other
     signs never share a token) gives the same ids word by word: texts are cut at
-    blanks and line ends, each distinct word is encoded once per worker and kept
-    in a bounded memo.  A word of letters and one ASCII sign is looked up as its
-    two parts, a Latin word in lower case.  ``end_id`` is appended to each text.
+    blanks and line ends, Arrow numbers the distinct words of some texts, and of
+    letters and the signs behind them the distinct parts, Latin ones in lower
+    case.  Only those parts are looked up one by one; each is encoded once per
+    worker and kept in a bounded memo.  The ids of words and texts are gathered
+    from theirs by number.  ``end_id`` is appended to each text.
     """
     key = (path, "words", end_id)
     if key in _MADE:
         return _MADE[key]
     end = b"" if end_id is None else array("I", [end_id]).tobytes()
-    signs = frozenset(".,;:!?")
     model, letters = _word_model(path), _letters()
 
-    def encode_stems(stems: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(stems)
+    def encode_parts(parts: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(parts)
         if model is not None:
-            for i, w in enumerate(stems):
+            for i, w in enumerate(parts):
                 if w.isalpha() and w.islower() and (w.isascii() or not ODD.search(w)):
                     out[i] = array("I", [t.id for t in model.tokenize(w if w.isascii() else "".join(letters[b] for b in w.encode()))]).tobytes()
         rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, encode_many(path, [stems[i] for i in rest]), strict=True):
+        for i, ids in zip(rest, encode_many(path, [parts[i] for i in rest]), strict=True):
             out[i] = ids
         return out
 
-    stems = Memo(encode_stems)
-
-    def compute(words: list[str]) -> list[bytes]:
-        parts = []
-        for w in words:
-            stem = w[:-1] if w[-1:] in signs else w
-            low = stem.lower()
-            if stem.isalpha() and (stem.isascii() or low.isalpha() and not ODD.search(stem)):
-                parts.append((low,) if stem is w else (low, w[-1]))
-            else:
-                parts.append((w,))
-        stems.fill({p for x in parts for p in x})
-        return [b"".join(map(stems.__getitem__, x)) for x in parts]
+    memo = Memo(encode_parts, 600_000)
 
-    memo = Memo(compute, 600_000)
-    get = memo.__getitem__
+    def looked_up(parts: list[str]) -> list[bytes]:
+        found = list(map(memo.get, parts))
+        missing = [i for i, x in enumerate(found) if x is None]
+        memo.fill({parts[i] for i in missing})
+        for i in missing:
+            found[i] = memo[parts[i]]
+        return found
 
     def encode(texts: list[str]) -> list[bytes]:
         out = []
-        for part in by_size(texts, (len(t) for t in texts), 1 << 20):
-            cut = [t.replace("\n", " ").split(" ") for t in part]
-            memo.fill(set().union(*cut))
-            out += [b"".join(map(get, words)) + end for words in cut]
+        for part in by_size(texts, (len(t) for t in texts), 8 << 20):
+            cut = pc.split_pattern(pa.array([t.replace("\n", " ") for t in part], pa.string()), " ")
+            words = cut.values.dictionary_encode()
+            parted = pc.extract_regex(words.dictionary, PARTED)
+            stems = pc.coalesce(pc.utf8_lower(pc.struct_field(parted, "stem")), words.dictionary)
+            parts = pa.concat_arrays([stems, pc.coalesce(pc.struct_field(parted, "tail"), "")]).dictionary_encode()
+            known = looked_up(parts.dictionary.to_pylist())
+            sizes = np.fromiter(map(len, known), np.int32, len(known)) // 4
+            ids, took = _gathered(np.frombuffer(b"".join(known), "<u4"), sizes, parts.indices.to_numpy().reshape(2, -1).T.reshape(-1))
+            ids, took = _gathered(ids, took[0::2] + took[1::2], words.indices.to_numpy())
+            ends = np.concatenate(([0], 4 * np.cumsum(took, dtype=np.int64)))[cut.offsets.to_numpy()].tolist()
+            whole = ids.tobytes()
+            out += [whole[a:b] + end for a, b in zip(ends, ends[1:])]
         return out
 
     _MADE[key] = encode

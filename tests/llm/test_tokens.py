@@ -81,6 +81,22 @@ def test_word_encoder_equals_library():
     assert tokenizers_io.word_encoder(WORDS)(texts) == tokenizers_io.encode_many(WORDS, texts)
 
 
+def test_word_encoder_looks_up_parts(monkeypatch):
+    """Letters and the run of signs behind them are encoded apart, so that few strings need the library's whole course."""
+    r, many, asked = random.Random(4), tokenizers_io.encode_many, []
+    stems = ["".join(r.choice("abcdeéñÀÖÿÞœŁ") for _ in range(6)) for _ in range(300)]
+    odd = ["don't", "a'", "'", "x'.s", "ª!", "µ,", "Ÿ.", "ẞ..", "×", "a×,", "a<|", "<|endoftext|>.", "a1.", "1.", "日.", "e\u0301.", "a\t.", "a,\u2003", *(chr(c) + s for c in range(0xA0, 0x260) for s in ("a", ","))]
+    words = [v + t for w in stems for v in (w, w.upper()) for t in ("", ".", "***", ",###", "\\^_`{|}~", '")', "<|")]
+    r.shuffle(words)
+    texts = [" ".join(words[i::40]) + "\n" + " ".join(odd[i::40]) for i in range(40)] + ["", " ", "\n\n"]
+    want = many(WORDS, [t + " ." for t in texts])
+    monkeypatch.setattr(tokenizers_io, "encode_many", lambda path, texts: asked.extend(texts) or many(path, texts))
+    encode = tokenizers_io.word_encoder(WORDS, 5)
+    assert [x[:-4] for x in encode(texts)] == [x[:-4] for x in want]
+    assert all(x[-4:] == array("I", [5]).tobytes() for x in encode(texts))
+    assert len(asked) < 300  # signs and odd words; it was asked for each of the words with several signs
+
+
 def test_encoders_equal_library():
     r = random.Random(2)
     texts = TEXTS + ["".join(r.choice("aeinrst .,'!AÉßü1\n\t<|>é") for _ in range(900)) for _ in range(60)]
